@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docassay.llm import q_simhash
+from docassay.llm import q_line_dedup, q_mixing, q_packing, q_sharding, q_simhash, q_url_filter
 
-MODULES = [q_simhash]
+MODULES = [q_sharding, q_url_filter, q_line_dedup, q_mixing, q_simhash, q_packing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
