@@ -6,9 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docassay.llm import q_line_dedup, q_mixing, q_packing, q_sharding, q_simhash, q_url_filter
-
-MODULES = [q_sharding, q_url_filter, q_line_dedup, q_mixing, q_simhash, q_packing]
+from docassay.llm import (
+    q_language_id,
+    q_line_dedup,
+    q_maxscore,
+    q_merkle,
+    q_mixing,
+    q_packing,
+    q_quality,
+    q_sharding,
+    q_simhash,
+    q_url_filter,
+)
+
+MODULES = [
+    q_maxscore,
+    q_quality,
+    q_sharding,
+    q_merkle,
+    q_language_id,
+    q_url_filter,
+    q_line_dedup,
+    q_mixing,
+    q_simhash,
+    q_packing,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
