@@ -1 +1 @@
-
+"""Column expressions: pure functions from columns to columns, visible to Catalyst."""

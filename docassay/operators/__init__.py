@@ -1 +1 @@
-
+"""Operators on tables: votes, scores, verdicts, duplicates, limits, QR payloads, images."""
