@@ -46,4 +46,4 @@ FROM judged
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge_urls(pages, RULES)
+    return judge_urls(pages, RULES).drop("url")
