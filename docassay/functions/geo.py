@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docassay.functions.reference_data import (
@@ -21,29 +21,45 @@ def canonical_state(state: Column) -> Column:
     return F.coalesce(F.try_element_at(alias, F.lower(F.trim(state))), F.trim(state))
 
 
-def _first_range(value: Column, ranges) -> Column:
-    out = F.lit(None).cast("string")
-    for low, high, state in reversed(ranges):
-        out = F.when(value.between(low, high), state).otherwise(out)
+def _state_of(pin: int, ranges) -> str | None:
+    first = lambda table, x: next((state for low, high, state in table if low <= x <= high), None)
+    found = first(ranges, pin)
+    return (first(PIN_OVERRIDES, pin) or found) if found else first(PIN_PREFIXES, pin // 10000)
+
+
+def pin_segments(longest_match: bool = False) -> list[tuple[int, int, str]]:
+    """(first, last, state): disjoint runs of six-digit PINs with the same state, those without one left out."""
+    ranges = sorted(PIN_RANGES, key=lambda r: r[1] - r[0]) if longest_match else PIN_RANGES
+    cuts = {100_000, 1_000_000}
+    for low, high, _ in (*PIN_RANGES, *PIN_OVERRIDES):
+        cuts |= {low, high + 1}
+    for low, high, _ in PIN_PREFIXES:
+        cuts |= {low * 10_000, (high + 1) * 10_000}
+    out: list[tuple[int, int, str]] = []
+    order = sorted(cuts)
+    for low, after in zip(order, order[1:]):
+        state = _state_of(low, ranges)
+        if state and out and out[-1][2] == state and out[-1][1] == low - 1:
+            out[-1] = (out[-1][0], after - 1, state)
+        elif state:
+            out.append((low, after - 1, state))
     return out
 
 
-def state_of_pin(pin: Column, longest_match: bool = False) -> Column:
-    """The state of a six-digit PIN, null if unknown.
+def with_state_of_pin(df: DataFrame, pin_col: str, out: str, longest_match: bool = False) -> DataFrame:
+    """`df` with the state of a six-digit PIN in `out`, null if unknown.
 
     The first range in order decides, with two overrides, then the prefix. With
     `longest_match` the narrowest range decides, so that states whose range lies
-    in another's are found too.
+    in another's are found too. The PIN is a number of its own first, so that
+    the search over disjoint runs is a chain of plain comparisons.
     """
-    digits = F.regexp_replace(pin, r"[^0-9]", "")
-    value = F.when(F.length(digits) == 6, digits.try_cast("int"))
-    ranges = sorted(PIN_RANGES, key=lambda r: r[1] - r[0]) if longest_match else PIN_RANGES
-    found = _first_range(value, ranges)
-    return F.coalesce(
-        F.when(found.isNotNull(), _first_range(value, PIN_OVERRIDES)),
-        found,
-        _first_range(F.floor(value / 10000), PIN_PREFIXES),
-    )
+    digits = F.regexp_replace(F.col(pin_col), r"[^0-9]", "")
+    number = F.col("__pin")
+    state = F.lit(None).cast("string")
+    for low, high, name in reversed(pin_segments(longest_match)):
+        state = F.when((number >= low) & (number <= high), name).otherwise(state)
+    return df.withColumn("__pin", F.when(F.length(digits) == 6, digits.try_cast("int"))).withColumn(out, state).drop("__pin")
 
 
 def same_state(expected: Column, stated: Column) -> Column:

@@ -6,7 +6,7 @@ finds nothing; null text gives null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docassay.functions.reference_data import ADDRESS_STATES, HINDI_HEADERS, ISSUER_EMAILS, NAME_BLACKLIST
@@ -191,7 +191,7 @@ def repaired_date(dob: Column, last_year: int = 2025) -> Column:
     return F.when(good, F.format_string("%02d/%02d/%d", day, month, y)).otherwise(dob)
 
 
-def gender(text: Column) -> Column:
+def gender(text: Column, raw: Column | None = None) -> Column:
     """The word itself, else a short line that reads like it, else an initial after a line with a date of birth."""
     word = F.initcap(found(text, r"\b(Male|Female|Transgender|MALE|FEMALE|TRANSGENDER)\b"))
 
@@ -203,9 +203,9 @@ def gender(text: Column) -> Column:
             .when(short & (line.rlike(r"(?i)^Fe?m[a-z@]{0,4}le?$") | up.isin(*FEMALE_LINES)), "Female")
         )
 
-    cleaned = F.transform(lines(text), clean_line)
+    raw = lines(text) if raw is None else raw
+    cleaned = F.transform(raw, clean_line)
     fuzzy = F.get(F.filter(F.transform(cleaned, of_line), lambda g: g.isNotNull()), 0)
-    raw = lines(text)
     initial = lambda x: F.when(
         F.length(x).between(2, 12),
         F.when(F.upper(x).startswith("M"), "Male").when(F.upper(x).startswith("F"), "Female"),
@@ -232,14 +232,20 @@ def _may_be_name(line: Column) -> Column:
     )
 
 
+def _places(raw: Column, pattern: str) -> Column:
+    """Positions, from 0, of the lines that hold the pattern."""
+    at = F.transform(raw, lambda x, i: F.when(x.rlike(pattern), i))
+    return F.filter(at, lambda i: i.isNotNull())
+
+
 def name(text: Column) -> Column:
     """The holder's name: after a header line, else after a label, else the best-looking line."""
     raw = lines(text)
-    cleaned = F.transform(raw, clean_line)
-    at = F.transform(raw, lambda x, i: F.struct(i.alias("i"), x.alias("raw")))
-    headers = F.transform(F.filter(at, lambda x: x["raw"].rlike(HEADER)), lambda x: x["i"])
+    return _name(raw, F.transform(raw, clean_line), _places(raw, HEADER), F.get(_places(raw, DOB_LINE), 0))
+
+
+def _name(raw: Column, cleaned: Column, headers: Column, dob: Column) -> Column:
     first_header = F.get(headers, 0)
-    dob = F.get(F.transform(F.filter(at, lambda x: x["raw"].rlike(DOB_LINE)), lambda x: x["i"]), 0)
     first_name = lambda window: F.get(F.filter(window, _may_be_name), 0)
     end = F.when((dob > first_header) & (dob > 0), dob).otherwise(first_header + 12)
     between = first_name(F.slice(cleaned, first_header + 2, F.greatest(F.lit(0), end - first_header - 1)))
@@ -264,14 +270,15 @@ def name(text: Column) -> Column:
             + F.when(li < dob, 4).otherwise(0)
         )
 
+    pairs = F.zip_with(raw, cleaned, lambda x, c: F.struct(x.alias("raw"), c.alias("line")))
     scored = F.transform(
-        F.filter(at, lambda x: _may_be_name(clean_line(x["raw"]))),
-        lambda x: F.struct(points(x["raw"], clean_line(x["raw"])).alias("p"), (-x["i"]).alias("k"), clean_line(x["raw"]).alias("line")),
+        F.filter(F.transform(pairs, lambda x, i: F.struct(x["raw"], x["line"], i.alias("i"))), lambda x: _may_be_name(x["line"])),
+        lambda x: F.struct(points(x["raw"], x["line"]).alias("p"), (-x["i"]).alias("k"), x["line"].alias("line")),
     )
     return F.coalesce(between, after_any, first_name(labelled), F.array_max(scored)["line"])
 
 
-def hindi_name(text: Column) -> Column:
+def hindi_name(text: Column, raw: Column | None = None) -> Column:
     def fits(line: Column) -> Column:
         header = F.lit(False)
         for fragment in HINDI_HEADERS:
@@ -283,15 +290,17 @@ def hindi_name(text: Column) -> Column:
             & F.size(F.split(line, r"\s+")).between(1, 5)
         )
 
-    return F.get(F.filter(F.transform(lines(text), F.trim), fits), 0)
+    raw = lines(text) if raw is None else raw
+    return F.get(F.filter(F.transform(raw, lambda x: F.trim(x)), fits), 0)
 
 
-def care_of(text: Column) -> Column:
+def care_of(text: Column, raw: Column | None = None) -> Column:
     """Two to five words after a label, else a line that starts with one."""
     labelled = clean_line(F.regexp_extract(text, CARE_OF, 1))
     n = F.size(F.split(labelled, r"\s+"))
+    raw = lines(text) if raw is None else raw
     own_line = F.filter(
-        F.transform(lines(text), lambda x: clean_line(F.regexp_extract(F.trim(x), r"(?i)^(?:C/O|S/O|W/O|D/O|F/O)[:\s]+(.+)$", 1))),
+        F.transform(raw, lambda x: clean_line(F.regexp_extract(F.trim(x), r"(?i)^(?:C/O|S/O|W/O|D/O|F/O)[:\s]+(.+)$", 1))),
         lambda x: (x != "") & F.size(F.split(x, r"\s+")).between(1, 5) & x.rlike(r"^[A-Za-z\s.\-']+$"),
     )
     return F.coalesce(F.when((labelled != "") & n.between(2, 5), labelled), F.get(own_line, 0))
@@ -309,16 +318,15 @@ def card_side(text: Column) -> Column:
     )
 
 
-def address_block(text: Column) -> Column:
+def address_block(text: Column, raw: Column | None = None) -> Column:
     """The address as one line, null where no block is found: 12 lines at most from its start to a terminator."""
-    raw = lines(text)
-    at = F.transform(raw, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    where = lambda pattern: F.transform(F.filter(at, lambda x: x["x"].rlike(pattern)), lambda x: x["i"])
+    raw = lines(text) if raw is None else raw
+    where = lambda pattern: _places(raw, pattern)
     last = F.coalesce(F.array_max(where(GENDER_OR_DOB)), F.lit(-1))
     start = F.array_min(F.filter(where(ADDRESS_START), lambda i: i > last))
     number = F.array_min(where(r"\b[2-9]\d{3}\s+\d{4}\s+\d{4}\b"))
-    begin = F.coalesce(start, F.greatest(F.lit(0), number - 8))
-    block = F.transform(F.slice(raw, begin + 1, F.lit(12)), F.trim)
+    begin = F.coalesce(start, F.when(number.isNotNull(), F.greatest(F.lit(0), number - 8)))
+    block = F.transform(F.slice(raw, begin + 1, F.lit(12)), lambda x: F.trim(x))
     stops = F.transform(block, lambda x, i: F.when(x.rlike(ADDRESS_END), i))
     kept = F.slice(block, F.lit(1), F.coalesce(F.array_min(stops), F.size(block)))
     bare = F.transform(
@@ -394,35 +402,45 @@ def regrouped_id(value: Column) -> Column:
     return F.when(F.length(digits) == 12, _grouped(digits, 4, 4, 4)).otherwise(value)
 
 
-def card_record(text: Column) -> dict[str, Column]:
-    """Every field of a card by name; address fields come from `address_block`."""
-    block = address_block(text)
-    parts = address_parts(block)
-    return {
-        "name": name(text),
-        "name_hindi": hindi_name(text),
+def with_card_record(df: DataFrame, text_col: str) -> DataFrame:
+    """`df` with every field of the card in `text_col`, in place of columns of that name.
+
+    Lines and the address block are columns of their own first, so that each is
+    computed once and the projections stay small enough to be compiled.
+    """
+    text, raw, block = F.col(text_col), F.col("__raw"), F.col("__block")
+    staged = (
+        df.withColumn("__raw", lines(text))
+        .withColumn("__clean", F.transform(raw, clean_line))
+        .withColumns({"__block": address_block(text, raw), "__headers": _places(raw, HEADER), "__dob": F.get(_places(raw, DOB_LINE), 0)})
+        .withColumn("__parts", address_parts(block))
+    )
+    record = {
+        "name": _name(raw, F.col("__clean"), F.col("__headers"), F.col("__dob")),
+        "name_hindi": hindi_name(text, raw),
         "dob": date_of_birth(text),
         "year_of_birth": year_of_birth(text),
-        "gender": gender(text),
+        "gender": gender(text, raw),
         "id_number": F.nullif(id_number(text), F.lit("")),
         "vid": virtual_id(text),
         "enrollment_number": enrolment_number(text),
-        "father_husband_name": care_of(text),
+        "father_husband_name": care_of(text, raw),
         "mobile": mobile(text),
         "email": email(text),
         "address_raw": block,
-        "address_house": parts["house"],
+        "address_house": F.col("__parts.house"),
         "address_street": F.lit(None).cast("string"),
-        "address_landmark": parts["landmark"],
-        "address_locality": parts["locality"],
-        "address_subdistrict": parts["subdistrict"],
-        "address_district": parts["district"],
-        "address_state": parts["state"],
-        "address_pin": parts["pin"],
+        "address_landmark": F.col("__parts.landmark"),
+        "address_locality": F.col("__parts.locality"),
+        "address_subdistrict": F.col("__parts.subdistrict"),
+        "address_district": F.col("__parts.district"),
+        "address_state": F.col("__parts.state"),
+        "address_pin": F.col("__parts.pin"),
         "issue_date": issue_date(text),
         "card_type": card_side(text),
         "issued_by": F.lit(ISSUED_BY),
     }
+    return staged.select(*(c for c in df.columns if c not in record), *(c.alias(k) for k, c in record.items()))
 
 
 def masked(number: Column, separator: str = " ") -> Column:

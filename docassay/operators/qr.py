@@ -109,7 +109,7 @@ def _xml(raw: Column) -> Column:
 def _pipe(raw: Column) -> Column:
     parts = F.split(raw, r"\|", -1)
     part = lambda k: F.trim(F.get(parts, k))
-    rest = F.filter(F.transform(F.slice(parts, F.lit(6), F.size(parts)), F.trim), lambda p: p != "")
+    rest = F.filter(F.transform(F.slice(parts, F.lit(6), F.size(parts)), lambda x: F.trim(x)), lambda p: p != "")
     only = lambda c, pattern: F.when(c.rlike(pattern), c)
     record = _record(
         id_last4=F.right(only(part(1), r"^\d{4,12}$"), F.lit(4)), name=F.upper(only(part(2), r"^[A-Za-z\s.\-]+$")),
@@ -136,11 +136,15 @@ def _mined(raw: Column) -> Column:
     )
 
 
-def legacy_record(raw: Column) -> Column:
-    """The record of an XML, pipe or JSON text, or what can be found in any other."""
-    text, kind = F.trim(raw), payload_format(raw)
-    return F.when(kind == "xml", _xml(text)).when(kind == "pipe", F.coalesce(_pipe(text), _mined(text))).when(kind == "json", _json(text)).otherwise(
-        F.when(kind.isNotNull(), _mined(text))
+def _legacy(df: DataFrame) -> DataFrame:
+    """`df` (__text, __kind) with qr: the record of an XML, pipe or JSON text, or what can be found in any other."""
+    text, kind = F.col("__text"), F.col("__kind")
+    return df.withColumn("__pipe", F.when(kind == "pipe", _pipe(text))).withColumn(
+        "qr",
+        F.when(kind == "xml", _xml(text))
+        .when(kind == "json", _json(text))
+        .when(F.col("__pipe").isNotNull(), F.col("__pipe"))
+        .when(kind.isNotNull(), _mined(text)),
     )
 
 
@@ -150,12 +154,11 @@ def parsed_payloads(payloads: DataFrame, raw: str = "raw") -> DataFrame:
     Only payloads of digits go through Python. A secure payload that does not
     open is read like any other text.
     """
-    base = payloads.drop("format", "qr")
-    kind = payload_format(F.col(raw))
-    legacy = base.where(~F.coalesce(kind == "secure", F.lit(False))).select(
-        *base.columns, kind.alias("format"), legacy_record(F.col(raw)).alias("qr")
-    )
-    opened = base.where(kind == "secure").withColumn("__s", secure_record(F.trim(raw)))
+    columns = [c for c in payloads.columns if c not in ("format", "qr")]
+    base = payloads.withColumns({"__text": F.trim(raw), "__kind": payload_format(F.col(raw))})
+    secure_kind = F.coalesce(F.col("__kind") == "secure", F.lit(False))
+    legacy = _legacy(base.where(~secure_kind)).select(*columns, F.col("__kind").alias("format"), "qr")
+    opened = base.where(secure_kind).withColumn("__s", secure_record("__text"))
     s = lambda k: F.nullif(F.col(f"__s.{k}"), F.lit(""))
     mobile = F.regexp_replace(s("mobile_masked"), r"[^0-9]", "")
     same = {k: s(k) for k in FIELDS if k in SECURE_LAYOUT and k not in ("name", "dob", "gender")}
@@ -165,8 +168,8 @@ def parsed_payloads(payloads: DataFrame, raw: str = "raw") -> DataFrame:
     )
     readable = F.col("__s.qr_version").isNotNull()
     secure = opened.select(
-        *base.columns,
+        *columns,
         F.when(readable, "secure").otherwise("text").alias("format"),
-        F.when(readable, record).otherwise(_mined(F.trim(raw))).alias("qr"),
+        F.when(readable, record).otherwise(_mined(F.col("__text"))).alias("qr"),
     )
     return legacy.unionByName(secure)

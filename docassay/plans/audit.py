@@ -24,8 +24,8 @@ def audit_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.statistics(view(spark, sf_dir, "events", _LOG))
 
 
-AUDIT_STATISTICS = f"""SELECT count(*) AS total, count_if(contains(coalesce(verdict, ''), 'VERIFIED')) AS verified, count_if(contains(coalesce(verdict, ''), 'REVIEW')) AS review,
-  count_if(contains(coalesce(verdict, ''), 'TAMPERED') OR contains(coalesce(verdict, ''), 'INVALID')) AS rejected, count_if(is_duplicate) AS duplicates,
+AUDIT_STATISTICS = f"""SELECT count(*) AS total, CAST(count_if(contains(coalesce(verdict, ''), 'VERIFIED')) AS BIGINT) AS verified, CAST(count_if(contains(coalesce(verdict, ''), 'REVIEW')) AS BIGINT) AS review,
+  CAST(count_if(contains(coalesce(verdict, ''), 'TAMPERED') OR contains(coalesce(verdict, ''), 'INVALID')) AS BIGINT) AS rejected, CAST(count_if(is_duplicate) AS BIGINT) AS duplicates,
   CAST(floor(sum(coalesce(overall, 0)) / greatest(count(*), 1)) AS INTEGER) AS avg_score FROM {cte("events", _LOG)}"""
 
 

@@ -60,8 +60,7 @@ FROM r"""
 
 def card_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole record of every card text; names and addresses follow line rules that SQL does not have."""
-    record = X.card_record(F.col("text"))
-    return view(spark, sf_dir, "orders", _CARDS).select("o_orderkey", *(c.alias(k) for k, c in record.items()))
+    return X.with_card_record(view(spark, sf_dir, "orders", _CARDS), "text").drop("text")
 
 
 def card_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:

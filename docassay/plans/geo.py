@@ -33,23 +33,27 @@ def id_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _D = "".join(map(str, checksum.product_table()))
 _P = "".join(str(d) for p in checksum.permutations() for d in p)
-ID_CHECKSUM = f"""
+def checksum_sql(numbers: str) -> str:
+    """Check values of a subquery (o_orderkey, uid12)."""
+    return f"""
 WITH c AS (
   SELECT o_orderkey, uid12, list_reduce(list_prepend(0::BIGINT, range(0, 12)), lambda c, i:
     CAST(substr('{_D}', c * 10 + CAST(substr('{_P}', (i % 8) * 10 + CAST(substr(uid12, 12 - i, 1) AS BIGINT) + 1, 1) AS BIGINT) + 1, 1) AS BIGINT)) AS v
-  FROM {cte("orders", {"o_orderkey": "o_orderkey", "uid12": UID12})})
+  FROM {numbers})
 SELECT o_orderkey, v = 0 AS valid, CAST(CASE WHEN v = 0 THEN 100 ELSE 0 END AS INTEGER) AS score,
        'XXXX XXXX ' || right(uid12, 4) AS masked FROM c"""
 
 
+ID_CHECKSUM = checksum_sql(cte("orders", {"o_orderkey": "o_orderkey", "uid12": UID12}))
+
+
 def pin_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = view(spark, sf_dir, "customer", {"c_custkey": "c_custkey", "pin": PIN, "state": STATE})
-    expected = geo.state_of_pin(F.col("pin"))
-    matched = geo.same_state(expected, F.col("state"))
-    return c.select(
-        "c_custkey", "pin", expected.alias("expected_state"), matched.alias("matched"),
-        geo.three_way_score(matched, 60).cast("int").alias("score"),
-    )
+    # expected state, match and score build on each other: each is a column first
+    checked = geo.with_state_of_pin(c, "pin", "expected_state").withColumn(
+        "matched", geo.same_state(F.col("expected_state"), F.col("state"))
+    )
+    return checked.select("c_custkey", "pin", "expected_state", "matched", geo.three_way_score(F.col("matched"), 60).cast("int").alias("score"))
 
 
 _ALIASES = _rows(STATE_ALIASES.items())
@@ -84,8 +88,8 @@ def district_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     districts = view(spark, sf_dir, "nation", _DISTRICTS)
     claims = view(spark, sf_dir, "customer", _CLAIMS)
     found = state_of_district(claims, districts)
-    matched = geo.same_state(F.col("expected_state"), F.col("state"))
-    return found.select("c_custkey", "expected_state", matched.alias("matched"), geo.three_way_score(matched, 70).cast("int").alias("score"))
+    checked = found.withColumn("matched", geo.same_state(F.col("expected_state"), F.col("state")))
+    return checked.select("c_custkey", "expected_state", "matched", geo.three_way_score(F.col("matched"), 70).cast("int").alias("score"))
 
 
 DISTRICT_STATE = f"""
@@ -112,8 +116,10 @@ def name_plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("c_custkey", "x.score", "x.passed")
 
 
-NAME_PLAUSIBILITY = f"""
-WITH p AS (SELECT c_custkey, upper(trim(coalesce(person, ''))) AS n FROM {cte("customer", _PERSONS)}),
+def name_plausibility_sql(persons: str) -> str:
+    """Scores of a subquery (c_custkey, person)."""
+    return f"""
+WITH p AS (SELECT c_custkey, upper(trim(coalesce(person, ''))) AS n FROM {persons}),
 w AS (SELECT *, list_filter(string_split(n, ' '), lambda x: x <> '') AS words FROM p),
 f AS (
   SELECT *, len(list_filter(words, lambda x: length(x) >= 3 AND len(list_distinct(string_split(x, ''))) = 1)) AS rep,
@@ -129,6 +135,9 @@ SELECT c_custkey, CAST(CASE WHEN n = '' THEN 0 WHEN NOT clean THEN 20 WHEN len(w
   clean AND len(words) BETWEEN 2 AND 5 AND whole >= 45 AND rep = 0 AND NOT ident AND seqs = 0 AS passed FROM s"""
 
 
+NAME_PLAUSIBILITY = name_plausibility_sql(cte("customer", _PERSONS))
+
+
 def states_of_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers per canonical stated state, with null for none."""
     c = view(spark, sf_dir, "customer", {"state": STATE})

@@ -9,6 +9,7 @@ from docassay.functions import checksum, geo
 from docassay.functions.reference_data import WEIGHTS
 from docassay.operators import scoring as S
 from docassay.plans.comparisons import _FIELDS, MATCHES_CTE, TRUST, customer_checks
+from docassay.plans.geo import PIN_STATE, checksum_sql, name_plausibility_sql
 from docassay.plans.derive import CUSTOMER_UID, OCR_NAME, PIN, STATE, cte, view
 
 
@@ -122,16 +123,21 @@ _FLAGSHIP = {"c_custkey": "c_custkey", "uid": CUSTOMER_UID, "pin": PIN, "state":
 def verdicts_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Check digit, PIN and name of every customer as weighted checks, counted by state and verdict."""
     c = view(spark, sf_dir, "customer", _FLAGSHIP)
-    expected = geo.state_of_pin(F.col("pin"))
-    matched = geo.same_state(expected, F.col("state"))
-    person = geo.name_plausibility(F.col("name"))
-    checked = c.select(
+    uid, matched = F.col("uid"), F.col("matched")
+    results = (
+        geo.with_state_of_pin(c, "pin", "expected")
+        .withColumns({"matched": geo.same_state(F.col("expected"), F.col("state")), "checks_out": checksum.is_valid(uid), "person": geo.name_plausibility(F.col("name"))})
+    )
+    check = lambda module, name, score, passed: F.struct(
+        F.lit(module).alias("module"), F.lit(name).alias("check"), score.cast("int").alias("score"), passed.alias("passed")
+    )
+    checked = results.select(
         "c_custkey",
-        F.coalesce(expected, F.lit("unknown")).alias("state"),
+        F.coalesce("expected", F.lit("unknown")).alias("state"),
         F.array(
-            F.struct(F.lit("tamper").alias("module"), F.lit("verhoeff").alias("check"), checksum.score(F.col("uid")).alias("score"), checksum.is_valid(F.col("uid")).alias("passed")),
-            F.struct(F.lit("geo").alias("module"), F.lit("pin").alias("check"), geo.three_way_score(matched, 60).alias("score"), F.coalesce(matched, F.lit(True)).alias("passed")),
-            F.struct(F.lit("geo").alias("module"), F.lit("name").alias("check"), person["score"].alias("score"), person["passed"].alias("passed")),
+            check("tamper", "verhoeff", F.when(F.col("checks_out"), 100).otherwise(0), F.col("checks_out")),
+            check("geo", "pin", geo.three_way_score(matched, 60), F.coalesce(matched, F.lit(True))),
+            check("geo", "name", F.col("person.score"), F.col("person.passed")),
         ).alias("checks"),
     )
     long = checked.select(F.struct("c_custkey", "state").alias("doc_id"), F.explode("checks").alias("x")).select("doc_id", "x.*")
@@ -139,7 +145,20 @@ def verdicts_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("doc_id.state", "module", "verdict").agg(F.count("*").alias("n"), F.sum("score").cast("long").alias("total_score"))
 
 
-VERDICTS_BY_STATE = None  # pieced together from queries that have SQL of their own; tests/ compare the sums
+_PERSONS_OF_ALL = {"c_custkey": "c_custkey", "person": OCR_NAME}
+VERDICTS_BY_STATE = f"""
+WITH pins AS ({PIN_STATE}), names AS ({name_plausibility_sql(cte("customer", _PERSONS_OF_ALL))}),
+ids AS ({checksum_sql(cte("customer", {"o_orderkey": "c_custkey", "uid12": CUSTOMER_UID}))}),
+checks AS (
+  SELECT p.c_custkey, coalesce(p.expected_state, 'unknown') AS state, 'tamper' AS module, CAST(i.score * 25 AS BIGINT) // 100 AS whole, NOT i.valid AS failed
+  FROM pins p JOIN ids i ON i.o_orderkey = p.c_custkey
+  UNION ALL
+  SELECT p.c_custkey, coalesce(p.expected_state, 'unknown'), 'geo', CAST(p.score * 30 + n.score * 15 AS BIGINT) // 100, NOT coalesce(p.matched, TRUE)
+  FROM pins p JOIN names n USING (c_custkey)
+), s AS (SELECT *, CASE WHEN failed THEN least(whole, CASE module WHEN 'tamper' THEN 35 ELSE 25 END) ELSE whole END AS score FROM checks)
+SELECT state, module, CASE WHEN score >= 75 AND NOT failed THEN CASE module WHEN 'tamper' THEN 'CLEAN' ELSE 'VALID' END
+    WHEN score >= 50 OR NOT failed THEN 'SUSPICIOUS' WHEN module = 'tamper' THEN 'TAMPERED' ELSE 'INVALID' END AS verdict,
+  count(*) AS n, CAST(sum(score) AS BIGINT) AS total_score FROM s GROUP BY 1, 2, 3"""
 
 QUERIES = {
     "module_scores": (module_scores, MODULE_SCORES),
