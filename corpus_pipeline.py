@@ -1,10 +1,65 @@
-"""Training-data pipeline; the stages follow as their operators are written."""
+"""Training-data pipeline: five stages, each an operator of `docassay.llm` with production parameters.
+
+STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns
+a DataFrame. All but the last return the columns of `docs`. Each stage works on
+all rows that its predecessor kept.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docassay.llm import q_language_id
+from docassay.llm.classifiers import UNDETERMINED, identify_languages
+from docassay.llm.line_dedup import drop_common_lines
+from docassay.llm.mixing import mixed_documents
+from docassay.llm.packing import pack
+from docassay.llm.simhash import keep_one_of_each
+from docassay.sources import read_table
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is found; empty texts and those without a letter go."""
+    found = identify_languages(docs, q_language_id.learn(docs))
+    return found.where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that ten documents or more share; n_chars follows the text."""
+    kept = drop_common_lines(docs, min_documents=10, min_chars=1)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    return keep_one_of_each(docs, shingle_words=3, radius=2).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: never, once or twice."""
+    return mixed_documents(docs, weights=(3, 1, 2), share=1.5, most=2.0)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), length=1024)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+
+ORACLE_SQL = None  # SQL has no network, knapsack or tokenizer; tests/llm check the stages against brute force.
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs

@@ -100,23 +100,14 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["source_key", "size", "n", "whole", "extra", "source_size", "target"]]
 
 
-def mix(
+def _chosen(
     docs: DataFrame,
     weights: Sequence[float] = (3, 1, 2),
     share: float = 1.5,
     most: float = 2.0,
     seed: int = 11,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, times, taken for every row of `docs`.
-
-    size: words (runs of other than ASCII white space; null text: none); times:
-    how often the mix takes the row; taken: times * size. With `most` 2, times
-    is 0, 1 or 2. Rows of size 0 add nothing and are taken as often as their
-    whole source is. Null is a source of its own, the last. The choice depends
-    on seed, doc_id and text alone; repeated rows are chosen one by one. One row
-    a source passes through the driver, the counts by size only through tasks.
-    Other columns are not read; an empty table gives an empty result.
-    """
+    """As `mix`, with the seeded hash `u` of doc_id and text."""
     spark = docs.sparkSession
     sizes = shared_checkpoint(
         docs.select(
@@ -155,5 +146,54 @@ def mix(
     return (
         rows.join(quota, [*group, "bucket"])
         .withColumn("times", times.cast("int"))
-        .select("doc_id", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+        .select("doc_id", "u", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+    )
+
+
+def mix(
+    docs: DataFrame,
+    weights: Sequence[float] = (3, 1, 2),
+    share: float = 1.5,
+    most: float = 2.0,
+    seed: int = 11,
+) -> DataFrame:
+    """doc_id, size, source_size, target, times, taken for every row of `docs`.
+
+    size: words (runs of other than ASCII white space; null text: none); times:
+    how often the mix takes the row; taken: times * size. With `most` 2, times
+    is 0, 1 or 2. Rows of size 0 add nothing and are taken as often as their
+    whole source is. Null is a source of its own, the last. The choice depends
+    on seed, doc_id and text alone; repeated rows are chosen one by one. One row
+    a source passes through the driver, the counts by size only through tasks.
+    Other columns are not read; an empty table gives an empty result.
+    """
+    return _chosen(docs, weights, share, most, seed).drop("u")
+
+
+def mixed_documents(
+    docs: DataFrame,
+    weights: Sequence[float] = (3, 1, 2),
+    share: float = 1.5,
+    most: float = 2.0,
+    seed: int = 11,
+) -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it; columns stay as they are.
+
+    Rows that repeat both doc_id and text share what the mix takes of them
+    evenly, the first by source taking what is left over.
+    """
+    chosen = shared_checkpoint(
+        _chosen(docs, weights, share, most, seed)
+        .groupBy(F.col("doc_id").alias("__id"), F.col("u").alias("__u"))
+        .agg(F.sum("times").alias("__times"), F.count("*").alias("__rows"))
+    )
+    rows = docs.withColumn("__own", seeded_long(seed, "doc_id", "text")).join(
+        chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__u"))
     )
+    times = F.col("__times")
+    if chosen.where("__rows > 1").limit(1).count():
+        same = Window.partitionBy("__id", "__u").orderBy("source")
+        rows = rows.withColumn("__n", F.row_number().over(same))
+        times = F.floor(times / F.col("__rows")) + (F.col("__n") <= times % F.col("__rows")).cast("int")
+    often = F.when(times > 0, F.sequence(F.lit(1), times.cast("int"))).otherwise(F.array().cast("array<int>"))
+    return rows.select(*docs.columns, F.explode(often).alias("__copy")).drop("__copy")
