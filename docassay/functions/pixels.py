@@ -78,3 +78,57 @@ def local_patterns(image: np.ndarray) -> np.ndarray:
     for bit, (dy, dx) in enumerate([(0, 0), (0, 1), (0, 2), (1, 2), (2, 2), (2, 1), (2, 0), (1, 0)]):
         out |= (image[dy : dy + c.shape[0], dx : dx + c.shape[1]] >= c).astype(np.int64) << bit
     return out
+
+
+def blurred(image: np.ndarray, sigma: float) -> np.ndarray:
+    """Separable Gaussian blur, edges mirrored."""
+    reach = max(1, int(3 * sigma + 0.5))
+    k = np.exp(-np.arange(-reach, reach + 1) ** 2 / (2 * sigma**2))
+    k /= k.sum()
+    p = np.pad(image, reach, mode="symmetric")
+    rows = np.lib.stride_tricks.sliding_window_view(p, 2 * reach + 1, axis=0) @ k
+    return np.lib.stride_tricks.sliding_window_view(rows, 2 * reach + 1, axis=1) @ k
+
+
+def unsharp(image: np.ndarray, sigma: float, strength: float) -> np.ndarray:
+    return np.clip(image * (1 + strength) - blurred(image, sigma) * strength, 0, 255)
+
+
+def gamma(image: np.ndarray, g: float) -> np.ndarray:
+    return 255 * (image / 255) ** (1 / g)
+
+
+def otsu(image: np.ndarray) -> np.ndarray:
+    """0 or 255 by the level that parts the histogram best."""
+    share = np.bincount(np.clip(image, 0, 255).astype(np.int64).ravel(), minlength=256) / image.size
+    below, mean = share.cumsum(), (share * np.arange(256)).cumsum()
+    spread = (mean[-1] * below - mean) ** 2 / np.maximum(below * (1 - below), 1e-12)
+    return np.where(image > spread.argmax(), 255.0, 0.0)
+
+
+def wiener(image: np.ndarray, size: int, noise: float) -> np.ndarray:
+    """Deconvolution of a box blur."""
+    kernel = np.zeros(image.shape)
+    kernel[:size, :size] = 1 / size**2
+    h = np.fft.fft2(np.roll(kernel, (-(size // 2), -(size // 2)), (0, 1)))
+    return np.clip(np.real(np.fft.ifft2(np.fft.fft2(image) * np.conj(h) / (np.abs(h) ** 2 + noise))), 0, 255)
+
+
+def recompression_error(image: np.ndarray, step: float = 8.0) -> np.ndarray:
+    """What rounding the cosine coefficients of 8 x 8 blocks to coarse steps changes, pixel by pixel."""
+    c = dct_matrix(8)
+    b = blocks(image, 8)
+    coarse = step * (1 + np.add.outer(np.arange(8), np.arange(8)) / 2)
+    back = c.T @ (np.rint((c @ b @ c.T) / coarse) * coarse) @ c
+    return np.abs(b - back)
+
+
+def pattern_histogram(image: np.ndarray, cells: int = 4, bins: int = 32) -> np.ndarray:
+    """Histograms of local patterns in a grid of cells, each of unit length."""
+    p = local_patterns(image) * bins // 256
+    out = []
+    for rows in np.array_split(p, cells, axis=0):
+        for cell in np.array_split(rows, cells, axis=1):
+            h = np.bincount(cell.ravel(), minlength=bins).astype(np.float64)
+            out.append(h / max(np.linalg.norm(h), 1e-12))
+    return np.concatenate(out)

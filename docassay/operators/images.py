@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from docassay.functions import pixels as P
 
-_NUMBERS = ("brightness", "contrast", "sharpness", "moire_peaks", "moire_global", "fft_peak", "fft_high", "lbp_entropy")
+_NUMBERS = ("brightness", "contrast", "sharpness", "moire_peaks", "moire_global", "fft_peak", "fft_high", "lbp_entropy", "ela_pixels", "ela_blocks")
 _ARRAYS = ("dct64", "noise_variances", "dct_energies", "dct_high", "dct_zeros", "saturation")
 MEASURES = T.StructType(
     [T.StructField(k, T.DoubleType()) for k in _NUMBERS] + [T.StructField(k, T.ArrayType(T.DoubleType())) for k in _ARRAYS]
@@ -40,6 +40,10 @@ def _measured(bgr: np.ndarray) -> dict:
     out["fft_high"] = s[P.ring(s.shape, 0.4 * 128, 128)].mean() / max(s.mean(), 1e-9)
     share = np.bincount(P.local_patterns(g).ravel(), minlength=256) / max(1, (g.shape[0] - 2) * (g.shape[1] - 2))
     out["lbp_entropy"] = float(-(share[share > 0] * np.log2(share[share > 0])).sum())
+    e = P.recompression_error(g)
+    out["ela_pixels"] = (e > e.mean() + 3 * e.std()).mean()
+    each = e.mean((1, 2))
+    out["ela_blocks"] = (each > each.mean() + 3 * each.std()).mean()
     top = bgr[: max(1, int(0.30 * bgr.shape[0])), : max(1, int(0.22 * bgr.shape[1]))].astype(np.float64)
     most, least = top.max(-1), top.min(-1)
     out["saturation"] = (255 * (most - least) / np.maximum(most, 1)).ravel()[:4096].tolist()
@@ -92,6 +96,15 @@ def noise_check(variances: Column) -> Column:
     return F.struct(score.alias("score"), (score != 25).alias("passed"))
 
 
+def recompression_check(block_share: Column, pixel_share: Column) -> Column:
+    """struct(score, passed): share of blocks, and of pixels, that coarser coefficients change far more than others.
+
+    The coarse steps stand for a JPEG round trip; no encoder comes with Spark.
+    """
+    score = F.when(block_share > 0.05, 20).when(block_share > 0.02, 55).when(pixel_share > 0.08, 65).otherwise(90)
+    return F.struct(score.alias("score"), (score != 20).alias("passed"))
+
+
 def moire_check(peaks: Column, strongest: Column) -> Column:
     score = F.when((peaks > 0.008) & (strongest > 12), 15).when((peaks > 0.004) | (strongest > 8), 55).otherwise(92)
     return F.struct(score.alias("score"), (score != 15).alias("passed"))
@@ -146,3 +159,82 @@ def age_check(born: Column, estimate: Column, as_of: Column, tolerance: Column)
 def match_by_cosine(similarity: Column, least: float = 0.28) -> Column:
     """struct(matched, score, distance) of two embeddings' cosine."""
     return F.struct((similarity >= least).alias("matched"), F.round((similarity + 1) / 2 * 100, 1).alias("score"), F.round(1 - similarity, 4).alias("distance"))
+
+
+#: Clean-up steps by name: each turns a grey image into a grey image of the same size.
+STEPS = {
+    "gray": lambda g: g,
+    "inverted": lambda g: 255 - g,
+    "unsharp": lambda g: P.unsharp(g, 2.0, 1.5),
+    "gamma_0.5": lambda g: P.gamma(g, 0.5),
+    "gamma_1.5": lambda g: P.gamma(g, 1.5),
+    "wiener_5": lambda g: P.wiener(g, 5, 0.01),
+    "wiener_9": lambda g: P.wiener(g, 9, 0.005),
+    "otsu": P.otsu,
+}
+
+
+def variants(images: DataFrame, steps: tuple[str, ...] = tuple(STEPS)) -> DataFrame:
+    """`images` once for each clean-up step, in order: variant, rank, and grey bytes in data.
+
+    A decoder keeps each image's least rank that it can read. Unreadable images
+    have no variants.
+    """
+
+    def made(frames):
+        for frame in frames:
+            rows = []
+            for row in frame.itertuples(index=False):
+                if row.data is None or len(row.data) != row.height * row.width * row.n_channels:
+                    continue
+                pixels = np.frombuffer(row.data, np.uint8).reshape(int(row.height), int(row.width), int(row.n_channels))
+                g = P.gray(pixels if row.n_channels >= 3 else pixels.repeat(3, -1))
+                rows += [(*row, name, k, np.clip(np.rint(STEPS[name](g)), 0, 255).astype(np.uint8).tobytes()) for k, name in enumerate(steps)]
+            out = pd.DataFrame(rows, columns=[*frame.columns, "variant", "rank", "pixels"])
+            yield out.assign(data=out["pixels"], n_channels=1).drop(columns="pixels")
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema) + ", variant string, rank int"
+    return images.mapInPandas(made, schema)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def pattern_histograms(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+    """Local pattern histograms of grey images; null for unreadable ones."""
+    made = lambda d, h, w: P.pattern_histogram(np.frombuffer(d, np.uint8).reshape(int(h), int(w)).astype(np.float64)).tolist()
+    return pd.Series([made(d, h, w) if d is not None and len(d) == h * w and h > 8 and w > 8 else None for d, h, w in zip(data, height, width)])
+
+
+def histogram_match(a: Column, b: Column) -> Column:
+    """struct(distance, score, label) by the chi-square distance of two histograms."""
+    distance = F.aggregate(
+        F.zip_with(a, b, lambda x, y: F.when(x + y > 0, 2 * (x - y) * (x - y) / (x + y)).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x
+    )
+    score = F.round(100 * (1 - F.least(distance / 2 / F.size(a) * 32, F.lit(1.0))), 1)
+    label = F.when(score >= 70, "match").when(score >= 55, "likely").when(score >= 35, "uncertain").otherwise("no match")
+    return F.struct(distance.alias("distance"), score.alias("score"), label.alias("label"))
+
+
+def passive_liveness(entropy: Column, gradient: Column, high: Column, saturation: Column) -> Column:
+    """struct(score, real) of four part scores from 0 to 100."""
+    score = F.floor(0.35 * entropy + 0.30 * gradient + 0.20 * high + 0.15 * saturation).cast("int")
+    return F.struct(score.alias("score"), (score >= 55).alias("real"))
+
+
+def combined_liveness(frequency: Column, passive: Column) -> Column:
+    score = F.least(frequency, passive)
+    return F.struct(score.alias("score"), (score >= 55).alias("real"))
+
+
+def occlusion_score(eyes: Column, solid: Column, variance: Column, dark: Column) -> Column:
+    """Weighted score of visible eyes, solid blocks, variance and dark share, each cut to whole points."""
+    part = lambda x: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(100.0), x.cast("double")))).cast("int")
+    seen = F.when(eyes >= 2, 100).when(eyes == 1, 65).otherwise(35)
+    return F.floor((40 * seen + 30 * part(100 - 300 * solid) + 20 * part(variance / 5) + 10 * part(100 - 500 * dark)) / 100).cast("int")
+
+
+def face_region(data: DataFrame) -> DataFrame:
+    """x, y, w, h of the part of a card that holds the photograph when no detector is at hand."""
+    w, h = F.col("width"), F.col("height")
+    return data.withColumn(
+        "face", F.struct(F.lit(0).alias("x"), F.floor(h * 0.12).cast("int").alias("y"), F.floor(w * 0.30).cast("int").alias("w"), (F.floor(h * 0.88) - F.floor(h * 0.12)).cast("int").alias("h"))
+    )

@@ -220,3 +220,33 @@ def accepted_suggestion(field: Column, old: Column, new: Column) -> Column:
     kept = ~F.coalesce(guarded, F.lit(False)) | ((F.size(a) == F.size(b)) & (initials(a) == initials(b)))
     usable = F.coalesce(~F.lower(F.trim(new)).isin("", "null", "none", "n/a", "unknown"), F.lit(False))
     return F.when(usable & F.coalesce(kept, F.lit(True)), new).otherwise(old)
+
+
+def report_checks(name: Column, dob: Column, gender: Column, number: Column) -> dict[str, Column]:
+    """The report's shorter format checks, which look at a value's beginning only; null is false."""
+    patterns = {"name": r"^[A-Za-z\s.'-]+", "dob": r"^\d{2}/\d{2}/\d{4}", "gender": r"^(Male|Female|Transgender)", "id_number": r"^[2-9]\d{3}\s\d{4}\s\d{4}"}
+    values = {"name": name, "dob": dob, "gender": gender, "id_number": number}
+    return {k: F.coalesce(values[k].rlike(p), F.lit(False)) for k, p in patterns.items()}
+
+
+def location_support(pin: Column, district: Column, state: Column) -> Column:
+    """Two of three places match."""
+    return count_true([pin, district, state]) >= 2
+
+
+def score_cards(trust: Column, tamper: Column, geo: Column, face: Column, liveness: Column) -> Column:
+    """array of struct(label, score, passed) for the five cards of a result page."""
+    # Least score of each card.
+    cards = (("qr", trust, 60), ("tampering", tamper, 50), ("geo", geo, 50), ("face", face, 50), ("liveness", liveness, 50))
+    return F.array(
+        *(F.struct(F.lit(k).alias("label"), F.coalesce(v, F.lit(0)).alias("score"), (F.coalesce(v, F.lit(0)) >= least).alias("passed")) for k, v, least in cards)
+    )
+
+
+def ring_color(score: Column) -> Column:
+    return F.when(score >= 75, "green").when(score >= 50, "yellow").otherwise("red")
+
+
+def address_line(*parts: Column) -> Column:
+    """Non-empty parts joined by commas, null if there is none."""
+    return F.nullif(F.concat_ws(", ", *(F.nullif(F.trim(p), F.lit("")) for p in parts)), F.lit(""))

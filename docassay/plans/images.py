@@ -32,6 +32,7 @@ def image_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "moire": I.moire_check(at("moire_peaks"), at("moire_global")),
         "ai_image": I.generated_check(at("dct_energies"), at("dct_high"), at("dct_zeros")),
         "hologram": I.hologram_check(at("saturation")),
+        "ela": I.recompression_check(at("ela_blocks"), at("ela_pixels")),
     }
     return m.select(
         "vec_id", I.phash(at("dct64")).alias("phash"), I.blur_label(at("sharpness")).alias("blur"),
@@ -39,6 +40,19 @@ def image_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def image_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every clean-up step of every image, as the digest of its pixels."""
+    return I.variants(embedding_images(spark, sf_dir)).select("vec_id", "variant", "rank", F.sha2("data", 256).alias("digest"))
+
+
+def texture_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local texture of each image against its successor's."""
+    h = embedding_images(spark, sf_dir).select("vec_id", I.pattern_histograms("data", "height", "width").alias("h"))
+    pairs = h.join(h.select((F.col("vec_id") - 1).alias("vec_id"), F.col("h").alias("other")), "vec_id")
+    x = I.histogram_match(F.col("h"), F.col("other"))
+    return pairs.select("vec_id", x["score"].alias("score"), x["label"].alias("label"))
+
+
 _AGES = {"o_orderkey": "o_orderkey", "born": "CAST(o_orderdate AS DATE)", "estimate": "CAST(o_orderkey % 60 AS DOUBLE)"}
 
 
@@ -54,5 +68,7 @@ SELECT o_orderkey, round(age, 6) AS age, CAST(CASE WHEN abs(age - e) <= 6 THEN 1
 
 QUERIES = {
     "image_checks": (image_checks, None),
+    "image_variants": (image_variants, None),
+    "texture_pairs": (texture_pairs, None),
     "ages": (ages, AGES),
 }
