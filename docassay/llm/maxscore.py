@@ -1,11 +1,12 @@
 """Exact top-k inner products by MaxScore over sharded postings.
 
 Every dimension is a query term; its posting list in a shard holds the vectors'
-components, bounded by the shard's least and greatest. Sorted by these bounds,
-the terms that together cannot lift a vector over the query's k-th score so far
-are non-essential. Postings of the essential terms are traversed; a vector's
-other terms are probed, strongest bound first, only while the vector can still
-compete. Queries meet shards in blocks; a shard gives k results a query at most,
+components, bounded by the shard's least and greatest. The weakest terms, whose
+bounds together stay under an eighth of the query's k-th score so far, are
+non-essential: alone they lift no vector over that score, and postings being
+dense, a smaller share than MaxScore allows leaves few vectors to probe.
+Postings of the essential terms are traversed; a vector's other terms are
+probed, strongest bound first, only while the vector can still compete. Queries meet shards in blocks; a shard gives k results a query at most,
 and the shards' results are merged.
 """
 
@@ -23,6 +24,8 @@ QUERY_BLOCK = 1024
 #: Scaled components are held within this, so that scores of 1024 dimensions fit a long.
 LARGEST = 1 << 26
 PROBED_TOGETHER = 8
+#: Non-essential terms may add up to this share of the score to beat.
+NON_ESSENTIAL_SHARE = 0.125
 
 
 def scaled(embedding: Column | str, factor: int = 64) -> Column:
@@ -58,7 +61,7 @@ def maxscore(
     ids, vectors = ids[by_id], vectors[by_id]
     m, nothing = len(queries), np.iinfo(np.int64).min // 2
     largest = int(np.abs(vectors).max(initial=0)) * int(np.abs(queries).max(initial=0)) * max(1, d)
-    kind = np.float32 if largest < 2**24 else np.float64 if largest < 2**53 else np.int64  # all exact
+    kind = np.float32 if largest < 2**22 else np.float64 if largest < 2**51 else np.int64  # all exact, sums of two too
     low, high = vectors.min(0, initial=0), vectors.max(0, initial=0)
     most = np.maximum(queries * low, queries * high)  # a term's greatest contribution
     least = np.minimum(queries * low, queries * high)
@@ -66,8 +69,6 @@ def maxscore(
     ordered = np.take_along_axis(most, terms, 1)
     rest = np.zeros((m, d + 1), np.int64)  # greatest sum of the terms from a place on
     rest[:, :d] = ordered[:, ::-1].cumsum(1)[:, ::-1]
-    floor_before = np.zeros((m, d + 1), np.int64)  # least sum of the terms before a place
-    floor_before[:, 1:] = np.take_along_axis(least, terms, 1).cumsum(1)
     place = np.argsort(terms, axis=1)  # of each term in its query's order
     v_kind = vectors.astype(kind)
 
@@ -78,15 +79,16 @@ def maxscore(
         block = slice(begin, begin + step)
         begin, step = begin + step, min(2048, step * 2)
         theta = top_score[:, k - 1]
-        # places whose terms alone, with the least of those before, stay at or below the k-th score
-        essential = (floor_before + rest > theta[:, None])[:, :d].sum(1)
+        # a term's bound is never negative, so what a place's terms and all weaker ones add falls from place to place
+        essential = (rest[:, :d] > NON_ESSENTIAL_SHARE * np.maximum(theta, 0)[:, None]).sum(1)
         own = np.where(place < essential[:, None], queries, 0).astype(kind)
         partial = v_kind[block] @ own.T
         tail = rest[np.arange(m), essential]
         # compared as the kind's numbers: partial + tail > theta
         alive = partial > np.clip(theta - tail, -(2**62), 2**62).astype(kind)
-        alive &= ids[block][:, None] != query_ids[None, :]
         at, q = np.nonzero(alive)
+        other = ids[at + block.start] != query_ids[q]
+        at, q = at[other], q[other]
         score = partial[at, q].astype(np.int64)
         at = at + block.start
         for r in range(0, d, PROBED_TOGETHER):
