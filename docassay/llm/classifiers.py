@@ -33,24 +33,38 @@ def _sampled_windows(text: Column, windows: int) -> Column:
 
 
 def labelled_sample(
-    labelled: DataFrame, seed: int, docs_per_label: int = SAMPLE_DOCS, windows: int = SAMPLE_WINDOWS
+    labels: DataFrame,
+    texts: DataFrame,
+    seed: int,
+    docs_per_label: int = SAMPLE_DOCS,
+    windows: int = SAMPLE_WINDOWS,
 ) -> list[tuple[object, list[bytes]]]:
     """(label, windows) of about `docs_per_label` documents of each label, in a fixed order.
 
-    `labelled` has doc_id, text and label; rows without text or label are left
-    out. A seeded hash of doc_id and text picks the rows, by the label's count.
+    `labels`: doc_id and label, `texts`: doc_id and text; rows without id, label
+    or text are left out. A seeded hash of the id picks the ids by their label's
+    count, and only the picked ones' texts are looked up: the ids, twice the
+    wanted number at most, are broadcast and no text is shuffled.
     """
-    usable = labelled.where("label IS NOT NULL AND octet_length(text) > 0")
+    usable = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "label")
     counts = usable.groupBy("label").count().collect()  # a row a label
     if not counts:
         return []
+    most = 2 * docs_per_label * len(counts)
     share = F.create_map(*(F.lit(x) for r in counts for x in (r[0], min(1.0, docs_per_label / r[1]))))
-    u = F.shiftrightunsigned(seeded_long(seed, "doc_id", "text"), 11) / F.lit(float(1 << 53))
-    rows = (
-        usable.where(u < F.element_at(share, F.col("label")))
-        .select(u.alias("u"), "label", _sampled_windows(utf8("text"), windows).alias("w"))
+    u = F.shiftrightunsigned(seeded_long(seed, "doc_id"), 11) / F.lit(float(1 << 53))
+    picked = (
+        usable.withColumn("u", u)
+        .where(F.col("u") < F.element_at(share, F.col("label")))
         .orderBy("u", F.col("label").cast("string"))
-        .limit(2 * docs_per_label * len(counts))
+        .limit(most)
+    )
+    rows = (
+        texts.where("octet_length(text) > 0")
+        .join(F.broadcast(picked), "doc_id")
+        .select("u", "label", _sampled_windows(utf8("text"), windows).alias("w"))
+        .orderBy("u", F.col("label").cast("string"), "w")
+        .limit(most)
         .collect()
     )
     return [(r["label"], [bytes(w) for w in r["w"]]) for r in rows]

@@ -15,7 +15,8 @@ SQL = None  # A trained model; tests/llm check its accuracy on held-out rows.
 def learn(docs: DataFrame) -> LanguageModel:
     """From text and lang of the documents whose remainder is not 2."""
     learnt_from = docs.where(remainder("doc_id", 4) != 2)
-    return LanguageModel.train(labelled_sample(learnt_from.select("doc_id", "text", F.col("lang").alias("label")), seed=3))
+    labels = learnt_from.select("doc_id", F.col("lang").alias("label"))
+    return LanguageModel.train(labelled_sample(labels, learnt_from.select("doc_id", "text"), seed=3))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

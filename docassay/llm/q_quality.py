@@ -15,10 +15,11 @@ SAMPLE_DOCS = 1000
 
 def learn(docs: DataFrame, labels: DataFrame) -> QualityModel:
     """From the labelled documents whose remainder is not 1."""
-    learnt_from = docs.where(remainder("doc_id", 3) != 1).select("doc_id", "text")
-    labelled = learnt_from.join(labels.select("doc_id", F.col("quality").alias("label")).where("label IN (0, 1)"), "doc_id")
-    sample = labelled_sample(labelled, seed=4, docs_per_label=SAMPLE_DOCS)
-    share = labelled.where("octet_length(text) > 0").agg(F.avg("label")).first()[0]
+    labelled = labels.where((remainder("doc_id", 3) != 1) & F.col("quality").isin(0, 1)).select(
+        "doc_id", F.col("quality").alias("label")
+    )
+    sample = labelled_sample(labelled, docs.select("doc_id", "text"), seed=4, docs_per_label=SAMPLE_DOCS)
+    share = labelled.agg(F.avg("label")).first()[0]
     return QualityModel.train(sample, share=share)
 
 

@@ -77,14 +77,14 @@ def test_odd_rows(spark):
     text = lambda k: " ".join("".join(rng.choice(word[k]) for _ in range(4)) for _ in range(30))
     rows = [(i, text(k), k) for i, k in enumerate("ab" * 60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, label string")
-    model = LanguageModel.train(labelled_sample(df, 1, 50))
+    model = LanguageModel.train(labelled_sample(df.drop("text"), df.drop("label"), 1, 50))
     odd = [(1, None, 1, 2), (2, "", 1, 2), (3, "123 !?", 1, 2), (3, "aabb cab " * 20000, 1, 2), (3, "xzy yzx", 1, 2), (None, "xzy yzx", 1, 2)]
     docs = spark.createDataFrame(odd, "doc_id long, text string, lang_pred int, extra int")
     got = identify_languages(docs, model)
     assert got.columns == ["doc_id", "text", "extra", "lang_pred", "score"]
     assert [x.lang_pred for x in got.collect()] == ["und", "und", "und", "a", "b", "b"]
     empty = spark.createDataFrame([], "doc_id long, text string, label string")
-    assert labelled_sample(empty, 1) == []
+    assert labelled_sample(empty, empty, 1) == [] and labelled_sample(df.drop("text"), empty.drop("label"), 1) == []
     assert {x.lang_pred for x in identify_languages(docs, LanguageModel.train([])).collect()} == {"und"}
     assert [x.lang_pred for x in identify_languages(docs, LanguageModel.train([("q", [b"a"])])).collect()][3] == "q"
     scored = score_quality(docs, QualityModel.train([])).collect()
