@@ -72,35 +72,45 @@ def three_way_score(matched: Column, unknown: int) -> Column:
     return F.when(matched, 100).when(~matched, 0).otherwise(unknown)
 
 
-def name_plausibility(name: Column) -> Column:
-    """struct(score, passed): how plausible a holder's name is, 0 to 100."""
-    upper = F.upper(F.trim(F.coalesce(name, F.lit(""))))
-    words = F.filter(F.split(upper, r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    repeated = F.size(F.filter(words, lambda w: w.rlike(r"^(.)\1\1+$")))
-    identical = (n > 1) & (F.size(F.array_distinct(words)) == 1)
-    sequences = sum((F.contains(upper, F.lit(s)).cast("int") for s in NAME_SEQUENCES), F.lit(0))
-    lower = F.lower(upper)
-    parts = sum((F.contains(lower, F.lit(p)).cast("int") for p in NAME_PARTS), F.lit(0))
+def with_name_plausibility(df: DataFrame, name_col: str, out: str) -> DataFrame:
+    """`df` with struct(score, passed) in `out`: how plausible a holder's name is, 0 to 100.
+
+    Words and counts are columns of their own first.
+    """
+    upper, words, n = F.col("__upper"), F.col("__words"), F.size("__words")
     letters = F.length(F.replace(upper, F.lit(" "), F.lit("")))
     vowels = F.length(upper) - F.length(F.regexp_replace(upper, "[AEIOU]", ""))
-    ratio = vowels / F.greatest(letters, F.lit(1))
+    lower = F.col("__lower")
+    held = lambda text, parts: sum((F.contains(text, F.lit(p)).cast("int") for p in parts), F.lit(0))
+    counted = (
+        df.withColumn("__upper", F.upper(F.trim(F.coalesce(F.col(name_col), F.lit("")))))
+        .withColumns({"__words": F.filter(F.split(upper, r"\s+"), lambda w: w != ""), "__lower": F.lower(upper)})
+        .withColumns(
+            {
+                "__repeated": F.size(F.filter(words, lambda w: w.rlike(r"^(.)\1\1+$"))),
+                "__identical": (n > 1) & (F.size(F.array_distinct(words)) == 1),
+                "__sequences": held(upper, NAME_SEQUENCES),
+                "__parts": held(lower, NAME_PARTS),
+                "__ratio": vowels / F.greatest(letters, F.lit(1)),
+                "__clean": (upper != "") & upper.rlike(r"^[A-Z\s.\-']+$"),
+                "__n": n,
+            }
+        )
+    )
+    c = F.col
     raw = (
         F.lit(60)
-        - 30 * repeated
-        - F.when(identical, 40).otherwise(0)
-        - 35 * sequences
-        + F.when(parts > 0, F.least(F.lit(25), 10 * parts)).otherwise(-5)
-        - F.when(ratio < 0.15, 15).when(ratio > 0.65, 10).otherwise(0)
+        - 30 * c("__repeated")
+        - F.when(c("__identical"), 40).otherwise(0)
+        - 35 * c("__sequences")
+        + F.when(c("__parts") > 0, F.least(F.lit(25), 10 * c("__parts"))).otherwise(-5)
+        - F.when(c("__ratio") < 0.15, 15).when(c("__ratio") > 0.65, 10).otherwise(0)
     )
-    full = F.greatest(F.lit(0), F.least(F.lit(100), raw))
+    scored = counted.withColumn("__full", F.greatest(F.lit(0), F.least(F.lit(100), raw)))
     score = (
-        F.when(upper == "", 0)
-        .when(~upper.rlike(r"^[A-Z\s.\-']+$"), 20)
-        .when(n < 2, 30)
-        .when(n > 5, 40)
-        .otherwise(full)
+        F.when(upper == "", 0).when(~c("__clean"), 20).when(c("__n") < 2, 30).when(c("__n") > 5, 40).otherwise(c("__full"))
     )
-    formed = (upper != "") & upper.rlike(r"^[A-Z\s.\-']+$") & n.between(2, 5)
-    passed = formed & (full >= 45) & (repeated == 0) & ~identical & (sequences == 0)
-    return F.struct(score.cast("int").alias("score"), passed.alias("passed"))
+    unmarked = (c("__repeated") == 0) & ~c("__identical") & (c("__sequences") == 0)
+    passed = c("__clean") & c("__n").between(2, 5) & (c("__full") >= 45) & unmarked
+    temporary = ["__upper", "__words", "__lower", "__repeated", "__identical", "__sequences", "__parts", "__ratio", "__clean", "__n", "__full"]
+    return scored.withColumn(out, F.struct(score.cast("int").alias("score"), passed.alias("passed"))).drop(*temporary)

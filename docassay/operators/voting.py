@@ -36,7 +36,7 @@ def vote_components(df: DataFrame, key: str, parts: list[str], ordinal: str) ->
     long = df.select(
         key,
         ordinal,
-        F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.col(p).cast("long").alias("value")) for p in parts))).alias("x"),
+        F.explode_outer(F.array(*(F.struct(F.lit(p).alias("part"), F.col(p).cast("long").alias("value")) for p in parts))).alias("x"),
     ).select(key, ordinal, "x.part", "x.value")
     winners = modal(long, [key, "part"], "value", ordinal, "winner")
     return winners.groupBy(key).agg(

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from docassay.functions import text as X
 from docassay.operators.scoring import completeness
 from docassay.plans.derive import CARD_TEXT, UID12, cte, view
-from docassay.sources import read_table
+from docassay.sources import read_table, spread
 
 _CARDS = {"o_orderkey": "o_orderkey", "text": CARD_TEXT}
 
 
 def card_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return view(spark, sf_dir, "orders", _CARDS).select(
+    return spread(view(spark, sf_dir, "orders", _CARDS)).select(
         "o_orderkey",
         F.nullif(X.id_number(t), F.lit("")).alias("id_number"),
         X.virtual_id(t).alias("vid"),
@@ -60,13 +60,13 @@ FROM r"""
 
 def card_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole record of every card text; names and addresses follow line rules that SQL does not have."""
-    return X.with_card_record(view(spark, sf_dir, "orders", _CARDS), "text").drop("text")
+    return X.with_card_record(spread(view(spark, sf_dir, "orders", _CARDS)), "text").drop("text")
 
 
 def card_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     fields = {"name": X.name(t), "dob": X.date_of_birth(t), "gender": X.gender(t), "id_number": F.nullif(X.id_number(t), F.lit(""))}
-    cards = view(spark, sf_dir, "orders", _CARDS).select("o_orderkey", *(c.alias(k) for k, c in fields.items()))
+    cards = spread(view(spark, sf_dir, "orders", _CARDS)).select("o_orderkey", *(c.alias(k) for k, c in fields.items()))
     return cards.select("o_orderkey", completeness({k: F.col(k) for k in fields}).alias("completeness"))
 
 

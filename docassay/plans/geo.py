@@ -112,7 +112,7 @@ _PERSONS = {
 
 
 def name_plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = view(spark, sf_dir, "customer", _PERSONS).withColumn("x", geo.name_plausibility(F.col("person")))
+    p = geo.with_name_plausibility(view(spark, sf_dir, "customer", _PERSONS), "person", "x")
     return p.select("c_custkey", "x.score", "x.passed")
 
 

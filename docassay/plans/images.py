@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docassay.operators import images as I
 from docassay.plans.derive import view
-from docassay.sources import read_table
+from docassay.sources import read_table, spread
 
 #: Each value of an embedding becomes a square of so many grey pixels.
 CELL = 8
@@ -19,7 +19,7 @@ def embedding_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.transform("embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.lit(128) + x.cast("double") * 250).cast("int"))))
     square = F.transform(level, lambda v: F.repeat(F.lpad(F.hex(v), 2, "0"), CELL))
     lines = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.repeat(F.array_join(F.slice(square, r * 8 + 1, F.lit(8)), ""), CELL))
-    return e.select("vec_id", F.unhex(F.array_join(lines, "")).alias("data"), *(F.lit(n).alias(k) for k, n in (("height", 64), ("width", 64), ("n_channels", 1))))
+    return spread(e).select("vec_id", F.unhex(F.array_join(lines, "")).alias("data"), *(F.lit(n).alias(k) for k, n in (("height", 64), ("width", 64), ("n_channels", 1))))
 
 
 def image_checks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,7 +54,7 @@ def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     trust = S.trust_score({k: F.col(f"m_{k}") for k in S.POINTS})
     number = F.concat_ws(" ", F.left("id_number", F.lit(4)), F.substring("id_number", 5, 4), F.right("id_number", F.lit(4)))
     checks = S.report_checks(F.col("name"), F.col("dob"), F.col("gender"), number)
-    page = c.withColumn("trust", trust).withColumn("card", F.explode(S.score_cards(F.col("trust"), F.col("c_custkey").cast("int") % 101, F.lit(None).cast("int"), F.lit(50), F.lit(49))))
+    page = c.withColumn("trust", trust).withColumn("card", F.explode_outer(S.score_cards(F.col("trust"), F.col("c_custkey").cast("int") % 101, F.lit(None).cast("int"), F.lit(50), F.lit(49))))
     return page.select(
         "c_custkey", "card.label", "card.score", "card.passed", S.ring_color(F.col("card.score")).alias("color"),
         S.count_true(list(checks.values())).cast("int").alias("checks"),

@@ -98,7 +98,7 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
             for k in _FIELDS
         )
     )
-    long = cards.select("c_custkey", F.explode(rows).alias("x")).select("c_custkey", "x.*")
+    long = cards.select("c_custkey", F.explode_outer(rows).alias("x")).select("c_custkey", "x.*")
     return long.select("c_custkey", "field", S.conclusion(F.col("ocr"), F.col("qr"), F.col("matched"), F.col("mandatory")).alias("conclusion"))
 
 
@@ -124,10 +124,10 @@ def verdicts_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Check digit, PIN and name of every customer as weighted checks, counted by state and verdict."""
     c = view(spark, sf_dir, "customer", _FLAGSHIP)
     uid, matched = F.col("uid"), F.col("matched")
-    results = (
-        geo.with_state_of_pin(c, "pin", "expected")
-        .withColumns({"matched": geo.same_state(F.col("expected"), F.col("state")), "checks_out": checksum.is_valid(uid), "person": geo.name_plausibility(F.col("name"))})
+    placed = geo.with_state_of_pin(c, "pin", "expected").withColumns(
+        {"matched": geo.same_state(F.col("expected"), F.col("state")), "checks_out": checksum.is_valid(uid)}
     )
+    results = geo.with_name_plausibility(placed, "name", "person")
     check = lambda module, name, score, passed: F.struct(
         F.lit(module).alias("module"), F.lit(name).alias("check"), score.cast("int").alias("score"), passed.alias("passed")
     )
@@ -140,7 +140,8 @@ def verdicts_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
             check("geo", "name", F.col("person.score"), F.col("person.passed")),
         ).alias("checks"),
     )
-    long = checked.select(F.struct("c_custkey", "state").alias("doc_id"), F.explode("checks").alias("x")).select("doc_id", "x.*")
+    # never empty; the outer form keeps Spark from testing that with all expressions over again
+    long = checked.select(F.struct("c_custkey", "state").alias("doc_id"), F.explode_outer("checks").alias("x")).select("doc_id", "x.*")
     scored = S.module_scores(long)
     return scored.groupBy("doc_id.state", "module", "verdict").agg(F.count("*").alias("n"), F.sum("score").cast("long").alias("total_score"))
 

@@ -1,3 +1,5 @@
-from docassay.sources.tables import read_table
+"""Readers and writers of tables, audit logs and images."""
 
-__all__ = ["read_table"]
+from docassay.sources.tables import read_table, spread
+
+__all__ = ["read_table", "spread"]
