@@ -144,18 +144,24 @@ def date_candidates(text: Column, swap: bool, last_year: int = 2025) -> Column:
         F.regexp_extract_all(text, F.lit(_PLAIN_DATE), F.lit(0)),
         lambda x: _date(*(F.regexp_extract(x, _PLAIN_DATE, k) for k in (1, 2, 3))),
     )
-    groups = lambda pattern: F.array(_date(*(F.regexp_extract(text, pattern, k) for k in (1, 2, 3))))
+    # an array of one and a transform name a value, so that the text is searched once for it
+    groups = lambda pattern: F.transform(
+        F.array(F.regexp_extract(text, pattern, 0)), lambda m: _date(*(F.regexp_extract(m, pattern, k) for k in (1, 2, 3)))
+    )
     labelled = groups("(?i)" + DOB_WORD + r"[:\s]*(\d{1,2})[/.\- ]{0,2}(\d{1,2})[/.\- ]{0,2}(\d{4})")
     fused = groups("(?i)" + DOB_SHORT + r"[:\s]+(\d{1,2})\s+(\d)((?:19|20)\d{2})")
     near = F.regexp_extract(text, "(?i)" + DOB_SHORT + r"[:\s]*([\d/ .\-]{4,20})", 1)
-    c = F.regexp_extract_all(near, F.lit(r"(\d+)"))
-    a, b = F.get(c, 0), F.get(c, 1)
-    n, wide = F.size(c), F.length(F.get(c, 1))
-    clusters = F.array(
-        F.when(n >= 3, _date(a, b, F.get(c, 2))),
-        F.when((n >= 2) & (wide == 5), _date(a, F.substring(b, 1, 1), F.substring(b, 2, 4))),
-        F.when((n == 2) & (wide == 6), _date(a, F.substring(b, 1, 2), F.substring(b, 3, 4))),
-    )
+
+    def fused_digits(c: Column) -> Column:
+        a, b = F.get(c, 0), F.get(c, 1)
+        n, wide = F.size(c), F.length(b)
+        return F.array(
+            F.when(n >= 3, _date(a, b, F.get(c, 2))),
+            F.when((n >= 2) & (wide == 5), _date(a, F.substring(b, 1, 1), F.substring(b, 2, 4))),
+            F.when((n == 2) & (wide == 6), _date(a, F.substring(b, 1, 2), F.substring(b, 3, 4))),
+        )
+
+    clusters = F.flatten(F.transform(F.array(F.regexp_extract_all(near, F.lit(r"(\d+)"))), fused_digits))
     fits = lambda d, m, y: d.between(1, 31) & m.between(1, 12) & y.between(1900, last_year)
     every = F.concat(plain, labelled, fused, clusters)
     if not swap:
@@ -175,7 +181,8 @@ def date_text(date: Column) -> Column:
 
 
 def date_of_birth(text: Column, last_year: int = 2025) -> Column:
-    return date_text(F.get(date_candidates(text, True, last_year), 0))
+    first = F.slice(date_candidates(text, True, last_year), 1, 1)
+    return F.get(F.transform(first, lambda d: date_text(d)), 0)
 
 
 def repaired_date(dob: Column, last_year: int = 2025) -> Column:
@@ -327,14 +334,13 @@ def address_block(text: Column, raw: Column | None = None) -> Column:
     number = F.array_min(where(r"\b[2-9]\d{3}\s+\d{4}\s+\d{4}\b"))
     begin = F.coalesce(start, F.when(number.isNotNull(), F.greatest(F.lit(0), number - 8)))
     block = F.transform(F.slice(raw, begin + 1, F.lit(12)), lambda x: F.trim(x))
-    stops = F.transform(block, lambda x, i: F.when(x.rlike(ADDRESS_END), i))
-    kept = F.slice(block, F.lit(1), F.coalesce(F.array_min(stops), F.size(block)))
+    stop = lambda b: F.array_min(F.transform(b, lambda x, i: F.when(x.rlike(ADDRESS_END), i)))
+    kept = F.get(F.transform(F.array(block), lambda b: F.slice(b, F.lit(1), F.coalesce(stop(b), F.size(b)))), 0)
     bare = F.transform(
         F.filter(kept, lambda x: F.length(x) >= 3),
         lambda x: F.trim(F.regexp_replace(F.trim(F.regexp_replace(x, r"^[^A-Za-z0-9]{0,3}[A-Z]{1,2}\s+", "")), r"^[^A-Za-z0-9]+", "")),
     )
-    joined = F.array_join(F.filter(bare, lambda x: F.length(x) >= 3), " ")
-    out = joined
+    out = F.array_join(F.filter(bare, lambda x: F.length(x) >= 3), " ")
     for pattern, put in (
         (r"(\s+[a-z]{1,3}){2,}$", ""),
         (r"\s+[^a-zA-Z0-9]+(?=\s|$)", " "),
@@ -343,7 +349,7 @@ def address_block(text: Column, raw: Column | None = None) -> Column:
         (r"\s{2,}", " "),
     ):
         out = F.trim(F.regexp_replace(out, pattern, put))
-    return F.when(joined != "", out)
+    return F.nullif(out, F.lit(""))
 
 
 def _trimmed(value: Column) -> Column:
