@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docassay.llm.common import ASCII_SPACE, utf8
+from docassay.llm.common import ASCII_SPACE, shared_checkpoint, utf8
 
 _STRIP = ASCII_SPACE.encode()
 
@@ -100,7 +100,8 @@ def drop_common_lines(docs: DataFrame, min_documents: int = 10, min_chars: int =
         }
     )
     lines = exploded_lines(keyed, min_chars)
-    common = (
+    # written down, so that the join below has shuffles of its own whose hot keys Spark can split
+    common = shared_checkpoint(
         lines.groupBy("key")
         .agg(F.countDistinct("counted").alias("documents"))
         .where(F.col("documents") >= min_documents)
