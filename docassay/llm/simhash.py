@@ -253,8 +253,11 @@ def near_duplicates(
     roots = components(links(classes.select("fp"), radius))
     linked = roots.join(classes, F.col("node") == F.col("fp")).select("fp", "root", "least_id")
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_class = classes.join(linked.join(least, "root").select("fp", "component_id"), "fp", "left").select(
-        "fp", F.coalesce("component_id", "least_id").alias("component_id")
+    # written down, so that the join below has shuffles of its own whose hot fingerprints Spark can split
+    of_class = shared_checkpoint(
+        classes.join(linked.join(least, "root").select("fp", "component_id"), "fp", "left").select(
+            "fp", F.coalesce("component_id", "least_id").alias("component_id")
+        )
     )
     return fps.join(of_class, "fp", "left").select("doc_id", "fp", "component_id")
 
