@@ -4,8 +4,9 @@ Documents are counted by source and exact size. Each source takes all of its
 documents as often as its target has room for, a proportional share of every
 size of what is left, and bounded-knapsack dynamic programming over the counts
 still free for the last part of its budget. Which documents of a size are taken
-follows a seeded hash; large sizes are ranked in buckets of it, so that no task
-holds a whole source.
+follows a seeded hash. Documents are counted and ranked in cells of source, size
+and the hash's first bits, so that neither a source nor a size of which there
+are very many documents comes together in one task.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from docassay.llm.common import seeded_long, shared_checkpoint
 
 #: Budgets up to this size go to the dynamic programme; larger ones are cut down by whole documents first.
 PROGRAMMED = 1 << 16
-RANKED_TOGETHER = 8192
+#: Bits of the hash that cut a size into cells.
+CELL_BITS = 12
 
 
 def source_targets(totals: Sequence[tuple[str | None, int]], weights: Sequence[float], share: float, most: float) -> list[tuple[str | None, float]]:
@@ -116,9 +118,11 @@ def _chosen(
             F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), "source")).alias("source_key"),
             F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
             seeded_long(seed, "doc_id", "text").alias("u"),
-        )
+        ).withColumn("cell", F.shiftrightunsigned("u", 64 - CELL_BITS).cast("int"))
     )
-    counted = sizes.groupBy("source", "source_key", "size").agg(F.count("*").alias("n"))
+    group = ["source_key", "size"]
+    cells = shared_checkpoint(sizes.groupBy("source", *group, "cell").agg(F.count("*").alias("n")))
+    counted = cells.groupBy("source", *group).agg(F.sum("n").alias("n"))
     totals = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n"))).collect()
     targets = source_targets([(r[0], r[1]) for r in totals], weights, share, most)
     target = spark.createDataFrame(
@@ -130,21 +134,16 @@ def _chosen(
         .groupBy("source_key")
         .applyInPandas(_fit, "source_key string, size long, n long, whole int, extra long, source_size long, target double")
     )
-    buckets = F.ceil(F.col("n") / RANKED_TOGETHER)
-    place = (F.shiftrightunsigned("u", 11) / F.lit(float(1 << 53))) * buckets
-    rows = sizes.join(plan, ["source_key", "size"]).withColumn("bucket", F.floor(place).cast("int"))
-    group = ["source_key", "size"]
-    before = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    quota = (
-        rows.groupBy(*group, "bucket")
-        .agg(F.count("*").alias("__n"))
-        .select(*group, "bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    )
-    ranked = Window.partitionBy(*group, "bucket").orderBy("u", "doc_id")
-    rank = F.col("__before") + F.row_number().over(ranked)
+    earlier = Window.partitionBy(*group).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    quota = cells.drop("source").join(plan.drop("n"), group).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    # dealt by cell, or the join would keep to (source, size), and with it all of a hot size in one task
+    quota = quota.drop("n").repartition(*group, "cell")
+    ranked = Window.partitionBy(*group, "cell").orderBy("u", "doc_id")
+    rank = F.col("before") + F.row_number().over(ranked)
     times = F.col("whole") + F.when(rank <= F.col("extra"), 1).otherwise(0)
     return (
-        rows.join(quota, [*group, "bucket"])
+        sizes.drop("source")
+        .join(quota, [*group, "cell"])
         .withColumn("times", times.cast("int"))
         .select("doc_id", "u", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
     )

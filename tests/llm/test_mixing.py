@@ -63,8 +63,9 @@ def test_documents(spark):
     assert again == Counter(map(tuple, got))
 
 
-def test_hot_sizes_are_ranked_in_buckets(spark, monkeypatch):
-    monkeypatch.setattr("docassay.llm.mixing.RANKED_TOGETHER", 10)
+@pytest.mark.parametrize("bits", [2, 12])
+def test_hot_sizes_are_ranked_in_cells(spark, monkeypatch, bits):
+    monkeypatch.setattr("docassay.llm.mixing.CELL_BITS", bits)
     df = spark.range(1000).selectExpr("id AS doc_id", "'a b c' AS text", "if(id % 4 = 0, 'x', 'y') AS source")
     got = mix(df).collect()
     for source_size in {x.source_size for x in got}:
