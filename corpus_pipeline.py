@@ -16,7 +16,7 @@ from docassay.llm.classifiers import UNDETERMINED, identify_languages
 from docassay.llm.line_dedup import drop_common_lines
 from docassay.llm.mixing import mixed_documents
 from docassay.llm.packing import pack
-from docassay.llm.simhash import keep_one_of_each
+from docassay.llm.simhash import keep_one_of_similar
 from docassay.sources import read_table
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return keep_one_of_each(docs, shingle_words=3, radius=2).select(*docs.columns)
+    """One document of each group of texts whose five-word shingles agree to 0.8 or more."""
+    return keep_one_of_similar(docs, shingle_words=5, similarity=0.8).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

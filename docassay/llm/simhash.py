@@ -7,6 +7,10 @@ tile holds fingerprints with the same population counts in each of the four
 16-bit words. Flipping one bit moves one of these counts by one, so two tiles
 whose counts are further apart than the radius (summed over the words) hold no
 link and never meet.
+
+`keep_one_of_similar` is for similarity, not for a fixed radius: 128-bit
+SimHashes propose pairs, and the exact Jaccard similarity of the two shingle
+sets decides each of them.
 """
 
 from __future__ import annotations
@@ -15,8 +19,9 @@ from itertools import product, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docassay.llm.common import shared_checkpoint, utf8
@@ -26,6 +31,28 @@ SEED = 42
 LEVELS = 17
 #: Least rows of a tile; larger inputs take larger ones, up to MAX_TILE.
 MIN_TILE, MAX_TILE = 1024, 32768
+#: Of 128 bits: the radius that proposes pairs of similarity 0.8, which differ in 19 bits on average (README).
+WIDE_RADIUS = 32
+#: Tiles a side of a size band, and pairs that a set proposes in the first round (each later one: four times as many).
+BAND_TILES, FIRST_PAIRS = 8, 2
+
+
+def shingle_digests(text: bytes | None, shingle_words: int) -> np.ndarray:
+    """xxh3 (128 bits, big-endian, a row each) of the distinct word shingles, sorted; none without words."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.empty((0, 16), np.uint8)
+    shingles = {b" ".join(words)} if len(words) < shingle_words else set(map(b" ".join, zip(*(words[i:] for i in range(shingle_words)))))
+    digests = b"".join(sorted(map(xxhash.xxh3_128_digest, shingles, repeat(SEED))))
+    return np.frombuffer(digests, np.uint8).reshape(-1, 16)
+
+
+def simhash128(digests: np.ndarray) -> np.ndarray:
+    """The SimHash of a shingle set's digests, as two unsigned longs."""
+    counts = np.zeros(128, np.int64)
+    for i in range(0, len(digests), 65536):
+        counts += np.unpackbits(digests[i : i + 65536], axis=1).sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(digests)).view(">u8").astype(np.uint64)
 
 
 def simhash64(text: bytes | None, shingle_words: int) -> int:
@@ -284,3 +311,186 @@ def keep_one_of_each(docs: DataFrame, shingle_words: int = 3, radius: int = 2) -
     if repeated:
         rows = rows.dropDuplicates(["doc_id", "__h"])
     return rows.drop("__h")
+
+
+def shingle_classes(ids: DataFrame, shingle_words: int) -> DataFrame:
+    """doc_id, `c` (hash of the shingle set), `n` (its size) and the 128-bit SimHash (hi, lo), a row per row of (doc_id, text)."""
+
+    def hashed(batches):
+        for batch in batches:
+            sets = [shingle_digests(x.as_py(), shingle_words) for x in batch.column(1)]
+            prints = np.array([simhash128(x) for x in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            c = np.array([xxhash.xxh3_64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(c), pa.array(np.array([len(x) for x in sets], np.int64)), pa.array(prints[:, 0]), pa.array(prints[:, 1])],
+                names=["doc_id", "c", "n", "hi", "lo"],
+            )
+
+    id_type = ids.schema["doc_id"].dataType.simpleString()
+    return ids.select("doc_id", utf8("text").alias("text")).mapInArrow(hashed, f"doc_id {id_type}, c long, n long, hi long, lo long")
+
+
+def _pair_codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    low, high = np.minimum(a, b).view(np.uint64), np.maximum(a, b).view(np.uint64)
+    return (low * np.uint64(0x9E3779B97F4A7C15)) ^ (high * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1))
+
+
+def _nearest(a: np.ndarray, d: np.ndarray, most: int) -> np.ndarray:
+    """Places of the `most` smallest d of each a."""
+    order = np.lexsort((d, a))
+    begins = np.flatnonzero(np.r_[True, a[order][1:] != a[order][:-1]]) if len(a) else np.empty(0, np.int64)
+    rank = np.arange(len(a)) - np.repeat(begins, np.diff(np.r_[begins, len(a)]))
+    return order[rank < most]
+
+
+def _proposals_of_tile(radius: int, similarity: float, most: int):
+    def propose(table: pa.Table) -> pa.Table:
+        left = table.column("is_left").to_numpy().astype(bool)
+        c, n, root = (table.column(k).to_numpy() for k in ("c", "n", "root"))
+        fp = np.stack([table.column(k).to_numpy().view(np.uint64) for k in ("hi", "lo")], 1)
+        bad = table.column("bad").filter(pa.array(left)).combine_chunks()
+        known = _pair_codes(np.repeat(c[left], pa.compute.list_value_length(bad).to_numpy(zero_copy_only=False)), bad.flatten().to_numpy())
+        li, ri = np.flatnonzero(left), np.flatnonzero(~left)
+        ri = ri[np.argsort(n[ri], kind="stable")]
+        found = [(np.empty(0, np.int64),) * 3]
+        for i in range(0, len(li), 512):
+            x = li[i : i + 512]
+            within = ri[np.searchsorted(n[ri], n[x].min() * similarity - 1) : np.searchsorted(n[ri], n[x].max() / similarity + 1)]
+            for j in range(0, len(within), 4096):
+                y = within[j : j + 4096]
+                far = np.bitwise_count(fp[x, None, 0] ^ fp[None, y, 0])
+                far += np.bitwise_count(fp[x, None, 1] ^ fp[None, y, 1])
+                p, q = np.nonzero(far <= radius)
+                d, p, q = far[p, q].astype(np.int64), x[p], y[q]
+                small, large = np.minimum(n[p], n[q]), np.maximum(n[p], n[q])
+                usable = (root[p] != root[q]) & (small >= similarity * large - 1e-6)
+                p, q, d = p[usable], q[usable], d[usable]
+                if len(known):
+                    fresh = ~np.isin(_pair_codes(c[p], c[q]), known)
+                    p, q, d = p[fresh], q[fresh], d[fresh]
+                if len(p):
+                    best = _nearest(p, d, most)
+                    found.append((c[p[best]], c[q[best]], d[best]))
+        a, b, d = map(np.concatenate, zip(*found))
+        best = _nearest(a, d, most)
+        return pa.table({"a": a[best], "b": b[best], "d": d[best]})
+
+    return propose
+
+
+def proposals(classes: DataFrame, radius: int, similarity: float, most: int) -> DataFrame:
+    """Pairs (a, b), a < b, of classes (c, n, hi, lo, root, bad) that may be similar and are neither joined nor refused yet.
+
+    Sets of which one is less than `similarity` of the other's size cannot be
+    similar: classes meet within bands of size and with the next band only.
+    Every class proposes its nearest ones, `most` at most, and one at least if
+    there is any; so rows grow with the classes, not with the pairs.
+    """
+    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(-float(np.log(similarity))) + F.lit(1e-9)).cast("int")
+    own = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "c"), F.lit(BAND_TILES)).cast("int")
+    each = F.sequence(F.lit(0), F.lit(BAND_TILES - 1))
+    tile = lambda cell, l, r, is_left: F.struct(cell.alias("cell"), l.alias("l"), r.alias("r"), F.lit(is_left).alias("is_left"))
+    dealt = classes.where("n > 0").withColumn("band", band).withColumn(
+        "t",
+        F.explode(
+            F.concat(
+                F.transform(each, lambda k: tile(F.col("band"), own(2), k, True)),
+                F.transform(each, lambda k: tile(F.col("band"), k, own(1), False)),
+                F.transform(each, lambda k: tile(F.col("band") - 1, k, own(1), False)),
+            )
+        ),
+    ).select("t.cell", "t.l", "t.r", "t.is_left", "c", "n", "hi", "lo", "root", "bad")
+    found = dealt.groupBy("cell", "l", "r").applyInArrow(_proposals_of_tile(radius, similarity, most), "a long, b long, d long")
+    nearest = Window.partitionBy("a").orderBy("d", "b")
+    return (
+        found.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= most)
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    )
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs with `good`: whether the Jaccard similarity of both sets (c, digests) is that or more."""
+
+    @F.pandas_udf("boolean")
+    def good(x, y):
+        import pandas as pd
+
+        out = []
+        for p, q in zip(x, y):
+            p, q = np.frombuffer(p, "V16"), np.frombuffer(q, "V16")
+            both = len(p) + len(q) - len(set(p.tolist()) | set(q.tolist()))
+            out.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
+        return pd.Series(out, dtype=bool)
+
+    sides = [sets.select(F.col("c").alias(k), F.col("digests").alias(f"of_{k}")) for k in "ab"]
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", good("of_a", "of_b").alias("good"))
+
+
+def keep_one_of_similar(
+    docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS
+) -> DataFrame:
+    """The rows of `docs` with one row left of each group of similar texts.
+
+    Two texts are linked if the Jaccard similarity of their sets of word
+    shingles is `similarity` or more (texts without a word are linked with each
+    other); groups are the components of these links. Pairs are proposed by
+    128-bit SimHashes within `radius` and then checked on the sets themselves,
+    round by round until no pair between two groups is left unchecked. The row
+    with the smallest doc_id stays, as in `keep_one_of_each`.
+    """
+    ids = docs.select(
+        F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text"
+    )
+    rows = shared_checkpoint(shingle_classes(ids, shingle_words))
+    classes = shared_checkpoint(
+        rows.groupBy("c").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("hi").alias("hi"), F.first("lo").alias("lo"))
+    )
+    nothing = F.array().cast("array<long>")
+    active, most, checked, sets, roots = classes.withColumns({"root": F.col("c"), "bad": nothing}), FIRST_PAIRS, None, None, None
+    while True:
+        pairs = shared_checkpoint(proposals(active, radius, similarity, most))
+        if pairs.isEmpty():
+            break
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+        if sets is None:  # later rounds propose among these only
+            sets = shared_checkpoint(_digests(docs, classes.join(nodes, "c"), shingle_words))
+        now = _checked(pairs, sets, similarity)
+        checked = shared_checkpoint(now if checked is None else checked.union(now))
+        roots = shared_checkpoint(components(checked.where("good").select("a", "b")))
+        refused = checked.where("NOT good").select("a", "b")
+        refused = refused.union(refused.select("b", "a")).groupBy("a").agg(F.collect_list("b").alias("bad"))
+        active = shared_checkpoint(
+            classes.join(nodes, "c").join(roots, F.col("c") == F.col("node"), "left").join(refused, F.col("c") == F.col("a"), "left")
+            .select("c", "n", "hi", "lo", F.coalesce("root", "c").alias("root"), F.coalesce("bad", nothing).alias("bad"))
+        )
+        most *= 4
+    kept = classes.select("least_id")
+    if roots is not None:
+        of_root = classes.join(roots, F.col("c") == F.col("node"), "left").groupBy(F.coalesce("root", "c").alias("root"))
+        kept = of_root.agg(F.min("least_id").alias("least_id"))
+    found = _rows_of(docs, kept)
+    if rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        found = found.dropDuplicates(["doc_id", "__h"])
+    return found.drop("__h")
+
+
+def _rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs`, with the text's hash as __h, that a least_id names."""
+    return docs.withColumn("__h", F.xxhash64("text")).join(
+        ids.select(F.col("least_id.doc_id").alias("__id"), F.col("least_id.h").alias("__kept")),
+        F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__kept")),
+        "left_semi",
+    )
+
+
+def _digests(docs: DataFrame, classes: DataFrame, shingle_words: int) -> DataFrame:
+    """c and digests: the shingle sets of the classes, from their least rows' texts."""
+
+    def digested(batches):
+        for batch in batches:
+            sets = [shingle_digests(x.as_py(), shingle_words).tobytes() for x in batch.column(0)]
+            c = np.array([xxhash.xxh3_64_intdigest(x, SEED) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(sets, pa.binary())], names=["c", "digests"])
+
+    texts = _rows_of(docs, classes.select("least_id")).select(utf8("text").alias("text"))
+    return texts.mapInArrow(digested, "c long, digests binary").dropDuplicates(["c"])
