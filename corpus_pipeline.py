@@ -12,17 +12,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docassay.llm import q_language_id
-from docassay.llm.classifiers import UNDETERMINED, identify_languages
+from docassay.llm.classifiers import UNDETERMINED, LanguageModel, background_windows, identify_languages
 from docassay.llm.line_dedup import drop_common_lines
 from docassay.llm.mixing import mixed_documents
 from docassay.llm.packing import pack
 from docassay.llm.simhash import keep_one_of_similar
 from docassay.sources import read_table
+#: A text stays from this score on (held-out rows: README); training takes so many steps at least.
+LEAST_SCORE, LEAST_STEPS = 0.4, 300
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; empty texts and those without a letter go."""
-    found = identify_languages(docs, q_language_id.learn(docs))
-    return found.where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    """Documents that the model finds to be in a learnt language, with a score of LEAST_SCORE or more.
+
+    The model also learns windows in no language; what it takes for such goes, as do
+    empty texts and those without a letter. Where no language can be learnt, every
+    text with a letter stays.
+    """
+    sample = q_language_id.sampled(docs)
+    if not sample:
+        return docs.where(F.rlike("text", F.lit(r"\p{L}")))
+    model = LanguageModel.train(sample + background_windows(sample), least_steps=LEAST_STEPS)
+    found = identify_languages(docs, model)
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

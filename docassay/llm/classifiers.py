@@ -70,6 +70,36 @@ def labelled_sample(
     return [(r["label"], [bytes(w) for w in r["w"]]) for r in rows]
 
 
+def background_windows(sample, seed: int = 1) -> list[tuple[str, list[bytes]]]:
+    """Windows that are in no language, labelled `und`: a quarter as many as the sample's (64 at least), of the same lengths.
+
+    Letters drawn evenly (a to z; or of one of several scripts), printable ASCII, and
+    digits and signs with a letter now and then. A text of the sample is never taken apart
+    for it, so that any labelled text can be told from it by its letters or their order.
+    """
+    rng = np.random.default_rng(seed)
+    alphabets = [
+        [chr(c) for c in range(97, 123)],
+        [chr(c) for c in range(33, 127)],
+        [*"0123456789!?#$%&*+-=/<>@^~|.,:;()[]{}" * 3, *"abcdefghijklmnopqrstuvwxyz"],
+        *([chr(c) for c in range(a, b)] for a, b in ((0x391, 0x3CA), (0x410, 0x450), (0x5D0, 0x5EB), (0x621, 0x64B), (0x905, 0x93A), (0x3041, 0x3097), (0x4E00, 0x9FFF), (0xAC00, 0xD7A4))),
+    ]
+    sizes = [len(w) for _, ws in sample for w in ws]
+    if not sizes:
+        return []
+    sizes, out = (sizes[::4] * 64)[: max(64, -(-len(sizes) // 4))], []
+    for k, size in enumerate(sizes):
+        kind = k % 4
+        letters = alphabets[kind] if kind < 3 else alphabets[3 + int(rng.integers(len(alphabets) - 3))]
+        drawn = rng.integers(len(letters), size=size)
+        spaced = rng.random(size) < 1 / rng.integers(3, 12)
+        text = "".join(" " if gap else letters[i] for i, gap in zip(drawn, spaced))
+        if kind == 0 and k % 8 < 4:
+            text = text.title()
+        out.append((UNDETERMINED, [text.encode()[: max(1, size)]]))
+    return out
+
+
 def _padded(windows: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(w.ljust(WINDOW, b"\0") for w in windows), np.uint8).reshape(-1, WINDOW)
 
@@ -89,12 +119,13 @@ class LanguageModel:
     offset: np.ndarray | None
 
     @classmethod
-    def train(cls, sample, seed: int = 1, widths=(2, 3, 4), filters: int = 8, epochs: int = 6, batch: int = 128, rate: float = 0.01) -> LanguageModel:
+    def train(cls, sample, seed: int = 1, widths=(2, 3, 4), filters: int = 8, epochs: int = 6, batch: int = 128, rate: float = 0.01, least_steps: int = 0) -> LanguageModel:
         labels = sorted({label for label, _ in sample})
         if len(labels) < 2:
             return cls(labels, None, None, None)
         rng = np.random.default_rng(seed)
         x = _padded([w for _, ws in sample for w in ws])
+        epochs = max(epochs, -(-least_steps * batch // len(x)))
         y = np.array([labels.index(label) for label, ws in sample for _ in ws])
         conv = Filters.fresh(rng, widths, filters)
         dense = rng.normal(0, 0.3, (len(conv.bias), len(labels))).astype(np.float32)

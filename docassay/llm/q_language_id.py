@@ -12,11 +12,16 @@ NAME = "op5_language_id"
 SQL = None  # A trained model; tests/llm check its accuracy on held-out rows.
 
 
-def learn(docs: DataFrame) -> LanguageModel:
-    """From text and lang of the documents whose remainder is not 2."""
+def sampled(docs: DataFrame) -> list[tuple[object, list[bytes]]]:
+    """Windows of the documents whose remainder is not 2, by lang."""
     learnt_from = docs.where(remainder("doc_id", 4) != 2)
     labels = learnt_from.select("doc_id", F.col("lang").alias("label"))
-    return LanguageModel.train(labelled_sample(labels, learnt_from.select("doc_id", "text"), seed=3))
+    return labelled_sample(labels, learnt_from.select("doc_id", "text"), seed=3)
+
+
+def learn(docs: DataFrame) -> LanguageModel:
+    """From text and lang of the documents whose remainder is not 2."""
+    return LanguageModel.train(sampled(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
