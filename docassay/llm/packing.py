@@ -118,7 +118,7 @@ def pack(
     ddl = f"doc_id {id_field.dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, closed boolean, ids binary, part long"
 
     def first(batches):
-        encode = byte_bpe(tokenizer_path).ids
+        encode = byte_bpe(tokenizer_path).all_ids
         part = TaskContext.get().partitionId()
         packer = Packer(length, windows, max_pad, with_ids)
         for batch in batches:

@@ -4,7 +4,8 @@ In this pre-tokenizer no token crosses the place between a non-space and a
 single space followed by a non-space, so texts are cut there and the ids of
 frequent pieces are remembered. Pieces not yet seen are encoded by tiktoken with
 the same vocabulary, read from the same file; tests hold the ids against the
-`tokenizers` library. Strings of special tokens in a text are ordinary text.
+`tokenizers` library. Added tokens found in a text have their own ids, as there;
+`ids` is for text between them.
 """
 
 from __future__ import annotations
@@ -43,13 +44,18 @@ class _Remembered(dict):
 
 
 class ByteBpe:
-    """`ids(text)`: the text's ids as little-endian unsigned 32-bit integers."""
+    """`all_ids(text)`: the text's ids as little-endian unsigned 32-bit integers; `ids` takes added tokens as ordinary text."""
 
     def __init__(self, path: str):
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
         if spec["normalizer"] is not None or spec["pre_tokenizer"]["type"] != "ByteLevel":
             raise ValueError(f"{path} is not a plain byte-level BPE")
         special = {x["content"] for x in spec["added_tokens"]}
+        if any(x["single_word"] or x["lstrip"] or x["rstrip"] or not x["content"] for x in spec["added_tokens"]):
+            raise ValueError(f"{path} has added tokens that depend on what is around them")
+        self.added = {x["content"]: array("I", [x["id"]]).tobytes() for x in spec["added_tokens"]}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self._added = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if self.added else None
         byte = _byte_of_char()
         ranks = {
             bytes(map(byte.__getitem__, token)): rank
@@ -61,6 +67,12 @@ class ByteBpe:
         ).encode_ordinary
         self.after_space = _Remembered(self.encode, " ")
 
+    def all_ids(self, text: str) -> bytes:
+        if not any(x in text for x in self.added):
+            return self.ids(text)
+        parts = self._added.split(text)  # every other one is an added token
+        return b"".join(self.added[x] if k % 2 else self.ids(x) for k, x in enumerate(parts))
+
     def ids(self, text: str) -> bytes:
         if _ODD_SPACE.search(text):
             first, *rest = _SAFE_CUT.split(text)
