@@ -409,21 +409,13 @@ def proposals(classes: DataFrame, radius: int, similarity: float, most: int) ->
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs with `good`: whether the Jaccard similarity of both sets (c, digests) is that or more."""
-
-    @F.pandas_udf("boolean")
-    def good(x, y):
-        import pandas as pd
-
-        out = []
-        for p, q in zip(x, y):
-            p, q = np.frombuffer(p, "V16"), np.frombuffer(q, "V16")
-            both = len(p) + len(q) - len(set(p.tolist()) | set(q.tolist()))
-            out.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
-        return pd.Series(out, dtype=bool)
-
-    sides = [sets.select(F.col("c").alias(k), F.col("digests").alias(f"of_{k}")) for k in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", good("of_a", "of_b").alias("good"))
+    """The pairs with `good`: whether the Jaccard similarity of both sets (c, shingles) is that or more."""
+    sides = [sets.select(F.col("c").alias(k), F.col("shingles").alias(f"of_{k}")) for k in "ab"]
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    joined = pairs.join(sides[0], "a").join(sides[1], "b")
+    return joined.select("a", "b", both.alias("both"), (F.size("of_a") + F.size("of_b")).alias("of")).select(
+        "a", "b", (F.col("both") >= similarity * (F.col("of") - F.col("both")) - 1e-9).alias("good")
+    )
 
 
 def keep_one_of_similar(
@@ -484,13 +476,16 @@ def _rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _digests(docs: DataFrame, classes: DataFrame, shingle_words: int) -> DataFrame:
-    """c and digests: the shingle sets of the classes, from their least rows' texts."""
+    """c and shingles (64 bits of each digest): the sets of the classes, from their least rows' texts."""
 
     def digested(batches):
         for batch in batches:
-            sets = [shingle_digests(x.as_py(), shingle_words).tobytes() for x in batch.column(0)]
-            c = np.array([xxhash.xxh3_64_intdigest(x, SEED) for x in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(sets, pa.binary())], names=["c", "digests"])
+            for start in range(0, batch.num_rows, 256):  # the sets are larger than the texts
+                sets = [shingle_digests(x.as_py(), shingle_words) for x in batch.column(0).slice(start, 256)]
+                c = np.array([xxhash.xxh3_64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                halves = np.ascontiguousarray(np.concatenate(sets)[:, 8:]).view(np.int64).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(c), pa.ListArray.from_arrays(ends, halves)], names=["c", "shingles"])
 
     texts = _rows_of(docs, classes.select("least_id")).select(utf8("text").alias("text"))
-    return texts.mapInArrow(digested, "c long, digests binary").dropDuplicates(["c"])
+    return texts.mapInArrow(digested, "c long, shingles array<long>").dropDuplicates(["c"])
