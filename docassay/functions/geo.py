@@ -24,7 +24,7 @@ def canonical_state(state: Column) -> Column:
 def _state_of(pin: int, ranges) -> str | None:
     first = lambda table, x: next((state for low, high, state in table if low <= x <= high), None)
     found = first(ranges, pin)
-    return (first(PIN_OVERRIDES, pin) or found) if found else first(PIN_PREFIXES, pin // 10000)
+    return (first(PIN_OVERRIDES, pin) or found) if found else PIN_PREFIXES.get(str(pin // 10000))
 
 
 def pin_segments(longest_match: bool = False) -> list[tuple[int, int, str]]:
@@ -33,8 +33,8 @@ def pin_segments(longest_match: bool = False) -> list[tuple[int, int, str]]:
     cuts = {100_000, 1_000_000}
     for low, high, _ in (*PIN_RANGES, *PIN_OVERRIDES):
         cuts |= {low, high + 1}
-    for low, high, _ in PIN_PREFIXES:
-        cuts |= {low * 10_000, (high + 1) * 10_000}
+    for prefix in PIN_PREFIXES:
+        cuts |= {int(prefix) * 10_000, (int(prefix) + 1) * 10_000}
     out: list[tuple[int, int, str]] = []
     order = sorted(cuts)
     for low, after in zip(order, order[1:]):

@@ -60,7 +60,7 @@ _ALIASES = _rows(STATE_ALIASES.items())
 PIN_STATE = f"""
 WITH c AS {cte("customer", {"c_custkey": "c_custkey", "pin": PIN, "state": STATE})},
 ranges(ord, lo, hi, state) AS (VALUES {_rows((k, *r) for k, r in enumerate(PIN_RANGES))}),
-prefixes(lo, hi, state) AS (VALUES {_rows(PIN_PREFIXES)}),
+prefixes(prefix, state) AS (VALUES {_rows(PIN_PREFIXES.items())}),
 aliases(alias, state) AS (VALUES {_ALIASES}),
 by_range AS (SELECT c_custkey, min_by(r.state, ord) AS state FROM c JOIN ranges r ON CAST(pin AS INT) BETWEEN lo AND hi GROUP BY c_custkey),
 e AS (
@@ -68,7 +68,7 @@ e AS (
     CASE WHEN b.state IS NOT NULL AND CAST(pin AS INT) BETWEEN 403001 AND 403812 THEN 'Goa'
          WHEN b.state IS NOT NULL AND CAST(pin AS INT) BETWEEN 500001 AND 509412 THEN 'Telangana'
          ELSE coalesce(b.state, p.state) END AS expected_state
-  FROM c LEFT JOIN by_range b USING (c_custkey) LEFT JOIN prefixes p ON CAST(left(c.pin, 2) AS INT) BETWEEN p.lo AND p.hi
+  FROM c LEFT JOIN by_range b USING (c_custkey) LEFT JOIN prefixes p ON p.prefix = left(c.pin, 2)
   LEFT JOIN aliases a ON a.alias = lower(trim(c.state))
 ), m AS (
   SELECT *, CASE WHEN stated IS NULL OR expected_state IS NULL THEN NULL ELSE
