@@ -1,15 +1,61 @@
-"""Duplicate submissions: equal image digests or perceptual hashes within a few bits."""
+"""Duplicate submissions: equal image digests or perceptual hashes within a few bits.
+
+Similar hashes meet by bands. If two 64-bit hashes differ in at most `bits`
+bits, then of m bands at least one differs in bits // m bits at most. A class of
+equal hashes is found under its own value of every band, and asks under all
+values within that distance: rows grow with the classes, not with their pairs.
+The number of band values is bounded (2^18 at most), so their sizes are a small
+table; it cuts a value that many classes share into tiles.
+"""
 
 from __future__ import annotations
 
+from itertools import combinations
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TILE_ROWS = 4096
+#: Classes on a side of a tile, and rows that a task's group of tiles holds on average.
+TILE_ROWS, GROUP_ROWS = 4096, 100_000
+
+
+def bands_of(bits: int) -> list[tuple[int, int]]:
+    """(shift, width) of the bands of 64 bits: four of 16 at least, so many that two bits' distance in one suffices."""
+    m = max(4, bits // 3 + 1)
+    edges = [64 * k // m for k in range(m + 1)]
+    return [(low, high - low) for low, high in zip(edges, edges[1:])]
+
+
+def near_masks(width: int, most: int) -> list[int]:
+    """All numbers of `width` bits with at most `most` bits set."""
+    return [sum(1 << i for i in places) for n in range(most + 1) for places in combinations(range(width), n)]
+
+
+def _first_near(table: pa.Table, bits: int) -> pa.Table:
+    """phash and near_first: of every asking class the least `first` among near ones of the same tile."""
+    asks = table.column("asks").to_numpy()
+    tile, first = (table.column(k).to_numpy() for k in ("tile", "first"))
+    hashes = table.column("phash").to_numpy().view(np.uint64)
+    order = np.lexsort((first, ~asks, tile))  # a tile's asking classes, then the others, earliest first
+    begins = np.flatnonzero(np.r_[True, np.diff(tile[order]) != 0]) if len(order) else []
+    out = []
+    for begin, end in zip(begins, [*begins[1:], len(order)]):
+        at = order[begin:end]
+        mine, theirs = at[asks[at]], at[~asks[at]]
+        if not len(mine) or not len(theirs):
+            continue
+        for i in range(0, len(mine), 512):
+            x = mine[i : i + 512]
+            apart = hashes[x][:, None] ^ hashes[theirs][None, :]
+            near = (np.bitwise_count(apart) <= bits) & (apart != 0)
+            nearest = near.argmax(1)
+            found = near[np.arange(len(x)), nearest]
+            out.append((hashes[x[found]].view(np.int64), first[theirs[nearest[found]]]))
+    a, b = map(np.concatenate, zip(*out)) if out else (np.empty(0, np.int64),) * 2
+    return pa.table({"phash": a, "near_first": b})
 
 
 def first_similar(entries: DataFrame, bits: int = 10) -> DataFrame:
@@ -17,37 +63,42 @@ def first_similar(entries: DataFrame, bits: int = 10) -> DataFrame:
 
     `entries`: seq (unique long), phash (long bits). Rows with a null phash take
     no part, entries without such an earlier one are left out. Equal hashes are
-    one class, so a hot hash costs one row. Classes meet in a grid of tiles with
-    exclusive-or and bit counts; a tile gives a row a class at most, never pairs.
+    one class, so a hot hash costs one row; no pairs are made.
     """
+    spark = entries.sparkSession
     usable = entries.where("phash IS NOT NULL").select("seq", "phash")
     classes = usable.groupBy("phash").agg(F.min("seq").alias("first"))
-    tiles = max(1, ceil(classes.count() / TILE_ROWS))
-    placed = classes.withColumn("t", F.pmod(F.xxhash64("phash"), F.lit(tiles)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    dealt = placed.select(F.col("t").alias("a"), every.alias("b"), F.lit(True).alias("asks"), "phash", "first").unionByName(
-        placed.select(F.col("t").alias("b"), every.alias("a"), F.lit(False).alias("asks"), "phash", "first")
-    )
+    bands, most = bands_of(bits), bits // len(bands_of(bits))
+    value = lambda shift, width: F.shiftrightunsigned("phash", shift).bitwiseAND(F.lit((1 << width) - 1))
+    around = F.array(*(F.array(*map(F.lit, near_masks(width, most))).cast("array<long>") for _, width in bands))
+    place = lambda band, v: F.struct(F.lit(band).alias("band"), v.alias("v"))
 
-    def nearest(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy()
-        hashes, firsts = table.column("phash").to_numpy().view(np.uint64), table.column("first").to_numpy()
-        mine, theirs = hashes[asks], hashes[~asks]
-        order = np.argsort(firsts[~asks], kind="stable")
-        theirs, first = theirs[order], firsts[~asks][order]
-        best = np.full(len(mine), -1, np.int64)
-        for i in range(0, len(mine), 512):
-            near = np.bitwise_count(mine[i : i + 512, None] ^ theirs[None, :]) <= bits
-            near &= mine[i : i + 512, None] != theirs[None, :]
-            if near.shape[1]:
-                at = near.argmax(1)
-                best[i : i + 512] = np.where(near[np.arange(len(near)), at], at, -1)
-        found = best >= 0
-        return pa.table({"phash": mine[found].view(np.int64), "near_first": first[best[found]]})
+    def under(own: Column, band: int) -> Column:
+        return F.transform(F.get(around, F.lit(band)), lambda mask: place(band, own.bitwiseXOR(mask)))
 
+    found = classes.select("phash", "first", F.explode(F.array(*(place(k, value(*b)) for k, b in enumerate(bands)))).alias("p")).select("p.*", "phash", "first")
+    asking = classes.select("phash", "first", F.explode(F.flatten(F.array(*(under(value(*b), k) for k, b in enumerate(bands))))).alias("p")).select("p.*", "phash", "first")
+    held = found.groupBy("band", "v").agg(F.count("*").alias("n"))
+    askers = (
+        held.select("band", F.explode(F.transform(F.get(around, F.col("band")), lambda mask: F.col("v").bitwiseXOR(mask))).alias("v"), "n")
+        .groupBy("band", "v").agg(F.sum("n").alias("asking"))
+    )
+    pieces = lambda n: F.ceil(F.col(n) / TILE_ROWS).cast("int")
+    values = held.join(askers, ["band", "v"]).select("band", "v", "n", "asking", pieces("asking").alias("lefts"), pieces("n").alias("rights"))
+    rows = values.agg(F.sum(F.col("n") * F.col("lefts") + F.col("asking") * F.col("rights"))).first()[0] or 0
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(rows / GROUP_ROWS))
+    # a row for every value that a band can have, at most: 2^18 of them
+    values = F.broadcast(values.select("band", "v", "lefts", "rights"))
+    own = lambda n: F.pmod(F.xxhash64("phash"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = (
+        asking.join(values, ["band", "v"]).select("band", "v", own("lefts").alias("l"), every("rights").alias("r"), F.lit(True).alias("asks"), "phash", "first")
+        .unionByName(found.join(values, ["band", "v"]).select("band", "v", every("lefts").alias("l"), own("rights").alias("r"), F.lit(False).alias("asks"), "phash", "first"))
+        .select(F.xxhash64("band", "v", "l", "r").alias("tile"), "asks", "phash", "first")
+    )
     near = (
-        dealt.groupBy("a", "b")
-        .applyInArrow(nearest, "phash long, near_first long")
+        dealt.groupBy(F.pmod("tile", F.lit(groups)).alias("g"))
+        .applyInArrow(lambda table: _first_near(table, bits), "phash long, near_first long")
         .groupBy("phash")
         .agg(F.min("near_first").alias("near_first"))
     )
