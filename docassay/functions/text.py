@@ -12,6 +12,27 @@ from pyspark.sql import functions as F
 from docassay.functions.reference_data import ADDRESS_STATES, HINDI_HEADERS, ISSUER_EMAILS, NAME_BLACKLIST
 
 # Patterns and formats of the fields.
+ID_SPACED, ID_LOOSE, ID_TIGHT = r"\b([2-9]\d{3}\s+\d{4}\s+\d{4})\b", r"([2-9]\d{3}[^0-9]{0,3}\d{4}[^0-9]{0,3}\d{4})", r"\b([2-9]\d{11})\b"
+VID_SPACED, VID_TIGHT = r"\b([2-9]\d{3}\s+\d{4}\s+\d{4}\s+\d{4})\b", r"\b([2-9]\d{15})\b"
+ENROLMENT, ENROLMENT_LABELLED = r"\b(\d{4}[/\s]\d{5}[/\s]\d{5})\b", r"(?i)\bEID[:\s]*(\d{14})\b"
+MOBILE = r"\b([6-9]\d{9})\b"
+YEAR_OF_BIRTH = r"(?i)(?:Year\s*of\s*Birth|YOB)[:\s]+(\d{4})"
+ISSUE_DATE = r"(?i)Issue\s*Date[:\s]+(\d{1,2}[/\-]\d{1,2}[/\-]\d{4})"
+SIDE_DOB, SIDE_ADDRESS = r"(?i)\b(DOB|Date\s*of\s*Birth)\b", r"(?i)\b(District|Dist|State|PIN|Pincode)\b"
+SIDE_HEADER = r"(?i)Government\s*of\s*India"
+GENDER_WORD = r"\b(Male|Female|Transgender|MALE|FEMALE|TRANSGENDER)\b"
+MALE_LIKE, FEMALE_LIKE = r"(?i)^M[a-zA-Z@]{1,3}[le]?$", r"(?i)^Fe?m[a-z@]{0,4}le?$"
+DOB_ANYWHERE = r"(?i)\b(?:DOB|DOR|D0B)\b"
+CARE_OF_LINE = r"(?i)^(?:C/O|S/O|W/O|D/O|F/O)[:\s]+(.+)$"
+ADDRESS_CARE_OF = r"(?i)^C[/\\]O[:\s]+([A-Za-z\s.\-']+)"
+ADDRESS_PIN = r"\b([1-9]\d{5})\b"
+ADDRESS_CLEANING = (
+    (r"(\s+[a-z]{1,3}){2,}$", ""),
+    (r"\s+[^a-zA-Z0-9]+(?=\s|$)", " "),
+    (r"\s+[a-zA-Z]$", ""),
+    (r",?\s*(?:\b[a-z]{1,3}\b\s*){3,}", " "),
+    (r"\s{2,}", " "),
+)
 NOISE_START, NOISE_END = r"^[\s|'`~.\-_\\/(]+", r"[\s|'`~.\-_\\/)]+$"
 DIGITS_MISREAD, DIGITS_MEANT = "OoDQ" "Ili|" "Zz" "Ss" "Gb" "T" "B" "gq", "0000" "1111" "22" "55" "66" "7" "8" "99"
 DOB_WORD = r"(?:DOB|DOR|D0B|D08|Date\s*of\s*Birth)"
@@ -87,28 +108,28 @@ def _grouped(digits: Column, *sizes: int, separator: str = " ") -> Column:
 def id_number(text: Column) -> Column:
     """Twelve digits as 4-4-4: spaced, then with other separators, then without."""
     spaced, loose = (
-        found(text, r"\b([2-9]\d{3}\s+\d{4}\s+\d{4})\b"),
-        found(text, r"([2-9]\d{3}[^0-9]{0,3}\d{4}[^0-9]{0,3}\d{4})"),
+        found(text, ID_SPACED),
+        found(text, ID_LOOSE),
     )
-    digits = F.regexp_replace(F.coalesce(spaced, loose, found(text, r"\b([2-9]\d{11})\b")), r"[^0-9]", "")
-    return _grouped(digits, 4, 4, 4)
+    digits = F.regexp_replace(F.coalesce(spaced, loose, found(text, ID_TIGHT)), r"[^0-9]", "")
+    return F.when(digits.isNotNull(), _grouped(digits, 4, 4, 4))
 
 
 def virtual_id(text: Column) -> Column:
-    spaced = found(text, r"\b([2-9]\d{3}\s+\d{4}\s+\d{4}\s+\d{4})\b")
-    digits = F.regexp_replace(F.coalesce(spaced, found(text, r"\b([2-9]\d{15})\b")), r"[^0-9]", "")
+    spaced = found(text, VID_SPACED)
+    digits = F.regexp_replace(F.coalesce(spaced, found(text, VID_TIGHT)), r"[^0-9]", "")
     return F.when(digits.isNotNull(), _grouped(digits, 4, 4, 4, 4))
 
 
 def enrolment_number(text: Column) -> Column:
     """4/5/5 digits; white space but spaces stays; else 14 digits after the label."""
-    parts = F.replace(found(text, r"\b(\d{4}[/\s]\d{5}[/\s]\d{5})\b"), F.lit(" "), F.lit("/"))
-    labelled = found(text, r"(?i)\bEID[:\s]*(\d{14})\b")
+    parts = F.replace(found(text, ENROLMENT), F.lit(" "), F.lit("/"))
+    labelled = found(text, ENROLMENT_LABELLED)
     return F.coalesce(parts, F.when(labelled.isNotNull(), _grouped(labelled, 4, 5, 5, separator="/")))
 
 
 def mobile(text: Column) -> Column:
-    return found(text, r"\b([6-9]\d{9})\b")
+    return found(text, MOBILE)
 
 
 def email(text: Column) -> Column:
@@ -118,12 +139,12 @@ def email(text: Column) -> Column:
 
 
 def year_of_birth(text: Column, last_year: int = 2025) -> Column:
-    year = found(text, r"(?i)(?:Year\s*of\s*Birth|YOB)[:\s]+(\d{4})")
+    year = found(text, YEAR_OF_BIRTH)
     return F.when(year.cast("int").between(1900, last_year), year)
 
 
 def issue_date(text: Column) -> Column:
-    return found(text, r"(?i)Issue\s*Date[:\s]+(\d{1,2}[/\-]\d{1,2}[/\-]\d{4})")
+    return found(text, ISSUE_DATE)
 
 
 _PLAIN_DATE = r"(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})"
@@ -200,14 +221,14 @@ def repaired_date(dob: Column, last_year: int = 2025) -> Column:
 
 def gender(text: Column, raw: Column | None = None) -> Column:
     """The word itself, else a short line that reads like it, else an initial after a line with a date of birth."""
-    word = F.initcap(found(text, r"\b(Male|Female|Transgender|MALE|FEMALE|TRANSGENDER)\b"))
+    word = F.initcap(found(text, GENDER_WORD))
 
     def of_line(line: Column) -> Column:
         up = F.upper(line)
         short = F.length(line).between(2, 12)
         return (
-            F.when(short & (line.rlike(r"(?i)^M[a-zA-Z@]{1,3}[le]?$") | up.isin(*MALE_LINES)), "Male")
-            .when(short & (line.rlike(r"(?i)^Fe?m[a-z@]{0,4}le?$") | up.isin(*FEMALE_LINES)), "Female")
+            F.when(short & (line.rlike(MALE_LIKE) | up.isin(*MALE_LINES)), "Male")
+            .when(short & (line.rlike(FEMALE_LIKE) | up.isin(*FEMALE_LINES)), "Female")
         )
 
     raw = lines(text) if raw is None else raw
@@ -221,7 +242,7 @@ def gender(text: Column, raw: Column | None = None) -> Column:
         F.transform(
             raw,
             lambda line, i: F.when(
-                line.rlike(r"(?i)\b(?:DOB|DOR|D0B)\b"),
+                line.rlike(DOB_ANYWHERE),
                 F.transform(F.slice(raw, i + 2, F.lit(3)), lambda x: initial(clean_line(x))),
             ).otherwise(F.array().cast("array<string>")),
         )
@@ -307,19 +328,19 @@ def care_of(text: Column, raw: Column | None = None) -> Column:
     n = F.size(F.split(labelled, r"\s+"))
     raw = lines(text) if raw is None else raw
     own_line = F.filter(
-        F.transform(raw, lambda x: clean_line(F.regexp_extract(F.trim(x), r"(?i)^(?:C/O|S/O|W/O|D/O|F/O)[:\s]+(.+)$", 1))),
+        F.transform(raw, lambda x: clean_line(F.regexp_extract(F.trim(x), CARE_OF_LINE, 1))),
         lambda x: (x != "") & F.size(F.split(x, r"\s+")).between(1, 5) & x.rlike(r"^[A-Za-z\s.\-']+$"),
     )
     return F.coalesce(F.when((labelled != "") & n.between(2, 5), labelled), F.get(own_line, 0))
 
 
 def card_side(text: Column) -> Column:
-    dob = text.rlike(r"(?i)\b(DOB|Date\s*of\s*Birth)\b")
-    address = text.rlike(r"(?i)\b(District|Dist|State|PIN|Pincode)\b")
+    dob = text.rlike(SIDE_DOB)
+    address = text.rlike(SIDE_ADDRESS)
     return (
         F.when(text.isNull(), None)
         .when(dob & address, "combined")
-        .when(dob & text.rlike(r"(?i)Government\s*of\s*India"), "front")
+        .when(dob & text.rlike(SIDE_HEADER), "front")
         .when(address & ~dob, "back")
         .otherwise("unknown")
     )
@@ -331,7 +352,7 @@ def address_block(text: Column, raw: Column | None = None) -> Column:
     where = lambda pattern: _places(raw, pattern)
     last = F.coalesce(F.array_max(where(GENDER_OR_DOB)), F.lit(-1))
     start = F.array_min(F.filter(where(ADDRESS_START), lambda i: i > last))
-    number = F.array_min(where(r"\b[2-9]\d{3}\s+\d{4}\s+\d{4}\b"))
+    number = F.array_min(where(ID_SPACED))
     begin = F.coalesce(start, F.when(number.isNotNull(), F.greatest(F.lit(0), number - 8)))
     block = F.transform(F.slice(raw, begin + 1, F.lit(12)), lambda x: F.trim(x))
     stop = lambda b: F.array_min(F.transform(b, lambda x, i: F.when(x.rlike(ADDRESS_END), i)))
@@ -341,13 +362,7 @@ def address_block(text: Column, raw: Column | None = None) -> Column:
         lambda x: F.trim(F.regexp_replace(F.trim(F.regexp_replace(x, r"^[^A-Za-z0-9]{0,3}[A-Z]{1,2}\s+", "")), r"^[^A-Za-z0-9]+", "")),
     )
     out = F.array_join(F.filter(bare, lambda x: F.length(x) >= 3), " ")
-    for pattern, put in (
-        (r"(\s+[a-z]{1,3}){2,}$", ""),
-        (r"\s+[^a-zA-Z0-9]+(?=\s|$)", " "),
-        (r"\s+[a-zA-Z]$", ""),
-        (r",?\s*(?:\b[a-z]{1,3}\b\s*){3,}", " "),
-        (r"\s{2,}", " "),
-    ):
+    for pattern, put in ADDRESS_CLEANING:
         out = F.trim(F.regexp_replace(out, pattern, put))
     return F.nullif(out, F.lit(""))
 
@@ -356,18 +371,20 @@ def _trimmed(value: Column) -> Column:
     return F.nullif(F.rtrim(F.trim(value), F.lit(",")), F.lit(""))
 
 
-def address_parts(block: Column) -> Column:
+def address_parts(block: Column, lower: Column | None = None) -> Column:
     """struct of house, landmark, locality, subdistrict, district, state, pin, full of an address block.
 
-    There is no street: no rule names one.
+    There is no street: no rule names one. `lower`: the block in lower case,
+    where it is a column already.
     """
-    care = F.nullif(clean_line(F.regexp_extract(block, r"(?i)^C[/\\]O[:\s]+([A-Za-z\s.\-']+)", 1)), F.lit(""))
+    lower = F.lower(block) if lower is None else lower
+    care = F.nullif(clean_line(F.regexp_extract(block, ADDRESS_CARE_OF, 1)), F.lit(""))
     landmark = F.rtrim(F.trim(F.regexp_extract(block, LANDMARK, 1)), F.lit(","))
     landmark = F.trim(F.regexp_replace(landmark, r"(\s+[a-z]{1,3}){2,}$", ""))
     landmark = F.rtrim(F.trim(F.regexp_replace(landmark, r",?\s*(?:\b[a-z]{1,3}\b\s*){3,}", " ")), F.lit(","))
     state = F.lit(None).cast("string")
     for known in reversed(ADDRESS_STATES):
-        state = F.when(F.contains(F.lower(block), F.lit(known.lower())), known).otherwise(state)
+        state = F.when(F.contains(lower, F.lit(known.lower())), known).otherwise(state)
     parts = {
         "house": F.coalesce(care, found(block, HOUSE)),
         "landmark": F.nullif(landmark, F.lit("")),
@@ -375,7 +392,7 @@ def address_parts(block: Column) -> Column:
         "subdistrict": _trimmed(F.regexp_extract(block, SUBDISTRICT, 1)),
         "district": _trimmed(F.regexp_extract(block, DISTRICT, 1)),
         "state": state,
-        "pin": found(block, r"\b([1-9]\d{5})\b"),
+        "pin": found(block, ADDRESS_PIN),
     }
     full = F.nullif(F.concat_ws(", ", *parts.values()), F.lit(""))
     return F.struct(*(v.alias(k) for k, v in parts.items()), F.coalesce(full, block).alias("full"))
@@ -419,7 +436,8 @@ def with_card_record(df: DataFrame, text_col: str) -> DataFrame:
         df.withColumn("__raw", lines(text))
         .withColumn("__clean", F.transform(raw, clean_line))
         .withColumns({"__block": address_block(text, raw), "__headers": _places(raw, HEADER), "__dob": F.get(_places(raw, DOB_LINE), 0)})
-        .withColumn("__parts", address_parts(block))
+        .withColumn("__low", F.lower(block))
+        .withColumn("__parts", address_parts(block, F.col("__low")))
     )
     record = {
         "name": _name(raw, F.col("__clean"), F.col("__headers"), F.col("__dob")),
@@ -427,7 +445,7 @@ def with_card_record(df: DataFrame, text_col: str) -> DataFrame:
         "dob": date_of_birth(text),
         "year_of_birth": year_of_birth(text),
         "gender": gender(text, raw),
-        "id_number": F.nullif(id_number(text), F.lit("")),
+        "id_number": id_number(text),
         "vid": virtual_id(text),
         "enrollment_number": enrolment_number(text),
         "father_husband_name": care_of(text, raw),

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: (window in seconds, requests accepted in it), in the order in which they are tested.
 DEFAULT_LIMITS = ((60, 10), (86_400, 100))
@@ -40,8 +41,8 @@ def rate_limited(requests: DataFrame, limits: Sequence[tuple[int, int]] = DEFAUL
     key of its own; requests without a time are refused and do not count.
     """
     columns = [c for c in requests.columns if c != "accepted"]
-    base = requests.select(*columns).withColumn("__micros", requests["ts"].cast("timestamp_ntz").cast("timestamp").cast("double") * 1e6)
-    sorted_by_key = base.withColumn("__micros", base["__micros"].cast("long")).repartition("key").sortWithinPartitions("key", "__micros", "seq")
+    base = requests.select(*columns).withColumn("__micros", F.unix_micros(requests["ts"].cast("timestamp_ntz").cast("timestamp")))
+    sorted_by_key = base.repartition("key").sortWithinPartitions("key", "__micros", "seq")
 
     def walk(batches):
         current, log = object(), None

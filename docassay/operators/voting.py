@@ -23,7 +23,7 @@ def modal(df: DataFrame, keys: list[str], value: str, ordinal: str, out: str) ->
         .groupBy(*keys, value)
         .agg(F.count("*").alias("__n"), F.min(ordinal).alias("__first"))
     )
-    best = F.max_by(value, F.struct(F.col("__n"), -F.col("__first")))
+    best = F.min_by(value, F.struct(-F.col("__n"), F.col("__first")))
     return counted.groupBy(*keys).agg(best.alias(out))
 
 
@@ -52,7 +52,7 @@ def date_votes(passes: DataFrame, last_year: int = 2025) -> DataFrame:
     """
     each = passes.select(
         "doc_id", "pass_no", F.posexplode(date_candidates(F.col("text"), False, last_year)).alias("k", "x")
-    ).select("doc_id", (F.col("pass_no").cast("long") * 1000 + F.col("k")).alias("ordinal"), "x.d", "x.m", "x.y")
+    ).select("doc_id", F.struct("pass_no", "k").alias("ordinal"), "x.d", "x.m", "x.y")
     voted = vote_components(each, "doc_id", ["d", "m", "y"], "ordinal")
     return voted.select("doc_id", date_text(F.struct("d", "m", "y")).alias("dob"))
 

@@ -17,7 +17,7 @@ def card_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return spread(view(spark, sf_dir, "orders", _CARDS)).select(
         "o_orderkey",
-        F.nullif(X.id_number(t), F.lit("")).alias("id_number"),
+        X.id_number(t).alias("id_number"),
         X.virtual_id(t).alias("vid"),
         X.enrolment_number(t).alias("enrolment"),
         X.mobile(t).alias("mobile"),
@@ -65,13 +65,13 @@ def card_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def card_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    fields = {"name": X.name(t), "dob": X.date_of_birth(t), "gender": X.gender(t), "id_number": F.nullif(X.id_number(t), F.lit(""))}
+    fields = {"name": X.name(t), "dob": X.date_of_birth(t), "gender": X.gender(t), "id_number": X.id_number(t)}
     cards = spread(view(spark, sf_dir, "orders", _CARDS)).select("o_orderkey", *(c.alias(k) for k, c in fields.items()))
     return cards.select("o_orderkey", completeness({k: F.col(k) for k in fields}).alias("completeness"))
 
 
 def document_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", X.email(F.col("text")).alias("email")).where("email IS NOT NULL")
 
 
@@ -82,7 +82,7 @@ WHERE email NOT IN ('help@uidai.gov.in', 'support@uidai.gov.in', 'info@uidai.gov
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned lines of every document and how many of them are distinct."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     unique = X.unique_lines(F.col("text"))
     return docs.select("doc_id", F.size(X.lines(F.col("text"))).alias("n_lines"), F.size(unique).alias("n_unique"))
 

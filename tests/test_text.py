@@ -6,7 +6,7 @@ from docassay.functions import text as X
 CASES = {
     "id_number": [
         ("no 2345 6789 0123 x", "2345 6789 0123"), ("2345-6789. 0123", "2345 6789 0123"), ("234567890123", "2345 6789 0123"),
-        ("1234 5678 9012", ""), ("2345 6789 0123 4567", "2345 6789 0123"), ("", ""),
+        ("1234 5678 9012", None), ("2345 6789 0123 4567", "2345 6789 0123"), ("", None), (None, None),
     ],
     "virtual_id": [("9345 6789 0123 4567", "9345 6789 0123 4567"), ("9345678901234567", "9345 6789 0123 4567"), ("2345 6789 0123", None)],
     "enrolment_number": [("1234/12345/54321", "1234/12345/54321"), ("1234 12345 54321", "1234/12345/54321"), ("EID:12341234512345", "1234/12345/12345"), ("x", None)],
