@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from docassay.functions import pixels as P
 
-_NUMBERS = ("brightness", "contrast", "sharpness", "moire_peaks", "moire_global", "fft_peak", "fft_high", "lbp_entropy", "ela_pixels", "ela_blocks")
-_ARRAYS = ("dct64", "noise_variances", "dct_energies", "dct_high", "dct_zeros", "saturation")
+_NUMBERS = ("brightness", "contrast", "sharpness", "moire_peaks", "moire_global", "fft_peak", "fft_high", "lbp_entropy", "ela_pixels", "ela_blocks", "corner_colourful", "corner_saturation", "corner_hues")
+_ARRAYS = ("dct64", "noise_variances", "dct_energies", "dct_high", "dct_zeros")
 MEASURES = T.StructType(
     [T.StructField(k, T.DoubleType()) for k in _NUMBERS] + [T.StructField(k, T.ArrayType(T.DoubleType())) for k in _ARRAYS]
 )
@@ -27,10 +27,11 @@ def _measured(bgr: np.ndarray) -> dict:
     out["noise_variances"] = P.blocks(P.median_residual(g), 16).var(axis=(1, 2)).tolist()
     c = P.dct_matrix(8)
     d = c @ P.blocks(g, 8, step=4) @ c.T
-    energy, high = (d**2).sum((1, 2)), (d[:, 4:, 4:] ** 2).sum((1, 2))
+    energy = (d**2).sum((1, 2))
+    high = (d[:, 4:, :] ** 2).sum((1, 2)) + (d[:, :, 4:] ** 2).sum((1, 2))  # what is high both ways counts twice
     out["dct_energies"] = energy.tolist()
-    out["dct_high"] = (high / np.maximum(energy, 1e-9)).tolist()
-    out["dct_zeros"] = (np.abs(d) < 0.5).mean((1, 2)).tolist()
+    out["dct_high"] = (high / (energy + 1e-6)).tolist()
+    out["dct_zeros"] = (np.abs(d.reshape(-1, 64)[:, 1:]) < 0.5).mean(1).tolist()
     f = P.spectrum(P.resized(g, 512, 512), 7)
     band = f[P.ring(f.shape, 102, 204)]
     out["moire_peaks"] = (band > band.mean() + 3.5 * band.std()).mean()
@@ -44,9 +45,10 @@ def _measured(bgr: np.ndarray) -> dict:
     out["ela_pixels"] = (e > e.mean() + 3 * e.std()).mean()
     each = e.mean((1, 2))
     out["ela_blocks"] = (each > each.mean() + 3 * each.std()).mean()
-    top = bgr[: max(1, int(0.30 * bgr.shape[0])), : max(1, int(0.22 * bgr.shape[1]))].astype(np.float64)
-    most, least = top.max(-1), top.min(-1)
-    out["saturation"] = (255 * (most - least) / np.maximum(most, 1)).ravel()[:4096].tolist()
+    hue, saturation = P.hue_and_saturation(bgr[: max(1, int(0.30 * bgr.shape[0])), : max(1, int(0.22 * bgr.shape[1]))])
+    colourful = saturation > 60
+    out["corner_colourful"], out["corner_saturation"] = colourful.mean(), saturation.mean()
+    out["corner_hues"] = hue[colourful].std() if colourful.sum() > 50 else 0.0
     return out
 
 
@@ -122,10 +124,9 @@ def generated_check(energies: Column, high: Column, zeros: Column) -> Column:
     return F.struct(score.alias("score"), (score != 15).alias("passed"))
 
 
-def hologram_check(saturation: Column) -> Column:
-    """struct(score, passed): colourful share of the upper left corner; never fails."""
-    share = F.size(F.filter(saturation, lambda s: s > 60)) / F.size(saturation)
-    score = F.when(share > 0.10, 92).when((share > 0.04) | (_mean(saturation) > 25), 75).otherwise(45)
+def hologram_check(colourful: Column, saturation: Column, hues: Column) -> Column:
+    """struct(score, passed) by the upper left corner: share of colourful pixels, mean saturation, spread of their hues; never fails."""
+    score = F.when((colourful > 0.10) & (hues > 15), 92).when((colourful > 0.04) | (saturation > 25), 75).otherwise(45)
     return F.struct(score.alias("score"), F.lit(True).alias("passed"))
 
 
@@ -161,40 +162,165 @@ def match_by_cosine(similarity: Column, least: float = 0.28) -> Column:
     return F.struct((similarity >= least).alias("matched"), F.round((similarity + 1) / 2 * 100, 1).alias("score"), F.round(1 - similarity, 4).alias("distance"))
 
 
-#: Clean-up steps by name: each turns a grey image into a grey image of the same size.
+# Hues, least saturation and least brightness of coloured strips; the photograph's place on a card's front.
+COLOURED_STRIPS = ((5, 25, 80, 80), (40, 85, 50, 50))
+PHOTO = (0.18, 0.82, 0.0, 0.28)
+# Parts of a card that may hold a QR code (top, bottom, left, right share); pixels that a part needs.
+QR_PARTS = {
+    "lower right": (0.45, 1.0, 0.55, 1.0), "wide lower right": (0.35, 1.0, 0.45, 1.0), "corner": (0.65, 1.0, 0.65, 1.0),
+    "right half": (0.0, 1.0, 0.5, 1.0), "lower half": (0.5, 1.0, 0.0, 1.0), "whole": (0.0, 1.0, 0.0, 1.0),
+}
+LEAST_PART = 20
+
+
+def _part(image: np.ndarray, top: float, bottom: float, left: float, right: float) -> np.ndarray | None:
+    h, w = image.shape[:2]
+    part = image[int(h * top) : int(h * bottom), int(w * left) : int(w * right)]
+    return part if min(part.shape[:2]) > LEAST_PART else None
+
+
+def _without_photo(image: np.ndarray) -> np.ndarray:
+    out, (h, w) = image.copy(), image.shape[:2]
+    out[int(h * PHOTO[0]) : int(h * PHOTO[1]), int(w * PHOTO[2]) : int(w * PHOTO[3])] = 255
+    return out
+
+
+#: Steps by name. Each turns an image into another; those above "gray" also take colours.
 STEPS = {
-    "gray": lambda g: g,
+    "landscape": lambda i: np.rot90(i, -1) if i.shape[0] > i.shape[1] else i,
+    "turned": lambda i, quarters: np.rot90(i, -int(quarters)),
+    "part": _part,
+    "without photo": _without_photo,
+    "without colours": lambda i: P.without_colours(i, COLOURED_STRIPS) if i.ndim == 3 else i,
+    "gray": lambda i: P.gray(i) if i.ndim == 3 else i,
     "inverted": lambda g: 255 - g,
-    "unsharp": lambda g: P.unsharp(g, 2.0, 1.5),
-    "gamma_0.5": lambda g: P.gamma(g, 0.5),
-    "gamma_1.5": lambda g: P.gamma(g, 1.5),
-    "wiener_5": lambda g: P.wiener(g, 5, 0.01),
-    "wiener_9": lambda g: P.wiener(g, 9, 0.005),
+    "unsharp": P.unsharp,
+    "laplacian": P.laplacian_sharpened,
+    "high pass": P.high_passed,
+    "gamma": P.gamma,
+    "wiener": lambda g, size, noise: P.wiener(g, int(size), noise),
+    "gaussian wiener": lambda g, size, noise: P.gaussian_wiener(g, int(size), noise),
+    "equalised": lambda g, clip, tiles: P.equalised(g, clip, int(tiles)),
+    "bilateral": lambda g, size, levels, places: P.bilateral(g, int(size), levels, places),
+    "enlarged": lambda g, times: P.enlarged(g, int(times)),
     "otsu": P.otsu,
+    "adaptive": lambda g, block, less: P.adaptive(g, int(block), less),
+    "otsu or adaptive": lambda g, block, less: np.maximum(P.otsu(g), P.adaptive(g, int(block), less)),
+    "opened": lambda g, height, width: P.opened(g, int(height), int(width)),
+    "closed": lambda g, height, width: P.closed(g, int(height), int(width)),
 }
+Steps = tuple[tuple, ...]
+
+
+def steps_column(steps: Steps) -> Column:
+    """Steps, (name, arguments...) each, as a column."""
+    each = [F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, args)).cast("array<double>").alias("args")) for name, *args in steps]
+    return F.array(*each).cast("array<struct<name: string, args: array<double>>>")
+
+
+def qr_recipes() -> dict[str, Steps]:
+    """The steps of every variant of an image in which a QR code is sought, in the order of their tiers."""
+    # Parameters of the steps.
+    clahe, tight, smooth, fine = ("equalised", 3, 8), ("equalised", 4, 4), ("bilateral", 9, 75, 75), ("adaptive", 11, 2)
+    sharp, sharper = ("unsharp", 3, 0.8), ("unsharp", 5, 1.5)
+    out: dict[str, Steps] = {}
+    for k in (2, 3, 4):
+        kinds = {"otsu": (("otsu",),), "unsharp otsu": (("unsharp", 2, 0.5), ("otsu",)), "clahe": (clahe,), "adaptive": (fine,)}
+        kinds |= {f"{part} otsu": (("part", *place), ("otsu",)) for part, place in QR_PARTS.items()}
+        out |= {f"x{k} {name}": (("enlarged", k), *steps) for name, steps in kinds.items()}
+    out |= {"gray": (), "inverted": (("inverted",),)} | {f"gamma {g}": (("gamma", g),) for g in (0.4, 0.6, 1.5, 2.0)}
+    out |= {"clahe": (clahe,), "tight clahe": (tight,), "bilateral": (smooth,), "bilateral clahe": (smooth, clahe)}
+    out |= {"unsharp": (sharp,), "strong unsharp": (sharper,), "clahe unsharp": (clahe, sharp)}
+    out |= {"wiener": (("wiener", 5, 0.01),), "strong wiener": (("wiener", 9, 0.005),)}
+    out |= {"otsu": (("otsu",),), "inverted otsu": (("otsu",), ("inverted",)), "adaptive": (fine,)}
+    out |= {"clahe adaptive": (clahe, fine), "bilateral adaptive": (smooth, fine)}
+    out |= {"opened": (("otsu",), ("opened", 3, 3)), "closed": (("otsu",), ("closed", 2, 2))}
+    for part, place in QR_PARTS.items():
+        kinds = {"gray": (), "inverted": (("inverted",),), "otsu": (("otsu",),), "clahe": (clahe,)}
+        out |= {f"{part} {name}": (("part", *place), *steps) for name, steps in kinds.items()}
+    for quarters in (1, 2, 3):
+        out |= {f"turned {90 * quarters}": (("turned", quarters),), f"turned {90 * quarters} otsu": (("turned", quarters), ("otsu",))}
+    return {name: (("gray",), *steps) for name, steps in out.items()}
+
+
+def applied(images: DataFrame, steps: Column) -> DataFrame:
+    """`images` (data, height, width, n_channels, ...) after each row's own steps; unreadable ones, and parts too small, have null data."""
+    kept = [c for c in images.columns if c not in ("data", "height", "width", "n_channels")]
 
-
-def variants(images: DataFrame, steps: tuple[str, ...] = tuple(STEPS)) -> DataFrame:
-    """`images` once for each clean-up step, in order: variant, rank, and grey bytes in data.
+    def made(frames):
+        for frame in frames:
+            rows = []
+            for d, h, w, n, todo in zip(*(frame[c] for c in ("data", "height", "width", "n_channels", "__steps"))):
+                image = None
+                if d is not None and len(d) == h * w * n:
+                    image = np.frombuffer(d, np.uint8).reshape(int(h), int(w), int(n))
+                    image = image[..., :3] if n >= 3 else image[..., 0].astype(np.float64)
+                for step in todo if todo is not None else ():
+                    image = None if image is None else STEPS[step["name"]](image, *step["args"])
+                if image is None:
+                    rows.append((None, None, None, None))
+                else:
+                    whole = np.clip(np.rint(image), 0, 255).astype(np.uint8)
+                    rows.append((whole.tobytes(), *whole.shape[:2], 3 if whole.ndim == 3 else 1))
+            out = frame[kept].copy()
+            for k, c in enumerate(("data", "height", "width", "n_channels")):
+                out[c] = pd.Series([r[k] for r in rows], index=out.index, dtype="object" if c == "data" else "Int32")
+            yield out
+
+    fields = {f.name: f.dataType.simpleString() for f in images.schema}
+    schema = ", ".join([*(f"`{c}` {fields[c]}" for c in kept), "data binary, height int, width int, n_channels int"])
+    asked = images.select(*kept, "data", "height", "width", "n_channels", steps.alias("__steps"))
+    return asked.mapInPandas(made, schema)
+
+
+def variants(images: DataFrame, recipes: dict[str, Steps] | None = None) -> DataFrame:
+    """`images` once for each recipe, in order: variant, rank, and grey pixels in data, height, width.
 
     A decoder keeps each image's least rank that it can read. Unreadable images
-    have no variants.
+    have no variants, and parts of LEAST_PART pixels or less are left out.
     """
+    recipes = qr_recipes() if recipes is None else recipes
+    each = [F.struct(F.lit(k).alias("rank"), F.lit(name).alias("variant"), steps_column(steps).alias("steps")) for k, (name, steps) in enumerate(recipes.items())]
+    asked = images.where("data IS NOT NULL").withColumn("__v", F.explode(F.array(*each)))
+    named = asked.withColumns({"variant": F.col("__v.variant"), "rank": F.col("__v.rank")})
+    return applied(named, F.col("__v.steps")).drop("__v").where("data IS NOT NULL")
+
+
+def first_readable(found: DataFrame, key: str) -> DataFrame:
+    """(key, variant, rank, payload): of the variants in which a payload was found that of the least rank."""
+    least = F.min_by(F.struct("variant", "rank", "payload"), "rank")
+    return found.where("payload IS NOT NULL").groupBy(key).agg(least.alias("x")).select(key, "x.*")
+
+
+@F.pandas_udf(T.DoubleType())
+def sharpness(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+    """Variance of the Laplacian of grey images; null for unreadable ones."""
+    made = lambda d, h, w: float(P.laplacian(np.frombuffer(d, np.uint8).reshape(int(h), int(w)).astype(np.float64)).var())
+    return pd.Series([made(d, h, w) if d is not None and len(d) == h * w else None for d, h, w in zip(data, height, width)], dtype="float64")
+
+
+def sharpening(measured: Column) -> Column:
+    """The steps that an image of this sharpness needs: the more, the more it is blurred."""
+    # Parameters of each class of sharpness.
+    return (
+        F.when(measured > 300, steps_column((("unsharp", 1.5, 0.6),)))
+        .when(measured > 100, steps_column((("unsharp", 2.0, 1.2), ("high pass", 4, 0.3))))
+        .when(measured > 30, steps_column((("unsharp", 2.5, 1.8), ("laplacian",), ("high pass", 5, 0.5))))
+        .otherwise(steps_column((("gaussian wiener", 7, 0.02), ("unsharp", 2.0, 1.5), ("laplacian",), ("high pass", 4, 0.4))))
+    )
 
-    def made(frames):
-        for frame in frames:
-            rows = []
-            for row in frame.itertuples(index=False):
-                if row.data is None or len(row.data) != row.height * row.width * row.n_channels:
-                    continue
-                pixels = np.frombuffer(row.data, np.uint8).reshape(int(row.height), int(row.width), int(row.n_channels))
-                g = P.gray(pixels if row.n_channels >= 3 else pixels.repeat(3, -1))
-                rows += [(*row, name, k, np.clip(np.rint(STEPS[name](g)), 0, 255).astype(np.uint8).tobytes()) for k, name in enumerate(steps)]
-            out = pd.DataFrame(rows, columns=[*frame.columns, "variant", "rank", "pixels"])
-            yield out.assign(data=out["pixels"], n_channels=1).drop(columns="pixels")
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema) + ", variant string, rank int"
-    return images.mapInPandas(made, schema)
+
+def cleaned(images: DataFrame, front: bool = True) -> DataFrame:
+    """`images` made ready for OCR: black on white in data, and the measured sharpness.
+
+    Turned to landscape, without photograph (fronts only) and coloured strips,
+    grey, equalised, sharpened as each needs it, binarised (Otsu or adaptive),
+    small gaps closed. Denoising and deskewing are left out.
+    """
+    first = (("landscape",), *((("without photo",),) if front else ()), ("without colours",), ("gray",), ("equalised", 3, 8))
+    grey = applied(images, steps_column(first)).withColumn("sharpness", sharpness("data", "height", "width"))
+    last = steps_column((("otsu or adaptive", 21, 10), ("closed", 2, 1)))
+    return applied(grey, F.concat(sharpening(F.col("sharpness")), last))
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
