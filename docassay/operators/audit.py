@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docassay.functions.text import masked_or_null
+from docassay.operators.scoring import overall_score
 
 MAX_SIGNALS = 10
 
@@ -65,17 +66,23 @@ def recent(log: DataFrame, order: list[str], n: int = 10) -> DataFrame:
     return log.orderBy(*(F.col(c).desc() for c in order)).limit(n)
 
 
-def entry(fields: dict[str, Column], signals: Column, overall: Column) -> dict[str, Column]:
-    """Columns of an audit entry: a new id, masked fields, the first ten signals."""
+def entry(fields: dict[str, Column], signals: Column, scores: dict[str, Column]) -> dict[str, Column]:
+    """Columns of an audit entry: a new id, the time, masked fields, scores with the overall one, the first ten signals.
+
+    `scores`: qr_trust, tampering, geo, face; the overall score is theirs.
+    """
+    overall = overall_score(scores["qr_trust"], scores["tampering"], scores["geo"], scores["face"])
+    zero = {"qr_trust": 0, "tampering": 100, "geo": 100, "face": 0}
     return {
         "log_id": F.uuid(),
+        "timestamp": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+        "scores": F.struct(*(F.coalesce(scores[k], F.lit(v)).cast("int").alias(k) for k, v in zero.items()), overall.alias("overall")),
         "fields_masked": F.struct(
-            *(fields[k].alias(k) for k in ("name", "dob", "gender", "pin", "district", "state")),
-            masked_or_null(fields["id_number"]).alias("id"),
+            fields["name"].alias("name"), masked_or_null(fields["id_number"]).alias("id"),
+            *(fields[k].alias(k) for k in ("dob", "gender", "pin", "district", "state")),
         ),
         "fraud_signals": F.slice(signals, 1, MAX_SIGNALS),
-        "overall": overall,
-    }
+    }
 
 
 def report_digest(*parts: Column) -> Column:
@@ -100,14 +107,15 @@ def authorised(requests: DataFrame, keys: DataFrame) -> DataFrame:
     )
 
 
-def admission(auth: Column, rate_ok: Column, has_file: Column, quality: Column, duplicate: Column) -> Column:
-    """HTTP status of the first gate that refuses: key, rate, file, quality, duplicate; else 200."""
+def admission(auth: Column, rate_ok: Column, has_file: Column, quality: Column, duplicate: Column, failed: Column | None = None) -> Column:
+    """HTTP status of the first gate that refuses: key, rate, file, quality, duplicate; then 500 for work that failed; else 200."""
     return (
         F.when(auth != 200, auth)
         .when(~rate_ok, 429)
         .when(~has_file, 400)
         .when(quality != "ok", 400)
         .when(duplicate, 409)
+        .when(F.coalesce(F.lit(False) if failed is None else failed, F.lit(False)), 500)
         .otherwise(200)
     )
 

@@ -32,24 +32,31 @@ def confident_texts(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("doc_id", "pass_no").agg(F.avg("probability").alias("confidence")).where(F.col("confidence") >= LEAST_TEXT_CONFIDENCE)
 
 
-def too_short(texts: Column) -> Column:
-    """Whether an array of texts has so few characters that another engine is asked."""
-    chars = F.aggregate(texts, F.lit(0), lambda n, t: n + F.length(F.trim(F.replace(F.coalesce(t, F.lit("")), F.lit("\n"), F.lit("")))))
-    return chars < LEAST_CHARS
+#: Pass numbers that are joined to one text first.
+RUN = 256
 
 
 def card_texts(passes: DataFrame) -> DataFrame:
     """(doc_id, text, n_passes, ask_again): a card's passes joined by line ends, front before back, by pass number.
 
-    `passes`: doc_id, side, pass_no, text. A card has a handful of passes, so
-    they are gathered; null texts count as empty, other sides come last.
+    `passes`: doc_id, side, pass_no, text. Null texts count as empty, other sides
+    come last. Runs of passes are joined first, each in a group of its own, so
+    that of a card with very many passes only the joined runs come together, in
+    the row that holds its text.
     """
     rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SIDES)), F.col("side")), F.lit(0).cast("long")), F.lit(9).cast("long"))
-    gathered = passes.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct(rank.alias("r"), "pass_no", F.coalesce("text", F.lit("")).alias("text")))).alias("p")
+    text = F.coalesce("text", F.lit(""))
+    chars = F.length(F.trim(F.replace(text, F.lit("\n"), F.lit("")))).cast("long")
+    joined = lambda column: F.array_join(F.transform(F.array_sort(F.collect_list(column)), lambda x: x["text"]), "\n")
+    runs = (
+        passes.groupBy("doc_id", rank.alias("r"), F.floor(F.col("pass_no") / RUN).alias("run"))
+        .agg(joined(F.struct("pass_no", text.alias("text"))).alias("text"), F.count("*").alias("n"), F.sum(chars).alias("chars"))
+    )
+    return runs.groupBy("doc_id").agg(
+        joined(F.struct("r", "run", "text")).alias("text"),
+        F.sum("n").cast("int").alias("n_passes"),
+        (F.sum("chars") < LEAST_CHARS).alias("ask_again"),
     )
-    texts = F.transform("p", lambda x: x["text"])
-    return gathered.select("doc_id", F.array_join(texts, "\n").alias("text"), F.size("p").alias("n_passes"), too_short(texts).alias("ask_again"))
 
 
 def better_reading(first: DataFrame, second: DataFrame, score: str) -> DataFrame:

@@ -70,13 +70,14 @@ def trust_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TRUST = """20 + CASE WHEN m_name THEN 20 ELSE 0 END + CASE WHEN m_dob THEN 20 ELSE 0 END + CASE WHEN m_gender THEN 10 ELSE 0 END
   + CASE WHEN m_pin THEN 10 ELSE 0 END + CASE WHEN m_district THEN 10 ELSE 0 END + CASE WHEN m_state THEN 10 ELSE 0 END"""
-TRUST_SCORES = f"""WITH {MATCHES_CTE}, t AS (SELECT *, CAST(least(100, {TRUST}) AS INTEGER) AS trust FROM m)
-SELECT c_custkey, trust, CASE WHEN trust >= 80 THEN 'LIKELY GENUINE' WHEN trust >= 50 THEN 'REVIEW REQUIRED' ELSE 'FRAUD SUSPECTED' END AS verdict,
-  CAST(10 + CASE WHEN regexp_matches(id_number, '^[2-9]\\d{{3}}\\s\\d{{4}}\\s\\d{{4}}$') THEN 25 ELSE 0 END
+WITHOUT_QR = """CAST(10 + CASE WHEN regexp_matches(id_number, '^[2-9]\\d{3}\\s\\d{4}\\s\\d{4}$') THEN 25 ELSE 0 END
     + CASE WHEN length(trim(name)) >= 5 AND regexp_matches(name, '^[A-Za-z\\s.''-]+$') THEN 15 ELSE 0 END
-    + CASE WHEN regexp_matches(dob, '^\\d{{2}}/\\d{{2}}/\\d{{4}}$') AND CAST(left(dob, 2) AS INT) BETWEEN 1 AND 31
+    + CASE WHEN regexp_matches(dob, '^\\d{2}/\\d{2}/\\d{4}$') AND CAST(left(dob, 2) AS INT) BETWEEN 1 AND 31
         AND CAST(substring(dob, 4, 2) AS INT) BETWEEN 1 AND 12 AND CAST(right(dob, 4) AS INT) BETWEEN 1900 AND 2025 THEN 10 ELSE 0 END
-    + CASE WHEN coalesce(gender, '') IN ('Male', 'Female', 'Transgender') THEN 5 ELSE 0 END AS INTEGER) AS without_qr FROM t"""
+    + CASE WHEN coalesce(gender, '') IN ('Male', 'Female', 'Transgender') THEN 5 ELSE 0 END AS INTEGER)"""
+TRUST_SCORES = f"""WITH {MATCHES_CTE}, t AS (SELECT *, CAST(least(100, {TRUST}) AS INTEGER) AS trust FROM m)
+SELECT c_custkey, trust, CASE WHEN trust >= 80 THEN 'LIKELY GENUINE' WHEN trust >= 50 THEN 'REVIEW REQUIRED' ELSE 'FRAUD SUSPECTED' END AS verdict,
+  {WITHOUT_QR} AS without_qr FROM t"""
 
 
 def backfill(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docassay.plans import audit, cards, comparisons, geo, images, ocr, verdicts, votes
+from docassay.plans import audit, cards, comparisons, geo, images, ocr, submissions, verdicts, votes
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (geo, ocr, cards, comparisons, votes, verdicts, audit, images)
+_MODULES = (geo, ocr, cards, comparisons, votes, verdicts, submissions, audit, images)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,31 +42,44 @@ c AS (SELECT l.l_orderkey, count(*) AS voters FROM l JOIN s USING (l_orderkey) W
 SELECT l_orderkey, CASE WHEN most > 1 THEN modal WHEN voters >= 2 THEN spelled ELSE longest END AS winner
 FROM s JOIN v USING (l_orderkey) JOIN c USING (l_orderkey)"""
 
-_PASSES = {
+#: Texts of OCR passes; every line has a number of its own.
+PASSES = {
     "doc_id": "l_orderkey",
-    "pass_no": "l_linenumber",
+    "pass_no": _LINES["ordinal"],
     "text": "CASE l_linenumber % 3 WHEN 0 THEN 'DOB: ' || CAST(day(l_shipdate) AS VARCHAR(4)) || '/' || CAST(month(l_shipdate) AS VARCHAR(4)) || '/1988' "
     "WHEN 1 THEN 'DOR 10 1' || CAST(1980 + month(l_shipdate) AS VARCHAR(4)) ELSE 'nothing' END",
 }
 
 
+def readings_sql(table: str) -> str:
+    """The date that each pass's text stands for, as it was made."""
+    return f"""SELECT l_orderkey AS doc_id, {_LINES["ordinal"]} AS pass_no,
+  CASE l_linenumber % 3 WHEN 0 THEN day(l_shipdate) ELSE 10 END AS d, CASE l_linenumber % 3 WHEN 0 THEN month(l_shipdate) ELSE 1 END AS m,
+  CASE l_linenumber % 3 WHEN 0 THEN 1988 ELSE 1980 + month(l_shipdate) END AS y FROM {table} WHERE l_linenumber % 3 < 2"""
+
+
 def date_of_birth_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates read out of every pass, then voted on."""
-    return V.date_votes(view(spark, sf_dir, "lineitem", _PASSES))
+    return V.date_votes(view(spark, sf_dir, "lineitem", PASSES))
+
+
+_PART = "(SELECT doc_id, arg_max({0}, (n, -first)) AS {0} FROM (SELECT doc_id, {0}, count(*) AS n, min(pass_no) AS first FROM r GROUP BY 1, 2) GROUP BY 1)"
+DATE_OF_BIRTH_VOTE = f"""WITH r AS ({readings_sql("lineitem")})
+SELECT doc_id, format('{{:02d}}/{{:02d}}/{{:d}}', d, m, y) AS dob FROM {_PART.format("d")} JOIN {_PART.format("m")} USING (doc_id) JOIN {_PART.format("y")} USING (doc_id)"""
 
 
 def pass_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters over all passes of a document and whether they are too few, so that another engine is asked."""
-    passes = view(spark, sf_dir, "lineitem", _PASSES)
+    passes = view(spark, sf_dir, "lineitem", PASSES)
     chars = F.sum(F.length(F.trim(F.replace("text", F.lit("\n"), F.lit("")))))
     return passes.groupBy("doc_id").agg(chars.alias("chars"), (chars < 80).alias("ask_again"))
 
 
-PASS_LENGTHS = f"SELECT doc_id, CAST(sum(length(trim(text))) AS BIGINT) AS chars, sum(length(trim(text))) < 80 AS ask_again FROM {cte('lineitem', _PASSES)} GROUP BY 1"
+PASS_LENGTHS = f"SELECT doc_id, CAST(sum(length(trim(text))) AS BIGINT) AS chars, sum(length(trim(text))) < 80 AS ask_again FROM {cte('lineitem', PASSES)} GROUP BY 1"
 
 QUERIES = {
     "date_vote": (date_vote, DATE_VOTE),
     "string_vote": (string_vote, STRING_VOTE),
-    "date_of_birth_vote": (date_of_birth_vote, None),
+    "date_of_birth_vote": (date_of_birth_vote, DATE_OF_BIRTH_VOTE),
     "pass_lengths": (pass_lengths, PASS_LENGTHS),
 }
