@@ -1,32 +1,45 @@
-"""What several operators share: checkpoints, stable hashes, byte columns."""
+"""What several operators share: checkpoints, Arrow batches, stable hashes, byte columns."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts name it: [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
+#: Bytes of an Arrow batch, whatever its rows, so that a worker holds a few long texts at a time and not ten thousand.
+BATCH_BYTES = 8 << 20
+_BYTES_A_BATCH, _SPARKS_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """`df` written to the folder in `spark.checkpoint.dir` and cut from its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder under `spark.checkpoint.dir`, on storage that the driver and all executors share.
 
-    The files are on storage that all executors share, so a lost executor costs
-    no recomputation. Only where the setting is absent, as in tests, a temporary
-    folder takes its place.
+    Without that setting this is an error: no other folder is known to be shared.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None)
-            or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and cut from its lineage; a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def with_bounded_batches(df: DataFrame) -> DataFrame:
+    """`df`, its session's Arrow batches held to BATCH_BYTES where Spark's default bound still stands."""
+    conf = df.sparkSession.conf
+    if conf.get(_BYTES_A_BATCH, _SPARKS_DEFAULT) == _SPARKS_DEFAULT:
+        conf.set(_BYTES_A_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def seeded_long(seed: int, *columns: Column | str) -> Column:
     """A 64-bit hash of the columns that differs from seed to seed."""
     return F.xxhash64(F.lit(seed), *columns)
@@ -35,7 +48,3 @@ def seeded_long(seed: int, *columns: Column | str) -> Column:
 def utf8(text: Column | str) -> Column:
     """The text's bytes, for Arrow without decoding; null stays null."""
     return (F.col(text) if isinstance(text, str) else text).cast("binary")
-
-
-def no_rows(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
