@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docassay.llm.common import ASCII_SPACE, shared_checkpoint, utf8
+from docassay.llm.common import ASCII_SPACE, shared_checkpoint, utf8, with_bounded_batches
 
 _STRIP = ASCII_SPACE.encode()
 
@@ -34,30 +34,25 @@ def line_keys(text: bytes | None, min_chars: int) -> list[tuple[int, bytes]]:
 
 
 def exploded_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc (hash of the row), counted (document to count), pos, key: a row per line with a key."""
+    """doc_id and __h (the row), counted (document to count), pos, key: a row per line with a key."""
+    id_field = docs.schema["doc_id"]
 
     def explode(batches):
         for batch in batches:
-            doc, counted, pos, key = [], [], [], []
-            ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for d, c, text in zip(*ids, batch.column(2)):
+            row, pos, key = [], [], []
+            for n, text in enumerate(batch.column(3)):
                 for at, k in line_keys(text.as_py(), min_chars):
-                    doc.append(d)
-                    counted.append(c)
+                    row.append(n)
                     pos.append(at)
                     key.append(k)
+            of_row = batch.select([0, 1, 2]).take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(doc, pa.int64()),
-                    pa.array(counted, pa.int64()),
-                    pa.array(pos, pa.int32()),
-                    pa.array(key, pa.binary()),
-                ],
-                names=["doc", "counted", "pos", "key"],
+                [*of_row.columns, pa.array(pos, pa.int32()), pa.array(key, pa.binary())],
+                names=["doc_id", "__h", "counted", "pos", "key"],
             )
 
-    return docs.select("__doc", "__counted", utf8("text")).mapInArrow(
-        explode, "doc long, counted long, pos int, key binary"
+    return with_bounded_batches(docs).select("doc_id", "__h", "__counted", utf8("text")).mapInArrow(
+        explode, f"doc_id {id_field.dataType.simpleString()}, __h long, counted long, pos int, key binary"
     )
 
 
@@ -90,17 +85,14 @@ def drop_common_lines(docs: DataFrame, min_documents: int = 10, min_chars: int =
     count by their text. A null or empty text is one empty line and stays as it
     is; a key shorter than `min_chars` code points (empty keys always) is never
     dropped. A text that loses all lines becomes empty. Repeated rows get the
-    same result each, and count once.
+    same result each, and count once. A row is known by its doc_id and a 64-bit
+    hash of its text, so only rows that share an id could be mistaken for each other.
     """
     base = docs.drop("n_lines", "n_dropped")
-    keyed = base.withColumns(
-        {
-            "__doc": F.xxhash64("doc_id", "text"),
-            "__counted": F.coalesce(F.col("doc_id"), F.xxhash64("text")),
-        }
-    )
-    lines = exploded_lines(keyed, min_chars)
-    # written down, so that the join below has shuffles of its own whose hot keys Spark can split
+    hashed = F.xxhash64("text")
+    keyed = base.withColumns({"__h": hashed, "__counted": F.coalesce(F.col("doc_id"), hashed)})
+    # both written down: lines are cut once, and the join below has shuffles of its own whose hot keys Spark can split
+    lines = shared_checkpoint(exploded_lines(keyed, min_chars))
     common = shared_checkpoint(
         lines.groupBy("key")
         .agg(F.countDistinct("counted").alias("documents"))
@@ -108,13 +100,12 @@ def drop_common_lines(docs: DataFrame, min_documents: int = 10, min_chars: int =
         .select("key")
     )
     dropped = (
-        lines.select("doc", "pos", "key")
+        lines.select("doc_id", "__h", "pos", "key")
         .join(common, "key", "left_semi")
-        .groupBy("doc")
+        .groupBy(F.col("doc_id").alias("__id"), F.col("__h").alias("__text"))
         .agg(F.collect_set("pos").alias("__dropped"))
-        .withColumnRenamed("doc", "__of")
     )
-    joined = keyed.join(dropped, F.col("__doc") == F.col("__of"), "left")
+    joined = keyed.join(dropped, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__text")), "left")
     out = joined.withColumn("__out", _without("text", "__dropped"))
     return out.select(
         *(F.col("__out.text").alias(c) if c == "text" else F.col(c) for c in base.columns),
