@@ -142,8 +142,9 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     and get the same result. A single document is its own next one. Other
     columns are not read; an empty table gives an empty result.
 
-    Texts are shuffled once; from a document to the one before it go only the
-    code points that it needs and the fingerprint.
+    Fingerprints of the texts are made once, before the texts are shuffled; from
+    a document to the one before it go only the code points that it needs and
+    the fingerprint. A fingerprint grows with its text: 8 digits a span.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("h", F.xxhash64("text"))
@@ -155,17 +156,18 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
         F.col("next.doc_id").alias("d"), F.col("next.h").alias("g"), F.struct("doc_id", "h").alias("to"), F.floor(F.col("n") / 4).cast("int").alias("quarter")
     )
     same = lambda d, g: F.col("doc_id").eqNullSafe(F.col(d)) & (F.col("h") == F.col(g))
-    sent = with_fingerprint(rows.join(to_previous, same("d", "g")), "text", "next_fingerprint").select(
+    printed = with_fingerprint(rows, "text", "fingerprint")
+    sent = printed.join(to_previous, same("d", "g")).select(
         F.col("to.doc_id").alias("to_d"),
         F.col("to.h").alias("to_g"),
         F.left("text", "quarter").alias("beginning"),
-        "next_fingerprint",
+        F.col("fingerprint").alias("next_fingerprint"),
     )
     if keys.where("rows > 1").limit(1).count():
         sent = sent.dropDuplicates(["to_d", "to_g"])
     n = F.length("text")
     edited = F.concat(F.left("text", n - F.floor(n / 4).cast("int")), "beginning")
-    met = rows.join(sent, same("to_d", "to_g")).withColumn("edited", edited)
-    return with_fingerprint(with_fingerprint(met, "text", "fingerprint"), "edited", "edited_fingerprint").select(
+    met = printed.join(sent, same("to_d", "to_g")).withColumn("edited", edited)
+    return with_fingerprint(met, "edited", "edited_fingerprint").select(
         "doc_id", "text", "edited", "fingerprint", "edited_fingerprint", "next_fingerprint"
     )

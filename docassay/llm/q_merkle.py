@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docassay.llm.merkle import compare_with_next, likeness
+from docassay.llm.merkle import compare_with_next, edited_branches, likeness
 from docassay.sources import read_table
 
 NAME = "op4_merkle_fingerprint"
@@ -34,6 +34,17 @@ def _like(a: str, b: str) -> str:
     return _LIKE.format(a=a, b=b, la=leaves.format(a), lb=leaves.format(b))
 
 
+#: Positions "section/paragraph" whose digests differ between own.fp and edit.fp.
+_BRANCHES = """
+CASE WHEN split_part(own.fp, '|', 1) = split_part(edit.fp, '|', 1) THEN [] ELSE flatten(list_transform(
+  range(1, greatest(len(string_split(split_part(own.fp, '|', 3), '/')), len(string_split(split_part(edit.fp, '|', 3), '/'))) + 1),
+  lambda k: CASE WHEN string_split(split_part(own.fp, '|', 3), '/')[k] IS NOT DISTINCT FROM string_split(split_part(edit.fp, '|', 3), '/')[k] THEN []
+    ELSE list_transform(list_filter(
+      range(1, greatest(length(coalesce(string_split(split_part(own.fp, '|', 3), '/')[k], '')), length(coalesce(string_split(split_part(edit.fp, '|', 3), '/')[k], ''))) // 8 + 1),
+      lambda n: nullif(substring(coalesce(string_split(split_part(own.fp, '|', 3), '/')[k], ''), n * 8 - 7, 8), '')
+        IS DISTINCT FROM nullif(substring(coalesce(string_split(split_part(edit.fp, '|', 3), '/')[k], ''), n * 8 - 7, 8), '')),
+      lambda n: CAST(k - 1 AS VARCHAR) || '/' || CAST(n - 1 AS VARCHAR)) END)) END
+"""
 SQL = f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 following AS (
@@ -46,14 +57,15 @@ following AS (
 ), own AS ({_FINGERPRINT.format(text="text")}), edit AS ({_FINGERPRINT.format(text="edited")})
 SELECT base.doc_id, base.n AS n_chars, sha256(edited) AS edited_sha256, own.fp AS fingerprint,
        edit.fp AS edited_fingerprint, {_like("own.fp", "edit.fp")} AS near_edited,
-       {_like("own.fp", "nx.fp")} AS near_next
+       {_like("own.fp", "nx.fp")} AS near_next, CAST(len({_BRANCHES}) AS INTEGER) AS n_branches, ({_BRANCHES})[1] AS first_branch
 FROM base JOIN own ON own.doc_id = base.doc_id JOIN edit ON edit.doc_id = base.doc_id
 JOIN own nx ON nx.doc_id = base.next_id
 """
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = compare_with_next(read_table(spark, sf_dir, "documents"))
+    found = compare_with_next(read_table(spark, sf_dir, "documents")).withColumn("at", edited_branches("fingerprint", "edited_fingerprint"))
+    first = F.get("at", 0)
     return found.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
@@ -62,4 +74,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "edited_fingerprint",
         likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
         likeness("fingerprint", "next_fingerprint").alias("near_next"),
+        F.size("at").alias("n_branches"),
+        F.when(first.isNotNull(), F.concat_ws("/", first["section"].cast("string"), first["paragraph"].cast("string"))).alias("first_branch"),
     )
