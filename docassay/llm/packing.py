@@ -19,13 +19,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docassay.llm.common import shared_checkpoint, utf8
+from docassay.llm.common import shared_checkpoint, utf8, with_bounded_batches
+from docassay.sources import spread
 from docassay.llm.tokens import byte_bpe
 
 FAN_IN = 8
 CLOSING_ID = b"\0\0\0\0"
 #: Sequence ids: merge level, then partition or group, then a running number.
 LEVEL_BITS, GROUP_BITS = 56, 28
+#: Numbers of rows: partition, then a running number.
+ROW_BITS = 33
 
 
 class Packer:
@@ -33,23 +36,23 @@ class Packer:
 
     def __init__(self, length: int, windows: int, max_pad: int, keep_ids: bool):
         self.length, self.windows, self.max_pad, self.keep_ids = length, windows, max_pad, keep_ids
-        self.open: list[list] = []  # [used, [(doc_id, start, ids, doc_tokens), ...]]
+        self.open: list[list] = []  # [used, [(doc_id, row, start, ids, doc_tokens), ...]]
         self.rows: list[tuple] = []
         self.next_id = 0
 
     def emit(self, window: list, closed: bool = True) -> None:
         at = 0
-        for doc_id, start, ids, doc_tokens in window[1]:
+        for doc_id, row, start, ids, doc_tokens in window[1]:
             n = len(ids) // 4
             kept = ids if self.keep_ids or not closed else None
-            self.rows.append((doc_id, start, n, zlib.crc32(ids), doc_tokens, self.next_id, at, closed, kept))
+            self.rows.append((doc_id, row, start, n, zlib.crc32(ids), doc_tokens, self.next_id, at, closed, kept))
             at += n
         self.next_id += 1
 
-    def place(self, doc_id, start: int, ids: bytes, doc_tokens: int) -> None:
+    def place(self, doc_id, row: int, start: int, ids: bytes, doc_tokens: int) -> None:
         length = self.length
         while len(ids) >= 4 * length:
-            self.emit([length, [(doc_id, start, ids[: 4 * length], doc_tokens)]])
+            self.emit([length, [(doc_id, row, start, ids[: 4 * length], doc_tokens)]])
             start, ids = start + length, ids[4 * length :]
         while ids:
             n = len(ids) // 4
@@ -62,7 +65,7 @@ class Packer:
                 self.open.append(best)
             if best is not None:
                 best[0] += n
-                best[1].append((doc_id, start, ids, doc_tokens))
+                best[1].append((doc_id, row, start, ids, doc_tokens))
                 if best[0] == length:
                     self.open.remove(best)
                     self.emit(best)
@@ -70,7 +73,7 @@ class Packer:
             fullest = max(self.open, key=lambda w: w[0])
             room = length - fullest[0]
             if room > self.max_pad:
-                fullest[1].append((doc_id, start, ids[: 4 * room], doc_tokens))
+                fullest[1].append((doc_id, row, start, ids[: 4 * room], doc_tokens))
                 start, ids = start + room, ids[4 * room :]
             self.open.remove(fullest)
             self.emit(fullest)
@@ -82,15 +85,15 @@ class Packer:
 
     def table(self, schema: pa.Schema, level: int, group: int) -> pa.Table:
         base = (level << LEVEL_BITS) + (group << GROUP_BITS)
-        columns = list(zip(*self.rows)) or [()] * 9
-        columns[5] = [base + k for k in columns[5]]
+        columns = list(zip(*self.rows)) or [()] * 10
+        columns[6] = [base + k for k in columns[6]]
         self.rows = []
         arrays = [pa.array(c, f.type) for c, f in zip([*columns, [group] * len(columns[0])], schema)]
         return pa.Table.from_arrays(arrays, schema=schema)
 
 
 def _schema(id_type: pa.DataType) -> pa.Schema:
-    kinds = [("doc_id", id_type), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+    kinds = [("doc_id", id_type), ("row", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     kinds += [("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
     return pa.schema([*kinds, ("closed", pa.bool_()), ("ids", pa.binary()), ("part", pa.int64())])
 
@@ -103,28 +106,30 @@ def pack(
     max_pad: int = 8,
     with_ids: bool = False,
 ) -> DataFrame:
-    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
+    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, row (and ids).
 
     Every id of every row of `docs` lies in exactly one piece, every sequence
     has `length` ids at most, and its pieces follow each other from offset 0.
     A null or empty text has only the closing id 0. Rows are packed one by one,
-    so repeated rows or ids are packed as often as they occur; a null doc_id
+    so repeated rows or ids are packed as often as they occur, and `row`, a number
+    of its own for every row of `docs`, tells their pieces apart; a null doc_id
     stays null. Other columns are not read. An empty table gives no pieces.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_field = docs.schema["doc_id"]
     schema = _schema(to_arrow_type(id_field.dataType))
-    ddl = f"doc_id {id_field.dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, closed boolean, ids binary, part long"
+    ddl = f"doc_id {id_field.dataType.simpleString()}, row long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, closed boolean, ids binary, part long"
 
     def first(batches):
         encode = byte_bpe(tokenizer_path).all_ids
         part = TaskContext.get().partitionId()
-        packer = Packer(length, windows, max_pad, with_ids)
+        packer, row = Packer(length, windows, max_pad, with_ids), part << ROW_BITS
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encode((text.as_py() or b"").decode("utf-8", "replace")) + CLOSING_ID
-                packer.place(doc_id, 0, ids, len(ids) // 4)
+                packer.place(doc_id, row, 0, ids, len(ids) // 4)
+                row += 1
             yield from packer.table(schema, 0, part).to_batches()
         packer.finish(closed=False)
         yield from packer.table(schema, 0, part).to_batches()
@@ -133,15 +138,16 @@ def pack(
         def of_group(table: pa.Table) -> pa.Table:
             group = table.column("group")[0].as_py()
             packer = Packer(length, 1 if last else windows, 0 if last else max_pad, with_ids)
-            rows = zip(*(table.column(c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens")))
-            for doc_id, start, ids, doc_tokens in sorted(rows, key=lambda r: (-len(r[2]), r[0] is None, r[0], r[1])):
-                packer.place(doc_id, start, ids, doc_tokens)
+            rows = zip(*(table.column(c).to_pylist() for c in ("doc_id", "row", "start", "ids", "doc_tokens")))
+            for piece in sorted(rows, key=lambda r: (-len(r[3]), r[1], r[2])):
+                packer.place(*piece)
             packer.finish(closed=last)
             return packer.table(schema, level, group)
 
         return of_group
 
-    done = shared_checkpoint(docs.select("doc_id", utf8("text").alias("text")).mapInArrow(first, ddl))
+    texts = with_bounded_batches(spread(docs.select("doc_id", utf8("text").alias("text"))))
+    done = shared_checkpoint(texts.mapInArrow(first, ddl))
     parts, level = done.rdd.getNumPartitions(), 0
     packed = done.where("closed")
     while parts >= 1:
@@ -152,5 +158,5 @@ def pack(
         packed = packed.union(done.where("closed"))
         if last:
             break
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "row"]
     return packed.select(*columns, *(["ids"] if with_ids else []))

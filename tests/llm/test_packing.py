@@ -16,23 +16,22 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
-ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "\n a", "a\n", "x  y", "it's we'll 'tis", "é ü 漢字   z", "<|endoftext|> x", "1 23 four5", "a\x1c b", "\r\n\r\n q", "z" * 3000]
+ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "\n a", "a\n", "x  y", "it's we'll 'tis", "é ü 漢字   z", "<|endoftext|> x", "a <|endoftext|> x", "x <|endoftext|>", "1 23 four5", "a\x1c b", "\r\n\r\n q", "z" * 3000]
 
 
 @pytest.mark.parametrize("text", ODD)
 def test_ids_equal_the_tokenizers_library(plain, text):
-    assert np.frombuffer(byte_bpe(PATH).ids(text), "<u4").tolist() == plain(text)
+    assert np.frombuffer(byte_bpe(PATH).all_ids(text), "<u4").tolist() == plain(text)
 
 
 def test_random_texts(plain):
     r = random.Random(3)
     for _ in range(300):
         text = "".join(r.choice(["a", "the", " ", "  ", "\n", "é", "!", "9", "\t", "'s", " ", "Z"]) for _ in range(40))
-        assert np.frombuffer(byte_bpe(PATH).ids(text), "<u4").tolist() == plain(text)
+        assert np.frombuffer(byte_bpe(PATH).all_ids(text), "<u4").tolist() == plain(text)
 
 
 def check(rows, docs, plain, length):
@@ -70,10 +69,18 @@ def check(rows, docs, plain, length):
 def test_round_trip(spark, plain, parts):
     r = random.Random(parts)
     docs = [(i, " ".join(f"word{r.randrange(99)}" for _ in range(r.choice([0, 1, 5, 40, 300])))) for i in range(150)]
-    docs += [(900, None), (901, ""), (5, "again"), (5, "again"), (None, "no id"), (902, "long " * 9000)]
+    docs += [(900, None), (901, ""), (5, "again"), (5, "again"), (None, "no id"), (902, "long " * 9000), (903, "end <|endoftext|> of <|endoftext|>")]
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, start int").repartition(parts)
     rows = pack(df, PATH, 128, windows=4, with_ids=True).collect()
     assert check(rows, docs, plain, 128) < 0.05
+    by_row = defaultdict(list)
+    for x in rows:
+        by_row[x.row].append(x)
+    assert len(by_row) == len(docs)
+    for pieces in by_row.values():  # also those of rows that repeat an id
+        pieces.sort(key=lambda x: x.start)
+        assert [x.start for x in pieces] == [sum(y.length for y in pieces[:k]) for k in range(len(pieces))]
+        assert len({x.doc_id for x in pieces}) == 1 and sum(x.length for x in pieces) == pieces[0].doc_tokens
 
 
 def test_empty_table(spark):
