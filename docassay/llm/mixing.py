@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from docassay.llm.common import seeded_long, shared_checkpoint
 
-#: Budgets up to this size go to the dynamic programme; larger ones are cut down by whole documents first.
+#: The dynamic programme has this much of the budget, or two of the largest documents if that is more, and all of a
+#: smaller budget. It reaches one largest document beyond, so that a sum above the budget may be the nearest.
 PROGRAMMED = 1 << 16
 #: Bits of the hash that cut a size into cells.
 CELL_BITS = 12
@@ -52,25 +53,31 @@ def source_targets(totals: Sequence[tuple[str | None, int]], weights: Sequence[f
 
 
 def fit_budget(sizes: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
-    """How many documents of each size to take so that their sizes sum to nearly `budget`."""
+    """How many documents of each size to take so that their sizes sum as nearly as can be to `budget`.
+
+    Shares of every size come first; bounded-knapsack dynamic programming over
+    the documents that are free again ends it. Of equally near sums the smaller.
+    """
     sizes, counts = [int(x) for x in sizes], [int(x) for x in counts]
     total = sum(s * c for s, c in zip(sizes, counts))
     budget = max(0, min(int(budget), total))
     taken = [c * budget // total if s else 0 for s, c in zip(sizes, counts)] if total else [0] * len(sizes)
     left = budget - sum(s * t for s, t in zip(sizes, taken))
     order = sorted((k for k in range(len(sizes)) if sizes[k]), key=lambda k: -sizes[k])
+    largest = sizes[order[0]] if order else 0
+    programmed = max(PROGRAMMED, 2 * largest)
     for k in order:
-        more = min(counts[k] - taken[k], max(0, left - PROGRAMMED) // sizes[k])
+        more = min(counts[k] - taken[k], max(0, left - programmed) // sizes[k])
         taken[k] += more
         left -= more * sizes[k]
     for k in reversed(order):  # small sizes are free again as far as the programme holds them
-        back = min(taken[k], max(0, PROGRAMMED - left) // sizes[k])
+        back = min(taken[k], max(0, programmed - left) // sizes[k])
         taken[k] -= back
         left += back * sizes[k]
     # bounded knapsack over what is left: items of 1, 2, 4, ... documents of a size
-    room = left + min(sizes[order[0]] if order else 0, PROGRAMMED)
+    room = left + largest
     reached, full = 1, (1 << (room + 1)) - 1
-    by = np.full(room + 1, -1, np.int64)
+    by = np.full(room + 1, -1, np.int32)
     items: list[tuple[int, int]] = []
     for k in order:
         free, chunk = min(counts[k] - taken[k], room // sizes[k]), 1
@@ -78,12 +85,15 @@ def fit_budget(sizes: Sequence[int], counts: Sequence[int], budget: int) -> list
             n = min(chunk, free)
             new = reached << n * sizes[k] & full & ~reached
             if new:
-                bits = np.frombuffer(new.to_bytes(room // 8 + 1, "little"), np.uint8)
-                by[np.nonzero(np.unpackbits(bits, bitorder="little"))[0]] = len(items)
+                found = np.frombuffer(new.to_bytes(room // 8 + 1, "little"), np.uint8)
+                byte = np.flatnonzero(found)
+                at, bit = np.nonzero(np.unpackbits(found[byte, None], axis=1, bitorder="little"))
+                by[byte[at] * 8 + bit] = len(items)
                 items.append((k, n))
                 reached |= new
             free, chunk = free - n, chunk * 2
-    best = next((x for d in range(room + 1) for x in (left - d, left + d) if 0 <= x <= room and reached >> x & 1), 0)
+    sums = np.flatnonzero(np.unpackbits(np.frombuffer(reached.to_bytes(room // 8 + 1, "little"), np.uint8), bitorder="little"))
+    best = int(sums[np.abs(sums - left).argmin()])
     while best > 0:
         k, n = items[by[best]]
         taken[k] += n

@@ -30,6 +30,27 @@ def test_large_budget():
     assert fit_budget([], [], 5) == [] and fit_budget([0], [9], 5) == [0]
 
 
+@pytest.mark.parametrize("sizes,counts,budget,want", [
+    ([300_000], [5], 800_000, 900_000), ([300_000], [5], 750_000, 600_000), ([70_000, 500_000], [3, 2], 620_000, 640_000),
+    ([300_000, 1], [5, 200_000], 800_000, 800_000), ([2_000_000, 1_999_999], [2, 2], 5_000_000, 5_999_998), ([10**7], [1], 10**7 - 1, 10**7),
+])
+def test_very_long_documents(sizes, counts, budget, want):
+    got = fit_budget(sizes, counts, budget)
+    assert sum(s * t for s, t in zip(sizes, got)) == want and all(t <= c for t, c in zip(got, counts))
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_what_is_left_to_the_programme_is_bounded(seed, monkeypatch):
+    monkeypatch.setattr("docassay.llm.mixing.PROGRAMMED", 8)
+    r = random.Random(seed)
+    sizes = r.sample(range(1, 40), 6)
+    counts = [r.randrange(1, 9) for _ in sizes]
+    budget = r.randrange(sum(s * c for s, c in zip(sizes, counts)) + 1)
+    got = fit_budget(sizes, counts, budget)
+    assert all(0 <= t <= c for t, c in zip(got, counts))
+    assert abs(sum(s * t for s, t in zip(sizes, got)) - budget) <= min(sizes)
+
+
 def test_targets():
     assert source_targets([], (3, 1, 2), 1.5, 2) == []
     got = dict(source_targets([(None, 10), ("b", 100), ("a", 4), ("é", 50)], (3, 1, 2), 1.5, 2))
