@@ -1,9 +1,9 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
 A rule's literal tokens are runs of a-z and 0-9 that must stand whole in every
-URL it fits. Each rule is filed under the one that the fewest rules share. A
-URL's own tokens fetch the candidate rules from that index, and only these run
-their regular expressions. All of it is one projection: no shuffle, no Python.
+URL it fits. Each rule is filed under the one that the fewest URLs hold. A URL's
+own tokens fetch the candidate rules from that index, and only these run their
+regular expressions. Judging is one projection: no shuffle, no Python.
 
 Two kinds of rules: host rules ("example.org/es/": the host, its subdomains and
 a start of the path), of which the longest that fits decides; and patterns over
@@ -79,14 +79,28 @@ def pattern_rule(text: str) -> dict:
     }
 
 
-def token_index(rules: Iterable[dict]) -> tuple[dict[str, list[dict]], list[dict]]:
-    """Rules by rarest token (ties: the longer, then the first in order) and those without one."""
-    rules = list(rules)
+def token_counts(pages: DataFrame, rules: Iterable[dict], url_col: str = "url") -> dict[str, int]:
+    """URLs that hold each token of the rules; a row a token of a rule comes to the driver, whatever the table's size."""
+    wanted = sorted({t for r in rules for t in r["tokens"]})
+    if not wanted:
+        return {}
+    known = F.broadcast(pages.sparkSession.createDataFrame([(t,) for t in wanted], "token string"))  # tokens of the rules
+    held = pages.select(F.explode(_tokens(F.col(url_col))).alias("token"))
+    return {r[0]: r[1] for r in held.join(known, "token", "left_semi").groupBy("token").count().collect()}
+
+
+def _tokens(url: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.translate(url, ascii_uppercase, ascii_lowercase), F.lit(f"({_TOKEN})")))
+
+
+def token_index(rules: Iterable[dict], counts: dict[str, int] | None = None) -> tuple[dict[str, list[dict]], list[dict]]:
+    """Rules by rarest token and those without one. Rarest: in `counts`, then among the rules, then the longer, then the first in order."""
+    rules, counts = list(rules), counts or {}
     shared = Counter(t for r in rules for t in set(r["tokens"]))
     filed, loose = {}, []
     for r in rules:
         if r["tokens"]:
-            token = min(set(r["tokens"]), key=lambda t: (shared[t], -len(t), t))
+            token = min(set(r["tokens"]), key=lambda t: (counts.get(t, 0), shared[t], -len(t), t))
             filed.setdefault(token, []).append(r)
         else:
             loose.append(r)
@@ -133,11 +147,12 @@ def judge_urls(
     verdict, and its text the rule; of equally long ones a blocking one wins. A
     url that none fits is blocked if a pattern fits, else allowed, with a null
     rule. A null url, or one without "://", has an empty host and path; patterns
-    still see its text. Repeated rows are judged one by one. Rules travel in the
-    plan; the number of candidates of a url does not grow with that of rules.
+    still see its text. Repeated rows are judged one by one. The rules' tokens
+    are counted in all urls first. Rules travel in the plan; the number of
+    candidates of a url does not grow with that of rules.
     """
-    rules = [host_rule(text, action == "block") for action, text in host_rules]
-    filed, loose = token_index([*rules, *map(pattern_rule, patterns)])
+    rules = [*(host_rule(text, action == "block") for action, text in host_rules), *map(pattern_rule, patterns)]
+    filed, loose = token_index(rules, token_counts(pages, rules, url_col))
     buckets: list[list] = [[] for _ in range(BUCKETS)]
     for token, found in filed.items():
         buckets[_bucket(token)] += _literal([(token, r) for r in found])
@@ -152,15 +167,13 @@ def judge_urls(
             "__place": F.concat("host", "path"),
         }
     )
-    tokens = F.array_distinct(F.regexp_extract_all("__url", F.lit(f"({_TOKEN})")))
-
     def bucket(token: Column) -> Column:
         bytes_of = F.split(token, "")
         return F.aggregate(
             bytes_of, F.lit(0), lambda v, c: F.pmod(v * 31 + F.ascii(c), F.lit(65521)), lambda v: F.pmod(v, F.lit(BUCKETS))
         )
 
-    fetched = parsed.withColumn("__tokens", tokens).withColumn(
+    fetched = parsed.withColumn("__tokens", _tokens(F.col("__url"))).withColumn(
         "__rules",
         F.concat(
             always,

@@ -1,7 +1,7 @@
 import random
 
 from docassay.llm.q_url_filter import RULES
-from docassay.llm.url_filter import host_rule, judge_urls, pattern_rule, token_index
+from docassay.llm.url_filter import host_rule, judge_urls, pattern_rule, token_counts, token_index
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -52,5 +52,27 @@ def test_wildcards_and_separators(spark):
     assert [x.verdict for x in got] == ["block", "block", "block", "allow", "block"]
 
 
+def test_many_rules(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    rules = sorted({(f"{word()}.{r.choice(['com', 'org'])}/{r.choice(['', word(), word() + '/'])}") for _ in range(10_000)})
+    rules = [("block" if k % 3 else "allow", text) for k, text in enumerate(rules)]
+    urls = []
+    for _ in range(300):
+        host, _, path = r.choice(rules)[1].partition("/")
+        urls.append(f"http://{r.choice(['', 'www.', 'x'])}{host}/{r.choice([path, path + 'zz', word()])}?{word()}")
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for x in judge_urls(pages, rules, ()).collect():
+        assert (x.host, x.path, x.rule, x.verdict) == brute(x.url, rules, lambda u: False), x
+
+
+def test_rarest_token_is_that_of_the_fewest_urls(spark):
+    pages = spark.createDataFrame([(k, f"http://www.example.org/es/{k}") for k in range(5)] + [(9, None)], "page_id long, url string")
+    rules = [host_rule("example.org/es/", True), host_rule("com/es/", True)]
+    counts = token_counts(pages, rules)
+    assert counts == {"example": 5, "org": 5, "es": 5}
+    assert set(token_index(rules, counts)[0]) == {"com", "example"}
+
+
 def test_empty_table(spark):
     assert judge_urls(spark.createDataFrame([], "page_id long, url string"), RULES).count() == 0
