@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docassay.llm.bytecnn import OVERLAP, STRIDE, WINDOW, Adam, Filters, cut
-from docassay.llm.common import seeded_long, utf8
+from docassay.llm.common import seeded_long, utf8, with_bounded_batches
+from docassay.sources import spread
 
 #: Bounds of the training sample: documents of a label and windows of a document.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 600, 8
@@ -164,7 +165,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     language was learnt. With a single learnt language every other text has it,
     with score 1. Texts of any length are read whole; other columns stay.
     """
-    base = docs.drop("lang_pred", "score")
+    base = with_bounded_batches(spread(docs.drop("lang_pred", "score")))
 
     @F.pandas_udf("struct<p: int, s: double>")
     def predicted(text):
@@ -243,7 +244,7 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     Without both labels to learn from, all get the share of label 1 (smoothed;
     0.5 without any). Texts of any length are read whole; other columns stay.
     """
-    base = docs.drop("score", "predicted")
+    base = with_bounded_batches(spread(docs.drop("score", "predicted")))
 
     @F.pandas_udf("double")
     def scored(text):
