@@ -7,17 +7,21 @@ all rows that its predecessor kept.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docassay.llm import q_language_id
 from docassay.llm.classifiers import UNDETERMINED, LanguageModel, background_windows, identify_languages
+from docassay.llm.common import shared_folder
 from docassay.llm.line_dedup import drop_common_lines
 from docassay.llm.mixing import mixed_documents
 from docassay.llm.packing import pack
 from docassay.llm.simhash import keep_one_of_similar
 from docassay.sources import read_table
+
 #: A text stays from this score on (held-out rows: README); training takes so many steps at least.
 LEAST_SCORE, LEAST_STEPS = 0.4, 300
 
@@ -70,8 +74,23 @@ ORACLE_SQL = None  # SQL has no network, knapsack or tokenizer; tests/llm check
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents."""
-    docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over the table documents.
+
+    Each stage's result but the last is written as Parquet to the folder in
+    `spark.checkpoint.dir` and read again for the next, so that no stage is
+    computed twice; the one before it is deleted then.
+    """
+    docs, before = read_table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        path = f"{shared_folder(spark)}/{name}-{uuid4().hex}.parquet"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before is not None:
+            _delete(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
