@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +18,17 @@ _BYTES_A_BATCH, _SPARKS_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch",
 def shared_folder(spark: SparkSession) -> str:
     """This application's folder under `spark.checkpoint.dir`, on storage that the driver and all executors share.
 
-    Without that setting this is an error: no other folder is known to be shared.
+    Without that setting a temporary folder takes its place in local mode, where
+    one process does everything; on a cluster it is an error, as no folder is
+    known to be shared.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
