@@ -243,12 +243,34 @@ def recompression_error(image: np.ndarray, step: float = 8.0) -> np.ndarray:
     return np.abs(b - back)
 
 
-def pattern_histogram(image: np.ndarray, cells: int = 4, bins: int = 32) -> np.ndarray:
-    """Histograms of local patterns in a grid of cells, each of unit length."""
-    p = local_patterns(image) * bins // 256
-    out = []
-    for rows in np.array_split(p, cells, axis=0):
-        for cell in np.array_split(rows, cells, axis=1):
-            h = np.bincount(cell.ravel(), minlength=bins).astype(np.float64)
-            out.append(h / max(np.linalg.norm(h), 1e-12))
+def texture_cells(image: np.ndarray, cells: int = 4) -> np.ndarray:
+    """Of a grid of cells of the image at 100 x 100: how many pixels are, and are not, brighter than their blur; of unit length each."""
+    side = 100 // cells
+    small, out = np.rint(resized(image, 100, 100)), []
+    for y in range(0, cells * side, side):
+        for x in range(0, cells * side, side):
+            cell = small[y : y + side, x : x + side]
+            above = int((cell > np.rint(weighed(cell, np.array([0.25, 0.5, 0.25]), "reflect"))).sum())
+            pair = np.array([cell.size - above, above], np.float64)
+            out.append(pair / np.linalg.norm(pair))
     return np.concatenate(out)
+
+
+def distances_to_ground(ink: np.ndarray) -> np.ndarray:
+    """Euclidean distance of every ink pixel to the nearest pixel without ink; infinite where there is none."""
+    h, w = ink.shape
+    up = np.full((h, w), np.inf)
+    for y in range(h):
+        up[y] = np.where(ink[y], (up[y - 1] + 1) if y else np.inf, 0)
+    for y in range(h - 2, -1, -1):
+        up[y] = np.minimum(up[y], up[y + 1] + 1)
+    x = np.arange(w)
+    return np.sqrt(np.array([((x[:, None] - x[None, :]) ** 2 + row[None, :] ** 2).min(1) for row in up]))[ink]
+
+
+def gradients(image: np.ndarray) -> np.ndarray:
+    """Sobel magnitudes, edges mirrored."""
+    p = np.pad(image, 1, mode="reflect")
+    gx = (p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[1:-1, :-2] + p[2:, :-2])
+    gy = (p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[:-2, 1:-1] + p[:-2, 2:])
+    return np.hypot(gx, gy)

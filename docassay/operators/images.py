@@ -323,11 +323,18 @@ def cleaned(images: DataFrame, front: bool = True) -> DataFrame:
     return applied(grey, F.concat(sharpening(F.col("sharpness")), last))
 
 
+def _grey(d, h, w, n) -> np.ndarray | None:
+    if d is None or len(d) != h * w * n:
+        return None
+    image = np.frombuffer(d, np.uint8).reshape(int(h), int(w), int(n))
+    return P.gray(image) if n >= 3 else image[..., 0].astype(np.float64)
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def pattern_histograms(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
-    """Local pattern histograms of grey images; null for unreadable ones."""
-    made = lambda d, h, w: P.pattern_histogram(np.frombuffer(d, np.uint8).reshape(int(h), int(w)).astype(np.float64)).tolist()
-    return pd.Series([made(d, h, w) if d is not None and len(d) == h * w and h > 8 and w > 8 else None for d, h, w in zip(data, height, width)])
+def texture_histograms(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series) -> pd.Series:
+    """Texture of each cell of an image (see `pixels.texture_cells`); null for unreadable ones."""
+    greys = (_grey(*x) for x in zip(data, height, width, channels))
+    return pd.Series([None if g is None else P.texture_cells(g).tolist() for g in greys])
 
 
 def histogram_match(a: Column, b: Column) -> Column:
@@ -335,14 +342,71 @@ def histogram_match(a: Column, b: Column) -> Column:
     distance = F.aggregate(
         F.zip_with(a, b, lambda x, y: F.when(x + y > 0, 2 * (x - y) * (x - y) / (x + y)).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x
     )
-    score = F.round(100 * (1 - F.least(distance / 2 / F.size(a) * 32, F.lit(1.0))), 1)
-    label = F.when(score >= 70, "match").when(score >= 55, "likely").when(score >= 35, "uncertain").otherwise("no match")
-    return F.struct(distance.alias("distance"), score.alias("score"), label.alias("label"))
+    score = F.when(distance.isNotNull(), 100 * (1 - F.least(distance / 2, F.lit(1.0))))
+    label = F.when(score >= 70, "match").when(score >= 55, "likely").when(score >= 35, "uncertain").when(score.isNotNull(), "no match")
+    return F.struct(F.round(distance, 4).alias("distance"), F.round(score, 1).alias("score"), label.alias("label"))
+
+
+_FACE = ("entropy", "sharp_edges", "high_share", "skin_pixels", "skin_saturation", "skin_spread", "solid", "variance", "dark", "strokes", "stroke_spread")
+FACE_MEASURES = T.StructType([T.StructField(k, T.DoubleType()) for k in _FACE])
+
+
+def _face_measured(bgr: np.ndarray) -> list[float]:
+    g = P.gray(bgr)
+    small = np.rint(P.resized(g, 128, 128))
+    patterns = np.zeros(small.shape, np.int64)
+    patterns[1:-1, 1:-1] = P.local_patterns(small)
+    share = np.bincount(patterns.ravel(), minlength=256) / patterns.size
+    f = np.abs(np.fft.fftshift(np.fft.fft2(small)))
+    hue, saturation = P.hue_and_saturation(bgr)
+    skin = saturation[(hue >= 3) & (hue <= 30) & (bgr.max(-1) > 40)]
+    size = max(16, min(g.shape) // 6)
+    spots = [g[y : y + size, x : x + size].var() for y in range(0, g.shape[0] - size, size) for x in range(0, g.shape[1] - size, size)]
+    lower = g[int(g.shape[0] * 0.70) :, int(g.shape[1] * 0.20) : int(g.shape[1] * 0.85)]
+    strokes = P.distances_to_ground(P.otsu(lower) == 0)
+    strokes = strokes[np.isfinite(strokes)]
+    return [
+        float(-(share[share > 0] * np.log2(share[share > 0] + 1e-10)).sum()), (P.gradients(small) > 150).mean(),
+        f[P.ring(f.shape, np.nextafter(0.35 * 128, 200), 1e9)].sum() / (f.sum() + 1e-6),
+        float(len(skin)), skin.mean() if len(skin) else 0.0, skin.std() if len(skin) else 0.0,
+        (np.array(spots) < 15).mean() if spots else 0.0, g.var(), (g < 30).mean(),
+        float(len(strokes)), strokes.std() / (np.median(strokes) + 1e-6) if len(strokes) else 0.0,
+    ]
+
+
+@F.pandas_udf(FACE_MEASURES)
+def face_measures(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series) -> pd.DataFrame:
+    """Measures of a face crop, and of the strokes of a card's lower part; null for unreadable or very small images."""
+    rows = []
+    for d, h, w, n in zip(data, height, width, channels):
+        fits = d is not None and h >= 16 and w >= 16 and n in (1, 3, 4) and len(d) == h * w * n
+        image = np.frombuffer(d, np.uint8).reshape(int(h), int(w), int(n)) if fits else None
+        rows.append(_face_measured(image.repeat(3, -1) if n == 1 else image[..., :3]) if fits else [None] * len(_FACE))
+    return pd.DataFrame(rows, columns=list(_FACE)).astype("float64")
+
+
+def font_check(strokes: Column, spread: Column) -> Column:
+    """struct(score, passed): how much the strokes' widths differ in the number's region."""
+    score = F.when(strokes < 100, 50).when(spread > 1.2, 30).when(spread > 0.8, 65).when(spread.isNotNull(), 90)
+    return F.struct(score.alias("score"), (score != 30).alias("passed"))
+
+
+def _within(x: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))
+
+
+def liveness_parts(entropy: Column, edges: Column, high: Column, pixels: Column, saturation: Column, spread: Column) -> dict[str, Column]:
+    """Part scores from 0 to 100 of a face's measures: texture, edges, high frequencies and skin."""
+    skin = F.when(saturation.between(25, 120), 1.0).otherwise(0.4) * F.when(spread.between(8, 50), 1.0).otherwise(0.5) * 90
+    return {
+        "entropy": _within((entropy - 3.0) / 4.0 * 100), "gradient": _within((0.20 - edges) / 0.20 * 100),
+        "high": _within((0.85 - high) / 0.25 * 100), "saturation": F.when(pixels > 200, skin).otherwise(65.0),
+    }
 
 
 def passive_liveness(entropy: Column, gradient: Column, high: Column, saturation: Column) -> Column:
     """struct(score, real) of four part scores from 0 to 100."""
-    score = F.floor(0.35 * entropy + 0.30 * gradient + 0.20 * high + 0.15 * saturation).cast("int")
+    score = F.round(_within(0.35 * entropy + 0.30 * gradient + 0.20 * high + 0.15 * saturation), 1)
     return F.struct(score.alias("score"), (score >= 55).alias("real"))
 
 

@@ -52,11 +52,28 @@ def cleaned_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texture_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Local texture of each image against its successor's."""
-    h = embedding_images(spark, sf_dir).select("vec_id", I.pattern_histograms("data", "height", "width").alias("h"))
+    """Texture of each image against its successor's."""
+    h = embedding_images(spark, sf_dir).select("vec_id", I.texture_histograms("data", "height", "width", "n_channels").alias("h"))
     pairs = h.join(h.select((F.col("vec_id") - 1).alias("vec_id"), F.col("h").alias("other")), "vec_id")
     x = I.histogram_match(F.col("h"), F.col("other"))
-    return pairs.select("vec_id", x["score"].alias("score"), x["label"].alias("label"))
+    return pairs.select("vec_id", x["distance"].alias("distance"), x["score"].alias("score"), x["label"].alias("label"))
+
+
+def face_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every image as a face: both liveness scores, occlusion without an eye detector, and the strokes' check."""
+    images = embedding_images(spark, sf_dir)
+    size = ("data", "height", "width", "n_channels")
+    m = images.select("vec_id", I.measures(*size).alias("m"), I.face_measures(*size).alias("f"))
+    at = lambda k: F.col(f"f.{k}")
+    frequency = I.liveness(F.col("m.fft_peak"), F.col("m.fft_high"))
+    parts = I.liveness_parts(*(at(k) for k in ("entropy", "sharp_edges", "high_share", "skin_pixels", "skin_saturation", "skin_spread")))
+    passive = I.passive_liveness(**parts)
+    both = I.combined_liveness(frequency["score"], passive["score"])
+    occlusion = I.occlusion_score(F.lit(0), at("solid"), at("variance"), at("dark"))
+    return m.select(
+        "vec_id", frequency["score"].alias("frequency"), passive["score"].alias("passive"), both["real"].alias("alive"), occlusion.alias("occlusion"),
+        I.font_check(at("strokes"), at("stroke_spread"))["score"].alias("font"),
+    )
 
 
 _AGES = {"o_orderkey": "o_orderkey", "born": "CAST(o_orderdate AS DATE)", "estimate": "CAST(o_orderkey % 60 AS DOUBLE)"}
@@ -77,5 +94,6 @@ QUERIES = {
     "image_variants": (image_variants, None),
     "cleaned_images": (cleaned_images, None),
     "texture_pairs": (texture_pairs, None),
+    "face_checks": (face_checks, None),
     "ages": (ages, AGES),
 }

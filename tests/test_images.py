@@ -211,3 +211,67 @@ def test_high_frequencies_of_both_directions(spark):
     want = ((d[4:] ** 2).sum() + (d[:, 4:] ** 2).sum()) / ((d**2).sum() + 1e-6)
     assert any(abs(x - want) < 1e-9 for x in m.dct_high)
     assert any(abs(x - (np.abs(d.ravel()[1:]) < 0.5).mean()) < 1e-9 for x in m.dct_zeros)
+
+
+def test_distances_to_ground():
+    ink = R.random((17, 21)) < 0.8
+    ground = np.argwhere(~ink)
+    want = [min(math.hypot(y - a, x - b) for a, b in ground) for y, x in np.argwhere(ink)]
+    assert np.allclose(P.distances_to_ground(ink), want)
+    assert np.isinf(P.distances_to_ground(np.ones((3, 3), bool))).all() and len(P.distances_to_ground(np.zeros((3, 3), bool))) == 0
+
+
+def test_texture_cells():
+    image = R.integers(0, 256, (100, 100)).astype(float)
+    got = P.texture_cells(image)
+    k = (0.25, 0.5, 0.25)
+    for row in range(4):
+        for col in range(4):
+            cell = image[row * 25 : row * 25 + 25, col * 25 : col * 25 + 25]
+            blur = each(cell, lambda y, x: round(sum(k[i] * k[j] * at(cell, y + i - 1, x + j - 1, "mirror") for i in range(3) for j in range(3))))
+            above = (cell > blur).sum()
+            pair = np.array([625 - above, above])
+            assert np.allclose(got[(row * 4 + col) * 2 :][:2], pair / np.linalg.norm(pair), atol=0.003)
+
+
+def test_gradients():
+    def one(y, x):
+        v = lambda dy, dx: at(GREY, y + dy, x + dx, "mirror")
+        gx = v(-1, 1) + 2 * v(0, 1) + v(1, 1) - v(-1, -1) - 2 * v(0, -1) - v(1, -1)
+        gy = v(1, -1) + 2 * v(1, 0) + v(1, 1) - v(-1, -1) - 2 * v(-1, 0) - v(-1, 1)
+        return math.hypot(gx, gy)
+
+    assert np.allclose(P.gradients(GREY), each(GREY, one))
+
+
+def test_texture_of_equal_images_matches(spark):
+    a, b = R.integers(0, 256, (60, 60)), np.full((60, 60), 90)
+    h = frame(spark, [a, a, b]).select("k", I.texture_histograms("data", "height", "width", "n_channels").alias("h"))
+    pairs = h.alias("x").join(h.alias("y"), F.expr("x.k = 0 AND y.k > 0")).select(F.col("y.k").alias("k"), I.histogram_match(F.col("x.h"), F.col("y.h")).alias("m"))
+    got = {r.k: r.m for r in pairs.collect()}
+    assert (got[1].distance, got[1].score, got[1].label) == (0.0, 100.0, "match") and got[2].label == "no match" and got[99].score is None and got[99].label is None
+
+
+def test_face_measures(spark):
+    face = R.integers(100, 140, (90, 90, 3))
+    face[:, :, 2] += 60
+    flat = np.full((90, 90, 3), 10)
+    rows = frame(spark, [face, flat]).select("k", I.face_measures("data", "height", "width", "n_channels").alias("f")).collect()
+    f = {r.k: r.f for r in rows}
+    assert f[0].entropy > 5 and f[0].dark == 0 and f[0].solid == 0 and f[0].skin_pixels > 1000
+    assert f[1].entropy < 2 and f[1].dark == 1 and f[1].solid == 1 and f[1].variance == 0 and f[1].strokes == 0
+    assert f[99].entropy is None
+    grey = P.gray(face.astype(np.uint8))
+    assert abs(f[0].variance - grey.var()) < 1e-6
+    spots = [grey[y : y + 16, x : x + 16].var() for y in range(0, 74, 16) for x in range(0, 74, 16)]
+    assert f[0].solid == np.mean([v < 15 for v in spots])
+
+
+def test_face_scores(spark):
+    v = lambda c: spark.range(1).select(c.alias("v")).first().v
+    lit = F.lit
+    parts = {k: v(c) for k, c in I.liveness_parts(lit(5.0), lit(0.1), lit(0.7), lit(500.0), lit(60.0), lit(20.0)).items()}
+    assert {k: round(x, 6) for k, x in parts.items()} == {"entropy": 50.0, "gradient": 50.0, "high": 60.0, "saturation": 90.0}
+    assert v(I.liveness_parts(lit(9.0), lit(0.5), lit(0.2), lit(9.0), lit(0.0), lit(0.0))["saturation"]) == 65.0
+    for strokes, spread, score, passed in ((99.0, 2.0, 50, True), (500.0, 1.3, 30, False), (500.0, 1.2, 65, True), (500.0, 0.8, 90, True)):
+        assert tuple(v(I.font_check(lit(strokes), lit(spread)))) == (score, passed)

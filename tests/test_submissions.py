@@ -154,7 +154,7 @@ def test_small_expressions(spark):
     lit = F.lit
     assert row(shortened(lit("abcdef"), 4)) == "abc…" and row(shortened(lit(None).cast("string"), 4)) == "—" and row(shortened(lit("abcd"), 4)) == "abcd"
     assert row(ocr.retry_needed(lit(0.5), lit(100))) and not row(ocr.retry_needed(lit(0.5), lit(200)))
-    assert tuple(row(images.passive_liveness(lit(100.0), lit(50.0), lit(20.0), lit(9.0)))) == (55, True)
+    assert tuple(row(images.passive_liveness(lit(100.0), lit(50.0), lit(20.0), lit(9.0)))) == (55.4, True)
     assert tuple(row(images.combined_liveness(lit(80), lit(54)))) == (54, False)
     assert row(images.occlusion_score(lit(1), lit(0.1), lit(300.0), lit(0.05))) == (40 * 65 + 30 * 70 + 20 * 60 + 10 * 75) // 100
     face = spark.createDataFrame([(100, 50)], "width int, height int")
