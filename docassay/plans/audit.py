@@ -60,12 +60,13 @@ _HASH_SQL = "list_sum(list_transform(range(1, 65), lambda i: CASE WHEN e[i] > m
 
 
 def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read_table(spark, sf_dir, "embeddings").where("size(embedding) = 64")
+    e = read_table(spark, sf_dir, "embeddings")
     rest = F.slice(F.col("embedding"), 2, 63)
     mean = F.aggregate(rest, F.lit(0.0), lambda s, x: s + x.cast("double")) / 63.0
     bits = F.transform("embedding", lambda x: (x.cast("double") > mean).cast("long"))
     phash = F.aggregate(bits, F.lit(0).cast("long"), lambda h, b: F.shiftleft(h, 1).bitwiseOR(b))
-    return e.select(F.col("vec_id").alias("seq"), phash.alias("phash"), F.sha2(F.col("label").cast("string"), 256).alias("digest"))
+    # other vectors have no hash; they can still be equal to others by their digest
+    return e.select(F.col("vec_id").alias("seq"), F.when(F.size("embedding") == 64, phash).alias("phash"), F.sha2(F.col("label").cast("string"), 256).alias("digest"))
 
 
 NEAR_BITS = 16
@@ -86,9 +87,9 @@ def duplicate_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DUPLICATE_SUBMISSIONS = f"""
-WITH n AS ({SIMILAR_HASHES}), f AS (SELECT label, min(vec_id) AS first FROM embeddings WHERE len(embedding) = 64 AND label IS NOT NULL GROUP BY 1),
+WITH n AS ({SIMILAR_HASHES}), f AS (SELECT label, min(vec_id) AS first FROM embeddings WHERE label IS NOT NULL GROUP BY 1),
 d AS (SELECT e.vec_id AS seq, least(CASE WHEN f.first < e.vec_id THEN f.first END, n.similar_seq) AS duplicate_of
-  FROM embeddings e LEFT JOIN f ON f.label = e.label LEFT JOIN n ON n.seq = e.vec_id WHERE len(embedding) = 64)
+  FROM embeddings e LEFT JOIN f ON f.label = e.label LEFT JOIN n ON n.seq = e.vec_id)
 SELECT seq, duplicate_of IS NOT NULL AS is_duplicate, duplicate_of FROM d"""
 
 LIMITS = ((3600, 1), (86400, 3))

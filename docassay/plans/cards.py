@@ -70,6 +70,25 @@ def card_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.select("o_orderkey", completeness({k: F.col(k) for k in fields}).alias("completeness"))
 
 
+def card_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name, date of birth, gender and guardian of every card text."""
+    records = X.with_card_record(spread(view(spark, sf_dir, "orders", _CARDS)), "text")
+    return records.select("o_orderkey", "name", "dob", "gender", F.col("father_husband_name").alias("care_of"))
+
+
+#: What the lines of CARD_TEXT say of a person, by how they were made; no pattern is applied again.
+_PERSONS = """
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'ANIL KUMAR SHARMA' WHEN 1 THEN 'Sunita Patel' WHEN 2 THEN 'Rakesh Nair' END AS name,
+  CASE WHEN o_orderkey % 6 = 0 THEN '10/11/' || CAST(1950 + o_orderkey % 60 AS VARCHAR) WHEN o_orderkey % 6 = 3 THEN '25/12/' || CAST(1950 + o_orderkey % 60 AS VARCHAR)
+    WHEN o_orderkey % 6 > 3 THEN '30/12/1988' WHEN o_orderkey % 4 = 0 THEN '01/02/2013'
+    WHEN o_orderkey % 6 = 1 THEN '10/01/' || CAST(1990 + o_orderkey % 20 AS VARCHAR) END AS dob,
+  CASE o_orderkey % 7 WHEN 0 THEN 'Male' WHEN 1 THEN 'Female' WHEN 2 THEN 'Male' WHEN 3 THEN CASE WHEN o_orderkey % 6 <> 2 THEN 'Female' END END AS gender,
+  CASE o_orderkey % 3 WHEN 0 THEN 'Mohan Lal' || chr(10) || 'near temple road' WHEN 1 THEN 'Ram Das' END AS care_of FROM orders"""
+CARD_COMPLETENESS = f"""
+SELECT o_orderkey, round(((name IS NOT NULL)::INT * 2 + (dob IS NOT NULL)::INT + (gender IS NOT NULL)::INT + (id_number IS NOT NULL)::INT * 3) / 11.0::DOUBLE, 3) AS completeness
+FROM ({_PERSONS}) JOIN ({CARD_IDENTIFIERS}) USING (o_orderkey)"""
+
+
 def document_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", X.email(F.col("text")).alias("email")).where("email IS NOT NULL")
@@ -120,7 +139,8 @@ WHEN 3 THEN 'KUMAVAT RAM' WHEN 4 THEN 'LAL' WHEN 5 THEN 'DEVAM SINGH' WHEN 6 THE
 QUERIES = {
     "card_identifiers": (card_identifiers, CARD_IDENTIFIERS),
     "card_records": (card_records, None),
-    "card_completeness": (card_completeness, None),
+    "card_persons": (card_persons, _PERSONS),
+    "card_completeness": (card_completeness, CARD_COMPLETENESS),
     "document_emails": (document_emails, DOCUMENT_EMAILS),
     "document_lines": (document_lines, DOCUMENT_LINES),
     "regrouped_ids": (regrouped_ids, REGROUPED_IDS),

@@ -14,12 +14,13 @@ CELL = 8
 
 
 def embedding_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 64 x 64 grey image of every embedding of 64 values: 8 x 8 squares of equal grey."""
-    e = read_table(spark, sf_dir, "embeddings").where("size(embedding) = 64")
+    """A 64 x 64 grey image of every embedding of 64 values: 8 x 8 squares of equal grey; others have no pixels."""
+    e = read_table(spark, sf_dir, "embeddings")
     level = F.transform("embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.lit(128) + x.cast("double") * 250).cast("int"))))
     square = F.transform(level, lambda v: F.repeat(F.lpad(F.hex(v), 2, "0"), CELL))
     lines = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.repeat(F.array_join(F.slice(square, r * 8 + 1, F.lit(8)), ""), CELL))
-    return spread(e).select("vec_id", F.unhex(F.array_join(lines, "")).alias("data"), *(F.lit(n).alias(k) for k, n in (("height", 64), ("width", 64), ("n_channels", 1))))
+    data = F.when(F.size("embedding") == 64, F.unhex(F.array_join(lines, "")))
+    return spread(e).select("vec_id", data.alias("data"), *(F.lit(n).alias(k) for k, n in (("height", 64), ("width", 64), ("n_channels", 1))))
 
 
 def image_checks(spark: SparkSession, sf_dir: str) -> DataFrame:

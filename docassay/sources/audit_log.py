@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = """log_id string, timestamp string, verdict string, report_id string,
@@ -11,8 +12,13 @@ fraud_signals array<string>, phash string, img_sha256 string, is_duplicate boole
 
 
 def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
-    """Well-formed entries; blank and malformed lines are left out. A missing path is an error of Spark's."""
-    return spark.read.schema(SCHEMA).option("mode", "DROPMALFORMED").json(path)
+    """Well-formed entries; blank and malformed lines are left out. A log that is not there yet has none."""
+    try:
+        return spark.read.schema(SCHEMA).option("mode", "DROPMALFORMED").json(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], SCHEMA)
 
 
 def append_audit_log(entries: DataFrame, path: str) -> None:

@@ -197,6 +197,7 @@ def test_audit_log(spark, tmp_path):
     flat = log.select("verdict", "is_duplicate", F.col("scores.overall").alias("overall"))
     assert tuple(audit.statistics(flat).first()) == (2, 1, 0, 1, 1, 40)
     assert tuple(audit.statistics(flat.limit(0)).first()) == (0, 0, 0, 0, 0, None)
+    assert read_audit_log(spark, str(tmp_path / "out")).count() == 0
     append_audit_log(log, str(tmp_path / "out"))
     append_audit_log(log, str(tmp_path / "out"))
     assert read_audit_log(spark, str(tmp_path / "out")).count() == 4
