@@ -39,6 +39,22 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_table(df: DataFrame, path: str) -> DataFrame:
+    """`df` written as Parquet to `path` in the shared folder and read again.
+
+    For loops: a checkpoint keeps the size that the optimizer guessed for its
+    plan, and guesses of joins over joins grow to numbers of a million digits.
+    A table's size is that of its files.
+    """
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_shared(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def with_bounded_batches(df: DataFrame) -> DataFrame:
     """`df`, its session's Arrow batches held to BATCH_BYTES where Spark's default bound still stands."""
     conf = df.sparkSession.conf

@@ -16,6 +16,7 @@ sets decides each of them.
 from __future__ import annotations
 
 from itertools import product, repeat
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docassay.llm.common import shared_checkpoint, utf8
+from docassay.llm.common import delete_shared, shared_checkpoint, shared_folder, shared_table, utf8, with_bounded_batches
+from docassay.sources import spread
 
 SEED = 42
 #: Population counts of a 16-bit word: 0 to 16.
@@ -88,7 +90,8 @@ def fingerprints(
             )
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(
+    texts = spread(docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text")))
+    return with_bounded_batches(texts).mapInArrow(
         hashed, f"doc_id {id_type}, fp long"
     )
 
@@ -194,7 +197,9 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     ]
     cells = spark.createDataFrame(plan, "cell int, lefts int, rights int")  # 83,521 rows at most
     steps_col = F.array(*(F.struct(*(F.lit(d).alias(f"d{k}") for k, d in enumerate(s))) for s in steps))
-    moved = fps.select("fp", F.array(*_counts("fp")).alias("n"), F.explode(steps_col).alias("s")).select(
+    # dealt out anew: each fingerprint makes a row for every step, and few tasks may hold all of them
+    dealt_fps = fps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
+    moved = dealt_fps.select("fp", F.array(*_counts("fp")).alias("n"), F.explode(steps_col).alias("s")).select(
         "fp",
         F.array(*(F.col("n")[k] - F.col(f"s.d{k}") for k in range(4))).alias("to"),
         ((F.col("s.d0") == 0) & (F.col("s.d1") == 0) & (F.col("s.d2") == 0) & (F.col("s.d3") == 0)).alias("home"),
@@ -223,11 +228,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps, each a group's minimum and a
     join, until nothing changes; the number of rounds grows with the logarithm
-    of the longest chain. Every round is cut by a checkpoint.
+    of the longest chain. Every step is written as a table and the round before
+    it deleted. The minima are written before the join, which then has two plain
+    shuffles, and of these Spark can split the one partition that holds a hot
+    centre's edges.
     """
+    spark = edges.sparkSession
+    folder = f"{shared_folder(spark)}/components-{uuid4().hex}"
 
-    def star(directed: DataFrame, larger: bool) -> DataFrame:
-        least = directed.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    def star(directed: DataFrame, larger: bool, path: str) -> DataFrame:
+        least = shared_table(directed.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{path}-least")
         joined = directed.join(least, "u")
         if larger:
             return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -245,12 +255,16 @@ def components(edges: DataFrame) -> DataFrame:
     def state(e: DataFrame):
         return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
 
-    current = shared_checkpoint(down(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    turn = 0
+    current = shared_table(down(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), f"{folder}/0/edges")
     before = state(current)
     while before[0]:
+        turn += 1
+        path = f"{folder}/{turn}"
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lifted = down(star(both, larger=True))
-        current = shared_checkpoint(down(star(lifted, larger=False)))
+        lifted = shared_table(down(star(both, True, f"{path}/large")), f"{path}/lifted")
+        current = shared_table(down(star(lifted, False, f"{path}/small")), f"{path}/edges")
+        delete_shared(spark, f"{folder}/{turn - 1}")
         now = state(current)
         if now == before:
             break

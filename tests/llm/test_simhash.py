@@ -72,6 +72,16 @@ def test_cut_cells_lose_no_link(spark, monkeypatch):
     assert {r["node"] for r in roots} == values and len({r["root"] for r in roots}) == 1
 
 
+def test_a_hot_centre(spark):
+    centre = 0x0F0F0F0F0F0F0F0F
+    values = {centre, *(centre ^ 1 << a for a in range(63)), *(centre ^ 1 << a ^ 1 << b for a in range(63) for b in range(a))}
+    fps = spark.createDataFrame([(v,) for v in sorted(values)], "fp long").repartition(3)
+    roots = components(links(fps, 2)).collect()
+    assert {r["node"] for r in roots} == values and {r["root"] for r in roots} == {min(values)}
+    star = spark.range(1, 200_000).selectExpr("id AS a", "0L AS b").union(spark.createDataFrame([(200_000, 199_999)], "a long, b long"))
+    assert components(star).where("root = 0").count() == 200_001
+
+
 def test_documents(spark):
     rng = random.Random(5)
     base = " ".join(f"w{rng.randrange(900)}" for _ in range(300))
