@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from docassay.llm import q_language_id
 from docassay.llm.classifiers import UNDETERMINED, LanguageModel, background_windows, identify_languages
-from docassay.llm.common import shared_folder
+from docassay.llm.common import delete_shared, shared_folder
 from docassay.llm.line_dedup import drop_common_lines
 from docassay.llm.mixing import mixed_documents
 from docassay.llm.packing import pack
@@ -86,11 +86,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before is not None:
-            _delete(spark, before)
+            delete_shared(spark, before)
         before = path
     return STAGES[-1][1](spark, docs, sf_dir)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
