@@ -9,8 +9,8 @@ whose counts are further apart than the radius (summed over the words) hold no
 link and never meet.
 
 `keep_one_of_similar` is for similarity, not for a fixed radius: 128-bit
-SimHashes propose pairs, and the exact Jaccard similarity of the two shingle
-sets decides each of them.
+SimHashes within a wide radius make families, and in these the exact Jaccard
+similarity of the shingle sets decides.
 """
 
 from __future__ import annotations
@@ -20,9 +20,8 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docassay.llm.common import delete_shared, shared_checkpoint, shared_folder, shared_table, utf8, with_bounded_batches
@@ -33,10 +32,10 @@ SEED = 42
 LEVELS = 17
 #: Least rows of a tile; larger inputs take larger ones, up to MAX_TILE.
 MIN_TILE, MAX_TILE = 1024, 32768
-#: Of 128 bits: the radius that proposes pairs of similarity 0.8, which differ in 19 bits on average (README).
+#: Of 128 bits: the radius that joins pairs of similarity 0.8, which differ in 19 bits on average (README).
 WIDE_RADIUS = 32
-#: Tiles a side of a size band, and pairs that a set proposes in the first round (each later one: four times as many).
-BAND_TILES, FIRST_PAIRS = 8, 2
+#: Sets and shingles of a piece of a family, and bytes that a task's group of tiles holds on average.
+FAMILY_PIECE, PIECE_SHINGLES, GROUP_BYTES = 512, 500_000, 16 << 20
 
 
 def shingle_digests(text: bytes | None, shingle_words: int) -> np.ndarray:
@@ -341,32 +340,18 @@ def shingle_classes(ids: DataFrame, shingle_words: int) -> DataFrame:
             )
 
     id_type = ids.schema["doc_id"].dataType.simpleString()
-    return ids.select("doc_id", utf8("text").alias("text")).mapInArrow(hashed, f"doc_id {id_type}, c long, n long, hi long, lo long")
+    texts = spread(ids.select("doc_id", utf8("text").alias("text")))
+    return with_bounded_batches(texts).mapInArrow(hashed, f"doc_id {id_type}, c long, n long, hi long, lo long")
 
 
-def _pair_codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    low, high = np.minimum(a, b).view(np.uint64), np.maximum(a, b).view(np.uint64)
-    return (low * np.uint64(0x9E3779B97F4A7C15)) ^ (high * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1))
-
-
-def _nearest(a: np.ndarray, d: np.ndarray, most: int) -> np.ndarray:
-    """Places of the `most` smallest d of each a."""
-    order = np.lexsort((d, a))
-    begins = np.flatnonzero(np.r_[True, a[order][1:] != a[order][:-1]]) if len(a) else np.empty(0, np.int64)
-    rank = np.arange(len(a)) - np.repeat(begins, np.diff(np.r_[begins, len(a)]))
-    return order[rank < most]
-
-
-def _proposals_of_tile(radius: int, similarity: float, most: int):
-    def propose(table: pa.Table) -> pa.Table:
+def _families_of_tile(radius: int, similarity: float):
+    def join(table: pa.Table) -> pa.Table:
         left = table.column("is_left").to_numpy().astype(bool)
-        c, n, root = (table.column(k).to_numpy() for k in ("c", "n", "root"))
+        c, n = table.column("c").to_numpy(), table.column("n").to_numpy()
         fp = np.stack([table.column(k).to_numpy().view(np.uint64) for k in ("hi", "lo")], 1)
-        bad = table.column("bad").filter(pa.array(left)).combine_chunks()
-        known = _pair_codes(np.repeat(c[left], pa.compute.list_value_length(bad).to_numpy(zero_copy_only=False)), bad.flatten().to_numpy())
         li, ri = np.flatnonzero(left), np.flatnonzero(~left)
         ri = ri[np.argsort(n[ri], kind="stable")]
-        found = [(np.empty(0, np.int64),) * 3]
+        found = [(np.empty(0, np.int64),) * 2]
         for i in range(0, len(li), 512):
             x = li[i : i + 512]
             within = ri[np.searchsorted(n[ri], n[x].min() * similarity - 1) : np.searchsorted(n[ri], n[x].max() / similarity + 1)]
@@ -375,61 +360,130 @@ def _proposals_of_tile(radius: int, similarity: float, most: int):
                 far = np.bitwise_count(fp[x, None, 0] ^ fp[None, y, 0])
                 far += np.bitwise_count(fp[x, None, 1] ^ fp[None, y, 1])
                 p, q = np.nonzero(far <= radius)
-                d, p, q = far[p, q].astype(np.int64), x[p], y[q]
-                small, large = np.minimum(n[p], n[q]), np.maximum(n[p], n[q])
-                usable = (root[p] != root[q]) & (small >= similarity * large - 1e-6)
-                p, q, d = p[usable], q[usable], d[usable]
-                if len(known):
-                    fresh = ~np.isin(_pair_codes(c[p], c[q]), known)
-                    p, q, d = p[fresh], q[fresh], d[fresh]
-                if len(p):
-                    best = _nearest(p, d, most)
-                    found.append((c[p[best]], c[q[best]], d[best]))
-        a, b, d = map(np.concatenate, zip(*found))
-        best = _nearest(a, d, most)
-        return pa.table({"a": a[best], "b": b[best], "d": d[best]})
+                p, q = x[p], y[q]
+                usable = (c[p] != c[q]) & (np.minimum(n[p], n[q]) >= similarity * np.maximum(n[p], n[q]) - 1e-6)
+                if usable.any():
+                    found.append(_forest(c[p[usable]], c[q[usable]]))  # as many edges as sets at most
+        a, b = map(np.concatenate, zip(*found))
+        if len(a):
+            a, b = _forest(a, b)
+        return pa.table({"a": a, "b": b})
 
-    return propose
+    return join
 
 
-def proposals(classes: DataFrame, radius: int, similarity: float, most: int) -> DataFrame:
-    """Pairs (a, b), a < b, of classes (c, n, hi, lo, root, bad) that may be similar and are neither joined nor refused yet.
+def family_links(classes: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Edges (a, b) that keep the families: classes (c, n, hi, lo) whose SimHashes differ in `radius` bits at most.
 
     Sets of which one is less than `similarity` of the other's size cannot be
-    similar: classes meet within bands of size and with the next band only.
-    Every class proposes its nearest ones, `most` at most, and one at least if
-    there is any; so rows grow with the classes, not with the pairs.
+    similar: classes meet within bands of size and with the next band only. The
+    sizes of all bands (a hundred or so, by the logarithm of the longest text)
+    pass through the driver to cut them into tiles. A tile gives a spanning forest.
     """
     band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(-float(np.log(similarity))) + F.lit(1e-9)).cast("int")
-    own = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "c"), F.lit(BAND_TILES)).cast("int")
-    each = F.sequence(F.lit(0), F.lit(BAND_TILES - 1))
-    tile = lambda cell, l, r, is_left: F.struct(cell.alias("cell"), l.alias("l"), r.alias("r"), F.lit(is_left).alias("is_left"))
-    dealt = classes.where("n > 0").withColumn("band", band).withColumn(
-        "t",
-        F.explode(
-            F.concat(
-                F.transform(each, lambda k: tile(F.col("band"), own(2), k, True)),
-                F.transform(each, lambda k: tile(F.col("band"), k, own(1), False)),
-                F.transform(each, lambda k: tile(F.col("band") - 1, k, own(1), False)),
-            )
-        ),
-    ).select("t.cell", "t.l", "t.r", "t.is_left", "c", "n", "hi", "lo", "root", "bad")
-    found = dealt.groupBy("cell", "l", "r").applyInArrow(_proposals_of_tile(radius, similarity, most), "a long, b long, d long")
-    nearest = Window.partitionBy("a").orderBy("d", "b")
-    return (
-        found.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= most)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    banded = classes.where("n > 0").select("c", "n", "hi", "lo", band.alias("band"))
+    size = {r[0]: r[1] for r in banded.groupBy("band").count().collect()}
+    tile = int(np.clip(sum(size.values()) // 32, MIN_TILE, MAX_TILE))
+    sides = {b: (-(-size[b] // tile), -(-(size[b] + size.get(b + 1, 0)) // tile)) for b in size}
+    plan = [(b, *sides[b], *sides.get(b - 1, (0, 0))) for b in size]
+    bands = classes.sparkSession.createDataFrame(plan, "band int, lefts int, rights int, lefts_below int, rights_below int")
+    own = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "c"), F.col(n)).cast("int")
+    place = lambda cell, l, r, is_left: F.struct(cell.alias("cell"), l.alias("l"), r.alias("r"), F.lit(is_left).alias("is_left"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    none = F.array().cast("array<struct<cell: int, l: int, r: int, is_left: boolean>>")
+    places = F.concat(
+        F.transform(every("rights"), lambda k: place(F.col("band"), own(2, "lefts"), k, True)),
+        F.transform(every("lefts"), lambda k: place(F.col("band"), k, own(1, "rights"), False)),
+        F.when(F.col("lefts_below") > 0, F.transform(every("lefts_below"), lambda k: place(F.col("band") - 1, k, own(1, "rights_below"), False))).otherwise(none),
     )
+    dealt = banded.join(F.broadcast(bands), "band").withColumn("t", F.explode(places)).select("t.cell", "t.l", "t.r", "t.is_left", "c", "n", "hi", "lo")
+    return dealt.groupBy("cell", "l", "r").applyInArrow(_families_of_tile(radius, similarity), "a long, b long")
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs with `good`: whether the Jaccard similarity of both sets (c, shingles) is that or more."""
-    sides = [sets.select(F.col("c").alias(k), F.col("shingles").alias(f"of_{k}")) for k in "ab"]
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    joined = pairs.join(sides[0], "a").join(sides[1], "b")
-    return joined.select("a", "b", both.alias("both"), (F.size("of_a") + F.size("of_b")).alias("of")).select(
-        "a", "b", (F.col("both") >= similarity * (F.col("of") - F.col("both")) - 1e-9).alias("good")
-    )
+def _shared_prefixes(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """How many of their rarest shingles each two sets share: none if they cannot be similar.
+
+    Of two sets with Jaccard similarity s the larger's share in common is s at
+    least, so they share one of the n - ceil(s n) + 1 that come first in any order.
+    """
+    sizes = np.array(list(map(len, sets)), np.int64)
+    owner, begins = np.repeat(np.arange(len(sets)), sizes), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((code, count[code], owner))
+    prefix = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    kept = order[(np.arange(len(order)) - np.repeat(begins, sizes) < np.repeat(prefix, sizes)) & (count[code[order]] > 1)]
+    kept = kept[np.argsort(code[kept], kind="stable")]
+    shared = np.zeros((len(sets), len(sets)), np.int32)
+    for group in np.split(owner[kept], np.flatnonzero(np.diff(code[kept])) + 1):
+        if len(group) > 1:
+            shared[np.ix_(group, group)] += 1
+    return shared
+
+
+def similar_sets(sets: list[np.ndarray], sides: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+    """Pairs (i, j) that keep the components of sets with a Jaccard similarity of `similarity` or more.
+
+    `sides`: only pairs of different sides count; None: all pairs do.
+    """
+    shared = np.triu(_shared_prefixes(sets, similarity), 1)
+    if sides is not None:
+        shared[sides[:, None] == sides[None, :]] = 0
+    i, j = np.nonzero(shared)
+    order = np.argsort(-shared[i, j], kind="stable")  # the likeliest first: later ones are joined by then
+    parent, out = list(range(len(sets))), []
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    for p, q in zip(i[order].tolist(), j[order].tolist()):
+        x, y = root(p), root(q)
+        if x != y and min(len(sets[p]), len(sets[q])) >= similarity * max(len(sets[p]), len(sets[q])) - 1e-6:
+            both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+            if both >= similarity * (len(sets[p]) + len(sets[q]) - both) - 1e-9:
+                parent[max(x, y)] = min(x, y)
+                out.append((p, q))
+    return out
+
+
+def _links_of_families(similarity: float):
+    def links(table: pa.Table) -> pa.Table:
+        tile, side, c = (table.column(k).to_numpy() for k in ("tile", "side", "c"))
+        packed = table.column("shingles").combine_chunks()
+        order = np.argsort(tile, kind="stable")
+        a, b = [], []
+        for at in np.split(order, np.flatnonzero(np.diff(tile[order])) + 1):
+            if len(at) > 1:
+                sets = [np.frombuffer(packed[int(k)].as_py(), np.uint64) for k in at]
+                sides = side[at] if side[at].min() != side[at].max() else None
+                for p, q in similar_sets(sets, sides, similarity):
+                    a.append(c[at[p]])
+                    b.append(c[at[q]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return links
+
+
+def similar_links(members: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) between similar sets of the same family. `members`: c, family, shingles (sorted 64-bit hashes, packed).
+
+    Families are cut into pieces of FAMILY_PIECE sets or PIECE_SHINGLES shingles,
+    whichever are more pieces, and every two pieces meet in one tile; tiles are
+    grouped by their bytes, so that a task has many small ones together. A set
+    goes to as many tiles as its family has pieces.
+    """
+    spark = members.sparkSession
+    bytes_of = F.length("shingles")
+    pieces = F.ceil(F.greatest(F.col("m") / FAMILY_PIECE, F.col("bytes") / (8 * PIECE_SHINGLES))).cast("int")
+    families = shared_checkpoint(members.groupBy("family").agg(F.count("*").alias("m"), F.sum(bytes_of).alias("bytes")).withColumn("pieces", pieces))
+    total = families.agg(F.sum(F.col("bytes") * F.col("pieces"))).first()[0] or 0
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // GROUP_BYTES)
+    own = F.pmod(F.xxhash64("c"), F.col("pieces")).cast("int")
+    placed = members.join(families.select("family", "pieces"), "family").withColumn("own", own).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    tile = F.xxhash64("family", F.least("own", "k"), F.greatest("own", "k"))
+    dealt = placed.select(tile.alias("tile"), F.col("own").alias("side"), "c", "shingles").withColumn("g", F.pmod("tile", F.lit(groups)))
+    return dealt.groupBy("g").applyInArrow(_links_of_families(similarity), "a long, b long")
 
 
 def keep_one_of_similar(
@@ -439,9 +493,9 @@ def keep_one_of_similar(
 
     Two texts are linked if the Jaccard similarity of their sets of word
     shingles is `similarity` or more (texts without a word are linked with each
-    other); groups are the components of these links. Pairs are proposed by
-    128-bit SimHashes within `radius` and then checked on the sets themselves,
-    round by round until no pair between two groups is left unchecked. The row
+    other); groups are the components of these links. Texts whose 128-bit
+    SimHashes differ in `radius` bits at most, directly or by others, are a
+    family; the sets of each family decide which of them are similar. The row
     with the smallest doc_id stays, as in `keep_one_of_each`.
     """
     ids = docs.select(
@@ -451,30 +505,11 @@ def keep_one_of_similar(
     classes = shared_checkpoint(
         rows.groupBy("c").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("hi").alias("hi"), F.first("lo").alias("lo"))
     )
-    nothing = F.array().cast("array<long>")
-    active, most, checked, sets, roots = classes.withColumns({"root": F.col("c"), "bad": nothing}), FIRST_PAIRS, None, None, None
-    while True:
-        pairs = shared_checkpoint(proposals(active, radius, similarity, most))
-        if pairs.isEmpty():
-            break
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-        if sets is None:  # later rounds propose among these only
-            sets = shared_checkpoint(_digests(docs, classes.join(nodes, "c"), shingle_words))
-        now = _checked(pairs, sets, similarity)
-        checked = shared_checkpoint(now if checked is None else checked.union(now))
-        roots = shared_checkpoint(components(checked.where("good").select("a", "b")))
-        refused = checked.where("NOT good").select("a", "b")
-        refused = refused.union(refused.select("b", "a")).groupBy("a").agg(F.collect_list("b").alias("bad"))
-        active = shared_checkpoint(
-            classes.join(nodes, "c").join(roots, F.col("c") == F.col("node"), "left").join(refused, F.col("c") == F.col("a"), "left")
-            .select("c", "n", "hi", "lo", F.coalesce("root", "c").alias("root"), F.coalesce("bad", nothing).alias("bad"))
-        )
-        most *= 4
-    kept = classes.select("least_id")
-    if roots is not None:
-        of_root = classes.join(roots, F.col("c") == F.col("node"), "left").groupBy(F.coalesce("root", "c").alias("root"))
-        kept = of_root.agg(F.min("least_id").alias("least_id"))
-    found = _rows_of(docs, kept)
+    families = shared_checkpoint(components(family_links(classes, radius, similarity)).select(F.col("node").alias("c"), F.col("root").alias("family")))
+    sets = _shingles(docs, classes.join(families.select("c"), "c"), shingle_words)
+    roots = components(similar_links(shared_checkpoint(families.join(sets, "c")), similarity))
+    of_root = classes.join(roots, F.col("c") == F.col("node"), "left").groupBy(F.coalesce("root", "c").alias("root"))
+    found = _rows_of(docs, of_root.agg(F.min("least_id").alias("least_id")))
     if rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
         found = found.dropDuplicates(["doc_id", "__h"])
     return found.drop("__h")
@@ -489,17 +524,16 @@ def _rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     )
 
 
-def _digests(docs: DataFrame, classes: DataFrame, shingle_words: int) -> DataFrame:
-    """c and shingles (64 bits of each digest): the sets of the classes, from their least rows' texts."""
+def _shingles(docs: DataFrame, classes: DataFrame, shingle_words: int) -> DataFrame:
+    """c and shingles (64 bits of each digest, sorted and packed): the sets of the classes, from their least rows' texts."""
 
     def digested(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 256):  # the sets are larger than the texts
                 sets = [shingle_digests(x.as_py(), shingle_words) for x in batch.column(0).slice(start, 256)]
                 c = np.array([xxhash.xxh3_64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                halves = np.ascontiguousarray(np.concatenate(sets)[:, 8:]).view(np.int64).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(c), pa.ListArray.from_arrays(ends, halves)], names=["c", "shingles"])
+                packed = [np.sort(np.ascontiguousarray(x[:, 8:]).view(np.uint64).ravel()).tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(packed, pa.binary())], names=["c", "shingles"])
 
     texts = _rows_of(docs, classes.select("least_id")).select(utf8("text").alias("text"))
-    return texts.mapInArrow(digested, "c long, shingles array<long>").dropDuplicates(["c"])
+    return with_bounded_batches(texts).mapInArrow(digested, "c long, shingles binary").dropDuplicates(["c"])

@@ -80,6 +80,19 @@ def test_every_stage(spark):
     assert got == tokens
 
 
+def test_run_over_a_table(spark):
+    pieces = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    by_row = defaultdict(list)
+    for p in pieces:
+        by_row[p.row].append(p)
+    for own in by_row.values():  # a document that the mix takes twice has two rows
+        own.sort(key=lambda p: p.start)
+        assert len({p.doc_id for p in own}) == 1 and sum(p.length for p in own) == own[0].doc_tokens
+        assert [p.start for p in own] == [sum(q.length for q in own[:k]) for k in range(len(own))]
+    copies = Counter(own[0].doc_id for own in by_row.values())
+    assert len(copies) > 50 and max(copies.values()) == 2
+
+
 def test_repeated_rows_in_a_mix(spark):
     rows = [(1, "a b", "x"), (1, "a b", "x"), (1, "a b", "y"), (1, "c d e", "x"), (None, "f", "x"), (None, "f", None)] * 3
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
