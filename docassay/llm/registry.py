@@ -1,4 +1,4 @@
-"""Queries op1 to op10 over the given tables, with DuckDB SQL where SQL can say it."""
+"""Queries op1 to op13 over the given tables, with DuckDB SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docassay.llm import (
+    q_conversations,
     q_language_id,
     q_line_dedup,
     q_maxscore,
@@ -30,6 +31,7 @@ MODULES = [
     q_mixing,
     q_simhash,
     q_packing,
+    q_conversations,
 ]
 
 

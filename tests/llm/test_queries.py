@@ -16,7 +16,7 @@ from docassay.sources import read_table
 from tests.llm.test_simhash import brute as simhash
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "pages", "labels")
+TABLES = ("documents", "embeddings", "pages", "labels", "conversations")
 
 
 @pytest.fixture(scope="module")
