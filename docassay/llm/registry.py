@@ -18,6 +18,7 @@ from docassay.llm import (
     q_sharding,
     q_simhash,
     q_url_filter,
+    q_whitening,
 )
 
 MODULES = [
@@ -32,6 +33,7 @@ MODULES = [
     q_simhash,
     q_packing,
     q_conversations,
+    q_whitening,
 ]
 
 
