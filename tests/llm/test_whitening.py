@@ -95,8 +95,9 @@ def test_small_spread_on_a_large_mean_and_large_deviations(spark):
     want = {i: sum((n * a - s) ** 2 for a, s in zip(x, sums)) for i, x in rows.items()}
     assert {(x.vec_id, x.deviation) for x in got} == {(i, w if w < 2**63 else None) for i, w in want.items()}
     assert {x.component for x in got} == {1, 2, 3} and max(x.identity_error for x in got) < 1e-6
-    variances = [float(v[2][2]), 0.25, float(v[0][0])]  # about these, being almost unrelated
-    assert all(abs(x.explained / (variances[x.component - 1] / sum(variances)) - 1) < 0.1 for x in got) and e[0] > 1e17
+    rest = [[float(v[i][j] - v[i][2] * v[2][j] / v[2][2]) for j in (0, 1)] for i in (0, 1)]  # what the large one leaves
+    want = np.array([e[0], *np.linalg.eigvalsh(rest)[::-1]])
+    assert e[0] > 1e17 and all(abs(x.explained / (want[x.component - 1] / want.sum()) - 1) < 1e-9 for x in got)
     far = whiten(spark.createDataFrame([(1, [0, 2**61]), (2, [0, -(2**61)])], "vec_id int, vector array<long>")).collect()
     assert [(x.vec_id, x.deviation, round(abs(x.whitened), 9)) for x in sorted(far)] == [(1, None, 1.0), (2, None, 1.0)]
 
