@@ -17,6 +17,7 @@ from docassay.llm import (
     q_quality,
     q_sharding,
     q_simhash,
+    q_token_files,
     q_url_filter,
     q_whitening,
 )
@@ -34,6 +35,7 @@ MODULES = [
     q_packing,
     q_conversations,
     q_whitening,
+    q_token_files,
 ]
 
 

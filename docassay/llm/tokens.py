@@ -50,6 +50,7 @@ class ByteBpe:
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
         if spec["normalizer"] is not None or spec["pre_tokenizer"]["type"] != "ByteLevel":
             raise ValueError(f"{path} is not a plain byte-level BPE")
+        self.vocabulary = 1 + max(*spec["model"]["vocab"].values(), *(x["id"] for x in spec["added_tokens"]), 0)
         special = {x["content"] for x in spec["added_tokens"]}
         if any(x["single_word"] or x["lstrip"] or x["rstrip"] or not x["content"] for x in spec["added_tokens"]):
             raise ValueError(f"{path} has added tokens that depend on what is around them")
