@@ -325,7 +325,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, bits: int |
     token_ids(ordered, tokenizer_path).write.format(FORMAT).option("path", path).option("bits", bits).mode("append").save()
 
 
-def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids of the documents in the folder `path`; reading tasks take spans of its files."""
+def read_token_ids(spark: SparkSession, path: str, split_ids: int = SPLIT_IDS) -> DataFrame:
+    """doc_id, start, n_tokens, ids of the documents in the folder `path`; a reading task takes some `split_ids` ids of a file."""
     spark.dataSource.register(TokenIds)
-    return spark.read.format(FORMAT).option("path", path).load()
+    return spark.read.format(FORMAT).option("path", path).option("split_ids", split_ids).load()
