@@ -12,6 +12,7 @@ are very many documents comes together in one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import gcd
 
 import numpy as np
 import pandas as pd
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 
 from docassay.llm.common import seeded_long, shared_checkpoint
 
-#: The dynamic programme has this much of the budget, or two of the largest documents if that is more, and all of a
-#: smaller budget. It reaches one largest document beyond, so that a sum above the budget may be the nearest.
-PROGRAMMED = 1 << 16
+#: The dynamic programme has this much of the budget (in units of the sizes' greatest common divisor), or two of the
+#: largest documents if that is more, and all of a smaller budget: up to there the sum is the nearest that there is.
+#: It reaches one largest document beyond, so that a sum above the budget may be the nearest.
+PROGRAMMED = 1 << 24
 #: Bits of the hash that cut a size into cells.
 CELL_BITS = 12
 
@@ -53,14 +55,25 @@ def source_targets(totals: Sequence[tuple[str | None, int]], weights: Sequence[f
 
 
 def fit_budget(sizes: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
-    """How many documents of each size to take so that their sizes sum as nearly as can be to `budget`.
+    """How many documents of each size to take so that their sizes sum nearly to `budget`.
 
     Shares of every size come first; bounded-knapsack dynamic programming over
     the documents that are free again ends it. Of equally near sums the smaller.
+    No other choice comes nearer if the budget, the greatest common divisor of
+    the sizes taken out, is at most PROGRAMMED. Beyond that the programme has
+    the last PROGRAMMED units: no sum of the documents that are free for it, the
+    small ones first, comes nearer, but one that takes other documents might; the
+    sum is never further off than half of the largest document.
     """
     sizes, counts = [int(x) for x in sizes], [int(x) for x in counts]
+    unit = gcd(*sizes) or 1
     total = sum(s * c for s, c in zip(sizes, counts))
     budget = max(0, min(int(budget), total))
+    if unit > 1:
+        low = budget // unit
+        sizes = [s // unit for s in sizes]
+        near = [(abs(sum(s * t for s, t in zip(sizes, taken)) * unit - budget), k, taken) for k, taken in enumerate(fit_budget(sizes, counts, x) for x in (low, low + 1))]
+        return min(near)[2]
     taken = [c * budget // total if s else 0 for s, c in zip(sizes, counts)] if total else [0] * len(sizes)
     left = budget - sum(s * t for s, t in zip(sizes, taken))
     order = sorted((k for k in range(len(sizes)) if sizes[k]), key=lambda k: -sizes[k])

@@ -21,6 +21,32 @@ def test_fit_is_as_near_as_brute_force(seed):
     assert near(got) == min(map(near, options))
 
 
+def nearest(sizes, counts, budget):
+    """The least distance of any sum, over the set of all sums."""
+    sums = {0}
+    for s, c in zip(sizes, counts):
+        sums = {x + k * s for x in sums for k in range(c + 1)}
+    return min(abs(x - budget) for x in sums)
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_few_documents_of_any_size_are_fitted_as_near_as_can_be(seed):
+    r = random.Random(seed)
+    for _ in range(100):
+        unit = r.choice([1, 1, 1, 7, 1000])
+        sizes = sorted({unit * r.randrange(1, r.choice([50, 60_000, 400_000]) // unit + 2) for _ in range(r.randrange(1, 6))})
+        counts = [r.randrange(1, 5) for _ in sizes]
+        budget = r.randrange(sum(s * c for s, c in zip(sizes, counts)) + 1)
+        got = fit_budget(sizes, counts, budget)
+        assert all(0 <= t <= c for t, c in zip(got, counts))
+        assert abs(sum(s * t for s, t in zip(sizes, got)) - budget) == nearest(sizes, counts, budget)
+
+
+def test_the_case_that_a_greedy_part_missed():
+    got = fit_budget([56451, 56984, 40666, 44568], [1, 3, 2, 4], 153089)
+    assert abs(sum(s * t for s, t in zip([56451, 56984, 40666, 44568], got)) - 153089) == 1012
+
+
 def test_large_budget():
     sizes, counts = list(range(1, 3000)), [7] * 2999
     total = sum(sizes) * 7
