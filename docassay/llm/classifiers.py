@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docassay.llm.bytecnn import OVERLAP, STRIDE, WINDOW, Adam, Filters, cut
-from docassay.llm.common import seeded_long, utf8, with_bounded_batches
+from docassay.llm.common import seeded_long, spans, utf8
 from docassay.sources import spread
 
 #: Bounds of the training sample: documents of a label and windows of a document.
@@ -165,13 +165,15 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     language was learnt. With a single learnt language every other text has it,
     with score 1. Texts of any length are read whole; other columns stay.
     """
-    base = with_bounded_batches(spread(docs.drop("lang_pred", "score")))
+    base = spread(docs.drop("lang_pred", "score"))
 
     @F.pandas_udf("struct<p: int, s: double>")
     def predicted(text):
-        best, chance = model.predict([t or b"" for t in text])
         import pandas as pd
 
+        texts = [t or b"" for t in text]
+        found = [model.predict(texts[part]) for part in spans(map(len, texts))] or [model.predict([])]
+        best, chance = map(np.concatenate, zip(*found))
         return pd.DataFrame({"p": best.astype(np.int32), "s": chance})
 
     if not model.labels:
@@ -244,13 +246,14 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     Without both labels to learn from, all get the share of label 1 (smoothed;
     0.5 without any). Texts of any length are read whole; other columns stay.
     """
-    base = with_bounded_batches(spread(docs.drop("score", "predicted")))
+    base = spread(docs.drop("score", "predicted"))
 
     @F.pandas_udf("double")
     def scored(text):
         import pandas as pd
 
-        return pd.Series(model.scores([t or b"" for t in text]))
+        texts = [t or b"" for t in text]
+        return pd.Series(np.concatenate([model.scores(texts[part]) for part in spans(map(len, texts))] or [np.zeros(0)]))
 
     return base.withColumn("score", scored(utf8("text"))).withColumn(
         "predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0)

@@ -1,18 +1,20 @@
-"""What several operators share: checkpoints, Arrow batches, stable hashes, byte columns."""
+"""What several operators share: checkpoints, pieces of Arrow batches, stable hashes, byte columns."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts name it: [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
-#: Bytes of an Arrow batch, whatever its rows, so that a worker holds a few long texts at a time and not ten thousand.
-BATCH_BYTES = 8 << 20
-_BYTES_A_BATCH, _SPARKS_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+#: Bytes that a task works on at a time. Spark bounds its Arrow batches to 64 MB; what is made of one can be far larger.
+PIECE_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -55,12 +57,29 @@ def delete_shared(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
-def with_bounded_batches(df: DataFrame) -> DataFrame:
-    """`df`, its session's Arrow batches held to BATCH_BYTES where Spark's default bound still stands."""
-    conf = df.sparkSession.conf
-    if conf.get(_BYTES_A_BATCH, _SPARKS_DEFAULT) == _SPARKS_DEFAULT:
-        conf.set(_BYTES_A_BATCH, str(BATCH_BYTES))
-    return df
+def pieces(batches: Iterable[pa.RecordBatch], most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in order, in batches of at most `most` bytes or of one row."""
+    for batch in batches:
+        waiting = [batch]
+        while waiting:
+            part = waiting.pop()
+            if part.num_rows > 1 and part.nbytes > most:
+                half = part.num_rows // 2
+                waiting += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+
+
+def spans(sizes: Iterable[int], most: int = PIECE_BYTES) -> list[slice]:
+    """Slices of a list with the given sizes, each of `most` in sum or of one item at least."""
+    ends = np.cumsum(np.fromiter(sizes, np.int64))
+    out, at = [], 0
+    while at < len(ends):
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        out.append(slice(at, to))
+        at = to
+    return out
 
 
 def seeded_long(seed: int, *columns: Column | str) -> Column:

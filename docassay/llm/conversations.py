@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docassay.llm.common import ASCII_SPACE, shared_checkpoint
+from docassay.llm.common import ASCII_SPACE, pieces, shared_checkpoint
 
 #: Edits in ASCII order, which is that of their digits 1 to 4; 0 is the padding.
 DELETE, INSERT, KEEP, REROLE = 1, 2, 3, 4
@@ -357,7 +357,7 @@ def repaired_rows(conversations: DataFrame, found: DataFrame) -> DataFrame:
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-        for batch in batches:
+        for batch in pieces(batches):
             for c, row, turn, role, text in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if not row:
                     insertions()
@@ -385,7 +385,7 @@ def text_digests(rows: DataFrame) -> DataFrame:
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, sha = None, None
-        for batch in batches:
+        for batch in pieces(batches):
             done = []
             for c, role, text in zip(*(x.to_pylist() for x in batch.columns)):
                 line = f"{role}:{text}".encode("utf-8", "surrogatepass")

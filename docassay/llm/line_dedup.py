@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docassay.llm.common import ASCII_SPACE, shared_checkpoint, utf8, with_bounded_batches
+from docassay.llm.common import ASCII_SPACE, pieces, shared_checkpoint, utf8
 
 _STRIP = ASCII_SPACE.encode()
 
@@ -38,7 +38,7 @@ def exploded_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     id_field = docs.schema["doc_id"]
 
     def explode(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             row, pos, key = [], [], []
             for n, text in enumerate(batch.column(3)):
                 for at, k in line_keys(text.as_py(), min_chars):
@@ -51,7 +51,7 @@ def exploded_lines(docs: DataFrame, min_chars: int) -> DataFrame:
                 names=["doc_id", "__h", "counted", "pos", "key"],
             )
 
-    return with_bounded_batches(docs).select("doc_id", "__h", "__counted", utf8("text")).mapInArrow(
+    return docs.select("doc_id", "__h", "__counted", utf8("text")).mapInArrow(
         explode, f"doc_id {id_field.dataType.simpleString()}, __h long, counted long, pos int, key binary"
     )
 

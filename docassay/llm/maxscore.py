@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docassay.llm.common import with_bounded_batches
+from docassay.llm.common import pieces
 
 #: Vectors of a shard: the fewest while there are less than SHARDS of them, the most whatever the table; queries past it.
 LEAST_SHARD, MOST_SHARD, SHARDS = 8192, 131_072, 64
@@ -192,7 +192,7 @@ def top_k(
 
     def search(batches):
         tile, ids, rows, shard = None, [], [], None
-        for batch in batches:
+        for batch in pieces(batches):
             tiles, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero((np.diff(tiles) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
             for begin, end in zip([0, *cuts], [*cuts, batch.num_rows]):
@@ -222,7 +222,7 @@ def top_k(
                         [pa.array(asking[i : i + TOGETHER][q]), pa.array(vec_id), pa.array(score)], names=["query_id", "vec_id", "score"]
                     )
 
-    streamed = with_bounded_batches(dealt.select("tile", "asks", "id", "v"))
+    streamed = dealt.select("tile", "asks", "id", "v")
     found = streamed.mapInArrow(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (

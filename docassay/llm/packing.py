@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docassay.llm.common import shared_checkpoint, utf8, with_bounded_batches
+from docassay.llm.common import pieces, shared_checkpoint, utf8
 from docassay.sources import spread
 from docassay.llm.tokens import byte_bpe
 
@@ -125,7 +125,7 @@ def pack(
         encode = byte_bpe(tokenizer_path).all_ids
         part = TaskContext.get().partitionId()
         packer, row = Packer(length, windows, max_pad, with_ids), part << ROW_BITS
-        for batch in batches:
+        for batch in pieces(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encode((text.as_py() or b"").decode("utf-8", "replace")) + CLOSING_ID
                 packer.place(doc_id, row, 0, ids, len(ids) // 4)
@@ -146,7 +146,7 @@ def pack(
 
         return of_group
 
-    texts = with_bounded_batches(spread(docs.select("doc_id", utf8("text").alias("text"))))
+    texts = spread(docs.select("doc_id", utf8("text").alias("text")))
     done = shared_checkpoint(texts.mapInArrow(first, ddl))
     parts, level = done.rdd.getNumPartitions(), 0
     packed = done.where("closed")

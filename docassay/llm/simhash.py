@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docassay.llm.common import delete_shared, shared_checkpoint, shared_folder, shared_table, utf8, with_bounded_batches
+from docassay.llm.common import delete_shared, pieces, shared_checkpoint, shared_folder, shared_table, utf8
 from docassay.sources import spread
 
 SEED = 42
@@ -81,7 +81,7 @@ def fingerprints(
     """doc_id and `fp` (the fingerprint's bits as a signed long), a row per row."""
 
     def hashed(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             values = [simhash64(x.as_py(), shingle_words) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))],
@@ -90,7 +90,7 @@ def fingerprints(
 
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = spread(docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text")))
-    return with_bounded_batches(texts).mapInArrow(
+    return texts.mapInArrow(
         hashed, f"doc_id {id_type}, fp long"
     )
 
@@ -302,35 +302,11 @@ def near_duplicates(
     return fps.join(of_class, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, shingle_words: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of `docs` with one row left of each near-duplicate group.
-
-    That with the smallest doc_id stays (rows without one count as largest; among
-    equal ids the smallest text hash). Columns and texts stay as they are.
-    """
-    ids = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    near = near_duplicates(
-        ids.select(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h").alias("doc_id"), "text"),
-        shingle_words,
-        radius,
-    )
-    kept = near.select("component_id").distinct().select("component_id.doc_id", "component_id.h")
-    rows = docs.withColumn("__h", F.xxhash64("text")).join(
-        kept.select(F.col("doc_id").alias("__id"), F.col("h").alias("__kept")),
-        F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__kept")),
-        "left_semi",
-    )
-    repeated = near.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeated:
-        rows = rows.dropDuplicates(["doc_id", "__h"])
-    return rows.drop("__h")
-
-
 def shingle_classes(ids: DataFrame, shingle_words: int) -> DataFrame:
     """doc_id, `c` (hash of the shingle set), `n` (its size) and the 128-bit SimHash (hi, lo), a row per row of (doc_id, text)."""
 
     def hashed(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             sets = [shingle_digests(x.as_py(), shingle_words) for x in batch.column(1)]
             prints = np.array([simhash128(x) for x in sets], np.uint64).reshape(-1, 2).view(np.int64)
             c = np.array([xxhash.xxh3_64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
@@ -341,7 +317,7 @@ def shingle_classes(ids: DataFrame, shingle_words: int) -> DataFrame:
 
     id_type = ids.schema["doc_id"].dataType.simpleString()
     texts = spread(ids.select("doc_id", utf8("text").alias("text")))
-    return with_bounded_batches(texts).mapInArrow(hashed, f"doc_id {id_type}, c long, n long, hi long, lo long")
+    return texts.mapInArrow(hashed, f"doc_id {id_type}, c long, n long, hi long, lo long")
 
 
 def _families_of_tile(radius: int, similarity: float):
@@ -496,7 +472,8 @@ def keep_one_of_similar(
     other); groups are the components of these links. Texts whose 128-bit
     SimHashes differ in `radius` bits at most, directly or by others, are a
     family; the sets of each family decide which of them are similar. The row
-    with the smallest doc_id stays, as in `keep_one_of_each`.
+    with the smallest doc_id stays (rows without one count as largest; among equal
+    ids the smallest text hash).
     """
     ids = docs.select(
         F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text"
@@ -528,7 +505,7 @@ def _shingles(docs: DataFrame, classes: DataFrame, shingle_words: int) -> DataFr
     """c and shingles (64 bits of each digest, sorted and packed): the sets of the classes, from their least rows' texts."""
 
     def digested(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             for start in range(0, batch.num_rows, 256):  # the sets are larger than the texts
                 sets = [shingle_digests(x.as_py(), shingle_words) for x in batch.column(0).slice(start, 256)]
                 c = np.array([xxhash.xxh3_64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
@@ -536,4 +513,4 @@ def _shingles(docs: DataFrame, classes: DataFrame, shingle_words: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(packed, pa.binary())], names=["c", "shingles"])
 
     texts = _rows_of(docs, classes.select("least_id")).select(utf8("text").alias("text"))
-    return with_bounded_batches(texts).mapInArrow(digested, "c long, shingles binary").dropDuplicates(["c"])
+    return texts.mapInArrow(digested, "c long, shingles binary").dropDuplicates(["c"])

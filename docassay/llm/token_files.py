@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from docassay.llm.common import utf8
+from docassay.llm.common import pieces, utf8
 from docassay.llm.tokens import byte_bpe
 
 MAGIC = b"TOKIDS1\n"
@@ -299,11 +299,9 @@ def token_ids(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_bpe(tokenizer_path).all_ids
-        for batch in batches:
-            for k in range(0, len(batch), 256):
-                part = batch.slice(k, 256)
-                ids = [encode((t.as_py() or b"").decode("utf-8", "replace")) + CLOSING_ID for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], schema=schema)
+        for part in pieces(batches, 1 << 20):
+            ids = [encode((t.as_py() or b"").decode("utf-8", "replace")) + CLOSING_ID for t in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], schema=schema)
 
     return docs.select("doc_id", utf8("text").alias("text")).mapInArrow(encoded, f"doc_id {kind.simpleString()}, ids binary")
 

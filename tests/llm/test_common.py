@@ -1,8 +1,9 @@
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
-from docassay.llm.common import shared_folder
+from docassay.llm.common import pieces, shared_folder, spans
 
 
 class Context:
@@ -31,3 +32,15 @@ def test_a_cluster_must_name_its_shared_folder(master):
 def test_local_mode_takes_a_temporary_folder(master):
     assert "spark-checkpoint-" in shared_folder(session(master))
     assert shared_folder(session(master, "/named")) == "/named"
+
+
+def test_pieces_keep_rows_and_bound_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * n for n in (5, 0, 900, 30, 2000, 1, 1)]), pa.array(range(7))], names=["t", "n"])
+    got = list(pieces([batch, batch.slice(0, 0)], 1000))
+    assert [x for b in got for x in b.column(1).to_pylist()] == list(range(7))
+    assert all(b.nbytes <= 1000 or b.num_rows == 1 for b in got) and len(got) < 9
+
+
+@pytest.mark.parametrize("sizes,want", [([], []), ([9], [(0, 1)]), ([3, 3, 3, 3], [(0, 3), (3, 4)]), ([0, 0, 50, 1, 9], [(0, 2), (2, 3), (3, 5)])])
+def test_spans(sizes, want):
+    assert [(s.start, s.stop) for s in spans(sizes, 10)] == want
