@@ -37,6 +37,12 @@ NOISE_START, NOISE_END = r"^[\s|'`~.\-_\\/(]+", r"[\s|'`~.\-_\\/)]+$"
 DIGITS_MISREAD, DIGITS_MEANT = "OoDQ" "Ili|" "Zz" "Ss" "Gb" "T" "B" "gq", "0000" "1111" "22" "55" "66" "7" "8" "99"
 DOB_WORD = r"(?:DOB|DOR|D0B|D08|Date\s*of\s*Birth)"
 DOB_SHORT = r"(?:DOB|DOR|D0B|D08)"
+PLAIN_DATE = r"(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})"
+LABELLED_DATE = "(?i)" + DOB_WORD + r"[:\s]*(\d{1,2})[/.\- ]{0,2}(\d{1,2})[/.\- ]{0,2}(\d{4})"
+FUSED_DATE = "(?i)" + DOB_SHORT + r"[:\s]+(\d{1,2})\s+(\d)((?:19|20)\d{2})"
+DIGITS_AFTER_DOB = "(?i)" + DOB_SHORT + r"[:\s]*([\d/ .\-]{4,20})"
+#: Where this is not, no labelled date is.
+ANY_LABEL = rf"(?i){DOB_WORD}[:\s]*[\d/ .\-]"
 HEADER = r"(?i)(government\s+of\s+india|govt\.?\s+of\s+india|भारत\s+सरकार)"
 DOB_LINE = r"(?i)\b(DOB|DOR|D0B|Date\s*of\s*Birth)\b"
 NAME_LABEL = r"(?i)^(?:Name|Full\s*Name|नाम)\s*[:\-]\s*(.+)$"
@@ -147,12 +153,8 @@ def issue_date(text: Column) -> Column:
     return found(text, ISSUE_DATE)
 
 
-_PLAIN_DATE = r"(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})"
-
-
 def _date(d: Column, m: Column, y: Column) -> Column:
-    number = lambda c: fixed_digits(F.trim(c)).try_cast("int")
-    return F.struct(number(d).alias("d"), number(m).alias("m"), number(y).alias("y"))
+    return F.struct(d.try_cast("int").alias("d"), m.try_cast("int").alias("m"), y.try_cast("int").alias("y"))
 
 
 def date_candidates(text: Column, swap: bool, last_year: int = 2025) -> Column:
@@ -162,16 +164,15 @@ def date_candidates(text: Column, swap: bool, last_year: int = 2025) -> Column:
     otherwise such readings are left out, and repeated ones too.
     """
     plain = F.transform(
-        F.regexp_extract_all(text, F.lit(_PLAIN_DATE), F.lit(0)),
-        lambda x: _date(*(F.regexp_extract(x, _PLAIN_DATE, k) for k in (1, 2, 3))),
+        F.transform(F.regexp_extract_all(text, F.lit(PLAIN_DATE), F.lit(0)), lambda x: F.split(x, r"[/.\-]")),
+        lambda p: _date(*(F.get(p, k) for k in (0, 1, 2))),
     )
-    # an array of one and a transform name a value, so that the text is searched once for it
+    # an array of one and a transform name a value, so that the text is searched once for it; no match leaves no parts
     groups = lambda pattern: F.transform(
-        F.array(F.regexp_extract(text, pattern, 0)), lambda m: _date(*(F.regexp_extract(m, pattern, k) for k in (1, 2, 3)))
+        F.array(F.split(F.regexp_replace(F.regexp_extract(text, pattern, 0), pattern, "$1/$2/$3"), "/")), lambda p: _date(*(F.get(p, k) for k in (0, 1, 2)))
     )
-    labelled = groups("(?i)" + DOB_WORD + r"[:\s]*(\d{1,2})[/.\- ]{0,2}(\d{1,2})[/.\- ]{0,2}(\d{4})")
-    fused = groups("(?i)" + DOB_SHORT + r"[:\s]+(\d{1,2})\s+(\d)((?:19|20)\d{2})")
-    near = F.regexp_extract(text, "(?i)" + DOB_SHORT + r"[:\s]*([\d/ .\-]{4,20})", 1)
+    labelled, fused = groups(LABELLED_DATE), groups(FUSED_DATE)
+    near = F.regexp_extract(text, DIGITS_AFTER_DOB, 1)
 
     def fused_digits(c: Column) -> Column:
         a, b = F.get(c, 0), F.get(c, 1)
@@ -184,7 +185,8 @@ def date_candidates(text: Column, swap: bool, last_year: int = 2025) -> Column:
 
     clusters = F.flatten(F.transform(F.array(F.regexp_extract_all(near, F.lit(r"(\d+)"))), fused_digits))
     fits = lambda d, m, y: d.between(1, 31) & m.between(1, 12) & y.between(1900, last_year)
-    every = F.concat(plain, labelled, fused, clusters)
+    # most texts of a pass hold no label, or no date at all: one search tells, and the others are left out
+    every = F.when(text.rlike(ANY_LABEL), F.concat(plain, labelled, fused, clusters)).otherwise(plain)
     if not swap:
         return F.array_distinct(F.filter(every, lambda x: F.coalesce(fits(x["d"], x["m"], x["y"]), F.lit(False))))
     turned = F.transform(

@@ -11,6 +11,7 @@ from docassay.functions.text import corrected_name, regrouped_id
 from docassay.operators.audit import MAX_SIGNALS, classified_signal
 from docassay.operators.scoring import UNREADABLE_QR, trust_score
 from docassay.operators.voting import date_votes
+from docassay.sources import spread
 
 #: Signals of a QR code that was not found or not understood.
 NO_QR, BROKEN_QR = "QR not detected", "QR present but unreadable"
@@ -38,6 +39,7 @@ def corrected_cards(cards: DataFrame, passes: DataFrame, last_year: int = 2025)
     pass_no, text) and the card's own date, which comes last; it stays where no
     reading holds a date. Other columns stay.
     """
+    cards = spread(cards)
     readings = passes.select("doc_id", F.col("pass_no").cast("long").alias("pass_no"), "text")
     own = cards.select("doc_id", F.lit(LAST_PASS).cast("long").alias("pass_no"), F.col("dob").alias("text"))
     voted = date_votes(readings.unionByName(own), last_year).select(F.col("doc_id").alias("__id"), F.col("dob").alias("__dob"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docassay.functions.text import date_candidates, date_text
+from docassay.sources import spread
 
 
 def modal(df: DataFrame, keys: list[str], value: str, ordinal: str, out: str) -> DataFrame:
@@ -47,10 +48,11 @@ def vote_components(df: DataFrame, key: str, parts: list[str], ordinal: str) ->
 def date_votes(passes: DataFrame, last_year: int = 2025) -> DataFrame:
     """(doc_id, dob) by component votes over all date candidates of all OCR passes.
 
-    `passes`: doc_id, pass_no, text. Candidates of one pass count once, those of
-    several passes again; the first pass's come first.
+    `passes`: doc_id, pass_no, text; dealt over all cores first where they are
+    stored in fewer pieces. Candidates of one pass count once, those of several
+    passes again; the first pass's come first.
     """
-    each = passes.select(
+    each = spread(passes.select("doc_id", "pass_no", "text")).select(
         "doc_id", "pass_no", F.posexplode(date_candidates(F.col("text"), False, last_year)).alias("k", "x")
     ).select("doc_id", F.struct("pass_no", "k").alias("ordinal"), "x.d", "x.m", "x.y")
     voted = vote_components(each, "doc_id", ["d", "m", "y"], "ordinal")
