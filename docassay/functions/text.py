@@ -411,14 +411,14 @@ def corrected_name(value: Column) -> Column:
     """Misread letters of a name put right, unless that changes more than three characters."""
     original = F.trim(value)
     fixed = F.array_join(F.transform(F.split(original, r"\s+"), corrected_word), " ")
-    shorter = F.least(F.length(original), F.length(fixed))
-    differ = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(shorter, F.lit(1))),
-        F.lit(0),
-        lambda n, i: n + (F.substring(original, i, 1) != F.substring(fixed, i, 1)).cast("int"),
-    )
-    changes = differ + F.abs(F.length(original) - F.length(fixed))
-    return F.when(original == "", value).when(changes > 3, original).otherwise(fixed)
+
+    def chosen(a: Column, b: Column) -> Column:
+        differ = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: ~x.eqNullSafe(y))
+        return F.when(F.size(F.filter(differ, lambda x: x)) > 3, a).otherwise(b)
+
+    # an array of one and a transform name both, so that the word rules run once and not for every letter
+    both = F.transform(F.array(F.struct(original.alias("a"), fixed.alias("b"))), lambda p: chosen(p["a"], p["b"]))
+    return F.when(original == "", value).otherwise(F.get(both, 0))
 
 
 def regrouped_id(value: Column) -> Column:

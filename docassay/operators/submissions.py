@@ -39,13 +39,13 @@ def corrected_cards(cards: DataFrame, passes: DataFrame, last_year: int = 2025)
     pass_no, text) and the card's own date, which comes last; it stays where no
     reading holds a date. Other columns stay.
     """
-    cards = spread(cards)
+    fixed = {"name": corrected_name(F.col("name")), "id_number": regrouped_id(F.col("id_number"))}
+    corrected = spread(cards).select(*(fixed[c].alias(c) if c in fixed else F.col(c) for c in cards.columns))
     readings = passes.select("doc_id", F.col("pass_no").cast("long").alias("pass_no"), "text")
     own = cards.select("doc_id", F.lit(LAST_PASS).cast("long").alias("pass_no"), F.col("dob").alias("text"))
     voted = date_votes(readings.unionByName(own), last_year).select(F.col("doc_id").alias("__id"), F.col("dob").alias("__dob"))
-    fixed = {"name": corrected_name(F.col("name")), "dob": F.coalesce("__dob", "dob"), "id_number": regrouped_id(F.col("id_number"))}
-    joined = cards.join(voted, F.col("doc_id") == F.col("__id"), "left")
-    return joined.select(*(fixed[c].alias(c) if c in fixed else F.col(c) for c in cards.columns))
+    joined = corrected.join(voted, F.col("doc_id") == F.col("__id"), "left")
+    return joined.select(*(F.coalesce("__dob", "dob").alias(c) if c == "dob" else F.col(c) for c in cards.columns))
 
 
 def qr_trust(found: Column, readable: Column, matches: dict[str, Column], without: Column) -> Column:
