@@ -153,6 +153,47 @@ def _mined(raw: Column) -> Column:
     )
 
 
+def _whole_json(text: Column) -> Column:
+    """The object's values where nothing follows it, else null.
+
+    A parser stops after the first object, so the text is put between a list's
+    and an object's ends: what follows an object can break out of one of them only.
+    """
+    strict = {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "__broken"}
+    listed = F.from_json(F.concat(F.lit('{"x":['), text, F.lit("]}")), "x array<map<string,string>>, __broken string", strict)
+    held = F.from_json(F.concat(F.lit('{"x":'), text, F.lit("}")), "x map<string,string>, __broken string", strict)
+    whole = listed["__broken"].isNull() & held["__broken"].isNull() & (F.size(listed["x"]) == 1)
+    return F.when(text.endswith("}") & whole, held["x"])
+
+
+def _single_root(text: Column) -> Column:
+    """Whether well-formed XML has one root and no text beside it: a parser stops after the first."""
+    opened, empty, closed, words = "\x01", "\x02", "\x03", "\x04"
+    value = r""""[^"]*"|'[^']*'"""
+    marks = text
+    for pattern, mark in (
+        (r"(?s)<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>\[]*(?:\[.*?\])?[^>]*>", ""),
+        (r"(?s)<!\[CDATA\[.*?\]\]>", words),
+        (r"</[^>]*>", closed),
+        (rf"<(?:{value}|[^'\">/]|/(?!>))*/>", empty),
+        (rf"<(?:{value}|[^'\">])*>", opened),
+        (r"\s+", ""),
+        (r"[^\x01-\x04]+", words),
+    ):
+        marks = F.regexp_replace(marks, pattern, mark)
+
+    def after(s: Column, mark: Column) -> Column:
+        outside = s["depth"] == 0
+        return F.struct(
+            (s["depth"] + F.when(mark == opened, 1).when(mark == closed, -1).otherwise(0)).alias("depth"),
+            (s["roots"] + F.when(outside & mark.isin(opened, empty), 1).otherwise(0)).alias("roots"),
+            (s["stray"] | (outside & (mark == words))).alias("stray"),
+        )
+
+    begun = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("roots"), F.lit(False).alias("stray"))
+    return F.aggregate(F.split(marks, ""), begun, after, lambda s: (s["depth"] == 0) & (s["roots"] == 1) & ~s["stray"])
+
+
 def _legacy(df: DataFrame) -> DataFrame:
     """`df` (__text, __kind) with format and qr: the record of whole XML or JSON or of five pipe parts, else what any text tells."""
     text, kind = F.col("__text"), F.col("__kind")
@@ -161,12 +202,13 @@ def _legacy(df: DataFrame) -> DataFrame:
         {
             # attributes by name whatever its case; not well-formed: the whole text is in __broken, which must come last
             "__xml": F.when(kind == "xml", F.from_xml(text, f"{attributes}, __broken string", {"columnNameOfCorruptRecord": "__broken"})),
-            "__json": F.when((kind == "json") & text.endswith("}"), F.from_json(text, "map<string,string>", {"allowSingleQuotes": "false"})),
+            "__one": F.when(kind == "xml", _single_root(text)),
+            "__json": F.when(kind == "json", _whole_json(text)),
             "__parts": F.when(kind == "pipe", F.split(text, r"\|", -1)),
         }
     )
     found_as = (
-        F.when((kind == "xml") & F.col("__xml.__broken").isNull(), "xml")
+        F.when((kind == "xml") & F.col("__xml.__broken").isNull() & F.col("__one"), "xml")
         .when(F.col("__json").isNotNull(), "json")
         .when(F.size("__parts") >= 5, "pipe")
         .when(kind.isNotNull(), "text")
@@ -184,8 +226,9 @@ def parsed_payloads(payloads: DataFrame, raw: str = "raw") -> DataFrame:
     """`payloads` with format and qr (a record), in place of columns of that name; null for no payload.
 
     Only payloads of digits go through Python. A secure payload that does not
-    open, XML or JSON that is not well-formed, and fewer than five parts between
-    pipes are read like any other text: for a number, a name and a date.
+    open, XML or JSON that is not well-formed or that something follows, and fewer
+    than five parts between pipes are read like any other text: for a number, a
+    name and a date.
     """
     columns = [c for c in payloads.columns if c not in ("format", "qr")]
     base = payloads.withColumns({"__text": F.trim(raw), "__kind": payload_format(F.col(raw))})

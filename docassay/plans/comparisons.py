@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docassay.functions import compare as C
 from docassay.operators import qr as Q
@@ -109,26 +113,44 @@ SUGGESTIONS = f"SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN upper(old) EL
 
 _PAYLOADS = {
     "c_custkey": "c_custkey",
-    "raw": f"""CASE c_custkey % 5
+    "raw": f"""CASE c_custkey % 10
  WHEN 0 THEN '<PrintLetterBarcodeData uid="' || {CUSTOMER_UID} || '" name=" ' || {OCR_NAME} || '" gender="F" dob="' || replace({DOB}, '/', '-') || '" pc="' || {PIN} || '" dist="Pune" state="Maharashtra"/>'
  WHEN 1 THEN 'x|' || right({CUSTOMER_UID}, 8) || '|' || {OCR_NAME} || '|' || {DOB} || '|2|12 Road|' || {PIN} || '|Kerala|India'
  WHEN 2 THEN '{{"name": "' || {OCR_NAME} || '", "dob": "' || {DOB} || '", "gender": "m", "UID": "' || {CUSTOMER_UID} || '", "pin": "' || {PIN} || '"}}'
  WHEN 3 THEN 'id ' || left({CUSTOMER_UID}, 4) || ' ' || substring({CUSTOMER_UID}, 5, 4) || '-' || right({CUSTOMER_UID}, 4) || ' RAM LAL ' || '01-02-1990'
+ WHEN 5 THEN '{{"name": "' || {OCR_NAME} || '"}} RAM LAL 01-02-1990}}'
+ WHEN 6 THEN '<a name="RAM LAL"/><b dob="01-02-1990"/>'
+ WHEN 7 THEN '{{"name": "RAM LAL", "dob": "01-02-1990", "pin": "' || {PIN}
+ WHEN 8 THEN '<PrintLetterBarcodeData name="RAM LAL" dob="01-02-1990" pc="' || {PIN} || '"'
  ELSE NULL END""",
-}
+    "name": OCR_NAME, "dob": DOB, "pin": PIN,
+}
+
+
+@F.pandas_udf(T.StringType())
+def _secure_payload(name: pd.Series, dob: pd.Series, pin: pd.Series) -> pd.Series:
+    """Secure payloads as an issuer makes them: the record's parts, compressed, as one decimal number."""
+
+    def made(*known: str) -> str:
+        parts = dict.fromkeys(range(20), "") | dict(zip((3, 4, 11), known)) | {0: "V2", 2: "1234" * 5, 5: "F", 7: "Pune", 8: "near the old water tank", 13: "Kerala", 19: "Y"}
+        return str(int.from_bytes(zlib.compress(b"\xff".join(parts[k].encode() for k in range(20))), "big"))
+
+    return pd.Series([made(*x) for x in zip(name, dob, pin)], dtype="object")
 
 
 def qr_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = Q.parsed_payloads(view(spark, sf_dir, "customer", _PAYLOADS))
+    made = view(spark, sf_dir, "customer", _PAYLOADS)
+    secure = made.where("c_custkey % 10 = 9").withColumn("raw", _secure_payload("name", "dob", "pin"))
+    parsed = Q.parsed_payloads(made.where("c_custkey % 10 <> 9").unionByName(secure))
     return parsed.select("c_custkey", "format", *(F.col(f"qr.{k}").alias(k) for k in ("name", "dob", "gender", "pin", "state", "id_number", "id_last4")))
 
 
 QR_PAYLOADS = f"""
-WITH c AS (SELECT c_custkey, c_custkey % 5 AS k, {OCR_NAME} AS n, {DOB} AS d, {PIN} AS p, {CUSTOMER_UID} AS u FROM customer)
-SELECT c_custkey, CASE k WHEN 0 THEN 'xml' WHEN 1 THEN 'pipe' WHEN 2 THEN 'json' WHEN 3 THEN 'text' END AS format,
-  CASE WHEN k < 3 THEN upper(n) WHEN k = 3 THEN 'RAM LAL' END AS name, CASE WHEN k < 3 THEN d WHEN k = 3 THEN '01/02/1990' END AS dob,
-  CASE k WHEN 0 THEN 'Female' WHEN 1 THEN 'Female' WHEN 2 THEN 'Male' END AS gender, CASE WHEN k < 3 THEN p END AS pin,
-  CASE k WHEN 0 THEN 'Maharashtra' WHEN 1 THEN 'Kerala' END AS state,
+WITH c AS (SELECT c_custkey, c_custkey % 10 AS k, {OCR_NAME} AS n, {DOB} AS d, {PIN} AS p, {CUSTOMER_UID} AS u FROM customer)
+SELECT c_custkey, CASE k WHEN 0 THEN 'xml' WHEN 1 THEN 'pipe' WHEN 2 THEN 'json' WHEN 4 THEN NULL WHEN 9 THEN 'secure' ELSE 'text' END AS format,
+  CASE WHEN k < 3 OR k = 9 THEN upper(n) WHEN k <> 4 THEN 'RAM LAL' END AS name, CASE WHEN k < 3 OR k = 9 THEN d WHEN k <> 4 THEN '01/02/1990' END AS dob,
+  CASE k WHEN 0 THEN 'Female' WHEN 1 THEN 'Female' WHEN 2 THEN 'Male' WHEN 9 THEN 'Female' END AS gender, CASE WHEN k < 3 OR k = 9 THEN p END AS pin,
+  CASE k WHEN 0 THEN 'Maharashtra' WHEN 1 THEN 'Kerala' WHEN 9 THEN 'Kerala' END AS state,
   CASE k WHEN 0 THEN u WHEN 2 THEN u WHEN 3 THEN left(u, 4) || ' ' || substring(u, 5, 4) || ' ' || right(u, 4) END AS id_number,
   CASE WHEN k < 3 THEN right(u, 4) END AS id_last4 FROM c"""
 

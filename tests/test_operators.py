@@ -227,3 +227,15 @@ def test_image_sources_and_checks(spark, tmp_path):
     got = {x.origin.rsplit("/", 1)[1]: x for x in found.select("origin", gate.alias("gate"), images.noise_check(F.col("m.noise_variances")).alias("noise"), images.phash(F.col("m.dct64")).alias("phash"), images.blur_label(F.col("m.sharpness")).alias("blur")).collect()}
     assert {k: v.gate for k, v in got.items()} == {"noise.png": "ok", "flat.png": "too_small", "bad.png": "unreadable"}
     assert got["noise.png"].blur == "SHARP" and got["flat.png"].noise.score == 50 and got["bad.png"].phash is None
+
+
+@pytest.mark.parametrize("text,kind", [
+    ('{"name": "A", "x": {"y": ["}{", 1]}}', "json"), ('{"name": "A"}  ', "json"), ('{"name": "say \\"}\\" B"}', "json"),
+    ('{"name":"RAM LAL"} 01/02/1990}', "text"), ('{"a":1}{"b":2}', "text"), ('{"a":1},{"b":2}', "text"), ('{"a":1}], [{"b":2}', "text"),
+    ('{"a":1}}, {"b":2}', "text"), ('{"a":1}]}, {"b":[{}', "text"), ('{"a":1', "text"), ("{'a':1}", "text"), ("{}", "json"), ("{", "text"),
+    ('<a name="R>M" b=\'"\'><b/><b>text</b><!-- <z> --></a>', "xml"), ('<?xml version="1.0"?>\n<!DOCTYPE a>\n<a name="R"/>\n', "xml"), ("<a><![CDATA[<q>]]></a>", "xml"),
+    ('<a name="RAM"/><c name="Z"/>', "text"), ('<a name="RAM"/> 01/02/1990', "text"), ("<a/><![CDATA[x]]>", "text"), ('<a name="R">', "text"), ("<a></a></a>", "text"),
+])
+def test_a_payload_is_whole_or_mined(spark, text, kind):
+    df = spark.createDataFrame([(text,)], "raw string")
+    assert qr.parsed_payloads(df).first().format == kind
