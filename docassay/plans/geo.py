@@ -14,6 +14,7 @@ from docassay.functions.reference_data import (
     STATE_ALIASES,
 )
 from docassay.operators.districts import state_of_district
+from docassay.operators.ranges import first_of_ranges
 from docassay.plans.derive import LAST, OCR_NAME, PIN, STATE, UID12, cte, view
 
 
@@ -92,8 +93,10 @@ def district_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("c_custkey", "expected_state", "matched", geo.three_way_score(F.col("matched"), 70).cast("int").alias("score"))
 
 
-DISTRICT_STATE = f"""
-WITH d AS {cte("nation", _DISTRICTS)}, c AS {cte("customer", _CLAIMS)},
+def _district_sql(table: str, districts: dict[str, str], claims: dict[str, str]) -> str:
+    """By a loop over all names."""
+    return f"""
+WITH d AS {cte(table, districts)}, c AS {cte("customer", claims)},
 e AS (
   SELECT c.c_custkey, c.state, coalesce(any_value(x.state), min_by(p.state, p.ord)) AS expected_state
   FROM c LEFT JOIN d x ON x.district = lower(trim(c.district))
@@ -104,6 +107,46 @@ e AS (
     contains(lower(expected_state), lower(trim(state))) OR contains(lower(trim(state)), lower(expected_state)) END AS matched FROM e)
 SELECT c_custkey, expected_state, matched, CAST(CASE WHEN matched THEN 100 WHEN NOT matched THEN 0 ELSE 70 END AS INTEGER) AS score FROM m"""
 
+
+DISTRICT_STATE = _district_sql("nation", _DISTRICTS, _CLAIMS)
+
+#: A name for every order, and claims that hold one, are a part of one (also of two letters), equal one, or nothing.
+_NAME_OF = "substr(md5(CAST({0} AS VARCHAR(20))), 1, 7)"
+_MANY_DISTRICTS = {"ord": "(o_orderkey * 7919) % 1000003", "district": _NAME_OF.format("o_orderkey"), "state": "'State ' || CAST(o_custkey % 9 AS VARCHAR(4))"}
+_OTHER = _NAME_OF.format("c_custkey * 4")
+_PART_CLAIMS = {
+    "c_custkey": "c_custkey",
+    "district": f"CASE c_custkey % 5 WHEN 0 THEN ' ' || upper(substr({_OTHER}, 2, 5)) WHEN 1 THEN 'Zila ' || {_OTHER} || ' x' WHEN 2 THEN {_OTHER} WHEN 3 THEN substr({_OTHER}, 3, 2) ELSE NULL END",
+    "state": "'state ' || CAST(c_nationkey % 9 AS VARCHAR(4))",
+}
+
+
+def district_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims against as many district names as there are orders."""
+    found = state_of_district(view(spark, sf_dir, "customer", _PART_CLAIMS), view(spark, sf_dir, "orders", _MANY_DISTRICTS))
+    checked = found.withColumn("matched", geo.same_state(F.col("expected_state"), F.col("state")))
+    return checked.select("c_custkey", "expected_state", "matched", geo.three_way_score(F.col("matched"), 70).cast("int").alias("score"))
+
+
+DISTRICT_PARTS = _district_sql("orders", _MANY_DISTRICTS, _PART_CLAIMS)
+
+#: Overlapping ranges of PINs, one for every order.
+_PIN_SPANS = {
+    "ord": "(o_orderkey * 104729) % 1000003", "low": "100000 + (o_orderkey * 7919) % 900000",
+    "high": "100000 + (o_orderkey * 7919) % 900000 + (o_custkey * 31) % 3000 - 5", "value": "'R' || CAST(o_custkey % 97 AS VARCHAR(4))",
+}
+
+
+def pin_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first range in order that holds each customer's PIN."""
+    found = first_of_ranges(view(spark, sf_dir, "customer", {"c_custkey": "c_custkey", "pin": PIN}), view(spark, sf_dir, "orders", _PIN_SPANS), "pin", "region")
+    return found.select("c_custkey", "region")
+
+
+PIN_SPANS = f"""
+SELECT c_custkey, min_by(value, ord) AS region FROM {cte("customer", {"c_custkey": "c_custkey", "pin": PIN})} c
+LEFT JOIN {cte("orders", _PIN_SPANS)} r ON CAST(pin AS BIGINT) BETWEEN low AND high GROUP BY 1"""
+
 _PERSONS = {
     "c_custkey": "c_custkey",
     "person": f"CASE c_custkey % 10 WHEN 0 THEN {LAST} WHEN 1 THEN 'TEST ' || {LAST} WHEN 2 THEN 'AAAA ' || {LAST} WHEN 3 THEN 'same same' "
@@ -152,6 +195,8 @@ QUERIES = {
     "id_checksum": (id_checksum, ID_CHECKSUM),
     "pin_state": (pin_state, PIN_STATE),
     "district_state": (district_state, DISTRICT_STATE),
+    "district_parts": (district_parts, DISTRICT_PARTS),
+    "pin_spans": (pin_spans, PIN_SPANS),
     "name_plausibility": (name_plausibility, NAME_PLAUSIBILITY),
     "canonical_states": (states_of_addresses, STATES),
 }
