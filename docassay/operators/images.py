@@ -6,6 +6,8 @@ is an expression on the measured columns.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -251,16 +253,13 @@ def applied(images: DataFrame, steps: Column) -> DataFrame:
         for frame in frames:
             rows = []
             for d, h, w, n, todo in zip(*(frame[c] for c in ("data", "height", "width", "n_channels", "__steps"))):
-                image = None
-                if d is not None and len(d) == h * w * n:
-                    image = np.frombuffer(d, np.uint8).reshape(int(h), int(w), int(n))
-                    image = image[..., :3] if n >= 3 else image[..., 0].astype(np.float64)
+                image = _opened(d, h, w, n)
                 for step in todo if todo is not None else ():
                     image = None if image is None else STEPS[step["name"]](image, *step["args"])
                 if image is None:
                     rows.append((None, None, None, None))
                 else:
-                    whole = np.clip(np.rint(image), 0, 255).astype(np.uint8)
+                    whole = _whole(image)
                     rows.append((whole.tobytes(), *whole.shape[:2], 3 if whole.ndim == 3 else 1))
             out = frame[kept].copy()
             for k, c in enumerate(("data", "height", "width", "n_channels")):
@@ -273,23 +272,58 @@ def applied(images: DataFrame, steps: Column) -> DataFrame:
     return asked.mapInPandas(made, schema)
 
 
-def variants(images: DataFrame, recipes: dict[str, Steps] | None = None) -> DataFrame:
-    """`images` once for each recipe, in order: variant, rank, and grey pixels in data, height, width.
+def _opened(d, h, w, n) -> np.ndarray | None:
+    """The pixels that steps work on: three colours, or grey as doubles; None for unreadable ones."""
+    if d is None or len(d) != h * w * n:
+        return None
+    image = np.frombuffer(d, np.uint8).reshape(int(h), int(w), int(n))
+    return image[..., :3] if n >= 3 else image[..., 0].astype(np.float64)
+
+
+def _whole(image: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(image), 0, 255).astype(np.uint8)
+
 
-    A decoder keeps each image's least rank that it can read. Unreadable images
-    have no variants, and parts of LEAST_PART pixels or less are left out.
+def _each_variant(image: np.ndarray, recipes: dict[str, Steps]) -> Iterator[tuple[int, str, np.ndarray]]:
+    """(rank, name, grey pixels) of the recipes in order, each made when it is asked for; too small parts are left out.
+
+    What several recipes begin with is made once.
     """
-    recipes = qr_recipes() if recipes is None else recipes
-    each = [F.struct(F.lit(k).alias("rank"), F.lit(name).alias("variant"), steps_column(steps).alias("steps")) for k, (name, steps) in enumerate(recipes.items())]
-    asked = images.where("data IS NOT NULL").withColumn("__v", F.explode(F.array(*each)))
-    named = asked.withColumns({"variant": F.col("__v.variant"), "rank": F.col("__v.rank")})
-    return applied(named, F.col("__v.steps")).drop("__v").where("data IS NOT NULL")
+    made: dict[Steps, np.ndarray | None] = {(): image}
+    for rank, (name, steps) in enumerate(recipes.items()):
+        for k in range(1, len(steps) + 1):
+            if steps[:k] not in made:
+                before, (step, *args) = made[steps[: k - 1]], steps[k - 1]
+                made[steps[:k]] = None if before is None else STEPS[step](before, *args)
+        if made[steps] is not None:
+            yield rank, name, _whole(made[steps])
+
 
+def first_readable(images: DataFrame, decode: Callable[[np.ndarray], str | None], recipes: dict[str, Steps] | None = None) -> DataFrame:
+    """`images` without their pixels, with variant, rank and payload of the first variant in which `decode` finds one; null for none.
+
+    The later recipes of an image are not made any more. A decoder's error counts as nothing found.
+    """
+    recipes = qr_recipes() if recipes is None else recipes
 
-def first_readable(found: DataFrame, key: str) -> DataFrame:
-    """(key, variant, rank, payload): of the variants in which a payload was found that of the least rank."""
-    least = F.min_by(F.struct("variant", "rank", "payload"), "rank")
-    return found.where("payload IS NOT NULL").groupBy(key).agg(least.alias("x")).select(key, "x.*")
+    def read(image: np.ndarray | None) -> tuple:
+        for rank, name, pixels in () if image is None else _each_variant(image, recipes):
+            try:
+                payload = decode(pixels)
+            except Exception:
+                payload = None
+            if payload:
+                return name, rank, payload
+        return None, None, None
+
+    @F.pandas_udf(T.StructType.fromDDL("variant string, rank int, payload string"))
+    def found(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series) -> pd.DataFrame:
+        rows = [read(_opened(*x)) for x in zip(data, height, width, channels)]
+        out = pd.DataFrame(rows, columns=["variant", "rank", "payload"])
+        return out.astype({"rank": "Int32"})
+
+    kept = [c for c in images.columns if c not in ("data", "height", "width", "n_channels", "variant", "rank", "payload")]
+    return images.select(*kept, found("data", "height", "width", "n_channels").alias("__x")).select(*kept, "__x.*")
 
 
 @F.pandas_udf(T.DoubleType())

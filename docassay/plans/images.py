@@ -41,12 +41,6 @@ def image_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def image_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every variant of every image at its own size, without the enlarged ones, as its size and the digest of its pixels."""
-    recipes = {name: steps for name, steps in I.qr_recipes().items() if "enlarged" not in {s[0] for s in steps}}
-    return I.variants(embedding_images(spark, sf_dir), recipes).select("vec_id", "variant", "rank", "height", "width", F.sha2("data", 256).alias("digest"))
-
-
 def cleaned_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every image made ready for OCR, as the digest of its pixels."""
     return I.cleaned(embedding_images(spark, sf_dir)).select("vec_id", "height", "width", F.round("sharpness", 3).alias("sharpness"), F.sha2("data", 256).alias("digest"))
@@ -92,7 +86,6 @@ SELECT o_orderkey, round(age, 6) AS age, CAST(CASE WHEN abs(age - e) <= 6 THEN 1
 
 QUERIES = {
     "image_checks": (image_checks, None),
-    "image_variants": (image_variants, None),
     "cleaned_images": (cleaned_images, None),
     "texture_pairs": (texture_pairs, None),
     "face_checks": (face_checks, None),

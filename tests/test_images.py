@@ -162,13 +162,29 @@ def test_variants_and_the_first_readable(spark):
     assert len(recipes) == 82 and len({n for n in recipes if n.startswith("x4 ")}) == 10
     picked = {n: recipes[n] for n in ("gray", "inverted", "corner otsu", "turned 90", "x2 otsu")}
     image = R.integers(0, 256, (40, 80))
-    found = I.variants(frame(spark, [image]), picked)
-    got = {x.variant: x for x in found.collect()}
-    assert set(got) == {"gray", "inverted", "turned 90", "x2 otsu"}  # the corner is 14 pixels high
-    assert [got[n].rank for n in ("gray", "inverted", "turned 90", "x2 otsu")] == [0, 1, 3, 4]
-    assert (got["turned 90"].height, got["x2 otsu"].width) == (80, 160) and set(got["x2 otsu"].data) <= {0, 255}
-    read = found.withColumn("payload", F.when(F.col("rank") >= 3, F.concat(F.lit("by "), "variant")))
-    assert [tuple(x) for x in I.first_readable(read, "k").collect()] == [(0, "turned 90", 3, "by turned 90")]
+    unreadable = spark.createDataFrame([(7, b"xx", 9, 9, 1), (8, None, 1, 1, 1)], "k int, data binary, height int, width int, n_channels int")
+    images = frame(spark, [image]).select("k", "data", "height", "width", "n_channels").unionByName(unreadable)
+    for name in ("gray", "inverted", "turned 90", "x2 otsu"):  # each variant is what the steps give one by one
+        alone = I.applied(images.where("k = 0"), I.steps_column(picked[name])).first()
+        want = (alone.height, alone.width, bytes(alone.data))
+        seen = I.first_readable(images, lambda x, want=want: "seen" if (*x.shape, x.tobytes()) == want else None, picked)
+        assert [tuple(x) for x in seen.where("payload = 'seen'").collect()] == [(0, name, list(picked).index(name), "seen")]
+    assert I.first_readable(images, lambda x: "small" if min(x.shape) < 20 else None, picked).where("payload IS NOT NULL").count() == 0  # the corner is 14 high
+
+    def decoder():
+        calls = 0
+
+        def decode(pixels):
+            nonlocal calls
+            calls += 1
+            if calls == 2:
+                raise ValueError("not a code")
+            return f"found after {calls}" if pixels.shape[0] == 80 else None
+
+        return decode
+
+    read = sorted(tuple(x) for x in I.first_readable(images.where("k < 9"), decoder(), picked).collect())
+    assert read == [(0, "turned 90", 3, "found after 3"), (7, None, None, None), (8, None, None, None)]
 
 
 @pytest.mark.parametrize("measured,n", [(301.0, 1), (300.0, 2), (100.0, 3), (30.0, 4), (None, 4)])
