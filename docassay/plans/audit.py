@@ -9,7 +9,9 @@ from docassay.operators import audit as A
 from docassay.operators.dedup import duplicates, first_similar
 from docassay.operators.limits import rate_limited
 from docassay.plans.derive import CUSTOMER_UID, OCR_NAME, cte, view
-from docassay.sources import read_table
+from docassay.sources import read_table, stream_table
+from docassay.streaming.drain import drained
+from docassay.streaming.limits import rate_limited_stream
 
 _LOG = {
     "seq": "event_id",
@@ -112,6 +114,22 @@ w(key, n, seq, accepted, log) AS (
   FROM w JOIN r ON r.key = w.key AND r.n = w.n + 1)
 SELECT key, seq, accepted FROM w"""
 
+LATENESS_S = 3600
+
+
+def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the events as a stream, drained: what its watermark has passed is answered.
+
+    Its answers stay in a folder under spark.checkpoint.dir, as the result is read from it.
+    """
+    events = stream_table(spark, sf_dir, "events").selectExpr(*(f"{sql} AS {k}" for k, sql in _REQUESTS.items()))
+    answered = drained(lambda: rate_limited_stream(events, LIMITS, f"{LATENESS_S} seconds"), "rate-limit")
+    return answered.select("key", "seq", "accepted")
+
+
+RATE_LIMIT_STREAM = f"""SELECT x.* FROM ({RATE_LIMIT}) x JOIN events ON event_id = x.seq
+WHERE epoch_us(ts) // 1000 <= (SELECT epoch_us(max(ts)) // 1000 - {LATENESS_S}000 FROM events)"""
+
 _GATES = {
     "event_id": "event_id",
     "api_key": "CASE user_id % 9 WHEN 0 THEN ' ' WHEN 1 THEN 'stale' ELSE 'key' || CAST(user_id % 5 AS VARCHAR(4)) END",
@@ -158,6 +176,7 @@ QUERIES = {
     "similar_hashes": (similar_hashes, SIMILAR_HASHES),
     "duplicate_submissions": (duplicate_submissions, DUPLICATE_SUBMISSIONS),
     "rate_limit": (rate_limit, RATE_LIMIT),
+    "rate_limit_stream": (rate_limit_stream, RATE_LIMIT_STREAM),
     "admissions": (admissions, ADMISSIONS),
     "report_digests": (report_digests, REPORT_DIGESTS),
 }

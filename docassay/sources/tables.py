@@ -10,6 +10,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same as a stream of its files. The name is a pattern, as Spark takes a plain path for a folder."""
+    schema = read_table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/{name[:-1]}[{name[-1]}].parquet")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df` over all cores where it is stored in fewer pieces, for costly expressions on small rows; else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
