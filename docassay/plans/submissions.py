@@ -10,9 +10,13 @@ from docassay.operators import audit as A
 from docassay.operators import scoring as S
 from docassay.operators import submissions as U
 from docassay.plans.comparisons import MATCHES_CTE, TRUST, WITHOUT_QR, customer_checks
-from docassay.plans.derive import CUSTOMER_UID, OCR_NAME, UID12, cte, view
+from docassay.plans.derive import CUSTOMER_UID, DISTRICT, DOB, GENDER, OCR_NAME, PIN, STATE, UID12, cte, view
 from docassay.plans.geo import PIN_STATE, checksum_sql, name_plausibility_sql
 from docassay.plans.votes import PASSES, readings_sql
+from docassay.sources import stream_table
+from docassay.sources.audit_log import read_audit_log
+from docassay.sources.scratch import scratch_folder
+from docassay.streaming.intake import admitted, log_stream
 
 _COMPARED = ("name", "dob", "gender", "pin", "district", "state")
 
@@ -111,6 +115,45 @@ SELECT c.doc_id, CASE c.doc_id % 4 WHEN 0 THEN 'SUNITA DEVI' WHEN 1 THEN 'RAM LA
 FROM c JOIN (SELECT o_orderkey AS doc_id, {UID12} AS u FROM orders) USING (doc_id)
 LEFT JOIN v USING (doc_id) LEFT JOIN w USING (doc_id) LEFT JOIN z USING (doc_id)"""
 
+#: A submission for every customer: keys known, unknown and missing, fronts missing, images too dark, work that failed.
+_SUBMITTED = {
+    "report_id": "'S' || CAST(c_custkey AS VARCHAR(20))",
+    "api_key": "CASE c_custkey % 9 WHEN 0 THEN ' ' WHEN 1 THEN 'stale' ELSE 'key' || CAST(c_custkey % 5 AS VARCHAR(4)) END",
+    "has_front": "c_custkey % 11 <> 0", "brightness": "CAST(c_custkey % 200 AS DOUBLE)", "failed": "c_custkey % 17 = 0",
+    "name": OCR_NAME, "dob": DOB, "gender": GENDER, "id_number": CUSTOMER_UID, "pin": PIN, "district": DISTRICT, "state": STATE,
+    "trust": "CAST(c_custkey % 101 AS INT)", "geo": "CAST(c_custkey % 51 AS INT)",
+}
+_KEYS = {"api_key": "'key' || CAST(n_nationkey % 4 AS VARCHAR(4))"}
+
+
+def logged_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a stream of submissions, admitted, written to an audit log and read from it.
+
+    The log stays in a folder under spark.checkpoint.dir, as the result is read from it.
+    """
+    submitted = stream_table(spark, sf_dir, "customer").selectExpr(*(f"{sql} AS {k}" for k, sql in _SUBMITTED.items()))
+    quality = A.quality_gate(F.lit(900), F.lit(600), F.col("brightness"), F.lit(99.0))
+    passed = admitted(submitted, view(spark, sf_dir, "nation", _KEYS), quality, failed=F.col("failed")).where("status = 200")
+    fields = {k: F.col(k) for k in ("name", "dob", "gender", "pin", "district", "state", "id_number")}
+    scores = {"qr_trust": F.col("trust"), "tampering": F.lit(100), "geo": F.col("geo"), "face": F.lit(0)}
+    verdict = F.when(F.col("trust") >= 80, "VERIFIED").otherwise("REVIEW REQUIRED")
+    signals = F.array_compact(F.array(F.when(F.col("trust") < 20, U.NO_QR)))
+    entry = A.entry(fields, signals, scores) | {"report_id": F.col("report_id"), "verdict": verdict}
+    folder = scratch_folder(spark, "audit-log")
+    log_stream(passed.select(*(c.alias(k) for k, c in entry.items())), f"{folder}/log", f"{folder}/state").awaitTermination()
+    log = read_audit_log(spark, f"{folder}/log")
+    return log.select(
+        "report_id", "verdict", F.col("scores.overall").alias("overall"), F.col("fields_masked.id").alias("masked"),
+        F.col("fields_masked.name").alias("name"), F.size("fraud_signals").alias("signals"),
+    )
+
+
+LOGGED_SUBMISSIONS = f"""
+WITH s AS {cte("customer", _SUBMITTED)}
+SELECT report_id, CASE WHEN trust >= 80 THEN 'VERIFIED' ELSE 'REVIEW REQUIRED' END AS verdict,
+  CAST((35 * trust + 25 * 100 + 25 * geo) // 100 AS INTEGER) AS overall, 'XXXX-XXXX-' || right(id_number, 4) AS masked, name, CAST(trust < 20 AS INTEGER) AS signals
+FROM s WHERE api_key IN (SELECT api_key FROM {cte("nation", _KEYS)}) AND has_front AND brightness BETWEEN 30 AND 248 AND NOT failed"""
+
 _REQUESTS = {"event_id": "event_id", "report_id": "CASE WHEN user_id % 6 = 0 THEN NULL ELSE 'R' || CAST(user_id AS VARCHAR(20)) END"}
 _REPORTS = {"report_id": "'R' || CAST(c_custkey AS VARCHAR(20))", "path": "CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE '/reports/' || c_name END"}
 
@@ -126,5 +169,6 @@ FROM {cte("events", _REQUESTS)} e LEFT JOIN {cte("customer", _REPORTS)} r ON r.r
 QUERIES = {
     "submission_responses": (submission_responses, SUBMISSION_RESPONSES),
     "corrected_cards": (corrected_cards, CORRECTED_CARDS),
+    "logged_submissions": (logged_submissions, LOGGED_SUBMISSIONS),
     "report_downloads": (report_downloads, REPORT_DOWNLOADS),
 }

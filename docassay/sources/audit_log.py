@@ -12,9 +12,10 @@ fraud_signals array<string>, phash string, img_sha256 string, is_duplicate boole
 
 
 def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
-    """Well-formed entries; blank and malformed lines are left out. A log that is not there yet has none."""
+    """Well-formed entries, of folders of batches too; blank and malformed lines are left out. A log that is not there yet has none."""
     try:
-        return spark.read.schema(SCHEMA).option("mode", "DROPMALFORMED").json(path)
+        log = spark.read.schema(SCHEMA).option("mode", "DROPMALFORMED").json(path)
+        return log.select(*(c for c in log.columns if c not in ("source", "batch")))
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -1,6 +1,8 @@
 """From uploads to responses."""
 
+import hashlib
 import zlib
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -181,3 +183,46 @@ def test_card_texts_in_runs(spark, monkeypatch):
     order = sorted((x for x in rows if x[0] == 1), key=lambda x: (rank[x[1]], -1 if x[2] is None else x[2], x[3]))
     assert got[1].text == "\n".join(x[3] for x in order) and got[1].n_passes == len(order) and not got[1].ask_again
     assert (got[2].text, got[2].n_passes, got[2].ask_again) == ("", 1, True)
+
+
+def test_drop_folder_to_log_once_each(spark, tmp_path):
+    """Files of a drop folder become entries; a job that dies after writing a batch, or is started again, repeats none."""
+    from docassay.sources.audit_log import read_audit_log
+    from docassay.sources.submissions import stream_submissions
+    from docassay.streaming import intake
+
+    drop, log, state = tmp_path / "drop", str(tmp_path / "log"), str(tmp_path / "state")
+    drop.mkdir()
+
+    def upload(*names):
+        for n in names:
+            (drop / n).write_bytes(n.encode())
+
+    keys = spark.createDataFrame([("good",), ("other",)], "api_key string")
+
+    def start(die_after_writing=False):
+        sides = stream_submissions(spark, str(drop)).withColumns({"api_key": F.when(F.col("submission_id") == "s3", "bad").otherwise("good"), "has_front": F.col("side") == "front"})
+        passed = intake.admitted(sides, keys, F.lit("ok")).where("status = 200")
+        entries = passed.select(F.col("submission_id").alias("report_id"), F.sha2("data", 256).alias("img_sha256"), F.lit("VERIFIED").alias("verdict"))
+        query = intake.log_stream(entries, log, state)
+        query.awaitTermination()
+        if die_after_writing:  # the checkpoint never hears of the last batch
+            last = max(Path(state, "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+            last.unlink()
+            for crc in Path(state, "commits").glob(f".{last.name}*"):
+                crc.unlink()
+
+    found = lambda: sorted(x.report_id for x in read_audit_log(spark, log).collect())
+    assert found() == []
+    upload("s1_front.png", "s1_back.png", "s2_front.jpg", "s3_front.png", "notes.txt")
+    start(die_after_writing=True)
+    assert found() == ["s1", "s2"]
+    start()
+    assert found() == ["s1", "s2"]
+    upload("s4_front.png", "s5_selfie.png")
+    start(die_after_writing=True)
+    upload("s6_front.png")
+    start()
+    start()
+    assert found() == ["s1", "s2", "s4", "s6"]
+    assert {x.img_sha256 for x in read_audit_log(spark, log).where("report_id = 's6'").collect()} == {hashlib.sha256(b"s6_front.png").hexdigest()}
