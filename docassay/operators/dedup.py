@@ -2,10 +2,15 @@
 
 Similar hashes meet by bands. If two 64-bit hashes differ in at most `bits`
 bits, then of m bands at least one differs in bits // m bits at most. A class of
-equal hashes is found under its own value of every band, and asks under all
-values within that distance: rows grow with the classes, not with their pairs.
-The number of band values is bounded (2^18 at most), so their sizes are a small
-table; it cuts a value that many classes share into tiles.
+equal hashes is found under all values within half of that distance of its own,
+and asks under all within the other half, so that two such values meet half way:
+rows grow with the classes, not with their pairs. The number of band values is
+bounded (2^18 at most), so their sizes are a small table; it cuts a value that
+many classes share into tiles.
+
+For a log that grows, the values under which classes are found are kept as a
+table, partitioned by band and by the value's first bits. A new batch asks only
+the partitions that its own values lead to, and adds itself.
 """
 
 from __future__ import annotations
@@ -15,11 +20,14 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Classes on a side of a tile, and rows that a task's group of tiles holds on average.
 TILE_ROWS, GROUP_ROWS = 4096, 100_000
+#: Bits of a band's value that name a partition of the index.
+PART_BITS = 3
 
 
 def bands_of(bits: int) -> list[tuple[int, int]]:
@@ -58,6 +66,27 @@ def _first_near(table: pa.Table, bits: int) -> pa.Table:
     return pa.table({"phash": a, "near_first": b})
 
 
+def _masks(bits: int, asks: bool, bands: list[tuple[int, int]] | None = None) -> Column:
+    """For each band the differences under which a class asks, or under which it is found: half of the distance each."""
+    bands = bands_of(bits) if bands is None else bands
+    most = bits // len(bands)
+    radius = most - most // 2 if asks else most // 2
+    return F.array(*(F.array(*map(F.lit, near_masks(width, radius))).cast("array<long>") for _, width in bands))
+
+
+def under_values(classes: DataFrame, bits: int, asks: bool, bands: list[tuple[int, int]] | None = None) -> DataFrame:
+    """(band, v, phash, first): `classes` (phash, first) under the values of each band at which they ask, or are found."""
+    bands = bands_of(bits) if bands is None else bands
+    masks = _masks(bits, asks, bands)
+
+    def of_band(k: int, shift: int, width: int) -> Column:
+        value = F.shiftrightunsigned("phash", shift).bitwiseAND(F.lit((1 << width) - 1))
+        return F.transform(F.get(masks, F.lit(k)), lambda mask: F.struct(F.lit(k).alias("band"), value.bitwiseXOR(mask).alias("v")))
+
+    values = F.array(*(of_band(k, *band) for k, band in enumerate(bands)))
+    return classes.select("phash", "first", F.explode(F.flatten(values)).alias("p")).select("p.*", "phash", "first")
+
+
 def first_similar(entries: DataFrame, bits: int = 10) -> DataFrame:
     """(seq, similar_seq): each entry's earliest earlier entry whose phash differs in at most `bits` bits.
 
@@ -68,32 +97,22 @@ def first_similar(entries: DataFrame, bits: int = 10) -> DataFrame:
     spark = entries.sparkSession
     usable = entries.where("phash IS NOT NULL").select("seq", "phash")
     classes = usable.groupBy("phash").agg(F.min("seq").alias("first"))
-    bands, most = bands_of(bits), bits // len(bands_of(bits))
-    value = lambda shift, width: F.shiftrightunsigned("phash", shift).bitwiseAND(F.lit((1 << width) - 1))
-    around = F.array(*(F.array(*map(F.lit, near_masks(width, most))).cast("array<long>") for _, width in bands))
-    place = lambda band, v: F.struct(F.lit(band).alias("band"), v.alias("v"))
-
-    def under(own: Column, band: int) -> Column:
-        return F.transform(F.get(around, F.lit(band)), lambda mask: place(band, own.bitwiseXOR(mask)))
-
-    found = classes.select("phash", "first", F.explode(F.array(*(place(k, value(*b)) for k, b in enumerate(bands)))).alias("p")).select("p.*", "phash", "first")
-    asking = classes.select("phash", "first", F.explode(F.flatten(F.array(*(under(value(*b), k) for k, b in enumerate(bands))))).alias("p")).select("p.*", "phash", "first")
-    held = found.groupBy("band", "v").agg(F.count("*").alias("n"))
-    askers = (
-        held.select("band", F.explode(F.transform(F.get(around, F.col("band")), lambda mask: F.col("v").bitwiseXOR(mask))).alias("v"), "n")
-        .groupBy("band", "v").agg(F.sum("n").alias("asking"))
-    )
+    found, asking = under_values(classes, bits, False), under_values(classes, bits, True)
+    own = under_values(classes, 0, False, bands_of(bits)).groupBy("band", "v").agg(F.count("*").alias("n"))
+    around = lambda asks: F.explode(F.transform(F.get(_masks(bits, asks), F.col("band")), lambda mask: F.col("v").bitwiseXOR(mask))).alias("v")
+    held = own.select("band", around(False), "n").groupBy("band", "v").agg(F.sum("n").alias("n"))
+    askers = own.select("band", around(True), "n").groupBy("band", "v").agg(F.sum("n").alias("asking"))
     pieces = lambda n: F.ceil(F.col(n) / TILE_ROWS).cast("int")
     values = held.join(askers, ["band", "v"]).select("band", "v", "n", "asking", pieces("asking").alias("lefts"), pieces("n").alias("rights"))
     rows = values.agg(F.sum(F.col("n") * F.col("lefts") + F.col("asking") * F.col("rights"))).first()[0] or 0
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(rows / GROUP_ROWS))
     # a row for every value that a band can have, at most: 2^18 of them
     values = F.broadcast(values.select("band", "v", "lefts", "rights"))
-    own = lambda n: F.pmod(F.xxhash64("phash"), F.col(n)).cast("int")
+    side = lambda n: F.pmod(F.xxhash64("phash"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = (
-        asking.join(values, ["band", "v"]).select("band", "v", own("lefts").alias("l"), every("rights").alias("r"), F.lit(True).alias("asks"), "phash", "first")
-        .unionByName(found.join(values, ["band", "v"]).select("band", "v", every("lefts").alias("l"), own("rights").alias("r"), F.lit(False).alias("asks"), "phash", "first"))
+        asking.join(values, ["band", "v"]).select("band", "v", side("lefts").alias("l"), every("rights").alias("r"), F.lit(True).alias("asks"), "phash", "first")
+        .unionByName(found.join(values, ["band", "v"]).select("band", "v", every("lefts").alias("l"), side("rights").alias("r"), F.lit(False).alias("asks"), "phash", "first"))
         .select(F.xxhash64("band", "v", "l", "r").alias("tile"), "asks", "phash", "first")
     )
     near = (
@@ -108,6 +127,59 @@ def first_similar(entries: DataFrame, bits: int = 10) -> DataFrame:
     return usable.join(of_class, "phash").where("earliest < seq").select("seq", F.col("earliest").alias("similar_seq"))
 
 
+def _in_partitions(values: DataFrame, bits: int) -> DataFrame:
+    """`values` (band, v, ...) with part, the first PART_BITS bits of a value of its band."""
+    widths = F.array(*(F.lit(width) for _, width in bands_of(bits)))
+    return values.withColumn("part", F.call_function("shiftrightunsigned", F.col("v"), F.get(widths, F.col("band")) - PART_BITS).cast("int"))
+
+
+def index_of(asks: DataFrame, path: str, bits: int) -> DataFrame | None:
+    """The partitions of the index at `path` that `asks` (band, part, ...) lead to; None if there is no index yet."""
+    spark = asks.sparkSession
+    try:
+        index = spark.read.schema("v long, phash long, first long, batch string, band int, part int").parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    parts: dict[int, list[int]] = {}
+    for x in asks.select("band", "part").distinct().collect():  # bands times 2^PART_BITS at most
+        parts.setdefault(x.band, []).append(x.part)
+    within = F.lit(False)
+    for band, own in parts.items():
+        within = within | ((F.col("band") == band) & F.col("part").isin(own))
+    return index.where(within)
+
+
+def first_similar_in_log(batch: DataFrame, path: str, batch_id: str, bits: int = 10) -> DataFrame:
+    """(seq, similar_seq) of the entries of `batch` (seq, phash): as `first_similar`, against all batches before and this one.
+
+    The batch is added to the index at `path` under `batch_id`; what an earlier
+    try of the same batch left there is replaced and not asked. All batches have
+    the same `bits`; any batch may be the first. Entries of earlier batches are
+    not judged again, so entries have to come in the order of seq. The answers are
+    written beside the index (`path`-answers) before the batch is added.
+    """
+    spark = batch.sparkSession
+    usable = batch.where("phash IS NOT NULL").select("seq", "phash")
+    classes = usable.groupBy("phash").agg(F.min("seq").alias("first"))
+    asks = _in_partitions(under_values(classes, bits, True), bits).select("band", "part", "v", F.col("phash").alias("asking"))
+    index = index_of(asks, path, bits)
+    answers = first_similar(batch, bits)
+    if index is not None:
+        old = index.where(F.col("batch") != batch_id)
+        near = old.join(asks, ["band", "part", "v"]).where(F.bit_count(F.col("phash").bitwiseXOR(F.col("asking"))) <= bits)
+        nearest = near.groupBy("asking").agg(F.min("first").alias("old"))
+        answers = (
+            usable.join(nearest, F.col("phash") == F.col("asking"), "left").select("seq", "old").join(answers, "seq", "left")
+            .select("seq", F.least("old", "similar_seq").alias("similar_seq")).where("similar_seq < seq")
+        )
+    answers.write.mode("overwrite").parquet(f"{path}-answers/batch={batch_id}")
+    found = _in_partitions(under_values(classes, bits, False), bits).select("v", "phash", "first", F.lit(batch_id).alias("batch"), "band", "part")
+    found.repartition("band", "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "band", "part").parquet(path)
+    return spark.read.schema("seq long, similar_seq long").parquet(f"{path}-answers/batch={batch_id}")
+
+
 def first_equal(entries: DataFrame) -> DataFrame:
     """(seq, equal_seq): each entry's earliest earlier entry with the same digest; null or empty ones never match."""
     usable = entries.where("coalesce(digest, '') <> ''").select("seq", "digest")

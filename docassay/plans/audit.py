@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docassay.operators import audit as A
-from docassay.operators.dedup import duplicates, first_similar
+from docassay.operators.dedup import duplicates, first_similar, first_similar_in_log
 from docassay.operators.limits import rate_limited
 from docassay.plans.derive import CUSTOMER_UID, OCR_NAME, cte, view
 from docassay.sources import read_table, stream_table
+from docassay.sources.scratch import scratch_folder
 from docassay.streaming.drain import drained
 from docassay.streaming.limits import rate_limited_stream
 
@@ -84,6 +87,20 @@ h AS (SELECT vec_id AS seq, CAST(CASE WHEN h >= 9223372036854775808 THEN h - 184
 SELECT b.seq, min(a.seq) AS similar_seq FROM h a JOIN h b ON a.seq < b.seq AND bit_count(xor(a.h, b.h)) <= {NEAR_BITS} GROUP BY 1"""
 
 
+BATCHES = 3
+
+
+def similar_hashes_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, batch after batch, against an index of all batches before: a table under spark.checkpoint.dir."""
+    entries, folder = _hashed(spark, sf_dir), scratch_folder(spark, "band-index")
+    last = (entries.agg(F.max("seq")).first()[0] or 0) + 1
+    answers = [
+        first_similar_in_log(entries.where((F.col("seq") >= last * k // BATCHES) & (F.col("seq") < last * (k + 1) // BATCHES)), f"{folder}/index", str(k), NEAR_BITS)
+        for k in range(BATCHES)
+    ]
+    return reduce(DataFrame.unionByName, answers)
+
+
 def duplicate_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates(_hashed(spark, sf_dir), NEAR_BITS).select("seq", "is_duplicate", "duplicate_of")
 
@@ -174,6 +191,7 @@ QUERIES = {
     "recent_entries": (recent_entries, RECENT_ENTRIES),
     "explained_signals": (explained_signals, EXPLAINED_SIGNALS),
     "similar_hashes": (similar_hashes, SIMILAR_HASHES),
+    "similar_hashes_in_batches": (similar_hashes_in_batches, SIMILAR_HASHES),
     "duplicate_submissions": (duplicate_submissions, DUPLICATE_SUBMISSIONS),
     "rate_limit": (rate_limit, RATE_LIMIT),
     "rate_limit_stream": (rate_limit_stream, RATE_LIMIT_STREAM),
