@@ -64,10 +64,8 @@ def card_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def card_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    fields = {"name": X.name(t), "dob": X.date_of_birth(t), "gender": X.gender(t), "id_number": X.id_number(t)}
-    cards = spread(view(spark, sf_dir, "orders", _CARDS)).select("o_orderkey", *(c.alias(k) for k, c in fields.items()))
-    return cards.select("o_orderkey", completeness({k: F.col(k) for k in fields}).alias("completeness"))
+    records = X.with_card_record(spread(view(spark, sf_dir, "orders", _CARDS)), "text")
+    return records.select("o_orderkey", completeness({k: F.col(k) for k in ("name", "dob", "gender", "id_number")}).alias("completeness"))
 
 
 def card_persons(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docassay.functions import compare as C
+from docassay.operators import names as N
 from docassay.operators import qr as Q
 from docassay.operators import scoring as S
 from docassay.operators.images import match_by_cosine
@@ -155,6 +156,30 @@ SELECT c_custkey, CASE k WHEN 0 THEN 'xml' WHEN 1 THEN 'pipe' WHEN 2 THEN 'json'
   CASE WHEN k < 3 THEN right(u, 4) END AS id_last4 FROM c"""
 
 
+_SPELLED = "translate(substr(md5(CAST(c_custkey - c_custkey % 4 AS VARCHAR(20))), 1, 13), '0123456789', 'ghijklmnop')"
+#: Names in families of four: one letter less, another last letter, other case and a space; some are missing.
+_SPELT_NAMES = {
+    "c_custkey": "c_custkey",
+    "name": f"CASE WHEN c_custkey % 50 = 7 THEN NULL ELSE CASE c_custkey % 4 WHEN 0 THEN {_SPELLED} WHEN 1 THEN left({_SPELLED}, 12) "
+    f"WHEN 2 THEN left({_SPELLED}, 12) || 'z' ELSE upper(left({_SPELLED}, 5)) || ' ' || substr({_SPELLED}, 6, 9) || 'y' END END",
+}
+
+
+def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's name against all others, by bigrams."""
+    return N.similar_names(view(spark, sf_dir, "customer", _SPELT_NAMES), "c_custkey", "name").select("c_custkey", "similar_names", "first_id")
+
+
+SIMILAR_NAMES = f"""
+WITH n AS (SELECT c_custkey, trim(upper(coalesce(name, ''))) AS x FROM {cte("customer", _SPELT_NAMES)}),
+c AS (SELECT x, min(c_custkey) AS least, replace(x, ' ', '') AS p FROM n WHERE x <> '' GROUP BY x),
+g AS (SELECT x, least, list_distinct(list_transform(range(1, length(p)), lambda i: substr(p, i, 2))) AS g FROM c),
+b AS (SELECT a.x, b.least, len(list_intersect(a.g, b.g)) AS common, len(a.g) + len(b.g) AS size FROM g a JOIN g b ON a.x <> b.x AND list_has_any(a.g, b.g)),
+s AS (SELECT x, count(*) AS n, min(least) AS first FROM b WHERE common / (size - common) >= 0.75 GROUP BY x)
+SELECT c_custkey, coalesce(s.n, 0) AS similar_names, least(c.least, s.first) AS first_id
+FROM n LEFT JOIN c ON c.x = n.x LEFT JOIN s ON s.x = n.x"""
+
+
 def face_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each embedding against its successor, as a card's face against a selfie."""
     e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -169,6 +194,7 @@ SELECT vec_id, s >= 0.28 AS matched, round(round((s + 1) / 2 * 100, 1), 0) AS sc
 
 QUERIES = {
     "field_matches": (field_matches, FIELD_MATCHES),
+    "similar_names": (similar_names, SIMILAR_NAMES),
     "name_similarity": (name_similarity, NAME_SIMILARITY),
     "trust_scores": (trust_scores, TRUST_SCORES),
     "backfill_from_qr": (backfill, BACKFILL),
