@@ -58,9 +58,14 @@ SELECT o_orderkey, left(id, 4) || ' ' || substring(id, 5, 4) || ' ' || substring
 FROM r"""
 
 
+_HINDI = "सुनीता देवी"
+#: The same texts with a last line in Devanagari: a name, a header, or none.
+_WHOLE_CARDS = _CARDS | {"text": f"{CARD_TEXT} || chr(10) || CASE o_orderkey % 5 WHEN 1 THEN ' {_HINDI}' WHEN 2 THEN 'भारत सरकार' ELSE '' END"}
+
+
 def card_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole record of every card text; names and addresses follow line rules that SQL does not have."""
-    return X.with_card_record(spread(view(spark, sf_dir, "orders", _CARDS)), "text").drop("text")
+    """The whole record of every card text."""
+    return X.with_card_record(spread(view(spark, sf_dir, "orders", _WHOLE_CARDS)), "text").drop("text")
 
 
 def card_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +87,21 @@ SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'ANIL KUMAR SHARMA' WHEN 1 TH
     WHEN o_orderkey % 6 = 1 THEN '10/01/' || CAST(1990 + o_orderkey % 20 AS VARCHAR) END AS dob,
   CASE o_orderkey % 7 WHEN 0 THEN 'Male' WHEN 1 THEN 'Female' WHEN 2 THEN 'Male' WHEN 3 THEN CASE WHEN o_orderkey % 6 <> 2 THEN 'Female' END END AS gender,
   CASE o_orderkey % 3 WHEN 0 THEN 'Mohan Lal' || chr(10) || 'near temple road' WHEN 1 THEN 'Ram Das' END AS care_of FROM orders"""
+#: The whole record. An address is what stands from its first line to the line of a spaced number, a VID or an issue date.
+CARD_RECORDS = f"""
+SELECT o.o_orderkey, name, CASE o.o_orderkey % 5 WHEN 1 THEN '{_HINDI}' END AS name_hindi, dob, year_of_birth, gender, id_number, vid, enrolment AS enrollment_number,
+  care_of AS father_husband_name, mobile, email,
+  concat_ws(' ', CASE o.o_orderkey % 3 WHEN 0 THEN 'S/O: Mohan Lal' WHEN 1 THEN 'C/O Ram Das, House No: 12/B' ELSE 'Village: Rampur' END,
+    'near temple road, District: Thane, Maharashtra ' || pin,
+    CASE o.o_orderkey % 4 WHEN 1 THEN u WHEN 2 THEN left(u, 4) || '-' || substring(u, 5, 4) || '. ' || right(u, 4) WHEN 3 THEN 'none' END,
+    CASE WHEN o.o_orderkey % 4 <> 0 THEN CASE o.o_orderkey % 5 WHEN 1 THEN 'EID: 12341234512345' WHEN 2 THEN '1234/12345/54321' END END,
+    CASE WHEN o.o_orderkey % 4 <> 0 AND o.o_orderkey % 5 <> 0 THEN
+      CASE o.o_orderkey % 3 WHEN 0 THEN '9' || right(u, 9) WHEN 1 THEN 'User.' || CAST(o_custkey AS VARCHAR) || '@Example.COM' ELSE 'help@uidai.gov.in' END END) AS address_raw,
+  CASE o.o_orderkey % 3 WHEN 1 THEN 'Ram Das' END AS address_house, NULL::VARCHAR AS address_street, 'temple road, District' AS address_landmark,
+  CASE o.o_orderkey % 3 WHEN 2 THEN 'Rampur near temple road' END AS address_locality, NULL::VARCHAR AS address_subdistrict, 'Thane' AS address_district,
+  'Maharashtra' AS address_state, pin AS address_pin, issue_date, side AS card_type, '{X.ISSUED_BY}' AS issued_by
+FROM (SELECT o_orderkey, o_custkey, {UID12} AS u, CAST(100000 + o_custkey * 613 % 900000 AS VARCHAR) AS pin FROM orders) o
+JOIN ({_PERSONS}) p ON p.o_orderkey = o.o_orderkey JOIN ({CARD_IDENTIFIERS}) i ON i.o_orderkey = o.o_orderkey"""
 CARD_COMPLETENESS = f"""
 SELECT o_orderkey, round(((name IS NOT NULL)::INT * 2 + (dob IS NOT NULL)::INT + (gender IS NOT NULL)::INT + (id_number IS NOT NULL)::INT * 3) / 11.0::DOUBLE, 3) AS completeness
 FROM ({_PERSONS}) JOIN ({CARD_IDENTIFIERS}) USING (o_orderkey)"""
@@ -136,7 +156,7 @@ WHEN 3 THEN 'KUMAVAT RAM' WHEN 4 THEN 'LAL' WHEN 5 THEN 'DEVAM SINGH' WHEN 6 THE
 
 QUERIES = {
     "card_identifiers": (card_identifiers, CARD_IDENTIFIERS),
-    "card_records": (card_records, None),
+    "card_records": (card_records, CARD_RECORDS),
     "card_persons": (card_persons, _PERSONS),
     "card_completeness": (card_completeness, CARD_COMPLETENESS),
     "document_emails": (document_emails, DOCUMENT_EMAILS),
