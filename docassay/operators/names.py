@@ -5,7 +5,8 @@ other's size, and of their bigrams in any common order the first n - ceil(t n) +
 of each share one. Names therefore meet under those bigrams only, the rarest
 first. A pair that shares several is compared under the first of them and
 nowhere else, so that pairs need not be made distinct: they go from the join into
-counts in the same task, and no list of pairs is ever dealt out.
+counts in the same task, and no list of pairs is ever dealt out. Sets are bits of
+a few longs, a bit for each of the 26 x 26 bigrams.
 """
 
 from __future__ import annotations
@@ -18,6 +19,20 @@ from pyspark.sql import functions as F
 from docassay.functions.compare import bigrams, normal_name
 
 
+#: Bits of a word; words that hold all pairs of letters.
+BITS = 62
+WORDS = -(-26 * 26 // BITS)
+
+
+def _words(grams: Column) -> list[Column]:
+    """The set of bigrams of A to Z as WORDS longs."""
+    letter = lambda g, k: F.ascii(F.substring(g, k, 1)) - 65
+    codes = F.transform(grams, lambda g: letter(g, 1) * 26 + letter(g, 2))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c % BITS)
+    of_word = lambda w: F.filter(codes, lambda c: F.floor(c / BITS) == w)
+    return [F.aggregate(of_word(w), F.lit(0).cast("long"), lambda s, c: s.bitwiseOR(bit(c))).alias(f"w{w}") for w in range(WORDS)]
+
+
 def _at_least(n: Column, share: Fraction) -> Column:
     """The least whole number that is `share` of n or more; without rounding errors."""
     return F.floor((n * share.numerator + (share.denominator - 1)) / share.denominator).cast("int")
@@ -44,16 +59,17 @@ def similar_names(records: DataFrame, id_col: str, name_col: str, threshold: flo
     sets = placed.groupBy("name").agg(F.array_sort(F.collect_list(token)).alias("grams")).join(classes, "name")
     n = F.size("grams")
     prefix = F.slice("grams", F.lit(1), n - _at_least(n, share) + 1)
-    sets = sets.select("name", "least", "grams", prefix.alias("prefix"))
+    sets = sets.select("name", "least", n.alias("n"), prefix.alias("prefix"), *_words(bigrams(F.col("name"))))
     side = lambda p: sets.select(*(F.col(c).alias(f"{p}_{c}") for c in sets.columns), F.explode("prefix").alias("token"))
-    fits = lambda x, y: F.size(x) * share.denominator >= F.size(y) * share.numerator
-    both = F.size(F.array_intersect("a_grams", "b_grams"))
+    a, b = F.col("a_n"), F.col("b_n")
+    fits = lambda x, y: x * share.denominator >= y * share.numerator
+    both = sum((F.bit_count(F.col(f"a_w{w}").bitwiseAND(F.col(f"b_w{w}"))) for w in range(WORDS)), F.lit(0))
     pairs = (
         side("a").join(side("b"), "token")
         .where(F.col("a_name") != F.col("b_name"))
-        .where(fits("a_grams", "b_grams") & fits("b_grams", "a_grams"))
+        .where(fits(a, b) & fits(b, a))
+        .where(both * (share.numerator + share.denominator) >= (a + b) * share.numerator)
         .where(F.array_min(F.array_intersect("a_prefix", "b_prefix")) == F.col("token"))
-        .where(both * share.denominator >= (F.size("a_grams") + F.size("b_grams") - both) * share.numerator)
     )
     near = pairs.groupBy(F.col("a_name").alias("name")).agg(F.count("*").alias("similar"), F.min("b_least").alias("nearest"))
     found = classes.join(near, "name", "left").select("name", F.coalesce("similar", F.lit(0)).alias("similar_names"), F.least("least", "nearest").alias("first_id"))
