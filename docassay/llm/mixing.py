@@ -25,6 +25,8 @@ from docassay.llm.common import seeded_long, shared_checkpoint
 #: largest documents if that is more, and all of a smaller budget: up to there the sum is the nearest that there is.
 #: It reaches one largest document beyond, so that a sum above the budget may be the nearest.
 PROGRAMMED = 1 << 24
+#: What is tried first, as it mostly meets the budget exactly.
+FIRST_PROGRAMMED = 1 << 16
 #: Bits of the hash that cut a size into cells.
 CELL_BITS = 12
 
@@ -74,11 +76,21 @@ def fit_budget(sizes: Sequence[int], counts: Sequence[int], budget: int) -> list
         sizes = [s // unit for s in sizes]
         near = [(abs(sum(s * t for s, t in zip(sizes, taken)) * unit - budget), k, taken) for k, taken in enumerate(fit_budget(sizes, counts, x) for x in (low, low + 1))]
         return min(near)[2]
+    for programmed in sorted({min(FIRST_PROGRAMMED, PROGRAMMED), PROGRAMMED}):
+        taken = _fitted(sizes, counts, budget, programmed)
+        if sum(s * t for s, t in zip(sizes, taken)) == budget:
+            break
+    return taken
+
+
+def _fitted(sizes: list[int], counts: list[int], budget: int, programmed: int) -> list[int]:
+    """Shares of every size, then large documents, until the programme holds what is left of the budget."""
+    total = sum(s * c for s, c in zip(sizes, counts))
     taken = [c * budget // total if s else 0 for s, c in zip(sizes, counts)] if total else [0] * len(sizes)
     left = budget - sum(s * t for s, t in zip(sizes, taken))
     order = sorted((k for k in range(len(sizes)) if sizes[k]), key=lambda k: -sizes[k])
     largest = sizes[order[0]] if order else 0
-    programmed = max(PROGRAMMED, 2 * largest)
+    programmed = max(programmed, 2 * largest)
     for k in order:
         more = min(counts[k] - taken[k], max(0, left - programmed) // sizes[k])
         taken[k] += more
