@@ -140,7 +140,7 @@ def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     Its answers stay in a folder under spark.checkpoint.dir, as the result is read from it.
     """
     events = stream_table(spark, sf_dir, "events").selectExpr(*(f"{sql} AS {k}" for k, sql in _REQUESTS.items()))
-    answered = drained(lambda: rate_limited_stream(events, LIMITS, f"{LATENESS_S} seconds"), "rate-limit")
+    answered = drained(spark, lambda: rate_limited_stream(events, LIMITS, f"{LATENESS_S} seconds"), "rate-limit")
     return answered.select("key", "seq", "accepted")
 
 

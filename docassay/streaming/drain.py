@@ -7,17 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docassay.sources.scratch import scratch_folder
-from docassay.streaming.limits import _PROVIDER, ROCKSDB
+from docassay.streaming.limits import PROVIDER, ROCKSDB
 
 
-def drained(stream: Callable[[], DataFrame], name: str) -> DataFrame:
+def drained(spark: SparkSession, stream: Callable[[], DataFrame], name: str) -> DataFrame:
     """What `stream()` answers to all rows that its sources have now, written down and read again.
 
     RocksDB keeps the state while it runs; the session's own setting is put back after.
     """
-    spark = SparkSession.getActiveSession()
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, ROCKSDB)
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
     try:
         made = stream()
         folder = scratch_folder(spark, name)
@@ -26,5 +25,5 @@ def drained(stream: Callable[[], DataFrame], name: str) -> DataFrame:
         if running.exception() is not None:
             raise running.exception()
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
     return spark.read.schema(made.schema).parquet(f"{folder}/rows")

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from docassay.operators.limits import DEFAULT_LIMITS, SlidingLog
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -73,8 +73,8 @@ def rate_limited_stream(
     session's state store has to be RocksDB's.
     """
     spark = requests.sparkSession
-    if "RocksDB" not in spark.conf.get(_PROVIDER, ""):
-        raise ValueError(f"set {_PROVIDER} to {ROCKSDB}")
+    if "RocksDB" not in spark.conf.get(PROVIDER, ""):
+        raise ValueError(f"set {PROVIDER} to {ROCKSDB}")
     fields = {f.name: f.dataType.simpleString() for f in requests.schema}
     timed = requests.where("ts IS NOT NULL").selectExpr("key", "CAST(ts AS timestamp) AS ts", "seq").withWatermark("ts", lateness)
     walked = timed.selectExpr("key", "unix_micros(ts) AS micros", "seq", "ts").groupBy("key").transformWithStateInPandas(

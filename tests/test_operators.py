@@ -181,7 +181,7 @@ def test_rate_limit_on_a_stream(spark, tmp_path):
         for f in (tmp_path / f"in/{n}").glob("*.parquet"):
             os.utime(f, (1_700_000_000 + 10 * n,) * 2)
     stream = lambda: spark.readStream.schema("key string, ts timestamp, seq int, accepted string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    got = {x.seq: x.accepted for x in drained(lambda: rate_limited_stream(stream(), ((60, 3), (300, 9)), "1 minute"), "limits").collect()}
+    got = {x.seq: x.accepted for x in drained(spark, lambda: rate_limited_stream(stream(), ((60, 3), (300, 9)), "1 minute"), "limits").collect()}
     batch = spark.createDataFrame(rows + [("z", 100_000, 999), ("z", 100_001, 996)], "key string, s int, seq int").selectExpr("key", "timestamp_seconds(s + 86400) AS ts", "seq")
     want = {x.seq: x.accepted for x in limits.rate_limited(batch, ((60, 3), (300, 9))).collect()}
     assert {k: (want.get(k), got.get(k)) for k in {*want, *got} if want.get(k) != got.get(k)} == {} and len(set(want.values())) == 2  # not 997: it came a day late; nor the last, which still waits
