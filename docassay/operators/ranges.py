@@ -4,7 +4,10 @@ A range of whole numbers is cut into the fewest blocks of 1, 2, 4, ... numbers
 that begin at a multiple of their size: two of each size at most. A number lies
 in one block of each size. So numbers and ranges meet by equality of blocks,
 exactly; of all ranges that share a block only the first is kept, so that a
-block which very many ranges cover is one row.
+block which very many ranges cover is one row. No range holds a block larger than
+itself, so numbers are not asked under larger ones than the longest range. Both
+sides are dealt out and merged: Spark takes a number's blocks for as small as the
+number, and would send them all through the driver.
 """
 
 from __future__ import annotations
@@ -12,21 +15,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docassay.sources.tables import spread
+
 
 def _block(number: Column, level: Column) -> Column:
     return F.call_function("shiftright", number, level)
 
 
-def blocks_of_range(low: Column, high: Column, levels: int) -> Column:
-    """array<struct<level, block>>: the blocks of low to high (both included) for numbers of `levels` bits."""
-
-    def of_level(k: Column) -> Column:
-        size = F.call_function("shiftleft", F.lit(1).cast("long"), k)
-        a, b = _block(low + size - 1, k), _block(high + 1, k)  # blocks a to b - 1 are inside; those of a larger one are not needed
-        take = lambda odd, block: F.when((a < b) & (odd % 2 == 1), F.struct(k.alias("level"), block.alias("block")))
-        return F.array(take(a, a), take(b, b - 1))
-
-    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), of_level)))
+def blocks_of_ranges(spans: DataFrame, levels: int) -> DataFrame:
+    """`spans` with level and block: a row for each block of up to 2^levels numbers of low to high (both included)."""
+    k, size = F.col("level"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))
+    # blocks a to b - 1 are inside; those of a larger one are not needed
+    ends = spans.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).where(size <= F.col("high") - F.col("low") + 1)
+    ends = ends.withColumns({"__a": _block(F.col("low") + size - 1, k), "__b": _block(F.col("high") + 1, k)}).where("__a < __b AND (__a % 2 = 1 OR __b % 2 = 1)")
+    a, b = F.col("__a"), F.col("__b")
+    block = F.explode(F.array(F.when(a % 2 == 1, a), F.when(b % 2 == 1, b - 1)))
+    return ends.withColumn("block", block).where("block IS NOT NULL").drop("__a", "__b")
 
 
 def first_of_ranges(points: DataFrame, ranges: DataFrame, point: str, out: str = "value") -> DataFrame:
@@ -38,15 +42,13 @@ def first_of_ranges(points: DataFrame, ranges: DataFrame, point: str, out: str =
     """
     spans = ranges.where("low IS NOT NULL").select("ord", F.greatest(F.col("low").cast("long"), F.lit(0)).alias("low"), F.col("high").cast("long").alias("high"), "value")
     spans = spans.where("low <= high")
-    levels = int(spans.agg(F.max("high")).first()[0] or 0).bit_length()
+    longest = spans.agg(F.max(F.col("high").cast("decimal(38)") - F.col("low") + 1)).first()[0]
+    levels = max(int(longest or 0).bit_length() - 1, 0)
     first = F.min(F.struct("ord", "value")).alias("x")
-    held = (
-        spans.select("ord", "value", F.explode(blocks_of_range(F.col("low"), F.col("high"), levels)).alias("b"))
-        .groupBy("b.level", "b.block").agg(first)
-    )
+    held = blocks_of_ranges(spread(spans), levels).groupBy("level", "block").agg(first)
     asked = points.select(F.col(point).cast("long").alias("p")).where("p >= 0").distinct()
-    in_blocks = asked.select("p", F.explode(F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(k.alias("level"), _block(F.col("p"), k).alias("block")))).alias("b"))
-    found = in_blocks.select("p", "b.level", "b.block").join(held, ["level", "block"]).groupBy("p").agg(F.min("x").alias("x"))
+    in_blocks = asked.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("block", _block(F.col("p"), F.col("level")))
+    found = in_blocks.join(held.hint("merge"), ["level", "block"]).groupBy("p").agg(F.min("x").alias("x"))
     kept = [c for c in points.columns if c != out]
-    joined = points.select(*kept, F.col(point).cast("long").alias("__p")).join(found, F.col("__p") == F.col("p"), "left")
+    joined = points.select(*kept, F.col(point).cast("long").alias("__p")).join(found.hint("merge"), F.col("__p") == F.col("p"), "left")
     return joined.select(*kept, F.col("x.value").alias(out))

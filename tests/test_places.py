@@ -95,5 +95,14 @@ def test_a_hundred_thousand_ranges(spark):
     check_ranges(spark, ranges, [r.randrange(1_000_000) for _ in range(200)])
 
 
+def test_numbers_in_blocks_are_not_broadcast(spark, tmp_path):
+    """A few bytes of numbers become many rows of blocks, which Spark's guess of sizes does not see."""
+    spark.range(5000).selectExpr("id AS pin").write.parquet(f"{tmp_path}/points")
+    spark.range(5000).selectExpr("id AS ord", "id * 3 AS low", "id * 3 + 99 AS high", "string(id) AS value").write.parquet(f"{tmp_path}/ranges")
+    found = first_of_ranges(spark.read.parquet(f"{tmp_path}/points"), spark.read.parquet(f"{tmp_path}/ranges"), "pin")
+    assert "BroadcastExchange" not in plan_of(found)
+    assert {(x.pin, x.value) for x in found.collect()} == {(p, str(max(0, -(-(p - 99) // 3)))) for p in range(5000)}
+
+
 def test_no_ranges(spark):
     check_ranges(spark, [], [1, None])
