@@ -1,41 +1,53 @@
-"""Similar names over all records: a join of bigram sets by size and prefix filters.
+"""Similar names over all records: a join of bigram sets by the rarest bigrams that two of their sizes must share.
 
-Of two sets whose Jaccard similarity is t or more, each holds at least t of the
-other's size, and of their bigrams in any common order the first n - ceil(t n) + 1
-of each share one. Names therefore meet under those bigrams only, the rarest
-first. A pair that shares several is compared under the first of them and
-nowhere else, so that pairs need not be made distinct: they go from the join into
-counts in the same task, and no list of pairs is ever dealt out. Sets are bits of
-a few longs, a bit for each of the 26 x 26 bigrams.
+Two sets of sizes a and b whose Jaccard similarity is t or more share at least
+o = ceil((a + b) t / (1 + t)) bigrams. In any common order, the rarest first,
+the first l of those lie in the first a - o + l of the one and the first
+b - o + l of the other. So names meet under (a, b, l bigrams) for every choice of
+l from there, with l up to 3: of millions of names few share three rare bigrams
+by chance, where very many share one. A pair is compared under its first l shared
+bigrams and nowhere else, so that pairs need not be made distinct: they go from
+the join into counts in the same task, and no list of pairs is ever dealt out.
+Sets of more than `LONG` bigrams, for which there were too many choices, meet
+others under single bigrams.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
+from itertools import combinations
+from math import ceil, comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docassay.functions.compare import bigrams, normal_name
 
+#: Bigrams of A to Z.
+CODES = 26 * 26
+#: The largest set that meets others by their sizes; how many bigrams at most make a meeting; choices of these at most.
+LONG, TOGETHER, CHOICES = 48, 3, 64
 
-#: Bits of a word; words that hold all pairs of letters.
-BITS = 62
-WORDS = -(-26 * 26 // BITS)
 
+def _code(gram: Column) -> Column:
+    letter = lambda k: F.ascii(F.substring(gram, k, 1)) - 65
+    return letter(1) * 26 + letter(2)
 
-def _words(grams: Column) -> list[Column]:
-    """The set of bigrams of A to Z as WORDS longs."""
-    letter = lambda g, k: F.ascii(F.substring(g, k, 1)) - 65
-    codes = F.transform(grams, lambda g: letter(g, 1) * 26 + letter(g, 2))
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c % BITS)
-    of_word = lambda w: F.filter(codes, lambda c: F.floor(c / BITS) == w)
-    return [F.aggregate(of_word(w), F.lit(0).cast("long"), lambda s, c: s.bitwiseOR(bit(c))).alias(f"w{w}") for w in range(WORDS)]
 
-
-def _at_least(n: Column, share: Fraction) -> Column:
-    """The least whole number that is `share` of n or more; without rounding errors."""
-    return F.floor((n * share.numerator + (share.denominator - 1)) / share.denominator).cast("int")
+def _meetings(sizes: list[int], share: Fraction) -> list[tuple[int, int, int, int, int]]:
+    """(size, code of both sizes, three places in the set or 0): where sets of each size meet sets of all sizes."""
+    out = []
+    for a in sizes:
+        for b in sizes:
+            if max(a, b) <= LONG and a >= b * share and b >= a * share:
+                o = ceil((a + b) * share / (1 + share))
+                fits = lambda n: n <= o and comb(max(a, b) - o + n, n) <= CHOICES
+                together = max((n for n in range(1, TOGETHER + 1) if fits(n)), default=1)
+                chosen = combinations(range(1, a - o + together + 1), together)
+                out += [(a, min(a, b) * 64 + max(a, b), *places, *[0] * (3 - together)) for places in chosen]
+        if any(max(a, b) > LONG and a >= b * share and b >= a * share for b in sizes):
+            out += [(a, 0, k, 0, 0) for k in range(1, a - ceil(a * share) + 2)]
+    return out
 
 
 def similar_names(records: DataFrame, id_col: str, name_col: str, threshold: float = 0.75) -> DataFrame:
@@ -51,25 +63,33 @@ def similar_names(records: DataFrame, id_col: str, name_col: str, threshold: flo
     share = Fraction(str(threshold))
     kept = [c for c in records.columns if c not in ("similar_names", "first_id")]
     named = records.select(*kept, normal_name(F.col(name_col)).alias("__name"))
-    classes = named.where("__name <> ''").groupBy(F.col("__name").alias("name")).agg(F.min(id_col).alias("least"))
-    frequent = classes.select(F.explode(bigrams(F.col("name"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    # a bigram's place in the order, the rarest first, is spelled before it; there are as many as letters allow
-    placed = classes.select("name", F.explode(bigrams(F.col("name"))).alias("gram")).join(frequent, "gram")
-    token = F.concat(F.lpad(F.col("n").cast("string"), 12, "0"), F.col("gram"))
-    sets = placed.groupBy("name").agg(F.array_sort(F.collect_list(token)).alias("grams")).join(classes, "name")
-    n = F.size("grams")
-    prefix = F.slice("grams", F.lit(1), n - _at_least(n, share) + 1)
-    sets = sets.select("name", "least", n.alias("n"), prefix.alias("prefix"), *_words(bigrams(F.col("name"))))
-    side = lambda p: sets.select(*(F.col(c).alias(f"{p}_{c}") for c in sets.columns), F.explode("prefix").alias("token"))
-    a, b = F.col("a_n"), F.col("b_n")
+    # as many tasks as the session has it, also where few bytes of names have very many meetings
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    classes = named.where("__name <> ''").repartition(parts, "__name").groupBy(F.col("__name").alias("name")).agg(F.min(id_col).alias("least"))
+    grams = classes.select(bigrams(F.col("name")).alias("grams"))
+    counted = grams.select(F.explode("grams").alias("gram")).groupBy("gram").count().collect()  # as many as letters allow at most
+    place = dict.fromkeys(range(CODES), 0)
+    for k, x in enumerate(sorted(counted, key=lambda x: (x["count"], x["gram"])), 1):
+        place[(ord(x["gram"][0]) - 65) * 26 + ord(x["gram"][1]) - 65] = k
+    sizes = sorted(x[0] for x in grams.select(F.size("grams")).distinct().collect() if x[0])
+    meetings = records.sparkSession.createDataFrame(_meetings(sizes, share), "n int, sizes long, i int, j int, k int")
+    places = F.array(*map(F.lit, place.values())).cast("array<smallint>")
+    ranked = F.array_sort(F.transform(bigrams(F.col("name")), lambda g: F.get(places, _code(g))))
+    sets = classes.select("name", "least", ranked.alias("set")).withColumn("n", F.size("set"))
+    at = lambda x, k: F.coalesce(F.get(x, k - 1), F.lit(0)).cast("long")
+    key = lambda sizes, *three: ((sizes * 1024 + three[0]) * 1024 + three[1]) * 1024 + three[2]
+    met = sets.join(F.broadcast(meetings), "n").select("name", "least", "set", "n", "sizes", F.col("j").alias("second"), F.col("k").alias("third"), key(F.col("sizes"), *(at(F.col("set"), F.col(c)) for c in "ijk")).alias("key"))
+    side = lambda p: met.select("key", *(F.col(c).alias(f"{p}_{c}") for c in met.columns if c != "key"))
+    a, b, both = F.col("a_n"), F.col("b_n"), F.col("both")
     fits = lambda x, y: x * share.denominator >= y * share.numerator
-    both = sum((F.bit_count(F.col(f"a_w{w}").bitwiseAND(F.col(f"b_w{w}"))) for w in range(WORDS)), F.lit(0))
+    first = key(F.col("a_sizes"), at(both, F.lit(1)), *(F.when(F.col(f"a_{c}") > 0, at(both, F.lit(k))).otherwise(0) for k, c in ((2, "second"), (3, "third"))))
     pairs = (
-        side("a").join(side("b"), "token")
+        side("a").join(side("b").hint("merge"), "key")
         .where(F.col("a_name") != F.col("b_name"))
-        .where(fits(a, b) & fits(b, a))
-        .where(both * (share.numerator + share.denominator) >= (a + b) * share.numerator)
-        .where(F.array_min(F.array_intersect("a_prefix", "b_prefix")) == F.col("token"))
+        .where(F.when(F.greatest(a, b) > LONG, fits(a, b) & fits(b, a) & (F.col("a_sizes") == 0)).otherwise(F.col("a_sizes") == F.least(a, b) * 64 + F.greatest(a, b)))
+        .withColumn("both", F.array_intersect("a_set", "b_set"))
+        .where(F.size(both) * (share.numerator + share.denominator) >= (a + b) * share.numerator)
+        .where(first == F.col("key"))
     )
     near = pairs.groupBy(F.col("a_name").alias("name")).agg(F.count("*").alias("similar"), F.min("b_least").alias("nearest"))
     found = classes.join(near, "name", "left").select("name", F.coalesce("similar", F.lit(0)).alias("similar_names"), F.least("least", "nearest").alias("first_id"))

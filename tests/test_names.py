@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from docassay.operators import names
 from docassay.operators.names import similar_names
 
 
@@ -59,5 +61,30 @@ def test_ten_thousand_names(spark):
     assert got(spark, rows) == want
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.75, 0.9])
+def test_short_and_long_names(spark, threshold):
+    """Sets of 1 to more than LONG bigrams, which meet by sizes or under single bigrams."""
+    r = random.Random(5)
+    whole = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(150)) for _ in range(4)]
+    rows = list(enumerate(w[k : k + n] for w in whole for n in (2, 3, 4, 5, 9, 30, 47, 48, 49, 50, 55, 60, 65, 100, 149) for k in (0, 1)))
+    assert got(spark, rows, threshold) == brute(rows, threshold)
+
+
+def test_few_names_meet_by_chance(spark, monkeypatch):
+    """Of 4,000 names of 12 bigrams out of 256, a million pairs would meet under single bigrams."""
+    r = random.Random(6)
+    rows = [(k, "".join(r.choice("abcdefghijklmnop") for _ in range(13))) for k in range(4000)]
+    looked_at = spark.sparkContext.accumulator(0)
+
+    def counted(function, name):
+        seen = F.udf(lambda x: looked_at.add(1) or x, "int").asNondeterministic()
+        return lambda x: seen(function(x)) if name in str(x) else function(x)
+
+    monkeypatch.setattr(names.F, "size", counted(F.size, "both"))
+    monkeypatch.setattr(names.F, "bit_count", counted(F.bit_count, "a_w0"))
+    assert len(got(spark, rows)) == 4000
+    assert 0 < looked_at.value < 100_000
+
+
 def test_no_records(spark):
     assert got(spark, []) == {}
