@@ -23,6 +23,13 @@ MEASURES = T.StructType(
 )
 
 
+def _frequencies(g: np.ndarray) -> tuple[float, float]:
+    """The strongest frequency and the mean of the high ones, as multiples of the mean."""
+    s = P.spectrum(P.resized(g, 128, 128), 2)
+    mean = max(s.mean(), 1e-9)
+    return s.max() / mean, s[P.ring(s.shape, 0.4 * 128, 128)].mean() / mean
+
+
 def _measured(bgr: np.ndarray) -> dict:
     g = P.gray(bgr)
     out = {"brightness": g.mean(), "contrast": g.std(), "sharpness": P.laplacian(g).var(), "dct64": P.perceptual_coefficients(g).tolist()}
@@ -34,13 +41,10 @@ def _measured(bgr: np.ndarray) -> dict:
     out["dct_energies"] = energy.tolist()
     out["dct_high"] = (high / (energy + 1e-6)).tolist()
     out["dct_zeros"] = (np.abs(d.reshape(-1, 64)[:, 1:]) < 0.5).mean(1).tolist()
-    f = P.spectrum(P.resized(g, 512, 512), 7)
-    band = f[P.ring(f.shape, 102, 204)]
+    band = P.ring_magnitudes(g, 512, 102, 204)
     out["moire_peaks"] = (band > band.mean() + 3.5 * band.std()).mean()
     out["moire_global"] = band.max() / max(band.mean(), 1e-9)
-    s = P.spectrum(P.resized(g, 128, 128), 2)
-    out["fft_peak"] = s.max() / max(s.mean(), 1e-9)
-    out["fft_high"] = s[P.ring(s.shape, 0.4 * 128, 128)].mean() / max(s.mean(), 1e-9)
+    out["fft_peak"], out["fft_high"] = _frequencies(g)
     share = np.bincount(P.local_patterns(g).ravel(), minlength=256) / max(1, (g.shape[0] - 2) * (g.shape[1] - 2))
     out["lbp_entropy"] = float(-(share[share > 0] * np.log2(share[share > 0])).sum())
     e = P.recompression_error(g)
@@ -381,7 +385,7 @@ def histogram_match(a: Column, b: Column) -> Column:
     return F.struct(F.round(distance, 4).alias("distance"), F.round(score, 1).alias("score"), label.alias("label"))
 
 
-_FACE = ("entropy", "sharp_edges", "high_share", "skin_pixels", "skin_saturation", "skin_spread", "solid", "variance", "dark", "strokes", "stroke_spread")
+_FACE = ("entropy", "sharp_edges", "high_share", "skin_pixels", "skin_saturation", "skin_spread", "solid", "variance", "dark", "strokes", "stroke_spread", "fft_peak", "fft_high")
 FACE_MEASURES = T.StructType([T.StructField(k, T.DoubleType()) for k in _FACE])
 
 
@@ -405,6 +409,7 @@ def _face_measured(bgr: np.ndarray) -> list[float]:
         float(len(skin)), skin.mean() if len(skin) else 0.0, skin.std() if len(skin) else 0.0,
         (np.array(spots) < 15).mean() if spots else 0.0, g.var(), (g < 30).mean(),
         float(len(strokes)), strokes.std() / (np.median(strokes) + 1e-6) if len(strokes) else 0.0,
+        *_frequencies(g),
     ]
 
 
