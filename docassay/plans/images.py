@@ -58,9 +58,9 @@ def face_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every image as a face: both liveness scores, occlusion without an eye detector, and the strokes' check."""
     images = embedding_images(spark, sf_dir)
     size = ("data", "height", "width", "n_channels")
-    m = images.select("vec_id", I.measures(*size).alias("m"), I.face_measures(*size).alias("f"))
+    m = images.select("vec_id", I.face_measures(*size).alias("f"))
     at = lambda k: F.col(f"f.{k}")
-    frequency = I.liveness(F.col("m.fft_peak"), F.col("m.fft_high"))
+    frequency = I.liveness(at("fft_peak"), at("fft_high"))
     parts = I.liveness_parts(*(at(k) for k in ("entropy", "sharp_edges", "high_share", "skin_pixels", "skin_saturation", "skin_spread")))
     passive = I.passive_liveness(**parts)
     both = I.combined_liveness(frequency["score"], passive["score"])

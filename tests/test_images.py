@@ -1,6 +1,7 @@
 """Image steps against plain loops, and the operators that choose them."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -291,3 +292,24 @@ def test_face_scores(spark):
     assert v(I.liveness_parts(lit(9.0), lit(0.5), lit(0.2), lit(9.0), lit(0.0), lit(0.0))["saturation"]) == 65.0
     for strokes, spread, score, passed in ((99.0, 2.0, 50, True), (500.0, 1.3, 30, False), (500.0, 1.2, 65, True), (500.0, 0.8, 90, True)):
         assert tuple(v(I.font_check(lit(strokes), lit(spread)))) == (score, passed)
+
+
+@pytest.mark.parametrize("shape", [(64, 64), (16, 40), (130, 33), (200, 150)])
+def test_ring_of_half_a_spectrum(shape):
+    image = R.integers(0, 256, shape).astype(float)
+    whole = P.spectrum(P.resized(image, 128, 128), 2)
+    for inner, outer in ((20, 40), (26, 51), (64, 64)):
+        want = whole[P.ring(whole.shape, inner, outer)]
+        assert np.allclose(P.ring_magnitudes(image, 128, inner, outer), want, rtol=1e-9, atol=1e-6)
+
+
+def test_rings_are_made_once():
+    assert P.ring((512, 512), 102, 204) is P.ring((512, 512), 102, 204)
+
+
+def test_face_checks_measure_only_faces(spark):
+    """The frequencies come with the face's measures; the other measures of an image took most of the time."""
+    from docassay.plans.images import face_checks
+
+    plan = face_checks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "face_measures(" in plan and not re.search(r"(?<!face_)measures\(", plan)
