@@ -249,14 +249,16 @@ def qr_recipes() -> dict[str, Steps]:
     return {name: (("gray",), *steps) for name, steps in out.items()}
 
 
-def applied(images: DataFrame, steps: Column) -> DataFrame:
-    """`images` (data, height, width, n_channels, ...) after each row's own steps; unreadable ones, and parts too small, have null data."""
-    kept = [c for c in images.columns if c not in ("data", "height", "width", "n_channels")]
+#: Images whose results are held at once; a batch may have 10,000.
+PIECE = 256
 
-    def made(frames):
-        for frame in frames:
-            rows = []
-            for d, h, w, n, todo in zip(*(frame[c] for c in ("data", "height", "width", "n_channels", "__steps"))):
+
+def _stepped(frames: Iterator[pd.DataFrame], kept: list[str]) -> Iterator[pd.DataFrame]:
+    """Each row's steps applied to its image, by pieces of the batches."""
+    for frame in frames:
+        for start in range(0, len(frame), PIECE):
+            piece, rows = frame.iloc[start : start + PIECE], []
+            for d, h, w, n, todo in zip(*(piece[c] for c in ("data", "height", "width", "n_channels", "__steps"))):
                 image = _opened(d, h, w, n)
                 for step in todo if todo is not None else ():
                     image = None if image is None else STEPS[step["name"]](image, *step["args"])
@@ -265,15 +267,20 @@ def applied(images: DataFrame, steps: Column) -> DataFrame:
                 else:
                     whole = _whole(image)
                     rows.append((whole.tobytes(), *whole.shape[:2], 3 if whole.ndim == 3 else 1))
-            out = frame[kept].copy()
+            out = piece[kept].copy()
             for k, c in enumerate(("data", "height", "width", "n_channels")):
                 out[c] = pd.Series([r[k] for r in rows], index=out.index, dtype="object" if c == "data" else "Int32")
             yield out
 
+
+def applied(images: DataFrame, steps: Column) -> DataFrame:
+    """`images` (data, height, width, n_channels, ...) after each row's own steps; unreadable ones, and parts too small, have null data."""
+    kept = [c for c in images.columns if c not in ("data", "height", "width", "n_channels")]
+
     fields = {f.name: f.dataType.simpleString() for f in images.schema}
     schema = ", ".join([*(f"`{c}` {fields[c]}" for c in kept), "data binary, height int, width int, n_channels int"])
     asked = images.select(*kept, "data", "height", "width", "n_channels", steps.alias("__steps"))
-    return asked.mapInPandas(made, schema)
+    return asked.mapInPandas(lambda frames: _stepped(frames, kept), schema)
 
 
 def _opened(d, h, w, n) -> np.ndarray | None:

@@ -4,6 +4,7 @@ import math
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -313,3 +314,12 @@ def test_face_checks_measure_only_faces(spark):
 
     plan = face_checks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "face_measures(" in plan and not re.search(r"(?<!face_)measures\(", plan)
+
+
+def test_steps_hold_few_results_at_once():
+    images = pd.DataFrame({"i": range(1000), "data": [bytes([k % 256]) * 6 for k in range(1000)], "height": 2, "width": 3, "n_channels": 1, "__steps": [[{"name": "inverted", "args": []}]] * 1000})
+    pieces = list(I._stepped(iter([images, images.iloc[:0], images.iloc[:300]]), ["i"]))
+    assert max(map(len, pieces)) <= I.PIECE
+    whole = pd.concat(pieces)
+    assert list(whole.i) == [*range(1000), *range(300)]
+    assert list(whole.data) == [bytes([255 - k % 256]) * 6 for k in whole.i]
