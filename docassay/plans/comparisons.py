@@ -15,14 +15,14 @@ from docassay.operators import qr as Q
 from docassay.operators import scoring as S
 from docassay.operators.images import match_by_cosine
 from docassay.plans.derive import CUSTOMER_CARDS, CUSTOMER_UID, DOB, OCR_NAME, PIN, cte, view
-from docassay.sources import read_table
+from docassay.sources import read_table, spread
 
 _FIELDS = ("name", "dob", "gender", "id_number", "pin", "district", "state")
 
 
 def customer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """c_custkey and the match of each field of its OCR and QR record."""
-    cards = view(spark, sf_dir, "customer", CUSTOMER_CARDS)
+    cards = spread(view(spark, sf_dir, "customer", CUSTOMER_CARDS))
     ocr = {k: F.col(k) for k in _FIELDS}
     qr = {k: F.col(f"qr_{k}") for k in (*_FIELDS, "last4", "secure")} | {"district2": F.lit(None).cast("string")}
     checks = S.field_checks(ocr, qr)

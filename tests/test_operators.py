@@ -258,3 +258,10 @@ def test_image_sources_and_checks(spark, tmp_path):
 def test_a_payload_is_whole_or_mined(spark, text, kind):
     df = spark.createDataFrame([(text,)], "raw string")
     assert qr.parsed_payloads(df).first().format == kind
+
+
+def test_customer_checks_use_all_cores(spark):
+    """Customers are stored in few pieces, and comparing their fields is costly."""
+    from docassay.plans.comparisons import customer_checks
+
+    assert customer_checks(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
