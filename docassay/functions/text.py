@@ -6,13 +6,16 @@ finds nothing; null text gives null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docassay.functions.reference_data import ADDRESS_STATES, HINDI_HEADERS, ISSUER_EMAILS, NAME_BLACKLIST
 
 # Patterns and formats of the fields.
-ID_SPACED, ID_LOOSE, ID_TIGHT = r"\b([2-9]\d{3}\s+\d{4}\s+\d{4})\b", r"([2-9]\d{3}[^0-9]{0,3}\d{4}[^0-9]{0,3}\d{4})", r"\b([2-9]\d{11})\b"
+#: The loose form also fits twelve digits without separators.
+ID_SPACED, ID_LOOSE = r"\b([2-9]\d{3}\s+\d{4}\s+\d{4})\b", r"([2-9]\d{3}[^0-9]{0,3}\d{4}[^0-9]{0,3}\d{4})"
 VID_SPACED, VID_TIGHT = r"\b([2-9]\d{3}\s+\d{4}\s+\d{4}\s+\d{4})\b", r"\b([2-9]\d{15})\b"
 ENROLMENT, ENROLMENT_LABELLED = r"\b(\d{4}[/\s]\d{5}[/\s]\d{5})\b", r"(?i)\bEID[:\s]*(\d{14})\b"
 MOBILE = r"\b([6-9]\d{9})\b"
@@ -33,19 +36,23 @@ ADDRESS_CLEANING = (
     (r",?\s*(?:\b[a-z]{1,3}\b\s*){3,}", " "),
     (r"\s{2,}", " "),
 )
-NOISE_START, NOISE_END = r"^[\s|'`~.\-_\\/(]+", r"[\s|'`~.\-_\\/)]+$"
+#: Characters that are cut off a line's start and end.
+NOISE_START, NOISE_END = " \t\n\x0b\f\r|'`~.-_\\/(", " \t\n\x0b\f\r|'`~.-_\\/)"
 DIGITS_MISREAD, DIGITS_MEANT = "OoDQ" "Ili|" "Zz" "Ss" "Gb" "T" "B" "gq", "0000" "1111" "22" "55" "66" "7" "8" "99"
-DOB_WORD = r"(?:DOB|DOR|D0B|D08|Date\s*of\s*Birth)"
-DOB_SHORT = r"(?:DOB|DOR|D0B|D08)"
+DOB_WORD = r"D(?:OB|OR|0B|08|ate\s*of\s*Birth)"
+DOB_SHORT = r"D(?:OB|OR|0B|08)"
 PLAIN_DATE = r"(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})"
 LABELLED_DATE = "(?i)" + DOB_WORD + r"[:\s]*(\d{1,2})[/.\- ]{0,2}(\d{1,2})[/.\- ]{0,2}(\d{4})"
 FUSED_DATE = "(?i)" + DOB_SHORT + r"[:\s]+(\d{1,2})\s+(\d)((?:19|20)\d{2})"
 DIGITS_AFTER_DOB = "(?i)" + DOB_SHORT + r"[:\s]*([\d/ .\-]{4,20})"
-#: Where this is not, no labelled date is.
-ANY_LABEL = rf"(?i){DOB_WORD}[:\s]*[\d/ .\-]"
+#: The text from the first label on: no labelled date starts before it.
+FROM_LABEL = rf"(?is){DOB_WORD}.*"
 HEADER = r"(?i)(government\s+of\s+india|govt\.?\s+of\s+india|भारत\s+सरकार)"
 DOB_LINE = r"(?i)\b(DOB|DOR|D0B|Date\s*of\s*Birth)\b"
 NAME_LABEL = r"(?i)^(?:Name|Full\s*Name|नाम)\s*[:\-]\s*(.+)$"
+#: Line ends but \n.
+OTHER_ENDS = r"[\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"
+DEVANAGARI = r"[\u0900-\u097F]{3,}"
 EMAIL = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
 MALE_LINES = ("MALE", "MATE", "MSLE", "MISO", "OSO", "WISO", "MAL", "MALI", "MAIE", "M0LE", "MOLE")
 FEMALE_LINES = ("FEMALE", "FEMLE", "FEMAL", "FEMAIE")
@@ -79,18 +86,32 @@ NAME_ENDINGS = (
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
-    """The group of the first match, null if there is none or it is empty."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    """The group of the first match, null if there is none. The text is searched once."""
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), 0)
+
+
+def kept(value: Column, test: Callable[[Column], Column]) -> Column:
+    """The value where `test` holds of it, else null. An array of one names it, so that it is computed once."""
+    return F.get(F.filter(F.array(value), test), 0)
+
+
+def _with(value: Column, made: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is used more than once, or for every element of an array, and computed once."""
+    return F.get(F.transform(F.array(value), made), 0)
+
+
+def _filled(value: Column) -> Column:
+    return kept(value, lambda x: x != "")
 
 
 def lines(text: Column) -> Column:
     """Lines without their ends; none for the end of the text, as an empty last line."""
-    parts = F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    parts = F.when(text.rlike(OTHER_ENDS), F.split(text, rf"\r\n|\n|{OTHER_ENDS}", -1)).otherwise(F.split(text, "\n", -1))
+    return _with(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
 
 
 def clean_line(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(line, NOISE_START, ""), NOISE_END, ""))
+    return F.rtrim(F.ltrim(line, F.lit(NOISE_START)), F.lit(NOISE_END))
 
 
 def unique_lines(text: Column) -> Column:
@@ -111,27 +132,24 @@ def _grouped(digits: Column, *sizes: int, separator: str = " ") -> Column:
     return F.concat_ws(separator, *parts)
 
 
+def _regrouped(number: Column, *sizes: int, separator: str = " ") -> Column:
+    """The number's digits in groups of these sizes, whatever stands between them."""
+    return F.regexp_replace(number, "[^0-9]*".join(rf"(\d{{{n}}})" for n in sizes), separator.join(f"${k + 1}" for k in range(len(sizes))))
+
+
 def id_number(text: Column) -> Column:
-    """Twelve digits as 4-4-4: spaced, then with other separators, then without."""
-    spaced, loose = (
-        found(text, ID_SPACED),
-        found(text, ID_LOOSE),
-    )
-    digits = F.regexp_replace(F.coalesce(spaced, loose, found(text, ID_TIGHT)), r"[^0-9]", "")
-    return F.when(digits.isNotNull(), _grouped(digits, 4, 4, 4))
+    """Twelve digits as 4-4-4: spaced, then with other separators or none."""
+    return _regrouped(F.coalesce(found(text, ID_SPACED), found(text, ID_LOOSE)), 4, 4, 4)
 
 
 def virtual_id(text: Column) -> Column:
-    spaced = found(text, VID_SPACED)
-    digits = F.regexp_replace(F.coalesce(spaced, found(text, VID_TIGHT)), r"[^0-9]", "")
-    return F.when(digits.isNotNull(), _grouped(digits, 4, 4, 4, 4))
+    return _regrouped(F.coalesce(found(text, VID_SPACED), found(text, VID_TIGHT)), 4, 4, 4, 4)
 
 
 def enrolment_number(text: Column) -> Column:
     """4/5/5 digits; white space but spaces stays; else 14 digits after the label."""
     parts = F.replace(found(text, ENROLMENT), F.lit(" "), F.lit("/"))
-    labelled = found(text, ENROLMENT_LABELLED)
-    return F.coalesce(parts, F.when(labelled.isNotNull(), _grouped(labelled, 4, 5, 5, separator="/")))
+    return F.coalesce(parts, _regrouped(found(text, ENROLMENT_LABELLED), 4, 5, 5, separator="/"))
 
 
 def mobile(text: Column) -> Column:
@@ -140,13 +158,11 @@ def mobile(text: Column) -> Column:
 
 def email(text: Column) -> Column:
     """The first address in lower case, null if it is the issuer's."""
-    first = F.lower(found(text, EMAIL, 0))
-    return F.when(~first.isin(*ISSUER_EMAILS), first)
+    return kept(F.lower(found(text, EMAIL, 0)), lambda first: ~first.isin(*ISSUER_EMAILS))
 
 
 def year_of_birth(text: Column, last_year: int = 2025) -> Column:
-    year = found(text, YEAR_OF_BIRTH)
-    return F.when(year.cast("int").between(1900, last_year), year)
+    return kept(found(text, YEAR_OF_BIRTH), lambda year: year.cast("int").between(1900, last_year))
 
 
 def issue_date(text: Column) -> Column:
@@ -167,12 +183,11 @@ def date_candidates(text: Column, swap: bool, last_year: int = 2025) -> Column:
         F.transform(F.regexp_extract_all(text, F.lit(PLAIN_DATE), F.lit(0)), lambda x: F.split(x, r"[/.\-]")),
         lambda p: _date(*(F.get(p, k) for k in (0, 1, 2))),
     )
-    # an array of one and a transform name a value, so that the text is searched once for it; no match leaves no parts
-    groups = lambda pattern: F.transform(
-        F.array(F.split(F.regexp_replace(F.regexp_extract(text, pattern, 0), pattern, "$1/$2/$3"), "/")), lambda p: _date(*(F.get(p, k) for k in (0, 1, 2)))
+    # one search finds a match, which is then taken apart; without one nothing is cast, as a cast that fails throws inside
+    groups = lambda near, pattern: F.transform(
+        F.transform(F.filter(F.array(F.regexp_extract(near, pattern, 0)), lambda x: x != ""), lambda x: F.split(F.regexp_replace(x, pattern, "$1/$2/$3"), "/")),
+        lambda p: _date(*(F.get(p, k) for k in (0, 1, 2))),
     )
-    labelled, fused = groups(LABELLED_DATE), groups(FUSED_DATE)
-    near = F.regexp_extract(text, DIGITS_AFTER_DOB, 1)
 
     def fused_digits(c: Column) -> Column:
         a, b = F.get(c, 0), F.get(c, 1)
@@ -183,10 +198,14 @@ def date_candidates(text: Column, swap: bool, last_year: int = 2025) -> Column:
             F.when((n == 2) & (wide == 6), _date(a, F.substring(b, 1, 2), F.substring(b, 3, 4))),
         )
 
-    clusters = F.flatten(F.transform(F.array(F.regexp_extract_all(near, F.lit(r"(\d+)"))), fused_digits))
+    def labelled(near: Column) -> Column:
+        digits = F.regexp_extract_all(F.regexp_extract(near, DIGITS_AFTER_DOB, 1), F.lit(r"(\d+)"))
+        return F.concat(groups(near, LABELLED_DATE), groups(near, FUSED_DATE), _with(digits, fused_digits))
+
     fits = lambda d, m, y: d.between(1, 31) & m.between(1, 12) & y.between(1900, last_year)
-    # most texts of a pass hold no label, or no date at all: one search tells, and the others are left out
-    every = F.when(text.rlike(ANY_LABEL), F.concat(plain, labelled, fused, clusters)).otherwise(plain)
+    # most texts of a pass hold no label: one search tells, and what needs one is looked for behind it only
+    behind = F.transform(F.filter(F.array(F.regexp_extract(text, FROM_LABEL, 0)), lambda x: x != ""), labelled)
+    every = F.concat(plain, F.flatten(behind))
     if not swap:
         return F.array_distinct(F.filter(every, lambda x: F.coalesce(fits(x["d"], x["m"], x["y"]), F.lit(False))))
     turned = F.transform(
@@ -221,32 +240,25 @@ def repaired_date(dob: Column, last_year: int = 2025) -> Column:
     return F.when(good, F.format_string("%02d/%02d/%d", day, month, y)).otherwise(dob)
 
 
-def gender(text: Column, raw: Column | None = None) -> Column:
+def gender(text: Column, raw: Column | None = None, cleaned: Column | None = None) -> Column:
     """The word itself, else a short line that reads like it, else an initial after a line with a date of birth."""
     word = F.initcap(found(text, GENDER_WORD))
 
     def of_line(line: Column) -> Column:
         up = F.upper(line)
-        short = F.length(line).between(2, 12)
         return (
-            F.when(short & (line.rlike(MALE_LIKE) | up.isin(*MALE_LINES)), "Male")
-            .when(short & (line.rlike(FEMALE_LIKE) | up.isin(*FEMALE_LINES)), "Female")
+            F.when(line.rlike(MALE_LIKE) | up.isin(*MALE_LINES), "Male")
+            .when(line.rlike(FEMALE_LIKE) | up.isin(*FEMALE_LINES), "Female")
         )
 
     raw = lines(text) if raw is None else raw
-    cleaned = F.transform(raw, clean_line)
-    fuzzy = F.get(F.filter(F.transform(cleaned, of_line), lambda g: g.isNotNull()), 0)
-    initial = lambda x: F.when(
-        F.length(x).between(2, 12),
-        F.when(F.upper(x).startswith("M"), "Male").when(F.upper(x).startswith("F"), "Female"),
-    )
+    cleaned = F.transform(raw, clean_line) if cleaned is None else cleaned
+    short = lambda x: F.length(x).between(2, 12)
+    fuzzy = F.get(F.filter(F.transform(F.filter(cleaned, short), of_line), lambda g: g.isNotNull()), 0)
+    initial = lambda x: F.when(F.upper(x).startswith("M"), "Male").when(F.upper(x).startswith("F"), "Female")
     after = F.flatten(
         F.transform(
-            raw,
-            lambda line, i: F.when(
-                line.rlike(DOB_ANYWHERE),
-                F.transform(F.slice(raw, i + 2, F.lit(3)), lambda x: initial(clean_line(x))),
-            ).otherwise(F.array().cast("array<string>")),
+            _places(raw, DOB_ANYWHERE), lambda i: F.transform(F.filter(F.slice(cleaned, i + 2, F.lit(3)), short), initial)
         )
     )
     return F.coalesce(word, fuzzy, F.get(F.filter(after, lambda g: g.isNotNull()), 0))
@@ -268,24 +280,25 @@ def _places(raw: Column, pattern: str) -> Column:
     return F.filter(at, lambda i: i.isNotNull())
 
 
+def _names(cleaned: Column) -> Column:
+    """The lines that may be a name, null in place of others."""
+    return F.transform(cleaned, lambda x: F.when(_may_be_name(x), x))
+
+
 def name(text: Column) -> Column:
     """The holder's name: after a header line, else after a label, else the best-looking line."""
     raw = lines(text)
-    return _name(raw, F.transform(raw, clean_line), _places(raw, HEADER), F.get(_places(raw, DOB_LINE), 0))
+    return _name(raw, _names(F.transform(raw, clean_line)), _places(raw, HEADER), F.get(_places(raw, DOB_LINE), 0))
 
 
-def _name(raw: Column, cleaned: Column, headers: Column, dob: Column) -> Column:
+def _name(raw: Column, names: Column, headers: Column, dob: Column) -> Column:
     first_header = F.get(headers, 0)
-    first_name = lambda window: F.get(F.filter(window, _may_be_name), 0)
+    first_of = lambda values: F.get(F.filter(values, lambda x: x.isNotNull()), 0)
     end = F.when((dob > first_header) & (dob > 0), dob).otherwise(first_header + 12)
-    between = first_name(F.slice(cleaned, first_header + 2, F.greatest(F.lit(0), end - first_header - 1)))
-    after_any = F.get(
-        F.filter(
-            F.transform(headers, lambda h: first_name(F.slice(cleaned, h + 2, F.lit(11)))), lambda x: x.isNotNull()
-        ),
-        0,
-    )
-    labelled = F.transform(raw, lambda x: clean_line(F.regexp_extract(F.trim(x), NAME_LABEL, 1)))
+    between = first_of(F.slice(names, first_header + 2, F.greatest(F.lit(0), end - first_header - 1)))
+    after_any = first_of(F.transform(headers, lambda h: first_of(F.slice(names, h + 2, F.lit(11)))))
+    with_label = F.filter(F.transform(raw, lambda x: F.trim(x)), lambda x: x.rlike(NAME_LABEL))
+    labelled = F.transform(with_label, lambda x: clean_line(F.regexp_extract(x, NAME_LABEL, 1)))
     first_place = lambda x: F.array_position(raw, x) - 1
 
     def points(x: Column, line: Column) -> Column:
@@ -300,12 +313,12 @@ def _name(raw: Column, cleaned: Column, headers: Column, dob: Column) -> Column:
             + F.when(li < dob, 4).otherwise(0)
         )
 
-    pairs = F.zip_with(raw, cleaned, lambda x, c: F.struct(x.alias("raw"), c.alias("line")))
+    pairs = F.zip_with(raw, names, lambda x, c: F.struct(x.alias("raw"), c.alias("line")))
     scored = F.transform(
-        F.filter(F.transform(pairs, lambda x, i: F.struct(x["raw"], x["line"], i.alias("i"))), lambda x: _may_be_name(x["line"])),
+        F.filter(F.transform(pairs, lambda x, i: F.struct(x["raw"], x["line"], i.alias("i"))), lambda x: x["line"].isNotNull()),
         lambda x: F.struct(points(x["raw"], x["line"]).alias("p"), (-x["i"]).alias("k"), x["line"].alias("line")),
     )
-    return F.coalesce(between, after_any, first_name(labelled), F.array_max(scored)["line"])
+    return F.coalesce(between, after_any, F.get(F.filter(labelled, _may_be_name), 0), F.array_max(scored)["line"])
 
 
 def hindi_name(text: Column, raw: Column | None = None) -> Column:
@@ -314,36 +327,37 @@ def hindi_name(text: Column, raw: Column | None = None) -> Column:
         for fragment in HINDI_HEADERS:
             header = header | F.contains(line, F.lit(fragment))
         return (
-            line.rlike("[\\u0900-\\u097F]{3,}")
+            line.rlike(DEVANAGARI)
             & ~header
             & ~line.rlike(r"(?U)\d")
             & F.size(F.split(line, r"\s+")).between(1, 5)
         )
 
     raw = lines(text) if raw is None else raw
-    return F.get(F.filter(F.transform(raw, lambda x: F.trim(x)), fits), 0)
+    # most cards have no such letters: one search tells, and their lines are left alone
+    return F.when(text.rlike(DEVANAGARI), F.get(F.filter(F.transform(raw, lambda x: F.trim(x)), fits), 0))
 
 
 def care_of(text: Column, raw: Column | None = None) -> Column:
     """Two to five words after a label, else a line that starts with one."""
-    labelled = clean_line(F.regexp_extract(text, CARE_OF, 1))
-    n = F.size(F.split(labelled, r"\s+"))
+    n_words = lambda x: F.size(F.split(x, r"\s+"))
+    labelled = kept(clean_line(F.regexp_extract(text, CARE_OF, 1)), lambda x: (x != "") & n_words(x).between(2, 5))
     raw = lines(text) if raw is None else raw
     own_line = F.filter(
-        F.transform(raw, lambda x: clean_line(F.regexp_extract(F.trim(x), CARE_OF_LINE, 1))),
-        lambda x: (x != "") & F.size(F.split(x, r"\s+")).between(1, 5) & x.rlike(r"^[A-Za-z\s.\-']+$"),
+        F.transform(
+            F.filter(F.transform(raw, lambda x: F.trim(x)), lambda x: x.rlike(CARE_OF_LINE)), lambda x: clean_line(F.regexp_extract(x, CARE_OF_LINE, 1))
+        ),
+        lambda x: (x != "") & n_words(x).between(1, 5) & x.rlike(r"^[A-Za-z\s.\-']+$"),
     )
-    return F.coalesce(F.when((labelled != "") & n.between(2, 5), labelled), F.get(own_line, 0))
+    return F.coalesce(labelled, F.get(own_line, 0))
 
 
 def card_side(text: Column) -> Column:
-    dob = text.rlike(SIDE_DOB)
     address = text.rlike(SIDE_ADDRESS)
     return (
         F.when(text.isNull(), None)
-        .when(dob & address, "combined")
-        .when(dob & text.rlike(SIDE_HEADER), "front")
-        .when(address & ~dob, "back")
+        .when(text.rlike(SIDE_DOB), F.when(address, "combined").when(text.rlike(SIDE_HEADER), "front").otherwise("unknown"))
+        .when(address, "back")
         .otherwise("unknown")
     )
 
@@ -353,49 +367,52 @@ def address_block(text: Column, raw: Column | None = None) -> Column:
     raw = lines(text) if raw is None else raw
     where = lambda pattern: _places(raw, pattern)
     last = F.coalesce(F.array_max(where(GENDER_OR_DOB)), F.lit(-1))
-    start = F.array_min(F.filter(where(ADDRESS_START), lambda i: i > last))
-    number = F.array_min(where(ID_SPACED))
-    begin = F.coalesce(start, F.when(number.isNotNull(), F.greatest(F.lit(0), number - 8)))
+    start = _with(last, lambda n: n + 1 + F.array_min(_places(F.slice(raw, n + 2, F.size(raw)), ADDRESS_START)))
+    number = _with(F.array_min(where(ID_SPACED)), lambda n: F.when(n.isNotNull(), F.greatest(F.lit(0), n - 8)))
+    begin = F.coalesce(start, number)
     block = F.transform(F.slice(raw, begin + 1, F.lit(12)), lambda x: F.trim(x))
     stop = lambda b: F.array_min(F.transform(b, lambda x, i: F.when(x.rlike(ADDRESS_END), i)))
-    kept = F.get(F.transform(F.array(block), lambda b: F.slice(b, F.lit(1), F.coalesce(stop(b), F.size(b)))), 0)
+    until = _with(block, lambda b: F.slice(b, F.lit(1), F.coalesce(stop(b), F.size(b))))
     bare = F.transform(
-        F.filter(kept, lambda x: F.length(x) >= 3),
+        F.filter(until, lambda x: F.length(x) >= 3),
         lambda x: F.trim(F.regexp_replace(F.trim(F.regexp_replace(x, r"^[^A-Za-z0-9]{0,3}[A-Z]{1,2}\s+", "")), r"^[^A-Za-z0-9]+", "")),
     )
     out = F.array_join(F.filter(bare, lambda x: F.length(x) >= 3), " ")
     for pattern, put in ADDRESS_CLEANING:
         out = F.trim(F.regexp_replace(out, pattern, put))
-    return F.nullif(out, F.lit(""))
+    return _filled(out)
 
 
 def _trimmed(value: Column) -> Column:
-    return F.nullif(F.rtrim(F.trim(value), F.lit(",")), F.lit(""))
+    return _filled(F.rtrim(F.trim(value), F.lit(",")))
 
 
-def address_parts(block: Column, lower: Column | None = None) -> Column:
-    """struct of house, landmark, locality, subdistrict, district, state, pin, full of an address block.
-
-    There is no street: no rule names one. `lower`: the block in lower case,
-    where it is a column already.
-    """
-    lower = F.lower(block) if lower is None else lower
-    care = F.nullif(clean_line(F.regexp_extract(block, ADDRESS_CARE_OF, 1)), F.lit(""))
+def _address_parts(block: Column, lower: Column) -> dict[str, Column]:
+    care = _filled(clean_line(F.regexp_extract(block, ADDRESS_CARE_OF, 1)))
     landmark = F.rtrim(F.trim(F.regexp_extract(block, LANDMARK, 1)), F.lit(","))
     landmark = F.trim(F.regexp_replace(landmark, r"(\s+[a-z]{1,3}){2,}$", ""))
     landmark = F.rtrim(F.trim(F.regexp_replace(landmark, r",?\s*(?:\b[a-z]{1,3}\b\s*){3,}", " ")), F.lit(","))
     state = F.lit(None).cast("string")
     for known in reversed(ADDRESS_STATES):
         state = F.when(F.contains(lower, F.lit(known.lower())), known).otherwise(state)
-    parts = {
+    return {
         "house": F.coalesce(care, found(block, HOUSE)),
-        "landmark": F.nullif(landmark, F.lit("")),
+        "landmark": _filled(landmark),
         "locality": _trimmed(F.regexp_extract(block, LOCALITY, 1)),
         "subdistrict": _trimmed(F.regexp_extract(block, SUBDISTRICT, 1)),
         "district": _trimmed(F.regexp_extract(block, DISTRICT, 1)),
         "state": state,
         "pin": found(block, ADDRESS_PIN),
     }
+
+
+def address_parts(block: Column, lower: Column | None = None) -> Column:
+    """struct of house, landmark, locality, subdistrict, district, state, pin, full of an address block.
+
+    There is no street: no rule names one. `lower`: the block in lower case,
+    where it is a column already.
+    """
+    parts = _address_parts(block, F.lower(block) if lower is None else lower)
     full = F.nullif(F.concat_ws(", ", *parts.values()), F.lit(""))
     return F.struct(*(v.alias(k) for k, v in parts.items()), F.coalesce(full, block).alias("full"))
 
@@ -437,16 +454,19 @@ def with_card_record(df: DataFrame, text_col: str) -> DataFrame:
     staged = (
         df.withColumn("__raw", lines(text))
         .withColumn("__clean", F.transform(raw, clean_line))
-        .withColumns({"__block": address_block(text, raw), "__headers": _places(raw, HEADER), "__dob": F.get(_places(raw, DOB_LINE), 0)})
+        .withColumns({
+            "__block": address_block(text, raw), "__names": _names(F.col("__clean")), "__headers": _places(raw, HEADER),
+            "__dob": F.get(_places(raw, DOB_LINE), 0),
+        })
         .withColumn("__low", F.lower(block))
-        .withColumn("__parts", address_parts(block, F.col("__low")))
     )
+    parts = _address_parts(block, F.col("__low"))
     record = {
-        "name": _name(raw, F.col("__clean"), F.col("__headers"), F.col("__dob")),
+        "name": _name(raw, F.col("__names"), F.col("__headers"), F.col("__dob")),
         "name_hindi": hindi_name(text, raw),
         "dob": date_of_birth(text),
         "year_of_birth": year_of_birth(text),
-        "gender": gender(text, raw),
+        "gender": gender(text, raw, F.col("__clean")),
         "id_number": id_number(text),
         "vid": virtual_id(text),
         "enrollment_number": enrolment_number(text),
@@ -454,14 +474,14 @@ def with_card_record(df: DataFrame, text_col: str) -> DataFrame:
         "mobile": mobile(text),
         "email": email(text),
         "address_raw": block,
-        "address_house": F.col("__parts.house"),
+        "address_house": parts["house"],
         "address_street": F.lit(None).cast("string"),
-        "address_landmark": F.col("__parts.landmark"),
-        "address_locality": F.col("__parts.locality"),
-        "address_subdistrict": F.col("__parts.subdistrict"),
-        "address_district": F.col("__parts.district"),
-        "address_state": F.col("__parts.state"),
-        "address_pin": F.col("__parts.pin"),
+        "address_landmark": parts["landmark"],
+        "address_locality": parts["locality"],
+        "address_subdistrict": parts["subdistrict"],
+        "address_district": parts["district"],
+        "address_state": parts["state"],
+        "address_pin": parts["pin"],
         "issue_date": issue_date(text),
         "card_type": card_side(text),
         "issued_by": F.lit(ISSUED_BY),

@@ -71,3 +71,21 @@ def test_date_candidates_keep_order_and_drop_repeats(spark):
     df = spark.createDataFrame([("DOB: 10/11/2005 and 10-11-2005, 31/12/1999",)], "t string")
     got = df.select(X.date_candidates(F.col("t"), False).alias("c")).first().c
     assert [tuple(x) for x in got] == [(10, 11, 2005), (31, 12, 1999)]
+
+
+def test_each_pattern_is_searched_once(spark):
+    """A field that uses what it finds more than once names it; nested uses would search the text again for each."""
+    df = spark.createDataFrame([("x",)], "t string")
+    plan = lambda out: out._jdf.queryExecution().optimizedPlan().toString()
+    for field, pattern in (("id_number", X.ID_LOOSE), ("virtual_id", X.VID_TIGHT), ("enrolment_number", X.ENROLMENT_LABELLED), ("email", X.EMAIL), ("care_of", X.CARE_OF)):
+        assert plan(df.select(getattr(X, field)(F.col("t")).alias("v"))).count(f" {pattern}, ") == 1, field
+    record = plan(X.with_card_record(df, "t"))
+    assert all(record.count(f" {p}, ") == 1 for p in (X.HOUSE, X.LOCALITY, X.DISTRICT, X.ADDRESS_PIN, X.CARE_OF, X.EMAIL))
+
+
+def test_identifiers_in_odd_texts(spark):
+    rows = [("2345   6789    0123", "2345 6789 0123"), ("a234567890123b", "2345 6789 0123"), ("1 2345.-.6789 0123 and 3456 7890 1234", "3456 7890 1234")]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "k int, t string")
+    assert [x.v for x in df.orderBy("k").select(X.id_number(F.col("t")).alias("v")).collect()] == [want for _, want in rows]
+    ends = spark.createDataFrame([("a\r\nb\rc d\n",), ("\n",), ("\r\n\r\n",)], "t string")
+    assert [x.v for x in ends.select(X.lines(F.col("t")).alias("v")).collect()] == [["a", "b", "c", "d"], [""], ["", ""]]
