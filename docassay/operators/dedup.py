@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Classes on a side of a tile, and rows that a task's group of tiles holds on average.
 TILE_ROWS, GROUP_ROWS = 4096, 100_000
+#: Asking and found classes that are compared at once: small enough for a core's cache.
+ASKS_AT_ONCE, FOUND_AT_ONCE = 128, 1024
 #: Bits of a band's value that name a partition of the index.
 PART_BITS = 3
 
@@ -43,7 +45,10 @@ def near_masks(width: int, most: int) -> list[int]:
 
 
 def _first_near(table: pa.Table, bits: int) -> pa.Table:
-    """phash and near_first: of every asking class the least `first` among near ones of the same tile."""
+    """phash and near_first: of every asking class the least `first` among near or equal ones of the same tile.
+
+    Those after the last asking class are not compared, and a class that has found one asks no further.
+    """
     asks = table.column("asks").to_numpy()
     tile, first = (table.column(k).to_numpy() for k in ("tile", "first"))
     hashes = table.column("phash").to_numpy().view(np.uint64)
@@ -55,13 +60,18 @@ def _first_near(table: pa.Table, bits: int) -> pa.Table:
         mine, theirs = at[asks[at]], at[~asks[at]]
         if not len(mine) or not len(theirs):
             continue
-        for i in range(0, len(mine), 512):
-            x = mine[i : i + 512]
-            apart = hashes[x][:, None] ^ hashes[theirs][None, :]
-            near = (np.bitwise_count(apart) <= bits) & (apart != 0)
-            nearest = near.argmax(1)
-            found = near[np.arange(len(x)), nearest]
-            out.append((hashes[x[found]].view(np.int64), first[theirs[nearest[found]]]))
+        for i in range(0, len(mine), ASKS_AT_ONCE):
+            x = mine[i : i + ASKS_AT_ONCE]
+            earlier = theirs[: np.searchsorted(first[theirs], first[x[-1]])]
+            for j in range(0, len(earlier), FOUND_AT_ONCE):
+                y = earlier[j : j + FOUND_AT_ONCE]
+                near = np.bitwise_count(hashes[x][:, None] ^ hashes[y][None, :]) <= bits
+                nearest = near.argmax(1)
+                found = near[np.arange(len(x)), nearest]
+                out.append((hashes[x[found]].view(np.int64), first[y[nearest[found]]]))
+                x = x[~found]
+                if not len(x):
+                    break
     a, b = map(np.concatenate, zip(*out)) if out else (np.empty(0, np.int64),) * 2
     return pa.table({"phash": a, "near_first": b})
 
@@ -87,25 +97,16 @@ def under_values(classes: DataFrame, bits: int, asks: bool, bands: list[tuple[in
     return classes.select("phash", "first", F.explode(F.flatten(values)).alias("p")).select("p.*", "phash", "first")
 
 
-def first_similar(entries: DataFrame, bits: int = 10) -> DataFrame:
-    """(seq, similar_seq): each entry's earliest earlier entry whose phash differs in at most `bits` bits.
+def _earliest(usable: DataFrame, classes: DataFrame, found: DataFrame, asking: DataFrame, held: DataFrame, askers: DataFrame, bits: int) -> DataFrame:
+    """(seq, similar_seq) of `usable` (seq, phash), whose `classes` (phash, first) ask among those that are found.
 
-    `entries`: seq (unique long), phash (long bits). Rows with a null phash take
-    no part, entries without such an earlier one are left out. Equal hashes are
-    one class, so a hot hash costs one row; no pairs are made.
+    `found`, `asking`: as `under_values` gives them. `held`, `askers`: band, v
+    and how many are found there (n), or ask there (asking).
     """
-    spark = entries.sparkSession
-    usable = entries.where("phash IS NOT NULL").select("seq", "phash")
-    classes = usable.groupBy("phash").agg(F.min("seq").alias("first"))
-    found, asking = under_values(classes, bits, False), under_values(classes, bits, True)
-    own = under_values(classes, 0, False, bands_of(bits)).groupBy("band", "v").agg(F.count("*").alias("n"))
-    around = lambda asks: F.explode(F.transform(F.get(_masks(bits, asks), F.col("band")), lambda mask: F.col("v").bitwiseXOR(mask))).alias("v")
-    held = own.select("band", around(False), "n").groupBy("band", "v").agg(F.sum("n").alias("n"))
-    askers = own.select("band", around(True), "n").groupBy("band", "v").agg(F.sum("n").alias("asking"))
     pieces = lambda n: F.ceil(F.col(n) / TILE_ROWS).cast("int")
     values = held.join(askers, ["band", "v"]).select("band", "v", "n", "asking", pieces("asking").alias("lefts"), pieces("n").alias("rights"))
     rows = values.agg(F.sum(F.col("n") * F.col("lefts") + F.col("asking") * F.col("rights"))).first()[0] or 0
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(rows / GROUP_ROWS))
+    groups = max(int(usable.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(rows / GROUP_ROWS))
     # a row for every value that a band can have, at most: 2^18 of them
     values = F.broadcast(values.select("band", "v", "lefts", "rights"))
     side = lambda n: F.pmod(F.xxhash64("phash"), F.col(n)).cast("int")
@@ -127,6 +128,23 @@ def first_similar(entries: DataFrame, bits: int = 10) -> DataFrame:
     return usable.join(of_class, "phash").where("earliest < seq").select("seq", F.col("earliest").alias("similar_seq"))
 
 
+def first_similar(entries: DataFrame, bits: int = 10) -> DataFrame:
+    """(seq, similar_seq): each entry's earliest earlier entry whose phash differs in at most `bits` bits.
+
+    `entries`: seq (unique long), phash (long bits). Rows with a null phash take
+    no part, entries without such an earlier one are left out. Equal hashes are
+    one class, so a hot hash costs one row; no pairs are made.
+    """
+    usable = entries.where("phash IS NOT NULL").select("seq", "phash")
+    classes = usable.groupBy("phash").agg(F.min("seq").alias("first"))
+    found, asking = under_values(classes, bits, False), under_values(classes, bits, True)
+    own = under_values(classes, 0, False, bands_of(bits)).groupBy("band", "v").agg(F.count("*").alias("n"))
+    around = lambda asks: F.explode(F.transform(F.get(_masks(bits, asks), F.col("band")), lambda mask: F.col("v").bitwiseXOR(mask))).alias("v")
+    held = own.select("band", around(False), "n").groupBy("band", "v").agg(F.sum("n").alias("n"))
+    askers = own.select("band", around(True), "n").groupBy("band", "v").agg(F.sum("n").alias("asking"))
+    return _earliest(usable, classes, found, asking, held, askers, bits)
+
+
 def _in_partitions(values: DataFrame, bits: int) -> DataFrame:
     """`values` (band, v, ...) with part, the first PART_BITS bits of a value of its band."""
     widths = F.array(*(F.lit(width) for _, width in bands_of(bits)))
@@ -160,24 +178,21 @@ def first_similar_in_log(batch: DataFrame, path: str, batch_id: str, bits: int =
     not judged again, so entries have to come in the order of seq. The answers are
     written beside the index (`path`-answers) before the batch is added.
     """
-    spark = batch.sparkSession
     usable = batch.where("phash IS NOT NULL").select("seq", "phash")
     classes = usable.groupBy("phash").agg(F.min("seq").alias("first"))
-    asks = _in_partitions(under_values(classes, bits, True), bits).select("band", "part", "v", F.col("phash").alias("asking"))
-    index = index_of(asks, path, bits)
-    answers = first_similar(batch, bits)
-    if index is not None:
-        old = index.where(F.col("batch") != batch_id)
-        near = old.join(asks, ["band", "part", "v"]).where(F.bit_count(F.col("phash").bitwiseXOR(F.col("asking"))) <= bits)
-        nearest = near.groupBy("asking").agg(F.min("first").alias("old"))
-        answers = (
-            usable.join(nearest, F.col("phash") == F.col("asking"), "left").select("seq", "old").join(answers, "seq", "left")
-            .select("seq", F.least("old", "similar_seq").alias("similar_seq")).where("similar_seq < seq")
-        )
+    asking, found = under_values(classes, bits, True), under_values(classes, bits, False)
+    index = index_of(_in_partitions(asking, bits), path, bits)
+    if index is None:
+        answers = first_similar(batch, bits)
+    else:
+        # earlier batches and this one are asked together, by tiles; an entry equal to one of an earlier batch finds it there
+        every = index.where(F.col("batch") != batch_id).select(found.columns).unionByName(found)
+        of_value = lambda df, n: df.groupBy("band", "v").agg(F.count("*").alias(n))
+        answers = _earliest(usable, classes, every, asking, of_value(every, "n"), of_value(asking, "asking"), bits)
     answers.write.mode("overwrite").parquet(f"{path}-answers/batch={batch_id}")
-    found = _in_partitions(under_values(classes, bits, False), bits).select("v", "phash", "first", F.lit(batch_id).alias("batch"), "band", "part")
-    found.repartition("band", "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "band", "part").parquet(path)
-    return spark.read.schema("seq long, similar_seq long").parquet(f"{path}-answers/batch={batch_id}")
+    added = _in_partitions(found, bits).select("v", "phash", "first", F.lit(batch_id).alias("batch"), "band", "part")
+    added.repartition("band", "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "band", "part").parquet(path)
+    return batch.sparkSession.read.schema("seq long, similar_seq long").parquet(f"{path}-answers/batch={batch_id}")
 
 
 def first_equal(entries: DataFrame) -> DataFrame:

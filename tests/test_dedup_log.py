@@ -63,3 +63,17 @@ def test_a_batch_reads_only_the_partitions_that_it_asks(spark, tmp_path):
 def test_an_empty_batch(spark, tmp_path):
     empty = spark.createDataFrame([], "seq long, phash long")
     assert dedup.first_similar_in_log(empty, str(tmp_path / "i"), "x").count() == 0
+
+
+def test_a_log_is_asked_by_tiles_without_pairs(spark, tmp_path, monkeypatch):
+    """Classes of earlier batches meet a batch in tiles as its own do; a join on the values would make a row for every pair."""
+    tables = []
+    kept = dedup._earliest
+    monkeypatch.setattr(dedup, "_earliest", lambda *a: tables.append(a[2]) or kept(*a))
+    path = str(tmp_path / "index")
+    entries = spark.createDataFrame([(k, k % 7) for k in range(50)], "seq long, phash long")
+    dedup.first_similar_in_log(entries.where("seq < 5"), path, "a", 0)
+    got = {x.seq: x.similar_seq for x in dedup.first_similar_in_log(entries.where("seq >= 5"), path, "b", 0).collect()}
+    assert got == {k: k % 7 for k in range(7, 50)} and len(tables) == 2
+    # four bands, five classes of the first batch and seven of the second: no pairs
+    assert tables[1].count() <= 4 * (5 + 7)
