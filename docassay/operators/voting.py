@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docassay.functions.text import date_candidates, date_text
+from docassay.functions.text import date_codes, date_text, digits_behind, from_label, is_date, unpacked_date
 from docassay.sources import spread
 
 
@@ -28,20 +28,26 @@ def modal(df: DataFrame, keys: list[str], value: str, ordinal: str, out: str) ->
     return counted.groupBy(*keys).agg(best.alias(out))
 
 
-def vote_components(df: DataFrame, key: str, parts: list[str], ordinal: str) -> DataFrame:
-    """key and the modal value of every part, each voted on its own.
+def vote_components(df: DataFrame, key: str, parts: list[str], ordinal: str | list[str]) -> DataFrame:
+    """key and the modal value of every part, each voted on its own. Several ordinals count one after the other.
 
-    The parts become rows of one long table, so that one pair of aggregates
-    serves them all.
+    Equal readings are counted first, so that a key keeps as many rows as it has
+    different ones. Then all rows of a key meet once: the parts become rows of one
+    long table, and one pair of aggregates serves them all without another shuffle.
     """
-    long = df.select(
-        key,
-        ordinal,
-        F.explode_outer(F.array(*(F.struct(F.lit(p).alias("part"), F.col(p).cast("long").alias("value")) for p in parts))).alias("x"),
-    ).select(key, ordinal, "x.part", "x.value")
-    winners = modal(long, [key, "part"], "value", ordinal, "winner")
-    return winners.groupBy(key).agg(
-        *(F.max(F.when(F.col("part") == p, F.col("winner"))).cast("int").alias(p) for p in parts)
+    first, *rest = [ordinal] if isinstance(ordinal, str) else ordinal
+    counted = df.groupBy(key, *parts, *rest).agg(F.count("*").alias("__n"), F.min(first).alias("__first"))
+    values = F.array(*(F.struct(F.lit(i).alias("part"), F.col(p).cast("long").alias("value")) for i, p in enumerate(parts)))
+    long = (
+        counted.repartition(key)
+        .select(key, "__n", F.struct("__first", *rest).alias("__first"), F.explode(values).alias("x"))
+        .where("x.value IS NOT NULL")
+        .groupBy(key, F.col("x.part").alias("__part"), F.col("x.value").alias("__value"))
+        .agg(F.sum("__n").alias("__n"), F.min("__first").alias("__first"))
+    )
+    rank = F.struct(-F.col("__n"), "__first", "__value")
+    return long.groupBy(key).agg(
+        *(F.min(F.when(F.col("__part") == i, rank))["__value"].cast("int").alias(p) for i, p in enumerate(parts))
     )
 
 
@@ -52,10 +58,16 @@ def date_votes(passes: DataFrame, last_year: int = 2025) -> DataFrame:
     stored in fewer pieces. Candidates of one pass count once, those of several
     passes again; the first pass's come first.
     """
-    each = spread(passes.select("doc_id", "pass_no", "text")).select(
-        "doc_id", "pass_no", F.posexplode(date_candidates(F.col("text"), False, last_year)).alias("k", "x")
-    ).select("doc_id", F.struct("pass_no", "k").alias("ordinal"), "x.d", "x.m", "x.y")
-    voted = vote_components(each, "doc_id", ["d", "m", "y"], "ordinal")
+    text, near, digits = F.col("text"), F.col("near"), F.col("digits")
+    read = (
+        spread(passes.select("doc_id", "pass_no", "text"))
+        .withColumn("near", from_label(text))
+        .withColumn("digits", digits_behind(near))
+        .select("doc_id", "pass_no", F.array_distinct(date_codes(text, near, digits)).alias("codes"))
+    )
+    each = read.select("doc_id", "pass_no", F.posexplode_outer("codes").alias("k", "code")).where(is_date(F.col("code"), last_year))
+    dates = each.select("doc_id", "pass_no", "k", *(c.alias(p) for c, p in zip(unpacked_date(F.col("code")), "dmy")))
+    voted = vote_components(dates, "doc_id", ["d", "m", "y"], ["pass_no", "k"])
     return voted.select("doc_id", date_text(F.struct("d", "m", "y")).alias("dob"))
 
 

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docassay.functions import checksum, compare, geo
+from docassay.functions.text import FROM_LABEL
 from docassay.operators import audit, limits, qr, scoring, voting
 from docassay.operators.dedup import duplicates, first_similar
 
@@ -103,6 +104,26 @@ def test_date_votes(spark):
     assert [tuple(x) for x in voting.date_votes(df).collect()] == [(1, "10/11/2005")]
 
 
+def plan_of(df, kind="executedPlan"):
+    return getattr(df._jdf.queryExecution(), kind)().toString()
+
+
+def test_date_votes_read_a_text_once_and_meet_once(spark):
+    """A generator's inferred filter would make the dates twice; equal dates are counted, then all of a document meet."""
+    df = spark.createDataFrame([(1, 0, "DOB: 1/2/2000")], "doc_id int, pass_no int, text string")
+    votes = voting.date_votes(df)
+    assert plan_of(votes, "optimizedPlan").count(f" {FROM_LABEL}, ") == 1
+    assert plan_of(votes).count("Exchange hashpartitioning(doc_id") == 2
+
+
+def test_components_of_one_pass_keep_their_order(spark):
+    rows = [(1, 5, "1/2/2001 and 3/4/2002"), (1, 5, None), (2, 1, "9/9/1999"), (2, 0, "DOB: 12/10/2001, 8/12/2001"), (3, 0, "99/1/2000 1/13/2000 1/1/1899")]
+    df = spark.createDataFrame(rows, "doc_id int, pass_no int, text string")
+    assert sorted(map(tuple, voting.date_votes(df).collect())) == [(1, "01/02/2001"), (2, "12/10/2001")]
+    none = spark.createDataFrame([(1, 0, None, 2), (1, 1, None, 3), (2, 0, None, None), (None, 0, 4, None)], "key int, k int, d int, m int")
+    assert {tuple(x) for x in voting.vote_components(none, "key", ["d", "m"], "k").collect()} == {(1, None, 2), (None, 4, None)}
+
+
 def test_module_scores_at_band_edges(spark):
     rows = [(1, "tamper", c, 29, True) for c in ("ela", "verhoeff", "noise", "moire", "font", "hologram")]
     rows += [(2, "geo", c, 75, True) for c in ("pin", "district", "ai_image", "name")]
