@@ -1,33 +1,19 @@
 """Majority votes between readings of the same document.
 
-Ties go to the value met first, so every reading carries its ordinal. A vote is
-an aggregate on (key, value) with map-side combine and another on the key; no
-reading list is gathered.
+Ties go to the value met first, so every reading carries its ordinal. Equal
+readings of a key are counted with map-side combine; what is left of a key then
+meets in one shuffle, which serves all that follows. No reading list is gathered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docassay.functions.text import date_codes, date_text, digits_behind, from_label, is_date, unpacked_date
 from docassay.sources import spread
 
 
-def modal(df: DataFrame, keys: list[str], value: str, ordinal: str, out: str) -> DataFrame:
-    """keys and the most frequent non-null value of each; ties to the least ordinal.
-
-    A key whose values are all null is left out.
-    """
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count("*").alias("__n"), F.min(ordinal).alias("__first"))
-    )
-    best = F.min_by(value, F.struct(-F.col("__n"), F.col("__first")))
-    return counted.groupBy(*keys).agg(best.alias(out))
-
-
 def vote_components(df: DataFrame, key: str, parts: list[str], ordinal: str | list[str]) -> DataFrame:
     """key and the modal value of every part, each voted on its own. Several ordinals count one after the other.
 
@@ -75,32 +61,30 @@ def vote_string(df: DataFrame, key: str, value: str, ordinal: str) -> DataFrame:
     """(key, winner): the modal string if it occurs twice; else, among strings as
     long as the first (two at least), the modal character of each position; else
     the longest. Empty and null readings do not vote; ties go to the first.
+
+    Equal strings are counted first, then all of a key meet once: what follows,
+    the votes on positions too, needs no other shuffle, and no table is joined.
     """
     usable = df.where(F.coalesce(F.col(value), F.lit("")) != "")
-    counted = usable.groupBy(key, value).agg(F.count("*").alias("__n"), F.min(ordinal).alias("__first"))
-    whole = counted.groupBy(key).agg(
-        F.max_by(value, F.struct(F.col("__n"), -F.col("__first"))).alias("modal"),
-        F.max("__n").alias("most"),
-        F.min_by(F.length(value), "__first").alias("length"),
-        F.max_by(value, F.struct(F.length(value), -F.col("__first"))).alias("longest"),
-    )
-    # only keys without a repeated string need positions
-    open_keys = whole.where("most = 1").select(key, "length")
-    alike = usable.join(open_keys, key).where(F.length(value) == F.col("length"))
-    places = alike.select(key, ordinal, F.posexplode(F.split(F.col(value), "")).alias("place", "letter"))
-    letters = modal(places, [key, "place"], "letter", ordinal, "letter")
-    spelled = letters.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "letter"))), lambda x: x["letter"]), "").alias("spelled")
-    )
-    voters = alike.groupBy(key).agg(F.count("*").alias("voters"))
-    return (
-        whole.join(spelled, key, "left")
-        .join(voters, key, "left")
-        .select(
-            key,
-            F.when(F.col("most") > 1, F.col("modal"))
-            .when(F.col("voters") >= 2, F.col("spelled"))
-            .otherwise(F.col("longest"))
-            .alias("winner"),
-        )
-    )
+    counted = usable.groupBy(key, F.col(value).alias("__value")).agg(F.count("*").alias("__n"), F.min(ordinal).alias("__first"))
+    size = F.length("__value")
+    in_order = Window.partitionBy(key).orderBy(F.asc_nulls_last("__first"), "__value")
+    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = counted.repartition(key).select(
+        "*", F.max("__n").over(whole).alias("__most"), F.first(size).over(whole).alias("__size"), F.max(size).over(whole).alias("__longest")
+    )
+    alike = size == F.col("__size")
+    best = F.when(F.col("__most") > 1, F.col("__n") == F.col("__most")).otherwise(size == F.col("__longest"))
+    ranked = known.select(
+        "*", best.alias("__best"), F.sum(alike.cast("long")).over(whole).alias("__voters"), F.sum(best.cast("long")).over(so_far).alias("__rank")
+    )
+    # only keys without a repeated string need positions; any other key's winner is one piece, whole
+    spelled = (F.col("__most") == 1) & (F.col("__voters") >= 2)
+    winner = ~spelled & F.col("__best") & (F.col("__rank") == 1)
+    split = F.when(spelled & alike, F.split("__value", "")).when(winner, F.array("__value"))
+    pieces = ranked.select(key, "__first", F.posexplode_outer(split).alias("__place", "__letter")).where("__place IS NOT NULL")
+    letters = pieces.groupBy(key, "__place", "__letter").agg(F.count("*").alias("__n"), F.min("__first").alias("__first"))
+    places = letters.groupBy(key, "__place").agg(F.min(F.struct(-F.col("__n"), "__first", "__letter"))["__letter"].alias("__letter"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__place", "__letter"))), lambda x: x["__letter"]), "")
+    return places.groupBy(key).agg(joined.alias("winner"))

@@ -124,6 +124,15 @@ def test_components_of_one_pass_keep_their_order(spark):
     assert {tuple(x) for x in voting.vote_components(none, "key", ["d", "m"], "k").collect()} == {(1, None, 2), (None, 4, None)}
 
 
+def test_string_votes_meet_once(spark):
+    rows = [(1, 3, "abc"), (1, 1, "abd"), (1, 2, "xé"), (1, 5, None), (2, 4, "b"), (2, 2, "ab"), (2, 3, "cd"), (2, 9, "b"), (3, 1, "a"), (3, 2, "éé"), (3, 0, ""), (4, 1, ""), (5, 2, "né"), (5, 1, "nü")]
+    df = spark.createDataFrame(rows, "key int, k int, s string")
+    votes = voting.vote_string(df, "key", "s", "k")
+    assert sorted(map(tuple, votes.collect())) == [(1, "abd"), (2, "b"), (3, "éé"), (5, "nü")]
+    plan = plan_of(voting.vote_string(df, "key", "s", "k"))
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning(key") == 2
+
+
 def test_module_scores_at_band_edges(spark):
     rows = [(1, "tamper", c, 29, True) for c in ("ela", "verhoeff", "noise", "moire", "font", "hologram")]
     rows += [(2, "geo", c, 75, True) for c in ("pin", "district", "ai_image", "name")]
