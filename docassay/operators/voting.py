@@ -51,6 +51,7 @@ def date_votes(passes: DataFrame, last_year: int = 2025) -> DataFrame:
         .withColumn("digits", digits_behind(near))
         .select("doc_id", "pass_no", F.array_distinct(date_codes(text, near, digits)).alias("codes"))
     )
+    # outer, as the filter that Spark infers from an inner one would make the codes again
     each = read.select("doc_id", "pass_no", F.posexplode_outer("codes").alias("k", "code")).where(is_date(F.col("code"), last_year))
     dates = each.select("doc_id", "pass_no", "k", *(c.alias(p) for c, p in zip(unpacked_date(F.col("code")), "dmy")))
     voted = vote_components(dates, "doc_id", ["d", "m", "y"], ["pass_no", "k"])

@@ -60,6 +60,16 @@ def test_corrected_cards(spark):
     assert got == {1: ("SUNITA DEVI", "02/01/1990", "2345 6780 1234", "x"), 2: (None, None, None, None), 3: ("ANIL", "odd", "12", "y")}
 
 
+def test_votes_of_corrected_cards_lie_as_the_join_needs_them(spark):
+    """Equal dates are counted, then a document's meet; only the cards themselves are dealt once more."""
+    cards = spark.createDataFrame([(1, "ANIL", "01/01/1990", "12"), (2, "ANIL", "x", "12")], "doc_id long, name string, dob string, id_number string")
+    passes = spark.createDataFrame([(1, 4, "02/01/1990 and 1-1-1990"), (1, 7, "DOR 3 11991"), (2, 0, "13/13/1990")], "doc_id long, pass_no int, text string")
+    out = U.corrected_cards(cards, passes)
+    assert {x.doc_id: x.dob for x in out.collect()} == {1: "01/01/1990", 2: "x"}
+    plan = U.corrected_cards(cards, passes)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 3
+
+
 def test_entry_and_response(spark, tmp_path):
     from docassay.sources.audit_log import append_audit_log, read_audit_log
 
