@@ -179,11 +179,10 @@ def unpacked_date(code: Column) -> tuple[Column, Column, Column]:
     return code.bitwiseAND(63), F.shiftright(code, 6).bitwiseAND(63), F.shiftright(code, 12)
 
 
-def is_date(code: Column, last_year: int = 2025, turned: bool = False) -> Column:
-    """Whether a packed date is one, day and month taken for each other if `turned`. Null is none."""
+def is_date(code: Column, last_year: int = 2025) -> Column:
+    """Whether a packed date is one. Null is none."""
     d, m, y = unpacked_date(code)
-    day, month = (m, d) if turned else (d, m)
-    return F.coalesce(day.between(1, 31) & month.between(1, 12) & y.between(1900, last_year), F.lit(False))
+    return F.coalesce(d.between(1, 31) & m.between(1, 12) & y.between(1900, last_year), F.lit(False))
 
 
 def from_label(text: Column) -> Column:
@@ -220,22 +219,52 @@ def date_codes(text: Column, near: Column, digits: Column) -> Column:
     return F.concat(plain, F.when(near != "", behind).otherwise(F.array().cast("array<int>")))
 
 
+def _date(d: Column, m: Column, y: Column) -> Column:
+    return F.struct(d.try_cast("int").alias("d"), m.try_cast("int").alias("m"), y.try_cast("int").alias("y"))
+
+
 def date_candidates(text: Column, swap: bool, last_year: int = 2025) -> Column:
     """array<struct<d,m,y>> of the dates of birth that the text may mean, in order of trust.
 
     With `swap` day and month change places where only that makes a date;
     otherwise such readings are left out, and repeated ones too.
     """
-    every = _with(from_label(text), lambda near: _with(digits_behind(near), lambda digits: date_codes(text, near, digits)))
-    named = lambda d, m, y: F.struct(d.alias("d"), m.alias("m"), y.alias("y"))
-    if not swap:
-        return F.transform(F.array_distinct(F.filter(every, lambda x: is_date(x, last_year))), lambda x: named(*unpacked_date(x)))
+    plain = F.transform(
+        F.transform(F.regexp_extract_all(text, F.lit(PLAIN_DATE), F.lit(0)), lambda x: F.split(x, r"[/.\-]")),
+        lambda p: _date(*(F.get(p, k) for k in (0, 1, 2))),
+    )
+    # one search finds a match, which is then taken apart; without one nothing is cast, as a cast that fails throws inside
+    groups = lambda near, pattern: F.transform(
+        F.transform(F.filter(F.array(F.regexp_extract(near, pattern, 0)), lambda x: x != ""), lambda x: F.split(F.regexp_replace(x, pattern, "$1/$2/$3"), "/")),
+        lambda p: _date(*(F.get(p, k) for k in (0, 1, 2))),
+    )
 
-    def turned(x: Column) -> Column:
-        d, m, y = unpacked_date(x)
-        return F.when(is_date(x, last_year), named(d, m, y)).when(is_date(x, last_year, turned=True), named(m, d, y))
+    def fused_digits(c: Column) -> Column:
+        a, b = F.get(c, 0), F.get(c, 1)
+        n, wide = F.size(c), F.length(b)
+        return F.array(
+            F.when(n >= 3, _date(a, b, F.get(c, 2))),
+            F.when((n >= 2) & (wide == 5), _date(a, F.substring(b, 1, 1), F.substring(b, 2, 4))),
+            F.when((n == 2) & (wide == 6), _date(a, F.substring(b, 1, 2), F.substring(b, 3, 4))),
+        )
+
+    def labelled(near: Column) -> Column:
+        digits = F.regexp_extract_all(F.regexp_extract(near, DIGITS_AFTER_DOB, 1), F.lit(r"(\d+)"))
+        return F.concat(groups(near, LABELLED_DATE), groups(near, FUSED_DATE), _with(digits, fused_digits))
 
-    return F.filter(F.transform(every, turned), lambda x: x.isNotNull())
+    fits = lambda d, m, y: d.between(1, 31) & m.between(1, 12) & y.between(1900, last_year)
+    # most texts of a pass hold no label: one search tells, and what needs one is looked for behind it only
+    behind = F.transform(F.filter(F.array(F.regexp_extract(text, FROM_LABEL, 0)), lambda x: x != ""), labelled)
+    every = F.concat(plain, F.flatten(behind))
+    if not swap:
+        return F.array_distinct(F.filter(every, lambda x: F.coalesce(fits(x["d"], x["m"], x["y"]), F.lit(False))))
+    turned = F.transform(
+        every,
+        lambda x: F.when(fits(x["d"], x["m"], x["y"]), x).when(
+            fits(x["m"], x["d"], x["y"]), F.struct(x["m"].alias("d"), x["d"].alias("m"), x["y"].alias("y"))
+        ),
+    )
+    return F.filter(turned, lambda x: x.isNotNull())
 
 
 def date_text(date: Column) -> Column:

@@ -89,3 +89,13 @@ def test_identifiers_in_odd_texts(spark):
     assert [x.v for x in df.orderBy("k").select(X.id_number(F.col("t")).alias("v")).collect()] == [want for _, want in rows]
     ends = spark.createDataFrame([("a\r\nb\rc d\n",), ("\n",), ("\r\n\r\n",)], "t string")
     assert [x.v for x in ends.select(X.lines(F.col("t")).alias("v")).collect()] == [["a", "b", "c", "d"], [""], ["", ""]]
+
+
+def test_packed_dates_are_the_candidates(spark):
+    texts = ["DOB: 10/11/2005 and 10-11-2005, 31/12/1999", "DOR 10 11985", "DOB 5 101985", "DOB 010 0001 001988", "DOB: 12/30/1988", "1.2.1990 DOB 99999999999 1 1999", "DOB", "", None]
+    df = spark.createDataFrame([(x,) for x in texts], "t string").withColumn("near", X.from_label(F.col("t"))).withColumn("digits", X.digits_behind(F.col("near")))
+    kept = F.array_distinct(F.filter(X.date_codes(F.col("t"), F.col("near"), F.col("digits")), lambda x: X.is_date(x)))
+    packed = F.transform(kept, lambda x: F.struct(*X.unpacked_date(x)))
+    rows = df.select(packed.alias("a"), X.date_candidates(F.col("t"), False).alias("b")).collect()
+    as_tuples = lambda x: x and [tuple(y) for y in x]
+    assert [as_tuples(x.a) for x in rows] == [as_tuples(x.b) for x in rows] and sum(bool(x.a) for x in rows) >= 4
